@@ -22,9 +22,9 @@ def count_tokens(docs: DataFrame, tokenizer: str, limit: int = 512, id_col: str
 
     def make():
         if tokenizer.endswith(".model"):
-            from .piece_codec import PieceCodec
+            from .piece_codec import piece_codec
 
-            codec = PieceCodec(tokenizer)
+            codec = piece_codec(tokenizer)
 
             def counts(texts: list[str]) -> list[int]:
                 return [len(ids) for ids in codec.encode(texts)]
