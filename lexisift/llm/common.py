@@ -8,21 +8,24 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.types import StructType
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """The rows of ``df`` in the cluster's checkpoint folder, so that a lost executor costs no recomputation.
-
-    The folder is the one of the session; a temporary one is set only where none is configured.
-    """
-    context = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The session's checkpoint folder; a temporary one is set only where none is configured."""
+    context = spark.sparkContext
     if not context._jsc.sc().getCheckpointDir().isDefined():
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="lexisift-"))
+        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lexisift-"))
+    return context._jsc.sc().getCheckpointDir().get()
+
+
+def durable(df: DataFrame) -> DataFrame:
+    """The rows of ``df`` in the cluster's checkpoint folder, so that a lost executor costs no recomputation."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
@@ -44,8 +47,19 @@ def slices(batch: pa.RecordBatch, text: str = "text", most_bytes: int = 4 << 20)
         yield batch.slice(start)
 
 
-def by_slices(make: Callable[[], Callable[[list, list[str]], pa.RecordBatch]]) -> Callable:
-    """A function for mapInArrow over (doc_id, text): ``make()`` runs once a task, its result once a slice of rows."""
+Work = Callable[[list, list[str]], pa.RecordBatch]
+
+
+def map_texts(docs: DataFrame, make: Callable[[], Work], schema: str, id_col: str = "doc_id", text_col: str = "text", keep: bool = False) -> DataFrame:
+    """Rows of ``schema`` from ids and texts: ``make()`` runs once a task, its result once a slice of rows.
+
+    ``keep``: each row comes back beside its result, as the struct ``row`` with all its columns.
+    """
+    given = texts_of(docs, id_col, text_col)
+    kinds = StructType.fromDDL(schema)
+    if keep:
+        given = docs.select(F.struct(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).alias("t"), F.struct("*").alias("row")).select("t.*", "row")
+        kinds = kinds.add("row", given.schema["row"].dataType)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = None
@@ -53,9 +67,12 @@ def by_slices(make: Callable[[], Callable[[list, list[str]], pa.RecordBatch]]) -
             if batch.num_rows:
                 work = work or make()
                 for part in slices(batch):
-                    yield work(part.column("doc_id").to_pylist(), part.column("text").to_pylist())
+                    out = work(part.column("doc_id").to_pylist(), part.column("text").to_pylist())
+                    if keep:
+                        out = pa.RecordBatch.from_arrays([*out.columns, part.column("row")], [*out.schema.names, "row"])
+                    yield out
 
-    return run
+    return given.mapInArrow(run, kinds)
 
 
 def remainder(id_col: str | Column, by: int) -> Column:

@@ -9,7 +9,7 @@ from functools import lru_cache
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import by_slices, texts_of
+from .common import map_texts
 
 # The phrases that are always looked for, with their labels.
 BASE_PHRASES = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
@@ -184,7 +184,7 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
         return work
 
-    return texts_of(docs, id_col, text_col).mapInArrow(by_slices(make), "doc_id long, n_words long, hits array<struct<label:string,word:long,base:boolean>>, expressions array<string>, labels array<string>, score double")
+    return map_texts(docs, make, "doc_id long, n_words long, hits array<struct<label:string,word:long,base:boolean>>, expressions array<string>, labels array<string>, score double", id_col, text_col)
 
 
 def license_report(scans: DataFrame) -> DataFrame:

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from .byte_bpe import run_table
-from .common import by_slices, durable, texts_of
+from .common import durable, map_texts
 
 #: Rows of one length are numbered in so many shares, so that a hot length is dealt over tasks.
 SHARES = 64
@@ -43,7 +43,7 @@ def cut_documents(docs: DataFrame, tokenizer: str, most: int = 2048, end_id: int
         return work
 
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long" + ", ids binary" * with_ids
-    return texts_of(docs, id_col, text_col).mapInArrow(by_slices(make), schema)
+    return map_texts(docs, make, schema, id_col, text_col)
 
 
 def shortest_pack_first(counts: dict[int, int], most: int) -> list[tuple[int, int, int, int, int]]:

@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import by_slices, texts_of
+from .common import map_texts
 
 SPACE = "▁"
 CHARACTER = 1 << 21  # symbols from here on are characters that are no piece
@@ -191,4 +191,4 @@ def encode_pieces(docs: DataFrame, model: str, id_col: str = "doc_id", text_col:
 
         return work
 
-    return texts_of(docs, id_col, text_col).mapInArrow(by_slices(make), "doc_id long, ids array<int>, decoded string")
+    return map_texts(docs, make, "doc_id long, ids array<int>, decoded string", id_col, text_col)

@@ -10,7 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import by_slices, durable, remainder, texts_of
+from .common import durable, map_texts, remainder, texts_of
 from .quality_rules import label_sample
 
 #: Terms are hashed to so many columns.
@@ -109,7 +109,7 @@ def fit_neighbours(docs: DataFrame, labels: DataFrame, learn: Column | None = No
 
         return work
 
-    sample = texts_of(docs).join(chosen, "doc_id", "left_semi").mapInArrow(by_slices(make), "doc_id long, at binary, weight binary")
+    sample = map_texts(texts_of(docs).join(chosen, "doc_id", "left_semi"), make, "doc_id long, at binary, weight binary")
     rows = sample.join(chosen, "doc_id").select("doc_id", "quality", "at", "weight").collect()
     rows.sort(key=lambda r: (r["doc_id"], r["at"], r["weight"]))
     n = len(rows)
@@ -135,12 +135,12 @@ def fit_neighbours(docs: DataFrame, labels: DataFrame, learn: Column | None = No
     return out
 
 
-def score_quality(docs: DataFrame, model: Neighbours, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score_quality(docs: DataFrame, model: Neighbours, id_col: str = "doc_id", text_col: str = "text", keep: bool = False) -> DataFrame:
     """(doc_id, score, predicted) of every row of ``docs`` by exact cosines to all labelled vectors, in blocks.
 
     The vectors are broadcast; their number and width are parameters of the fit, not of the data. A null or
     empty text has no terms and gets the prior; a null id stays null; repeated rows are scored each; other
-    columns are ignored; an empty table gives an empty one.
+    columns are ignored, or with ``keep`` come along in the struct ``row``; an empty table gives an empty one.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -153,7 +153,7 @@ def score_quality(docs: DataFrame, model: Neighbours, id_col: str = "doc_id", te
 
         return work
 
-    return texts_of(docs, id_col, text_col).mapInArrow(by_slices(make), "doc_id long, score double, predicted int")
+    return map_texts(docs, make, "doc_id long, score double, predicted int", id_col, text_col, keep)
 
 
 def held_out(id_col: str = "doc_id") -> Column:

@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import by_slices, durable, texts_of
+from .common import durable, map_texts, texts_of
 
 # White space between words, and the characters counted as symbols.
 BLANKS = " \t\n\x0b\x0c\r"
@@ -52,7 +52,7 @@ _UPPER = [bytes([c]) for c in range(65, 91)]
 _LOWER = [bytes([c]) for c in range(97, 123)]
 
 
-def text_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def text_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: bool = False) -> DataFrame:
     """doc_id and the counts named in COUNTS, a row for each row of ``docs``, over whole texts.
 
     Words are runs of anything but the six ASCII blanks; ``n_upper`` and ``n_alpha`` count ASCII letters.
@@ -66,7 +66,7 @@ def text_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
         return work
 
-    return texts_of(docs, id_col, text_col).mapInArrow(by_slices(make), "doc_id long, " + ", ".join(f"{c} long" for c in COUNTS))
+    return map_texts(docs, make, "doc_id long, " + ", ".join(f"{c} long" for c in COUNTS), id_col, text_col, keep)
 
 
 #: What rules test, as a numerator and a denominator of counts.
@@ -230,10 +230,11 @@ def apply_rules(stats: DataFrame, rules: list[Rule]) -> DataFrame:
     return out.withColumn("kept", ~F.col("base_failed") & F.col("rule").isNull())
 
 
-def judge_quality(docs: DataFrame, labels: DataFrame, most: int = 20_000) -> DataFrame:
+def judge_quality(docs: DataFrame, labels: DataFrame, most: int = 20_000, keep: bool = False) -> DataFrame:
     """Statistics, base verdict and verdict of every row of ``docs`` by rules learned from ``labels``.
 
     Without usable labels only the base rule judges. A null id stays null and a null text is empty, which the
-    base rule rejects; repeated rows are judged each; other columns are ignored; an empty table gives an empty one.
+    base rule rejects; repeated rows are judged each; other columns are ignored, or with ``keep`` come along in the
+    struct ``row``; an empty table gives an empty one.
     """
-    return apply_rules(text_statistics(docs), fit_rules(docs, labels, most))
+    return apply_rules(text_statistics(docs, keep=keep), fit_rules(docs, labels, most))

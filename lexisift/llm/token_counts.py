@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .byte_bpe import run_table
-from .common import by_slices, texts_of
+from .common import map_texts
 
 
 def count_tokens(docs: DataFrame, tokenizer: str, limit: int = 512, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -42,4 +42,4 @@ def count_tokens(docs: DataFrame, tokenizer: str, limit: int = 512, id_col: str
 
         return work
 
-    return texts_of(docs, id_col, text_col).mapInArrow(by_slices(make), "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
+    return map_texts(docs, make, "doc_id long, n_bytes long, n_tokens long, over_limit boolean", id_col, text_col)
