@@ -104,3 +104,29 @@ def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality_knn import classify_quality
 
     return classify_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query
+def op10_lattice_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .lattice import similar_vectors
+
+    return similar_vectors(table(spark, sf_dir, "embeddings"), 0.95)
+
+
+ORACLES["op10_lattice_duplicates"] = """
+with recursive given as (
+    select vec_id, cast(embedding as double[]) as v from embeddings
+), usable as (
+    select vec_id, v from given
+    where v is not null and len(list_filter(v, lambda x: x is null or not isfinite(x))) = 0 and len(list_filter(v, lambda x: x <> 0)) > 0
+), links as (
+    select a.vec_id as a, b.vec_id as b from usable a join usable b on a.vec_id <> b.vec_id
+    where list_cosine_similarity(a.v, b.v) >= 0.95
+), reach(a, b) as (
+    select vec_id, vec_id from given union select r.a, l.b from reach r join links l on r.b = l.a
+)
+select g.vec_id, (select count(*) from links where a = g.vec_id) as n_links,
+    (select min(b) from reach where a = g.vec_id) as component_id,
+    (select min(b) from reach where a = g.vec_id) = g.vec_id as kept
+from given g
+"""
