@@ -130,3 +130,10 @@ select g.vec_id, (select count(*) from links where a = g.vec_id) as n_links,
     (select min(b) from reach where a = g.vec_id) = g.vec_id as kept
 from given g
 """
+
+
+@query
+def op2_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .gated_lm import score_documents
+
+    return score_documents(table(spark, sf_dir, "documents"))
