@@ -115,23 +115,35 @@ def fit_neighbours(docs: DataFrame, labels: DataFrame, learn: Column | None = No
     n = len(rows)
     if not n:
         return Neighbours(np.zeros((COLUMNS, 1)), np.zeros((0, 1)), np.zeros(0), 0.5, nearest)
-    matrix = np.zeros((n, COLUMNS), dtype=np.float32)
-    for i, r in enumerate(rows):
-        matrix[i, np.frombuffer(r["at"], "<u2")] = np.frombuffer(r["weight"], "<f4")
-    df = (matrix > 0).sum(axis=0)
-    useful = np.flatnonzero((df >= min(3, n)) & (df < n) | (df == n) & (n < 3))
-    idf = np.log((1 + n) / (1 + df[useful])) + 0.1
-    matrix = matrix[:, useful] * idf.astype(np.float32)
-    matrix /= np.maximum(np.linalg.norm(matrix, axis=1, keepdims=True), 1e-9)
-    values, left = np.linalg.eigh((matrix @ matrix.T).astype(np.float64))
+    terms = [(np.frombuffer(r["at"], "<u2").astype(np.int64), np.frombuffer(r["weight"], "<f4").astype(np.float64)) for r in rows]
+    df = sum((np.bincount(at, minlength=COLUMNS) for at, _ in terms), np.zeros(COLUMNS, dtype=np.int64))
+    useful = (df >= min(3, n)) & (df < n) | (df == n) & (n < 3)
+    idf = np.where(useful, np.log((1 + n) / (1 + df)) + 0.1, 0.0)
+    norm = np.array([max(float(np.linalg.norm(w * idf[at])), 1e-9) for at, w in terms])
+
+    def part(low: int, high: int) -> np.ndarray:
+        """Some columns of the weighted matrix of unit rows, of which never more is held."""
+        out = np.zeros((n, high - low))
+        for i, (at, w) in enumerate(terms):
+            a, b = np.searchsorted(at, (low, high))
+            out[i, at[a:b] - low] = w[a:b] * idf[at[a:b]] / norm[i]
+        return out
+
+    blocks = [(low, min(low + 2048, COLUMNS)) for low in range(0, COLUMNS, 2048)]
+    gram = np.zeros((n, n))
+    for low, high in blocks:
+        columns = part(low, high)
+        gram += columns @ columns.T
+    values, left = np.linalg.eigh(gram)
     order = np.argsort(values)[::-1][: min(dimensions, n)]
     order = order[values[order] > 1e-9]
     directions = np.zeros((COLUMNS, max(1, len(order))))
     if len(order):
-        directions[useful] = (matrix.T @ left[:, order]) / np.sqrt(values[order]) * idf[:, None]
+        for low, high in blocks:
+            directions[low:high] = (part(low, high).T @ left[:, order]) / np.sqrt(values[order]) * idf[low:high, None]
     out = Neighbours(directions, np.zeros((0, directions.shape[1])), np.array([r["quality"] for r in rows], dtype=np.float64), 0.5, nearest)
     out.prior = float(out.labels.mean())
-    out.vectors = out.place([(np.frombuffer(r["at"], "<u2").astype(np.int64), np.frombuffer(r["weight"], "<f4").astype(np.float64)) for r in rows])
+    out.vectors = out.place(terms)
     return out
 
 
