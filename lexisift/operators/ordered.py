@@ -84,3 +84,9 @@ def budgeted(rows: DataFrame, by: list[str], order: list[str], unit: str, most_u
     running = rows.withColumn("_rows", F.sum(counted).over(so_far(by, order)))
     opening = F.max(F.when(F.col("row_in_unit").isNull(), F.col("_rows"))).over(Window.partitionBy(*by, unit))
     return running.withColumn("_before", opening).where((F.col(unit) <= most_units) & (F.col("_before") < most_rows) & (F.col("_rows") <= most_rows)).drop("_rows", "_before")
+
+
+def with_range_end(marks: DataFrame, by: list[str], order: str = "line_no", total: str = "total") -> DataFrame:
+    """Marks with ``range_end``: the place before the next mark, or the last place of the whole."""
+    after = F.lead(order).over(in_order(by, [order]))
+    return marks.withColumn("range_end", F.least(F.greatest(F.col(order), F.coalesce(after, F.col(total) + 1) - 1), F.col(total)))

@@ -7,7 +7,7 @@ import re
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.text import basename, extension, file_score, is_blank, numbered, top_group, trim
-from ..operators.ordered import in_order, ranked, top_k
+from ..operators.ordered import ranked, top_k, with_range_end
 from ..operators.paths import tree_rollup
 from ..sources.files import included
 from .report import by_detail, joined_top, rows, titled, together
@@ -37,9 +37,7 @@ def symbol_name(line: Column | str) -> Column:
 def symbols(lines: DataFrame, sizes: DataFrame) -> DataFrame:
     """(source_id, line, name, range_end, rank): what is declared where, and the line before the next or the last."""
     found = lines.withColumn("name", symbol_name("line")).where("name is not null").join(sizes, "source_id")
-    after = F.lead("line_no").over(in_order(["source_id"], ["line_no"]))
-    end = F.least(F.greatest("line_no", F.coalesce(after, F.col("total") + 1) - 1), "total")
-    return ranked(found.select("source_id", F.col("line_no").alias("line"), "name", end.alias("range_end")), ["source_id"], ["line"])
+    return ranked(with_range_end(found, ["source_id"]).select("source_id", F.col("line_no").alias("line"), "name", "range_end"), ["source_id"], ["line"])
 
 
 def parse_target(target: str, known: bool) -> tuple[str, int | None, int | None]:
