@@ -137,3 +137,25 @@ def op2_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .gated_lm import score_documents
 
     return score_documents(table(spark, sf_dir, "documents"))
+
+
+ORACLES["op5_near_duplicates"] = r"""
+with recursive texts as (
+    select doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '\s+'), lambda x: x <> '') as w from documents
+), shingles as (
+    select distinct doc_id, unnest(list_transform(range(1, greatest(len(w) - 4, 1) + 1), lambda i: array_to_string(w[i:i + 4], ' '))) as s from texts
+), sizes as (
+    select doc_id, count(*) as n from shingles group by doc_id
+), common as (
+    select a.doc_id as x, b.doc_id as y, count(*) as c from shingles a join shingles b on a.s = b.s and a.doc_id < b.doc_id group by all
+), links as (
+    select x, y from common join sizes a on a.doc_id = x join sizes b on b.doc_id = y where c >= 0.8 * (a.n + b.n - c)
+), both_ways as (
+    select x, y from links union all select y, x from links
+), reach(a, b) as (
+    select doc_id, doc_id from texts union select r.a, l.y from reach r join both_ways l on r.b = l.x
+), classes as (
+    select a as doc_id, min(b) as component_id from reach group by a
+)
+select doc_id, component_id, doc_id = component_id as kept from classes
+"""
