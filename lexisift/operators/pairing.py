@@ -7,6 +7,8 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
+from ..shipping import shipped
+
 
 def nested_pairs(events: DataFrame, by: list[str], order: str, opens: str, closes: str) -> DataFrame:
     """(by, open, close): each close with the latest open not yet closed, for opens that are all different.
@@ -47,4 +49,4 @@ def stacked_pairs(events: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_pylist(out, schema=batch.schema)
 
     used = events.select("source_id", "line_no", "method", "url", "duration", "status")
-    return used.repartition("source_id").sortWithinPartitions("source_id", "line_no").mapInArrow(run, used.schema)
+    return shipped(used).repartition("source_id").sortWithinPartitions("source_id", "line_no").mapInArrow(run, used.schema)
