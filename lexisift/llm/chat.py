@@ -18,6 +18,8 @@ from collections.abc import Callable, Iterable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from ..shipping import shipped
+
 CONTROL = re.compile(r"<(\\*)\|")
 ESCAPED = re.compile(r"<\\(\\*)\|")
 
@@ -424,7 +426,7 @@ def format_conversations(turns: DataFrame, template: str = CHATML, part_chars: i
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], ["conv_id", "part", "text", "spans"])
 
     used = turns.select(F.col("conv_id").cast("long").alias("conv_id"), "turn", *(F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("role", "text")))
-    return used.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text").mapInArrow(run, schema)
+    return shipped(used).repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text").mapInArrow(run, schema)
 
 
 def read_back(parts: DataFrame) -> DataFrame:

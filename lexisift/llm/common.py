@@ -10,6 +10,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
 
+from ..shipping import shipped
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -72,7 +74,7 @@ def map_texts(docs: DataFrame, make: Callable[[], Work], schema: str, id_col: st
                         out = pa.RecordBatch.from_arrays([*out.columns, part.column("row")], [*out.schema.names, "row"])
                     yield out
 
-    return given.mapInArrow(run, kinds)
+    return shipped(given).mapInArrow(run, kinds)
 
 
 def remainder(id_col: str | Column, by: int) -> Column:

@@ -10,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from ..shipping import shipped
 from .common import components, durable
 from .dart_minhash import mix
 
@@ -129,7 +130,7 @@ def _grouped(rows: DataFrame, key: str, work: Callable[[pa.Table], pa.RecordBatc
                     held.append(batch.slice(i, j - i))
         yield from close()
 
-    return rows.repartition(key, "g", "h").sortWithinPartitions(key, "g", "h").mapInArrow(run, schema)
+    return shipped(rows).repartition(key, "g", "h").sortWithinPartitions(key, "g", "h").mapInArrow(run, schema)
 
 
 def _sides(group: pa.Table) -> tuple[np.ndarray, np.ndarray, bool]:
@@ -251,7 +252,7 @@ def _links(distinct: DataFrame, threshold: float, tables: int, probes: int, widt
                     again = lambda x: pa.array(np.repeat(x, flat.shape[1]))
                     yield pa.RecordBatch.from_arrays([pa.array(flat.reshape(-1)), again(ids[at]), again(s[:, 0]), again(s[:, 1]), pa.array(home.reshape(-1))], ["key", "id", "s1", "s2", "home"])
 
-    rows = durable(distinct.select("id", "v").mapInArrow(hashed, "key long, id long, s1 long, s2 long, home boolean"))
+    rows = durable(shipped(distinct).select("id", "v").mapInArrow(hashed, "key long, id long, s1 long, s2 long, home boolean"))
     like = durable(_grouped(_in_parts(rows, "key", "id"), "key", _sketch_links, "x long, y long").where("x <> y").distinct())
     classes = durable(components(like, "x", "y"))
     near = distinct.join(classes, distinct["id"] == classes["node"]).select(F.col("component").alias("class"), "id", "times", "v")

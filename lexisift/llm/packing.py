@@ -10,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
+from ..shipping import shipped
 from .byte_bpe import run_table
 from .common import durable, map_texts
 
@@ -111,7 +112,7 @@ def pack(pieces: DataFrame, most: int = 2048) -> DataFrame:
 
     numbered = keyed.withColumn("rank", F.row_number().over(Window.partitionBy("length", "share").orderBy("doc_id", "start")).cast("long"))
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in pieces.schema.fields) + ", sequence_id long, offset long"
-    return numbered.mapInArrow(run, schema)
+    return shipped(numbered).mapInArrow(run, schema)
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, most: int = 2048, end_id: int = 1) -> DataFrame:
