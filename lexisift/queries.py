@@ -13,7 +13,7 @@ from .functions import text as T
 from .operators import ordered as O
 from .operators.pairing import nested_pairs
 from .operators.paths import ancestors, common_prefix, tree_rollup, without_directories
-from .plans import builds, revisions, searches, service_logs
+from .plans import builds, files, revisions, searches, service_logs
 from .sources.captures import text_lines
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -509,3 +509,119 @@ def service_log_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     line = F.concat("level", F.lit(": "), "source", F.lit("[1]\n      "), "message")
     raw = grouped_raw(entries, F.concat("event_type", F.lit(".log")), line, "event_id").select(F.col("capture_id").alias("source_id"), F.col("stdout").alias("raw"))
     return service_logs.log_summary(raw, errors_only=True).select("source_id", "level", "source", "message", "repeat_count", "line_no")
+
+
+@query("""with coded as (
+    select o_orderpriority, o_orderkey, case when o_custkey % 5 = 0 then '??' else case o_orderstatus when 'O' then ' ' when 'F' then 'M' else 'A' end || case when left(o_orderpriority, 1) in ('1', '2') then 'M' else ' ' end end as xy from orders
+), entries as (
+    select o_orderpriority, o_orderkey, 3 as place, 'u' as tag from coded where xy = '??'
+    union all select o_orderpriority, o_orderkey, 1, 's' from coded where xy <> '??' and left(xy, 1) <> ' '
+    union all select o_orderpriority, o_orderkey, 2, 'm' from coded where xy <> '??' and right(xy, 1) <> ' '
+), ranked as (select *, row_number() over (partition by o_orderpriority order by place, o_orderkey) as rank from entries)
+select o_orderpriority as source_id, 0 as part, 'status st=' || count(*) filter (tag = 's') || ' mod=' || count(*) filter (tag = 'm') || ' untr=' || count(*) filter (tag = 'u') || ' br=' || replace(o_orderpriority, ' ', '_') as detail from ranked group by o_orderpriority
+union all select o_orderpriority, 1, 'top=' || string_agg(tag || ':f' || o_orderkey, ',' order by rank) from ranked where rank <= 5 group by o_orderpriority""")
+def status_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The report on a short status of the orders of each priority."""
+    x = F.when(F.col("o_orderstatus") == "O", " ").when(F.col("o_orderstatus") == "F", "M").otherwise("A")
+    y = F.when(F.substring("o_orderpriority", 1, 1).isin("1", "2"), "M").otherwise(" ")
+    code = F.when(F.col("o_custkey") % 5 == 0, "??").otherwise(F.concat(x, y))
+    orders = table(spark, sf_dir, "orders")
+    lines = orders.select("o_orderpriority", "o_orderkey", F.concat(code, F.lit(" f"), F.col("o_orderkey").cast("string")).alias("line"))
+    heads = orders.select("o_orderpriority", F.lit(-1).cast("long").alias("o_orderkey"), F.concat(F.lit("## "), "o_orderpriority", F.lit("...origin/x")).alias("line")).distinct()
+    raw = grouped_raw(lines.unionByName(heads), F.col("o_orderpriority"), F.col("line"), "o_orderkey")
+    return revisions.status_report(raw).select("source_id", "part", "detail")
+
+
+@query("""with s as (select cast(s_nationkey as varchar) as source_id, sum(s_suppkey % 2) as failed, sum(s_suppkey % 10) as passed, sum(s_suppkey % 3) as skipped, count(*) as p from supplier group by s_nationkey)
+select source_id, case when failed > 0 then 'FAIL test pass=' || passed || ' fail=' || failed else 'ok test pass=' || passed end || case when skipped > 0 then ' skip=' || skipped else '' end || ' p=' || p as detail from s""")
+def test_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The report on test runs, a line of totals for each supplier of a nation."""
+    k = F.col("s_suppkey")
+    line = F.concat(F.lit("Passed!  - Failed: "), (k % 2).cast("string"), F.lit(", Passed: "), (k % 10).cast("string"), F.lit(", Skipped: "), (k % 3).cast("string"), F.lit(", Total: "), (k % 2 + k % 10 + k % 3).cast("string"))
+    raw = grouped_raw(table(spark, sf_dir, "supplier"), F.col("s_nationkey").cast("string"), line, "s_suppkey")
+    return builds.test_report(raw).select("source_id", "detail")
+
+
+@query("""with lines as (select cast(c_nationkey as varchar) as source_id, c_custkey, c_custkey % 3 as kind, 'p : warning NU190' || c_custkey % 4 || ': w' as key from customer
+), warned as (select source_id, key, count(*) as n, min(c_custkey) as first from lines where kind = 1 group by all
+), ranked as (select *, row_number() over (partition by source_id order by first) as rank from warned)
+select source_id, 0 as part, 0 as rank, 'ok restore p=' || count(*) filter (kind = 0) || case when count(*) filter (kind = 1) > 0 then ' nu=' || count(*) filter (kind = 1) else '' end as detail from lines group by source_id
+union all select distinct source_id, 3, -1, 'NuGet Vulnerabilities:' from warned
+union all select source_id, 3, rank, '  ' || key || case when n > 1 then ' (x' || n || ')' else '' end from ranked where rank <= 8""")
+def restore_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The report on package restores, a line for each customer of a nation."""
+    k = F.col("c_custkey")
+    line = F.when(k % 3 == 0, "  Restored /w/p.csproj (in 1 ms).").when(k % 3 == 1, F.concat(F.lit("p : warning NU190"), (k % 4).cast("string"), F.lit(": w [/w/"), k.cast("string"), F.lit(".csproj]"))).otherwise("  Determining projects to restore...")
+    raw = grouped_raw(table(spark, sf_dir, "customer"), F.col("c_nationkey").cast("string"), line, "c_custkey")
+    return builds.restore_report(raw).select("source_id", "part", "rank", "detail")
+
+
+@query("""with d as (select cast(c_nationkey as varchar) as source_id, c_custkey, case when c_custkey % 2 = 0 then 'error' else 'warning' end as kind, 'CS' || c_custkey % 7 as code, 'm' || c_custkey % 5 as message, 'f' || c_custkey % 11 || '.cs' as name from customer
+), names as (select source_id, kind, code, name, min(c_custkey) as seen from d group by all
+), few as (select *, row_number() over (partition by source_id, kind, code order by seen) as r from names
+), listed as (select source_id, kind, code, count(*) as n_files, string_agg(name, ', ' order by r) filter (r <= 3) as files, min(name) filter (r = 1) as file from few group by all
+), groups as (select source_id, kind, code, count(*) as n, min(c_custkey) as first, arg_min(message, c_custkey) as message from d group by all
+), ranked as (select *, row_number() over (partition by source_id, kind order by first) as rank from groups join listed using (source_id, kind, code))
+select source_id, 0 as part, 0 as rank, 'ok build p=0 e=' || count(*) filter (kind = 'error') || ' w=' || count(*) filter (kind = 'warning') as detail from d group by source_id
+union all select distinct source_id, 2, -2, '---' from d where kind = 'error' union all select distinct source_id, 2, -1, 'Errors:' from d where kind = 'error'
+union all select distinct source_id, 3, -1, 'Warnings:' from d where kind = 'warning'
+union all select source_id, case when kind = 'error' then 2 else 3 end, rank, case when n = 1 then '  ' || file || ' ' || kind || ' ' || code || ': ' || message
+    else '  ' || kind || ' ' || code || ' (x' || n || '): ' || message || ' [' || files || case when n_files > 3 then ' +' || (n_files - 3) else '' end || ']' end from ranked""")
+def build_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The report on builds, a diagnostic for each customer of a nation."""
+    k = F.col("c_custkey")
+    text = lambda n: (k % n).cast("string")
+    line = F.concat(F.lit("/w/lib/f"), text(11), F.lit(".cs("), k.cast("string"), F.lit(",1): "), F.when(k % 2 == 0, "error").otherwise("warning"), F.lit(" CS"), text(7), F.lit(": m"), text(5), F.lit(" [/w/lib/p.csproj]"))
+    raw = grouped_raw(table(spark, sf_dir, "customer"), F.col("c_nationkey").cast("string"), line, "c_custkey")
+    return builds.build_report(raw).select("source_id", "part", "rank", "detail")
+
+
+@query("""with ranked as (select o_orderpriority, o_orderkey, o_orderstatus, row_number() over (partition by o_orderpriority order by o_orderkey) as rank from orders)
+select o_orderpriority as source_id, 1 as part, cast(rank as integer) as rank, left(md5(cast(o_orderkey as varchar)), 7) || ' ' || case when o_orderstatus = 'P' then '(no message)' else 'order ' || o_orderstatus end as detail from ranked where rank <= 50
+union all select o_orderpriority, 2, 0, '... +' || (count(*) - 50) || ' more commits' from orders group by o_orderpriority having count(*) > 50""")
+def commit_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The report on logs of commits, one for each order of a priority."""
+    message = F.when(F.col("o_orderstatus") == "P", "").otherwise(F.concat(F.lit("\n    order "), "o_orderstatus"))
+    line = F.concat(F.lit("commit "), F.md5(F.col("o_orderkey").cast("string").cast("binary")), F.lit("\nAuthor: A <a@example.org>\nDate:   x\n"), message)
+    raw = grouped_raw(table(spark, sf_dir, "orders"), F.col("o_orderpriority"), line, "o_orderkey")
+    return revisions.log_report(raw).select("source_id", "part", "rank", "detail")
+
+
+@query(f"""with {PATHS}, scored as (select lang, path, row_number() over (partition by lang order by {SCORE}, path) as rank from doc_paths
+), grouped as (select lang, split_part(path, '/', 1) as part, count(*) as n from doc_paths group by all
+), ranked as (select *, row_number() over (partition by lang order by n desc, part) as rank from grouped)
+select lang as source_id, 0 as part, 0 as rank, 'files n=' || count(*) as detail from doc_paths group by lang
+union all select lang, 1, 0, 'top=' || string_agg(part || '(' || n || ')', ',' order by rank) from ranked where rank <= 3 group by lang
+union all select distinct lang, 2, -1, 'list:' from doc_paths
+union all select lang, 2, rank, '  ' || path from scored where rank <= 8
+union all select lang, 3, 0, '+' || (count(*) - 8) || ' more files' from doc_paths group by lang having count(*) > 8""")
+def files_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The report on the inventory of each language's paths."""
+    return files.files_report(document_paths(spark, sf_dir).withColumnRenamed("lang", "source_id")).select("source_id", "part", "rank", "detail")
+
+
+@query(f"""with {PATHS}, above as (
+    select lang, len(string_split(path, '/')) - 1 <= 2 as counts, unnest(list_transform(range(0, least(len(string_split(path, '/')), 3)), lambda n: array_to_string(string_split(path, '/')[:n], '/'))) as directory from doc_paths
+), f as (select lang, directory, count(*) filter (counts) as n_files from above group by all
+), d as (select lang, directory, (select count(*) from f as g where g.lang = f.lang and g.directory <> f.directory and (f.directory = '' or starts_with(g.directory, f.directory || '/'))) as n_dirs, n_files from f
+), nodes as (select *, row_number() over (partition by lang order by string_split(lower(directory), '/'), directory) as rank from d where directory <> '')
+select lang as source_id, 0 as part, 0 as rank, 'tree d=' || n_dirs || ' f=' || n_files || ' depth=2' as detail from d where directory = ''
+union all select lang, 1, 0, lang || '/' from d where directory = ''
+union all select lang, 2, rank, repeat('  ', len(string_split(directory, '/'))) || string_split(directory, '/')[-1] || '/ d=' || n_dirs || ' f=' || n_files from nodes""")
+def tree_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The report on the directories of each language's paths."""
+    return files.tree_report(document_paths(spark, sf_dir).withColumnRenamed("lang", "source_id")).select("source_id", "part", "rank", "detail")
+
+
+@query(f"""with {LINES}, ended as (select *, count(*) over (partition by doc_id) as n, last_value(line) over (partition by doc_id order by line_no rows between unbounded preceding and unbounded following) as final from doc_lines
+), file_lines as (select doc_id, line_no, line from ended where not (line_no = n and final = '')
+), sizes as (select doc_id, count(*) as total, sum(length(line)) as chars, min(line_no) filter (regexp_matches(line, '\\S')) as start from file_lines group by doc_id
+), shown as (select doc_id, line_no, printf('%4d| ', line_no) || case when length(line) > 180 then left(line, 180) || '...' else line end as text, total <= 40 and chars <= 3000 as small, start from file_lines join sizes using (doc_id))
+select 'doc' || doc_id as source_id, 0 as part, 0 as rank, 'view doc' || doc_id || ' lines=' || total as detail from sizes
+union all select 'doc' || doc_id, 1, line_no, text from shown where small
+union all select distinct 'doc' || doc_id, 4, -1, 'preview:' from shown where not small
+union all select 'doc' || doc_id, 4, line_no, '  ' || text from shown where not small and line_no >= start and line_no < start + 12""")
+def file_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cards of all documents, each as a file."""
+    docs = table(spark, sf_dir, "documents").select(F.concat(F.lit("doc"), F.col("doc_id").cast("string")).alias("source_id"), F.coalesce("text", F.lit("")).alias("raw"))
+    return files.file_card(text_lines(docs, final=False)).select("source_id", "part", "rank", "detail")
