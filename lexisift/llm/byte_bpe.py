@@ -12,8 +12,10 @@ import json
 import os
 import re
 from array import array
+from collections import Counter
 from collections.abc import Callable, Iterator
 from functools import lru_cache
+from operator import mul
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
@@ -53,12 +55,12 @@ def _merger(ranks: dict[bytes, int]) -> Callable[[str], list[int]]:
 
 
 class RunTable:
-    """``worth(ids)`` of texts, part by part, from a table of runs seen before.
+    """Ids of texts, and how many there are, the latter from a table of runs counted before.
 
     ``path``: a tokenizers .json file. ``most``: how many runs the table may hold before it starts anew.
     """
 
-    def __init__(self, path: str, worth: Callable[[list[int]], object], most: int = 400_000):
+    def __init__(self, path: str, most: int = 400_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -67,7 +69,7 @@ class RunTable:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         before, added = spec.get("pre_tokenizer") or {}, spec.get("added_tokens") or []
-        self.by_runs = (
+        by_runs = (
             spec.get("normalizer") is None
             and before.get("type") == "ByteLevel"
             and before.get("use_regex", True)
@@ -76,58 +78,51 @@ class RunTable:
         )
         names = sorted((t["content"] for t in added), key=len, reverse=True)
         self.special = re.compile("(" + "|".join(map(re.escape, names)) + ")") if names else None
-        self.worth, self.most, self.table = worth, most, {}
-        ranks = _ranks(spec["model"]) if self.by_runs else None
+        ranks = _ranks(spec["model"]) if by_runs else None
         self.merger = _merger(ranks) if ranks else None
+        self.most, self.table = most, {}
 
-    def _whole(self, texts: list[str]) -> list:
-        return [self.worth(e.ids) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    def _library(self, text: str) -> list[int]:
+        return self.tokenizer.encode(text, add_special_tokens=False).ids
 
-    def _runs(self, runs: list[str]) -> list:
-        """The same for runs with no added token in them; the merges of many short strings are quicker here."""
+    def _parts(self, text: str) -> Iterator[tuple[str, bool]]:
+        """The text between added tokens and these, and whether a part may be cut into runs."""
         if self.merger is None:
-            return self._whole(runs)
-        worth, merge = self.worth, self.merger
-        return [worth(merge(r)) for r in runs]
-
-    def _parts(self, text: str) -> list[str]:
-        return [x for x in (self.special.split(text) if self.special else [text]) if x]
+            yield text, False
+            return
+        for i, part in enumerate(self.special.split(text) if self.special else [text]):
+            if part:
+                yield part, i % 2 == 0 and not OTHER_SPACE.search(part)
 
     def ids(self, text: str) -> array:
         """The ids of one text, span by span, as unsigned 32-bit integers."""
         out = array("I")
-        for part in self._parts(text):
-            if self.merger is None or self.special and self.special.fullmatch(part) or len(part) > SPAN and OTHER_SPACE.search(part):
-                out.extend(self.tokenizer.encode(part, add_special_tokens=False).ids)
-            else:
+        for part, in_runs in self._parts(text):
+            if in_runs:
                 for span in spans(part):
                     out.extend(self.merger(span))
+            else:
+                out.extend(self._library(part))
         return out
 
-    def look_up(self, texts: list[str]) -> list[list]:
-        """For each text, the worths of its parts in order."""
-        if not self.by_runs:
-            return [[w] for w in self._whole(texts)]
+    def count(self, text: str) -> int:
+        """How many ids the text has: the frequency of each distinct run times its count, which is worked out once."""
         if len(self.table) > self.most:
             self.table.clear()
-        table, out, special = self.table, [], self.special
-        for text in texts:
-            parts = []
-            for part in self._parts(text):
-                if OTHER_SPACE.search(part) or special and special.fullmatch(part):
-                    parts += self._whole([part])
-                    continue
-                for span in spans(part):
-                    runs = RUN.findall(span)
-                    if new := set(runs).difference(table):
-                        new = list(new)
-                        table.update(zip(new, self._runs(new), strict=True))
-                    parts += map(table.__getitem__, runs)
-            out.append(parts)
-        return out
+        table, total = self.table, 0
+        for part, in_runs in self._parts(text):
+            if not in_runs:
+                total += len(self._library(part))
+                continue
+            for span in spans(part):
+                frequencies = Counter(RUN.findall(span))
+                for run in frequencies.keys() - table.keys():
+                    table[run] = len(self.merger(run))
+                total += sum(map(mul, frequencies.values(), map(table.__getitem__, frequencies)))
+        return total
 
 
 @lru_cache(4)
 def run_table(path: str) -> RunTable:
     """One table of run lengths for each file and Python worker, as workers outlive tasks."""
-    return RunTable(path, len)
+    return RunTable(path)

@@ -13,8 +13,8 @@ from .common import map_texts
 def count_tokens(docs: DataFrame, tokenizer: str, limit: int = 512, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_bytes, n_tokens, over_limit), a row for each row of ``docs``.
 
-    Pieces are counted once per distinct pre-token run and task; a document's count is the sum over its runs,
-    joined by run to that table. No ids are kept and nothing is shuffled. ``tokenizer``: a tokenizers .json or
+    Pieces are counted once per distinct pre-token run and worker, in a table of bounded size; a document's
+    frequencies of runs are joined to that table and summed. No ids are kept and nothing is shuffled. ``tokenizer``: a tokenizers .json or
     a sentencepiece .model; special strings inside texts count as that library does by default; no begin, end
     or padding is counted. A null text is empty and has 0 tokens; a null id stays null; repeated rows are
     counted each; other columns are ignored; an empty table gives an empty one.
@@ -33,7 +33,7 @@ def count_tokens(docs: DataFrame, tokenizer: str, limit: int = 512, id_col: str
             table = run_table(tokenizer)
 
             def counts(texts: list[str]) -> list[int]:
-                return [sum(parts) for parts in table.look_up(texts)]
+                return [table.count(t) for t in texts]
 
         def work(ids: list, texts: list[str]) -> pa.RecordBatch:
             n = np.array(counts(texts), dtype=np.int64)
