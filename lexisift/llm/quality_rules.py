@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections import Counter
 from dataclasses import dataclass
+from operator import eq
 
 import numpy as np
 import pyarrow as pa
@@ -15,7 +16,7 @@ from .common import durable, map_texts, texts_of
 BLANKS = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
 
-COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_upper", "n_alpha", "n_exclaim", "n_lines", "n_distinct"]
+COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_upper", "n_alpha", "n_exclaim", "n_lines", "n_echoes"]
 
 
 def _statistics(text: str) -> tuple[int, ...]:
@@ -44,7 +45,7 @@ def _statistics(text: str) -> tuple[int, ...]:
         upper + lower,
         data.count(b"!"),
         len(lines),
-        len(set(words)),
+        sum(map(eq, words, words[1:])),
     )
 
 
@@ -55,7 +56,9 @@ _LOWER = [bytes([c]) for c in range(97, 123)]
 def text_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: bool = False) -> DataFrame:
     """doc_id and the counts named in COUNTS, a row for each row of ``docs``, over whole texts.
 
-    Words are runs of anything but the six ASCII blanks; ``n_upper`` and ``n_alpha`` count ASCII letters.
+    Words are runs of anything but the six ASCII blanks; ``n_upper`` and ``n_alpha`` count ASCII letters,
+    ``n_echoes`` words that equal the one before. None of the ratios made of these drifts with the length of a
+    text, as the share of distinct words would, so that long clean texts are judged as short ones.
     A null text is empty: all counts 0.
     """
 
@@ -76,7 +79,7 @@ RATIOS = {
     "repeated_lines": ("n_dup_lines", "n_lines"),
     "upper_letters": ("n_upper", "n_alpha"),
     "exclaims_per_word": ("n_exclaim", "n_words"),
-    "distinct_words": ("n_distinct", "n_words"),
+    "echoes_per_word": ("n_echoes", "n_words"),
     "chars_per_word": ("word_chars", "n_words"),
     "words_per_line": ("n_words", "n_lines"),
 }
@@ -156,39 +159,43 @@ def _grow(table: dict[str, np.ndarray], bad: np.ndarray, most_tests: int) -> lis
     return tests
 
 
-def _prune(tests: list[Test], table: dict[str, np.ndarray], bad: np.ndarray) -> list[Test]:
-    """The first tests of the list that do best on documents which did not grow it."""
-    best, kept, alive = -2.0, tests[:1], np.ones(len(bad), dtype=bool)
+def _pruned(tests: list[Test], table: dict[str, np.ndarray], bad: np.ndarray, held: np.ndarray, open_: np.ndarray, precision: float) -> list[list[Test]]:
+    """The first tests of the list, those that do best on documents which did not grow it first.
+
+    Only such that are right on ``precision`` of all documents that they cover and no rule has covered.
+    """
+    found, alive = [], open_
     for i, t in enumerate(tests):
         alive = alive & t.holds(table)
-        p, n = int(bad[alive].sum()), int((~bad[alive]).sum())
-        if (worth := (p - n) / (p + n) if p + n else -1.0) > best:
-            best, kept = worth, tests[: i + 1]
-    return kept
+        p, n = int((bad & alive & held).sum()), int((~bad & alive & held).sum())
+        if alive.any() and bad[alive].mean() >= precision:
+            found.append(((p - n) / (p + n) if p + n else -1.0, -i))
+    return [tests[: 1 - i] for _, i in sorted(found, reverse=True)]
 
 
-def learn_rules(table: dict[str, np.ndarray], bad: np.ndarray, precision: float = 0.9, least: int = 3, most_rules: int = 16, most_tests: int = 4, seed: int = 7) -> list[Rule]:
+def learn_rules(table: dict[str, np.ndarray], bad: np.ndarray, precision: float = 0.98, least: int = 3, most_rules: int = 16, most_tests: int = 4, tries: int = 5, seed: int = 7) -> list[Rule]:
     """Sequential covering: grow a rule on two thirds, prune it on the rest, drop what it covers, and again.
 
-    Ends at the first rule that is right on fewer than ``precision`` of what it covers or covers fewer than
-    ``least``; with no document to reject, or none to keep, there is no rule.
+    A rule is right on ``precision`` of what it covers at least and covers ``least`` documents; when none such
+    comes of ``tries`` draws of the thirds, the list ends. With no document to reject, or none to keep, there is
+    no rule.
     """
     rules: list[Rule] = []
     draw = np.random.default_rng(seed)
     open_ = np.ones(len(bad), dtype=bool)
-    while len(rules) < most_rules and bad[open_].any() and not bad[open_].all():
-        third = draw.random(len(bad)) < 1 / 3
-        part = lambda mask: ({k: v[mask] for k, v in table.items()}, bad[mask])
-        tests = _grow(*part(open_ & ~third), most_tests)
-        if not tests:
-            break
-        tests = _prune(tests, *part(open_ & third))
-        alive = np.logical_and.reduce([t.holds(table) for t in tests]) & open_
-        right = float(bad[alive].mean()) if alive.any() else 0.0
-        if right < precision or alive.sum() < least:
-            break
-        rules.append(Rule(tuple(tests), right, int(alive.sum())))
+    failed = 0
+    while len(rules) < most_rules and failed < tries and bad[open_].any() and not bad[open_].all():
+        held = draw.random(len(bad)) < 1 / 3
+        grown = open_ & ~held
+        tests = _grow({k: v[grown] for k, v in table.items()}, bad[grown], most_tests)
+        best = next(iter(_pruned(tests, table, bad, held, open_, precision)), [])
+        alive = np.logical_and.reduce([t.holds(table) for t in best]) & open_ if best else np.zeros(len(bad), dtype=bool)
+        if alive.sum() < least:
+            failed += 1
+            continue
+        rules.append(Rule(tuple(best), float(bad[alive].mean()), int(alive.sum())))
         open_ &= ~alive
+        failed = 0
     return rules
 
 
