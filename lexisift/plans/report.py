@@ -67,3 +67,9 @@ def render(report: DataFrame) -> DataFrame:
     """(source_id, text): each source's lines in order."""
     each = report.groupBy("source_id").agg(F.array_sort(F.collect_list(F.struct("part", "rank", "detail"))).alias("lines"))
     return each.select("source_id", F.array_join(F.transform("lines", lambda x: x["detail"]), "\n").alias("text"))
+
+
+def rendered(report: DataFrame, captures: DataFrame) -> DataFrame:
+    """(source_id, text, exit_code): each capture's report with the exit code that it came with."""
+    codes = captures.select(F.col("capture_id").alias("source_id"), F.coalesce("exit_code", F.lit(0)).alias("exit_code"))
+    return codes.join(render(report), "source_id", "left").select("source_id", F.coalesce("text", F.lit("")).alias("text"), "exit_code")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from ..functions.text import HIDDEN_FROM_CODE, IGNORED_DIRECTORIES, is_code
+from ..functions.text import GENERATED_ENDINGS, HIDDEN_FROM_CODE, IGNORED_DIRECTORIES, basename, is_code
 from .captures import text_lines
 
 
@@ -54,6 +54,15 @@ def included(path: Column | str, ignored: bool = False, code: bool = False) -> C
     return out & is_code(path) if code else out
 
 
+def searchable(path: Column | str) -> Column:
+    """Whether a search looks into a file: not below the directories left out of listings, and not generated by name."""
+    low, names = F.lower(basename(path)), F.transform(directories(path), F.lower)
+    out = ~F.exists(names, lambda n: n.isin(IGNORED_DIRECTORIES))
+    for ending in GENERATED_ENDINGS:
+        out = out & ~low.endswith(ending)
+    return out
+
+
 def inventory(spark: SparkSession, path: str) -> DataFrame:
     """(path) relative to ``path`` of all files below it; directories without files are not seen."""
     found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path")

@@ -1,4 +1,4 @@
-from lexisift.sources.files import changed_files, included, inventory, read_lines, read_logs
+from lexisift.sources.files import changed_files, included, inventory, read_lines, read_logs, searchable
 
 
 def test_logs_in_any_encoding(spark, tmp_path):
@@ -23,6 +23,7 @@ def test_what_belongs_to_a_listing(spark):
     paths = ["a/Bin/x.cs", "docs/y.cs", "src/z.cs", "src/z.g.cs", "q.png"]
     frame = spark.createDataFrame([(p,) for p in paths], "path string")
     kept = lambda **o: [r.path for r in frame.where(included("path", **o)).collect()]
+    assert [r.path for r in frame.where(searchable("path")).collect()] == ["docs/y.cs", "src/z.cs", "q.png"]
     assert kept() == paths[1:] and kept(code=True) == ["src/z.cs"] and kept(ignored=True) == paths
 
 
@@ -30,3 +31,13 @@ def test_changed_files(spark):
     status = spark.createDataFrame([(" M a.cs",), ("MM A.cs",), ("R  old -> new",), ("??",)], "line string")
     files = spark.createDataFrame([("a.cs",), ("A.cs",), ("b",)], "path string")
     assert [r.path for r in changed_files(status, files).collect()] == ["A.cs"]
+
+
+def test_search_in_files(spark, tmp_path):
+    from lexisift.plans.searches import search_lines
+
+    (tmp_path / "a.cs").write_text("Run it\nrun\n")
+    (tmp_path / "b.bin").write_bytes(b"run\x00")
+    lines = read_lines(spark, str(tmp_path))
+    assert [r.hit_line for r in search_lines(lines, "run").orderBy("hit_line").collect()] == [1, 2]
+    assert [r.hit_line for r in search_lines(lines, "Run").collect()] == [1] and search_lines(lines, "run", most=1).count() == 1

@@ -3,7 +3,7 @@
 import pytest
 
 from lexisift.plans import builds, files, revisions, searches, service_logs
-from lexisift.plans.report import render
+from lexisift.plans.report import render, rendered
 from lexisift.registry import parse_options, passthrough, register, resolve, verb_of
 from lexisift.sources.captures import captures, merged, text_lines
 
@@ -275,5 +275,7 @@ def test_registry(spark):
     frame = captures(spark, [("c", ["git"], 0, "x\ny", "err\n")])
     assert render(frame.transform(resolve(["curl", "x"]))).first().text == "x\ny\nerr\n"
     assert resolve(["git", "status"], "raw") is passthrough
+    failed = captures(spark, [("c", ["git", "push"], 128, "", "fatal\n"), ("d", ["git", "push"], 0, "", None)])
+    assert sorted(map(tuple, rendered(failed.transform(resolve(["git", "push"])), failed).collect())) == [("c", "\nfatal\n", 128), ("d", "ok", 0)]
     register("curl", None, revisions.compact_report)
     assert resolve(["curl"]) is not passthrough
