@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import lru_cache
 from hashlib import blake2b
 
@@ -14,6 +15,8 @@ from .common import components, durable, map_texts, texts_of
 _ONE, _TWO = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 #: The lowest rank cell is [0, 2**-LOWEST); each further one doubles.
 LOWEST = 10
+#: Words of 64 parity bits of a set, and elements of sets that are compared exactly at once; more are parted.
+MARKS, ELEMENTS = 16, 1 << 21
 
 
 def mix(x: np.ndarray, salt: int = 0) -> np.ndarray:
@@ -157,21 +160,43 @@ def sketch_documents(docs: DataFrame, bands: int, rows: int, size: int, weighted
     return map_texts(docs, make, "doc_id long, digest binary, n long, bands array<long>")
 
 
-def shingle_sets(docs: DataFrame, size: int) -> DataFrame:
-    """(doc_id, shingles, counts): the distinct shingles of each text, ascending, and how often each stands there."""
+def parity(owner: np.ndarray, elements: np.ndarray, counts: np.ndarray | None, n: int) -> np.ndarray:
+    """``n`` x MARKS words of bits: whether the elements that hash to a bit, each as often as it counts, are odd in number.
+
+    Two sets differ in at least as many elements as bits, so the bits show that two are unlike but never hide that
+    they are alike.
+    """
+    out = np.zeros((n, MARKS), dtype=np.uint64)
+    if counts is not None:
+        odd = counts % 2 == 1
+        owner, elements = owner[odd], elements[odd]
+    bit = mix(elements, 12) % np.uint64(64 * MARKS)
+    np.bitwise_xor.at(out.reshape(-1), owner * MARKS + (bit >> np.uint64(6)).astype(np.int64), np.uint64(1) << (bit & np.uint64(63)))
+    return out
+
+
+def shingle_sets(docs: DataFrame, size: int, weighted: bool = False) -> DataFrame:
+    """(doc_id, shingles, counts, total, marks): the distinct shingles of each text, ascending, and how often each stands there.
+
+    ``total`` is how many they are, all of them if ``weighted``, and ``marks`` their parity.
+    """
 
     def make():
         shingles = Shingles(size)
 
         def work(ids: list, texts: list[str]) -> pa.RecordBatch:
             sets = [np.unique(shingles.of(shingles.words(t)), return_counts=True) for t in texts]
-            offsets = pa.array(np.cumsum([0, *(len(s) for s, _ in sets)]).astype(np.int32))
-            flat = pa.array(np.concatenate([s for s, _ in sets]).view(np.int64))
-            return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.ListArray.from_arrays(offsets, flat), pa.ListArray.from_arrays(offsets, pa.array(np.concatenate([c for _, c in sets])))], ["doc_id", "shingles", "counts"])
+            sizes = [len(s) for s, _ in sets]
+            offsets = pa.array(np.cumsum([0, *sizes]).astype(np.int32))
+            flat, counts = np.concatenate([s for s, _ in sets]), np.concatenate([c for _, c in sets])
+            marks = parity(np.repeat(np.arange(len(sets)), sizes), flat, counts if weighted else None, len(sets))
+            totals = [int(c.sum()) for _, c in sets] if weighted else sizes
+            columns = [pa.array(ids, pa.int64()), pa.ListArray.from_arrays(offsets, pa.array(flat.view(np.int64))), pa.ListArray.from_arrays(offsets, pa.array(counts)), pa.array(totals, pa.int64()), pa.array([m.tobytes() for m in marks], pa.binary())]
+            return pa.RecordBatch.from_arrays(columns, ["doc_id", "shingles", "counts", "total", "marks"])
 
         return work
 
-    return map_texts(docs, make, "doc_id long, shingles array<long>, counts array<long>")
+    return map_texts(docs, make, "doc_id long, shingles array<long>, counts array<long>, total long, marks binary")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, threshold: float, weighted: bool) -> DataFrame:
@@ -207,6 +232,111 @@ def _pairs(members: DataFrame, centre_only: bool = False) -> DataFrame:
     return each.select(F.least("doc", "head.doc").alias("x"), F.greatest("doc", "head.doc").alias("y")).distinct()
 
 
+class _Marked:
+    """Rows (doc, class, total, marks) of a group."""
+
+    def __init__(self, group: pa.Table, threshold: float):
+        self.ids, self.totals = group.column("doc").to_numpy(), group.column("total").to_numpy()
+        self.marks = np.frombuffer(b"".join(group.column("marks").to_pylist()), np.uint64).reshape(len(self.ids), MARKS)
+        self.label = np.unique(group.column("class").to_numpy(), return_inverse=True)[1]
+        self.ratio = (1 - threshold) / (1 + threshold)
+
+    def may_link(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Whether rows ``a`` (down) and ``b`` (across) are of two classes and differ in no more elements than sets that link."""
+        apart = sum(np.bitwise_count(self.marks[a, None, k] ^ self.marks[None, b, k]).astype(np.int16) for k in range(MARKS))
+        x, y = self.totals[a][:, None], self.totals[b][None]
+        return (np.maximum(apart, np.abs(x - y)) <= self.ratio * (x + y) + 1e-6) & (self.label[a][:, None] != self.label[b][None])
+
+
+def _possible_links(threshold: float) -> Callable[[pa.Table], pa.RecordBatch | None]:
+    """Of a bucket: each row that may link with one of another class, with the least of those that such pairs reach."""
+    from .lattice import _least_labels, _sides
+
+    def work(group: pa.Table) -> pa.RecordBatch | None:
+        rows = _Marked(group, threshold)
+        n = len(rows.ids)
+        left, right, alone = _sides(group)
+        large = rows.label == np.bincount(rows.label).argmax()  # of the largest class, not to be compared with itself
+        turns = [(left[~large[left]], right)]
+        if not alone:
+            turns.append((left[large[left]], right[~large[right]]))
+        order = np.argsort(rows.ids, kind="stable")
+        place = np.empty_like(order)
+        place[order] = np.arange(n)
+        reach, linked = np.arange(n), np.zeros(n, dtype=bool)
+        for some, others in turns:
+            for i in range(0, len(some), 512):
+                own = some[i : i + 512]
+                a, b = np.nonzero(rows.may_link(own, others))
+                a, b = own[a], others[b]
+                linked[a] = linked[b] = True
+                reach = _least_labels(n, np.concatenate([place[a], np.arange(n)]), np.concatenate([place[b], reach]))
+        at = np.flatnonzero(linked)
+        if not len(at):
+            return None
+        return pa.RecordBatch.from_arrays([pa.array(rows.ids[at]), pa.array(rows.ids[order][reach[place[at]]])], ["x", "y"])
+
+    return work
+
+
+def _exact_links(threshold: float, weighted: bool) -> Callable[[pa.Table], pa.RecordBatch | None]:
+    """Of a group: links by exact similarity, enough of them to join all classes that any pair of it joins."""
+    from .lattice import _sides
+
+    def work(group: pa.Table) -> pa.RecordBatch | None:
+        rows = _Marked(group, threshold)
+        left, right, alone = _sides(group)
+        lists = group.column("shingles").combine_chunks()
+        sizes = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+        element = np.unique(lists.flatten().to_numpy(), return_inverse=True)[1]
+        counts = group.column("counts").combine_chunks().flatten().to_numpy() if weighted else np.ones(len(element), dtype=np.int64)
+        starts = np.cumsum(sizes) - sizes
+        held = np.zeros(int(element.max()) + 1, dtype=np.int64)
+        x, y = [], []
+        for i in left.tolist():
+            others = right[right > i] if alone else right
+            others = others[rows.label[others] != rows.label[i]]
+            others = others[rows.may_link(np.array([i]), others)[0]]
+            if not len(others):
+                continue
+            own = slice(starts[i], starts[i] + sizes[i])
+            held[element[own]] = counts[own]
+            first = np.cumsum(sizes[others]) - sizes[others]
+            at = np.arange(int(sizes[others].sum())) + np.repeat(starts[others] - first, sizes[others])
+            common = np.add.reduceat(np.minimum(held[element[at]], counts[at]), first)
+            held[element[own]] = 0
+            hit = others[common >= threshold * (rows.totals[i] + rows.totals[others] - common)]
+            found, one = np.unique(rows.label[hit], return_index=True)
+            x += [rows.ids[i]] * len(found)
+            y += rows.ids[hit[one]].tolist()
+            rows.label[np.isin(rows.label, found)] = rows.label[i]
+        return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()), pa.array(y, pa.int64())], ["x", "y"]) if x else None
+
+    return work
+
+
+def _between_classes(members: DataFrame, sets: DataFrame, threshold: float, weighted: bool) -> DataFrame:
+    """(x, y) that join all classes of which two members (key, doc, class) share a bucket and are ``threshold`` alike.
+
+    Every member is compared with those of all other classes in its bucket, in parts, first by parity marks, which
+    lose no pair; those that may link make groups, within which each pair of two classes is compared exactly.
+    """
+    from .lattice import _grouped, _in_parts
+
+    several = members.groupBy("key").agg(F.min("class").alias("p"), F.max("class").alias("q")).where("p <> q").select("key")
+    own = sets.where("total > 0").withColumnRenamed("doc_id", "doc")
+    rows = durable(members.join(several, "key"))  # marks and sets come to rows that are dealt already, so that they move once
+    dealt = _in_parts(rows, "key", "doc").join(own.select("doc", "total", "marks"), "doc")
+    possible = durable(_grouped(dealt, "key", _possible_links(threshold), "x long, y long").where("x <> y").distinct())
+    if possible.isEmpty():
+        return possible
+    groups = durable(components(possible, "x", "y").select(F.col("node").alias("doc"), F.col("component").alias("group")))
+    sizes = own.groupBy("doc").agg(F.sum(F.size("shingles")).alias("elements"))
+    near = groups.join(rows.select("doc", "class").distinct(), "doc").join(sizes, "doc")
+    dealt = _in_parts(near, "group", "doc", "elements", ELEMENTS).drop("elements").join(own.select("doc", "total", "marks", "shingles", *(["counts"] * weighted)), "doc")
+    return durable(_grouped(dealt, "group", _exact_links(threshold, weighted), "x long, y long"))
+
+
 def near_duplicates(docs: DataFrame, threshold: float = 0.8, size: int = 5, bands: int = 30, rows: int = 5, weighted: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, component_id, kept), a row for each row of ``docs``.
 
@@ -214,7 +344,8 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, size: int = 5, band
     multisets if ``weighted``), lower-cased and parted by white space; ``component_id`` is the least id that links
     reach, ``kept`` tells the row that stays of each class. Texts with the same words are one from the start. Of
     the rest, those that share a band are compared with the leading member of its bucket, exactly, from their
-    shingles; then two of each class found in a bucket with four leading ones, until a round finds no link.
+    shingles; then two of each class found in a bucket with four leading ones, until a round finds no link; then
+    each with those of all other classes in its bucket, so that no two that share a band and link stay parted.
 
     Texts without a word, null ones among them, have the same words, so they are one class. Rows with a null id
     link with nothing and stay, with a null component. Rows that share an id are one document with several
@@ -229,7 +360,7 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, size: int = 5, band
     live = durable(keyed.join(met, "key"))
     centre = live.groupBy("doc").agg(F.sum("n").alias("centre"))
     members = durable(live.join(centre, "doc").select("key", "doc", "centre"))
-    sets = durable(shingle_sets(texts.join(centre.select(F.col("doc").alias("doc_id")), "doc_id", "left_semi"), size))
+    sets = durable(shingle_sets(texts.join(centre.select(F.col("doc").alias("doc_id")), "doc_id", "left_semi"), size, weighted))
     tried = durable(_pairs(members.withColumn("class", F.col("doc")), centre_only=True))
     links = durable(_verified(tried, sets, threshold, weighted))
     turn = 0
@@ -246,6 +377,10 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, size: int = 5, band
         if found.isEmpty():
             break
         tried, links = durable(tried.union(pairs)), durable(links.union(found))
+    rest = _between_classes(held.select("key", "doc", F.coalesce("component", "doc").alias("class")), sets, threshold, weighted)
+    if not rest.isEmpty():
+        links = durable(links.union(rest))
+        classes = durable(components(links, "x", "y"))
     # rows with the same words, rows with the same id, and links all join classes
     copies = sketched.where("doc_id is not null").select("digest", "doc_id").distinct().join(same, "digest").where("doc_id <> rep").select(F.col("doc_id").alias("x"), F.col("rep").alias("y"))
     several = sketched.where("doc_id is not null").groupBy("doc_id").agg(F.min("digest").alias("p"), F.max("digest").alias("q")).where("p <> q")

@@ -95,14 +95,14 @@ def _least_labels(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
             return label
 
 
-def _in_parts(rows: DataFrame, key: str, id_col: str) -> DataFrame:
+def _in_parts(rows: DataFrame, key: str, id_col: str, weight: str | None = None, most: int = PART) -> DataFrame:
     """``rows`` in groups (key, g, h) of two parts of a key's rows at most, ``side`` telling which; alone in a key: left out.
 
-    A key's rows are dealt over parts of about PART by a hash of the id, and every two parts, or a part with
-    itself, are a group.
+    A key's rows are dealt over parts of about ``most``, in rows or in the sum of ``weight``, by a hash of the id,
+    and every two parts, or a part with itself, are a group.
     """
-    sizes = rows.groupBy(key).agg(F.count("*").alias("size")).where("size > 1")
-    parts = F.ceil(F.col("size") / F.lit(PART)).cast("int")
+    sizes = rows.groupBy(key).agg(F.count("*").alias("rows"), F.sum(weight or F.lit(1)).alias("size")).where("rows > 1").drop("rows")
+    parts = F.ceil(F.col("size") / F.lit(most)).cast("int")
     dealt = rows.join(sizes, key).withColumn("parts", parts).withColumn("q", F.pmod(F.xxhash64(id_col, F.lit(5)), F.col("parts")).cast("int"))
     both = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     return both.withColumn("g", F.least("q", "other")).withColumn("h", F.greatest("q", "other")).withColumn("side", F.when(F.col("q") == F.col("g"), 0).otherwise(1)).drop("size", "parts", "q", "other")

@@ -57,6 +57,19 @@ def test_rows_that_share_an_id(spark):
     assert sorted(r.doc_id for r in rows if r.kept) == [1, 4]
 
 
+def words(name, n):
+    return [f"{name}_{i}" for i in range(n)]
+
+
+@pytest.mark.parametrize("weighted", [False, True])
+def test_pairs_within_a_large_group_just_below_the_threshold(spark, weighted):
+    """All share a template and are 0.785 alike, but each two that share a passage 0.818: like each other, like no head."""
+    rows = [(i, " ".join(words("t", 880) + words(f"p{i // 2}", 20) + words(f"o{i}", 100))) for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in near_duplicates(docs, weighted=weighted).collect()}
+    assert got == {i: i - i % 2 for i in range(400)}
+
+
 @pytest.mark.parametrize("weighted", [False, True])
 def test_places_agree_as_often_as_sets_are_alike(weighted):
     draw = np.random.default_rng(2)
