@@ -230,11 +230,12 @@ class GatedModel:
                 first = np.flatnonzero(np.r_[True, np.diff(codes.reshape(-1)[seen]) > 0])
                 grads["X"][codes.reshape(-1)[seen[first]]] = np.add.reduceat(dx.reshape(-1, 3 * k)[seen], first)
                 times += 1
+                own_rate = rate * flat.sum() / (window * side)  # a step as long as its tokens are many, so that a few long texts do not lead
                 for name, g in grads.items():
                     g /= max(1, flat.sum())
                     means[name] += 0.1 * (g - means[name])
                     squares[name] += 0.01 * (g * g - squares[name])
-                    getattr(self, name).__isub__(rate * (means[name] / (1 - 0.9**times)) / (np.sqrt(squares[name] / (1 - 0.99**times)) + 1e-6))
+                    getattr(self, name).__isub__(own_rate * (means[name] / (1 - 0.9**times)) / (np.sqrt(squares[name] / (1 - 0.99**times)) + 1e-6))
 
 
 def count_words(texts: DataFrame, most: int = 300_000) -> DataFrame:
@@ -320,16 +321,16 @@ def _train_round(texts: DataFrame, model: GatedModel, vocabulary: Vocabulary, ra
         model.set_weights(flat)
 
 
-def fit(texts: DataFrame, rounds: int = 3, share: int = 24, state: int = 16, rate: float = 0.01) -> tuple[DataFrame, Vocabulary, GatedModel]:
+def fit(texts: DataFrame, rounds: int = 3, state: int = 16, rate: float = 0.01) -> tuple[DataFrame, Vocabulary, GatedModel]:
     """Word counts of all ``texts``, the bounded tables, and the model.
 
-    Counts cover every text. The recurrent weights learn in ``rounds``, each from another one of ``share`` equal
-    parts of the texts by a hash of the id, whatever their number.
+    Counts cover every text, and so do the recurrent weights: they learn in ``rounds``, each from another of as many
+    parts of the texts by a hash of the id, so that every text is learned from once.
     """
     counts = durable(count_words(texts))
     vocabulary = make_vocabulary(counts)
     model = GatedModel(vocabulary.symbol_counts, vocabulary.ending_mass, vocabulary.width, state)
-    part = F.pmod(F.xxhash64("doc_id", F.lit("round")), F.lit(share))
+    part = F.pmod(F.xxhash64("doc_id", F.lit("round")), F.lit(rounds))
     for i in range(rounds):
         _train_round(texts.where(part == i), model, vocabulary, rate / (1 + i))
     return counts, vocabulary, model

@@ -115,6 +115,16 @@ def test_slopes(name):
     assert big.any() and (np.sign(moved[big]) == -np.sign(slope[big])).mean() > 0.99
 
 
+def test_every_training_text_is_learned_from_once(spark, monkeypatch):
+    from lexisift.llm import gated_lm
+
+    seen = []
+    monkeypatch.setattr(gated_lm, "_train_round", lambda texts, *rest: seen.extend(r.doc_id for r in texts.collect()))
+    texts = spark.createDataFrame([(i, f"a b{i}") for i in range(200)], "doc_id long, text string")
+    gated_lm.fit(texts)
+    assert sorted(seen) == list(range(200))
+
+
 def test_learning_helps_held_out_texts(spark):
     rows = QUERIES["op2_lm_score"](spark, "/root/testdata/sf0.01").where("held_out").collect()
     assert sum(r.score for r in rows) > 0.98 * sum(r.base_score for r in rows)
