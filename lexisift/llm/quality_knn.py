@@ -17,12 +17,14 @@ from .quality_rules import label_sample
 COLUMNS = 1 << 15
 #: How much more a text's form says of its quality than its words.
 FORM = 40.0
+#: Characters of a word that have a shape of their own; a longer word has several.
+PIECE = 64
 _RUN = re.compile(r"(.)\1+", re.S)
 
 
 def _shape(word: str) -> str:
     """Letters and digits by kind, other characters as they are, runs of the same as one: ``Ab12!!`` is ``Aa0!``."""
-    kinds = "".join("a" if c.islower() else "A" if c.isupper() else "0" if c.isdigit() else "l" if c.isalpha() else c for c in word[:64])
+    kinds = "".join("a" if c.islower() else "A" if c.isupper() else "0" if c.isdigit() else "l" if c.isalpha() else c for c in word)
     return _RUN.sub(r"\1", kinds)
 
 
@@ -41,6 +43,7 @@ class Terms:
         """(columns, weights) of one text, columns once each in order.
 
         A word weighs 1 + ln of how often it stands there, a shape or the mark FORM times the root of its share.
+        A word of more than PIECE characters has a shape for each piece of so many.
         """
         table = self.table
         if len(table) > self.most:
@@ -49,11 +52,14 @@ class Terms:
         if not words:
             return np.empty(0, dtype=np.int64), np.empty(0)
         for w in set(words).difference(table):
-            table[w] = self._hash("w" + w.lower()) | self._hash("s" + _shape(w)) << 32
+            table[w] = self._hash("w" + w.lower()) | self._hash("s" + _shape(w[:PIECE])) << 32
         codes = np.fromiter(map(table.__getitem__, words), dtype=np.int64, count=len(words))
         counts, shapes = np.bincount(codes & 0xFFFFFFFF, minlength=COLUMNS), np.bincount(codes >> 32, minlength=COLUMNS)
         shapes[self.again] += int((codes[1:] == codes[:-1]).sum()) + int((codes[2:] == codes[:-2]).sum())
-        weights = np.log(np.maximum(counts, 1)) + (counts > 0) + FORM * np.sqrt(shapes / len(words))
+        more = [self._hash("s" + _shape(w[i : i + PIECE])) for w in words if len(w) > PIECE for i in range(PIECE, len(w), PIECE)]
+        if more:
+            shapes += np.bincount(more, minlength=COLUMNS)
+        weights = np.log(np.maximum(counts, 1)) + (counts > 0) + FORM * np.sqrt(shapes / (len(words) + len(more)))
         at = np.flatnonzero(weights)
         return at, weights[at]
 

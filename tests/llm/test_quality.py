@@ -85,3 +85,11 @@ def test_votes_on_odd_rows(spark):
     none = quality_knn.classify_quality(docs, labels.limit(0)).collect()
     assert {r.score for r in none} == {0.5}
     assert quality_knn.classify_quality(docs.limit(0), labels).collect() == []
+
+
+def test_long_words_are_read_whole():
+    from lexisift.llm.quality_knn import Terms
+
+    marked = lambda text: set(Terms().of(text)[0].tolist())
+    shape = Terms._hash("s!0")
+    assert shape not in marked("a" * 128) and shape in marked("a" * 128 + "!!12")
