@@ -70,6 +70,14 @@ def test_pairs_within_a_large_group_just_below_the_threshold(spark, weighted):
     assert got == {i: i - i % 2 for i in range(400)}
 
 
+def test_single_documents_like_members_of_a_large_class_but_not_like_its_heads(spark):
+    """Leaves are 0.85 like each other; each single document is 0.81 like one leaf and 0.69 like all others."""
+    leaf = lambda i: words("t", 920) + words(f"l{i}", 80)
+    rows = [(i, " ".join(leaf(i))) for i in range(150)] + [(1000 + i, " ".join(words(f"s{i}", 98) + leaf(i)[98:])) for i in range(150)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.component_id for r in near_duplicates(docs).collect()} == {0}
+
+
 @pytest.mark.parametrize("weighted", [False, True])
 def test_places_agree_as_often_as_sets_are_alike(weighted):
     draw = np.random.default_rng(2)
