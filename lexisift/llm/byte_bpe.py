@@ -1,9 +1,7 @@
-"""Byte-level pieces of a tokenizer file, worked out once per distinct pre-token run.
+"""Byte-level ids and pre-tokens of texts under a tokenizer file.
 
-The pre-token pattern of byte-level vocabularies never joins a visible character to the blank after it. So a
-text may be cut before every run of spaces and line feeds, and each run with the word after it has the same
-pieces wherever it stands. Workers keep what they have worked out in a bounded table. Texts with other white
-space, whose runs can cross such a cut, and vocabularies of other kinds go to the library whole.
+The pre-token pattern of byte-level vocabularies never joins a visible character to the blank after it, so a long
+text may be cut before any run of blanks. Vocabularies of other kinds go to the library whole.
 """
 
 from __future__ import annotations
@@ -12,16 +10,20 @@ import json
 import os
 import re
 from array import array
-from collections import Counter
 from collections.abc import Callable, Iterator
 from functools import lru_cache
-from operator import mul
+
+import regex
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
-RUN = re.compile(r"[ \n]*[^ \n]+|[ \n]+")
+# The pattern that byte-level vocabularies were made with, and how a byte looks in them.
+PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+SHOWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
+#: Characters of blocks in which all versions of Unicode agree on what is a letter or a number; libraries differ in theirs.
+UNSTEADY = re.compile("[^\x00-\u0557\u0e00-\u0e7f\u1e00-\u206f\u20a0-\u9fff\uac00-\ud7a3\uff00-\uffef\U0001f300-\U0001f64f]")
 OTHER_SPACE = re.compile(r"[^\S \n]")
-SAFE_CUT = re.compile(r"(?<=[^ \n])[ \n]")
+SAFE_CUT = re.compile(r"(?<=\S)[ \n]")
 SPAN = 1 << 20
 
 
@@ -36,9 +38,8 @@ def spans(text: str, span: int = SPAN) -> Iterator[str]:
 
 def _ranks(model: dict) -> dict[bytes, int] | None:
     """Bytes to id, where ids are dealt in the order of the merges, as a merge by rank needs them; else None."""
-    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    hidden = [b for b in range(256) if b not in set(shown)]
-    byte_of = {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(hidden)}
+    hidden = [b for b in range(256) if b not in set(SHOWN)]
+    byte_of = {chr(b): b for b in SHOWN} | {chr(256 + i): b for i, b in enumerate(hidden)}
     vocab, merges = model["vocab"], [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
     if any(vocab.get(a + b) != len(byte_of) + i for i, (a, b) in enumerate(merges)) or not set("".join(vocab)) <= set(byte_of):
         return None
@@ -49,18 +50,13 @@ def _merger(ranks: dict[bytes, int]) -> Callable[[str], list[int]]:
     """Text to ids by ranks, under the pre-token pattern of byte-level vocabularies."""
     import tiktoken
 
-    # Fixed value: the pattern that the byte-level vocabulary was made with.
-    pattern = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-    return tiktoken.Encoding("runs", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_ordinary
-
+    return tiktoken.Encoding("runs", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_ordinary
 
-class RunTable:
-    """Ids of texts, and how many there are, the latter from a table of runs counted before.
 
-    ``path``: a tokenizers .json file. ``most``: how many runs the table may hold before it starts anew.
-    """
+class ByteLevel:
+    """Ids and pre-tokens of texts under a tokenizers .json file at ``path``, as the library gives them."""
 
-    def __init__(self, path: str, most: int = 400_000):
+    def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -69,7 +65,8 @@ class RunTable:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         before, added = spec.get("pre_tokenizer") or {}, spec.get("added_tokens") or []
-        by_runs = (
+        #: Whether a text may be parted into pre-tokens that have the same pieces wherever they stand.
+        self.parts_alone = (
             spec.get("normalizer") is None
             and before.get("type") == "ByteLevel"
             and before.get("use_regex", True)
@@ -78,51 +75,51 @@ class RunTable:
         )
         names = sorted((t["content"] for t in added), key=len, reverse=True)
         self.special = re.compile("(" + "|".join(map(re.escape, names)) + ")") if names else None
-        ranks = _ranks(spec["model"]) if by_runs else None
+        ranks = _ranks(spec["model"]) if self.parts_alone else None
         self.merger = _merger(ranks) if ranks else None
-        self.most, self.table = most, {}
+        self.find = regex.compile(PATTERN).findall
 
     def _library(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
     def _parts(self, text: str) -> Iterator[tuple[str, bool]]:
-        """The text between added tokens and these, and whether a part may be cut into runs."""
-        if self.merger is None:
-            yield text, False
-            return
+        """The text between added tokens and these, and whether a part is one of the former."""
         for i, part in enumerate(self.special.split(text) if self.special else [text]):
             if part:
-                yield part, i % 2 == 0 and not OTHER_SPACE.search(part)
+                yield part, i % 2 == 0
 
     def ids(self, text: str) -> array:
         """The ids of one text, span by span, as unsigned 32-bit integers."""
         out = array("I")
-        for part, in_runs in self._parts(text):
-            if in_runs:
+        if self.merger is None:
+            out.extend(self._library(text))
+            return out
+        for part, plain in self._parts(text):
+            if plain and not OTHER_SPACE.search(part):
                 for span in spans(part):
                     out.extend(self.merger(span))
             else:
                 out.extend(self._library(part))
         return out
 
-    def count(self, text: str) -> int:
-        """How many ids the text has: the frequency of each distinct run times its count, which is worked out once."""
-        if len(self.table) > self.most:
-            self.table.clear()
-        table, total = self.table, 0
-        for part, in_runs in self._parts(text):
-            if not in_runs:
-                total += len(self._library(part))
+    def pre_tokens(self, text: str) -> Iterator[list[str]]:
+        """The pre-tokens of one text, span by span, an added token as one; only where ``parts_alone``."""
+        for part, plain in self._parts(text):
+            if not plain:
+                yield [part]
                 continue
             for span in spans(part):
-                frequencies = Counter(RUN.findall(span))
-                for run in frequencies.keys() - table.keys():
-                    table[run] = len(self.merger(run))
-                total += sum(map(mul, frequencies.values(), map(table.__getitem__, frequencies)))
-        return total
+                if UNSTEADY.search(span):
+                    yield [span[i:j] for _, (i, j) in self.tokenizer.pre_tokenizer.pre_tokenize_str(span)]
+                else:
+                    yield self.find(span)
+
+    def sizes(self, texts: list[str]) -> list[int]:
+        """How many ids each text has."""
+        return list(map(len, self.tokenizer.encode_batch(texts, add_special_tokens=False)))
 
 
 @lru_cache(4)
-def run_table(path: str) -> RunTable:
-    """One table of run lengths for each file and Python worker, as workers outlive tasks."""
-    return RunTable(path)
+def byte_level(path: str) -> ByteLevel:
+    """One for each file and Python worker, as workers outlive tasks."""
+    return ByteLevel(path)

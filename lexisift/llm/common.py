@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import tempfile
-from collections.abc import Callable, Iterator
+from collections import Counter
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -18,10 +19,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The session's checkpoint folder; a temporary one is set only where none is configured."""
+    """The session's checkpoint folder; where none is configured, one in the warehouse, which executors share.
+
+    A temporary folder serves only where driver and executors are one process.
+    """
     context = spark.sparkContext
     if not context._jsc.sc().getCheckpointDir().isDefined():
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lexisift-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder:
+            folder = tempfile.mkdtemp(prefix="lexisift-") if context.master.startswith("local") else f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_checkpoints"
+        context.setCheckpointDir(folder)
     return context._jsc.sc().getCheckpointDir().get()
 
 
@@ -77,6 +84,48 @@ def map_texts(docs: DataFrame, make: Callable[[], Work], schema: str, id_col: st
     return shipped(given).mapInArrow(run, kinds)
 
 
+def count_terms(texts: DataFrame, make: Callable[[], Callable[[str], Iterable[Iterable]]], most: int = 300_000) -> DataFrame:
+    """(term, c): how often each term stands in ``texts``; added up in tasks, in tables of about ``most``, then shuffled.
+
+    ``make()`` runs once a task; its result gives the terms of a text, as strings or UTF-8, in any number of parts.
+    """
+
+    def counted(seen: Counter) -> pa.RecordBatch:
+        terms = pa.array(list(seen))
+        return pa.RecordBatch.from_arrays([terms.cast(pa.string()), pa.array(list(seen.values()), pa.int64())], ["term", "c"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        terms, seen = None, Counter()
+        for batch in batches:
+            terms = terms or make()
+            for text in batch.column("text").to_pylist():
+                for part in terms(text):
+                    seen.update(part)
+                if len(seen) > most:
+                    yield counted(seen)
+                    seen.clear()
+        if seen:
+            yield counted(seen)
+
+    return shipped(texts).select("text").mapInArrow(run, "term string, c long").groupBy("term").agg(F.sum("c").alias("c"))
+
+
+def most_frequent(counts: DataFrame, most: int) -> DataFrame:
+    """At most ``most`` rows of ``counts``, those with the greatest ``c``.
+
+    How great it must be is read from a histogram by steps of about one in a hundred, which has a few thousand rows
+    whatever the corpus; so no task sorts or sends more than its share.
+    """
+    step = F.floor(64 * F.log2("c")).cast("int")
+    least, rows = None, 0
+    for r in sorted(counts.groupBy(step.alias("step")).count().collect(), key=lambda r: -r["step"]):
+        rows += r["count"]
+        if rows > most:
+            break
+        least = r["step"]
+    return counts.where(F.lit(False) if least is None else step >= least)
+
+
 def remainder(id_col: str | Column, by: int) -> Column:
     """crc32 of the id as text, modulo ``by``; null for a null id."""
     column = F.col(id_col) if isinstance(id_col, str) else id_col

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..shipping import shipped
-from .byte_bpe import run_table
+from .byte_bpe import byte_level
 from .common import durable, map_texts
 
 #: Rows of one length are numbered in so many shares, so that a hot length is dealt over tasks.
@@ -26,12 +26,12 @@ def cut_documents(docs: DataFrame, tokenizer: str, most: int = 2048, end_id: int
     """
 
     def make():
-        table = run_table(tokenizer)
+        coder = byte_level(tokenizer)
 
         def work(doc_ids: list, texts: list[str]) -> pa.RecordBatch:
             rows: list[tuple] = []
             for doc_id, text in zip(doc_ids, texts, strict=True):
-                ids = table.ids(text)
+                ids = coder.ids(text)
                 ids.append(end_id)
                 data = memoryview(np.asarray(ids, dtype="<u4").tobytes())
                 for start in range(0, len(ids), most):

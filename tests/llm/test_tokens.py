@@ -4,8 +4,10 @@ import numpy as np
 import public_tokenizers
 from tokenizers import Tokenizer
 
+from lexisift.llm.byte_bpe import UNSTEADY, byte_level
+from lexisift.llm.common import texts_of
 from lexisift.llm.packing import cut_documents, pack, pack_documents, shortest_pack_first
-from lexisift.llm.token_counts import count_tokens
+from lexisift.llm.token_counts import count_tokens, pre_token_sizes
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 TEXTS = [
@@ -36,6 +38,32 @@ def test_counts_over_the_table(spark):
         assert got[r.doc_id] == len(library().encode(r.text, add_special_tokens=False).ids)
 
 
+def test_counts_where_most_pre_tokens_are_joined(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    whole = {r.doc_id: r.n_tokens for r in count_tokens(docs, PATH).collect()}
+    for known in (0, 50):
+        assert {r.doc_id: r.n_tokens for r in count_tokens(docs, PATH, known=known).collect()} == whole
+
+
+def test_each_pre_token_is_counted_once(spark):
+    rows = pre_token_sizes(texts_of(frame(spark, TEXTS + TEXTS)), PATH).collect()
+    assert len({r.term for r in rows}) == len(rows) and all(r.c % 2 == 0 for r in rows)
+    assert all(r.n == len(library().encode(r.term, add_special_tokens=False).ids) for r in rows)
+
+
+def test_pre_tokens_of_all_steady_characters():
+    coder = byte_level(PATH)
+    for c in filter(lambda c: not UNSTEADY.match(chr(c)), range(0x1F650)):
+        text = f"a{chr(c)}1{chr(c)}!{chr(c)} {chr(c)}b"
+        assert [p for part in coder.pre_tokens(text) for p in part] == [text[i:j] for _, (i, j) in coder.tokenizer.pre_tokenizer.pre_tokenize_str(text)]
+
+
+def test_a_very_long_text(spark):
+    text = "ab cde  fg\n" * 300_000 + "z" * 100_000
+    got = count_tokens(frame(spark, [text]), PATH).first()
+    assert (got.n_tokens, got.n_bytes) == (len(library().encode(text, add_special_tokens=False).ids), len(text))
+
+
 def test_counts_of_other_vocabularies(spark):
     import sentencepiece
 
