@@ -5,7 +5,8 @@ from __future__ import annotations
 import zlib
 from collections import Counter
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
+from heapq import heapreplace
 
 import numpy as np
 import pyarrow as pa
@@ -13,12 +14,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from ..shipping import shipped
-from .common import durable, remainder, slices, texts_of
+from .common import count_terms, durable, most_frequent, remainder, slices, texts_of
 
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 END = ""  # no word is empty
 LOG10E = float(np.log10(np.e))
-#: Text that a task holds at once while it scores: documents of many lengths go through the model side by side.
+#: Text that a task holds at once: documents of many lengths go through the model side by side.
 HELD = 12 << 20
 
 
@@ -43,26 +44,24 @@ class Vocabulary:
     ending_mass: np.ndarray  # sum of count + 0.1 of each class by ending, with 0.1 for a word not seen
     train_tokens: int
     distinct: int
-    table: dict = field(default_factory=dict)
 
     def __post_init__(self):
         self.places = {w: i for i, w in enumerate(self.counts)}
+        self.table = _Codes(self.endings, len(self.symbols))
+        for w, i in self.symbols.items():
+            self.table[w] = i | -1 << 20
+        for w, place in self.places.items():
+            self.table[w] = self.table[w] & 0xFFFFF | place << 20
 
     def ending(self, word: bytes) -> int:
-        return zlib.crc32(word.decode()[-2:].encode()) % self.endings
+        return _ending(word, self.endings)
 
     def look_up(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Codes of words and then the end, and places of the words among the known counts or -1.
 
         A code is a word's own symbol, or past the symbols the class of its ending.
         """
-        table = self.table
-        if len(table) > 300_000:
-            table.clear()
-        for w in set(words).difference(table):
-            s = self.symbols.get(w)
-            table[w] = (len(self.symbols) + self.ending(w) if s is None else s) | self.places.get(w, -1) << 20
-        both = np.fromiter(map(table.__getitem__, words), dtype=np.int64, count=len(words))
+        both = np.fromiter(map(self.table.__getitem__, words), dtype=np.int64, count=len(words))
         codes = np.empty(len(words) + 1, dtype=np.int32)
         codes[:-1] = both & 0xFFFFF
         codes[-1] = self.symbols[END.encode()]
@@ -72,8 +71,59 @@ class Vocabulary:
         return self.look_up(words)[0]
 
 
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-x))
+def _ending(word: bytes, endings: int) -> int:
+    """The class of a word by its last two characters."""
+    return zlib.crc32(word[-2:] if word.isascii() else word.decode()[-2:].encode()) % endings
+
+
+class _Codes(dict):
+    """Word to code and place, in one number; a word that has neither is worked out each time, so the table stays small."""
+
+    def __init__(self, endings: int, symbols: int):
+        self.endings, self.symbols = endings, symbols
+
+    def __missing__(self, word: bytes) -> int:
+        return self.symbols + _ending(word, self.endings) | -1 << 20
+
+    def __reduce__(self):
+        return _codes, (self.endings, self.symbols, dict(self))
+
+
+def _codes(endings: int, symbols: int, known: dict) -> _Codes:
+    out = _Codes(endings, symbols)
+    out.update(known)
+    return out
+
+
+def _sigmoid(x: np.ndarray) -> None:
+    """In place, by the tangent, which does not overflow."""
+    x *= 0.5
+    np.tanh(x, out=x)
+    x *= 0.5
+    x += 0.5
+
+
+def _chosen(h: np.ndarray, weights: np.ndarray, biases: np.ndarray, of: np.ndarray, bounded: bool, grads: tuple[np.ndarray, np.ndarray] | None) -> tuple[np.ndarray, np.ndarray | None]:
+    """Log-probabilities of choices ``of`` under a softmax; adds to ``grads`` and returns the loss's slope in ``h``.
+
+    ``bounded``: no score can be so large or all so small that its exponential is lost.
+    """
+    e = h @ weights
+    e += biases
+    if not bounded:
+        e -= e.max(axis=1, keepdims=True)
+    at = np.arange(0, e.size, e.shape[1]) + of
+    out = e.reshape(-1)[at]
+    np.exp(e, out=e)
+    total = e @ np.ones(e.shape[1], dtype=e.dtype)
+    out -= np.log(total)
+    if grads is None:
+        return out, None
+    e *= (1 / total)[:, None]
+    e.reshape(-1)[at] -= 1
+    grads[0].__iadd__(h.T @ e)
+    grads[1].__iadd__(np.ones(len(e), dtype=e.dtype) @ e)
+    return out, e @ weights.T
 
 
 class GatedModel:
@@ -110,169 +160,194 @@ class GatedModel:
             setattr(self, name, flat[at : at + old.size].reshape(old.shape).astype(np.float32))
             at += old.size
 
-    def step(self, h: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, ...]:
-        """The next state, and what the way back needs."""
-        k, x = self.state, self.X[codes]
-        zr = _sigmoid(x[:, : 2 * k] + h @ self.U)
-        z, r = zr[:, :k], zr[:, k:]
-        rh = r * h
-        n = np.tanh(x[:, 2 * k :] + rh @ self.N)
-        return h + z * (n - h), z, r, n, rh
+    def step(self, h: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, ...]:
+        """The next states, units x lanes, from the last ones and what symbols add; and what the way back needs."""
+        k = self.state
+        zr = self.U.T @ h
+        zr += x[: 2 * k]
+        _sigmoid(zr)
+        rh = zr[k:] * h
+        m = self.N.T @ rh
+        m += x[2 * k :]
+        np.tanh(m, out=m)
+        after = m - h
+        after *= zr[:k]
+        after += h
+        return after, zr, m, rh
+
+    def _added(self, block: np.ndarray) -> np.ndarray:
+        """What the symbols of a window add to gates and candidates: places x units x lanes."""
+        return np.ascontiguousarray(self.X[block].transpose(0, 2, 1))
+
+    @staticmethod
+    def _bounded(weights: np.ndarray, biases: np.ndarray) -> bool:
+        """Whether the greatest score of each softmax is near enough to 0 for single precision; states lie between -1 and 1."""
+        return bool(np.abs(weights).sum(axis=-2).max() + np.abs(biases.max(axis=-1)).max() < 80)
 
     def logs(self, h: np.ndarray, codes: np.ndarray, grads: dict[str, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray | None]:
         """Natural log-probabilities of ``codes`` after states ``h``; adds to ``grads`` and returns the loss's slope in ``h``.
 
         A code past the symbols has that of its class alone.
         """
-        own = codes < self.symbols
-        of = np.where(own, codes // self.width, codes - self.symbols + self.classes)
-        scores = h @ self.C + self.c
-        scores -= scores.max(axis=1, keepdims=True)
-        e = np.exp(scores)
-        total = e.sum(axis=1, keepdims=True)
-        rows = np.arange(len(h))
-        out = scores[rows, of] - np.log(total[:, 0])
-        dh = None
-        if grads is not None:
-            e /= total
-            e[rows, of] -= 1
-            grads["C"] += h.T @ e
-            grads["c"] += e.sum(axis=0)
-            dh = e @ self.C.T
-        at = np.flatnonzero(own)
-        at = at[np.argsort(of[at], kind="stable")]
-        ends = np.searchsorted(of[at], np.arange(self.classes + 1))
+        of = np.where(codes < self.symbols, codes // self.width, codes - self.symbols + self.classes)
+        order = np.argsort(of.astype(np.int16), kind="stable")  # by class, so that each class is one slice
+        h, of, inner = h[order], of[order], (codes % self.width)[order]
+        ends = np.searchsorted(of, np.arange(self.classes + 1))
+        bounded = [self._bounded(self.C, self.c[None]), self._bounded(self.W, self.w)]
+        logs, dh = _chosen(h, self.C, self.c, of, bounded[0], grads and (grads["C"], grads["c"]))
         for k in range(self.classes):
-            if ends[k] < ends[k + 1]:
-                i = at[ends[k] : ends[k + 1]]
-                s = h[i] @ self.W[k] + self.w[k]
-                s -= s.max(axis=1, keepdims=True)
-                e = np.exp(s)
-                total = e.sum(axis=1, keepdims=True)
-                j, inner = np.arange(len(i)), codes[i] % self.width
-                out[i] += s[j, inner] - np.log(total[:, 0])
+            i, j = ends[k : k + 2]
+            if i < j:
+                more, slope = _chosen(h[i:j], self.W[k], self.w[k], inner[i:j], bounded[1], grads and (grads["W"][k], grads["w"][k]))
+                logs[i:j] += more
                 if grads is not None:
-                    e /= total
-                    e[j, inner] -= 1
-                    grads["W"][k] += h[i].T @ e
-                    grads["w"][k] += e.sum(axis=0)
-                    dh[i] += e @ self.W[k].T
+                    dh[i:j] += slope
+        out = np.empty_like(logs)
+        out[order] = logs
+        if grads is not None:
+            back = np.empty_like(dh)
+            back[order] = dh
+            dh = back
         return out, dh
 
-    def score(self, texts: list[np.ndarray], window: int = 64, side: int = 1024) -> np.ndarray:
+    def score(self, texts: list[np.ndarray], window: int = 64, side: int = 256) -> np.ndarray:
         """Natural log-likelihoods of sequences of codes, each whole: the state goes on from window to window."""
         out = np.zeros(len(texts))
-        lengths = np.array([len(t) for t in texts])
-        order = np.argsort(-lengths, kind="stable")
-        for i in range(0, len(order), side):
-            own = order[i : i + side]
-            h = np.zeros((len(own), self.state), dtype=np.float32)
-            for start in range(0, int(lengths[own[0]]), window):
-                states, codes, whose = [], [], []
-                for t in range(start, min(start + window, int(lengths[own[0]]))):
-                    n = int(np.searchsorted(-lengths[own], -t, side="left"))  # those longer than t come first
-                    if t == start:
-                        block = np.zeros((n, window), dtype=np.int32)
-                        for a in range(n):
-                            part = texts[own[a]][start : start + window]
-                            block[a, : len(part)] = part
-                    states.append(h[:n])
-                    codes.append(block[:n, t - start])
-                    whose.append(own[:n])
-                    h = self.step(h[:n], codes[-1])[0]
-                logs, _ = self.logs(np.concatenate(states), np.concatenate(codes))
-                out += np.bincount(np.concatenate(whose), logs, minlength=len(texts))
+        codes, whose, loads = _lanes(texts, side)
+        h = np.zeros((self.state, len(loads)), dtype=np.float32)
+        for start in range(0, int(loads[0]) if len(loads) else 0, window):
+            n = int((loads > start).sum())
+            block, of, begins = _window(codes, whose, n, start, window)
+            h, x = np.ascontiguousarray(h[:, :n]), self._added(block)
+            states = np.empty((len(block), self.state, n), dtype=np.float32)
+            for t in range(len(block)):
+                if begins[t].any():
+                    h[:, begins[t]] = 0
+                states[t] = h
+                h = self.step(h, x[t])[0]
+            live = np.flatnonzero(of.reshape(-1) >= 0)
+            logs, _ = self.logs(_rows(states)[live], block.reshape(-1)[live])
+            out += np.bincount(of.reshape(-1)[live], logs, minlength=len(texts))
         return out
 
-    def train(self, texts: list[np.ndarray], rate: float = 0.01, window: int = 20, side: int = 128) -> None:
-        """One pass of truncated backpropagation: slopes go back to the start of a window, the state goes on through it."""
+    def train(self, texts: list[np.ndarray], rate: float = 0.02, window: int = 32, side: int = 256, part: int = 1024) -> None:
+        """One pass of truncated backpropagation: slopes go back to the start of a window, the state goes on through it.
+
+        A text of more than ``part`` codes is learned from in parts, so that few long texts do not leave lanes empty.
+        """
         means = {n: np.zeros_like(getattr(self, n)) for n in self.NAMES}
         squares = {n: np.zeros_like(getattr(self, n)) for n in self.NAMES}
-        times = 0
-        k = self.state
-        lengths = np.array([len(t) for t in texts])
-        order = np.argsort(-lengths, kind="stable")  # texts of like length side by side, such groups in any order
-        for i in np.random.default_rng(len(texts)).permutation(range(0, len(texts), side)).tolist():
-            own = order[i : i + side]
-            h = np.zeros((len(own), k), dtype=np.float32)
-            for start in range(0, int(lengths[own[0]]), window):
-                n = int((lengths[own] > start).sum())
-                own, h = own[:n], h[:n]
-                steps = min(window, int(lengths[own[0]]) - start)
-                codes = np.zeros((steps, n), dtype=np.int32)
-                live = np.zeros((steps, n), dtype=bool)
-                for a, j in enumerate(own):
-                    part = texts[j][start : start + steps]
-                    codes[: len(part), a], live[: len(part), a] = part, True
-                kept, states = [], []
-                for t in range(steps):
-                    states.append(h)
-                    h, *more = self.step(h, codes[t])
-                    kept.append(more)
-                grads = {name: np.zeros_like(getattr(self, name)) for name in self.NAMES}
-                flat = live.reshape(-1)
-                dh_out = np.zeros((steps * n, k), dtype=np.float32)
-                dh_out[flat] = self.logs(np.concatenate(states)[flat], codes.reshape(-1)[flat], grads)[1]
-                dh_out = dh_out.reshape(steps, n, k)
-                dx = np.zeros((steps, n, 3 * k), dtype=np.float32)
-                dh = np.zeros((n, k), dtype=np.float32)
-                for t in range(steps - 1, -1, -1):
-                    z, r, m, rh = kept[t]
-                    before = states[t]
-                    dm = dh * z * (1 - m * m)
-                    drh = dm @ self.N.T
-                    dzr = np.concatenate([dh * (m - before) * z * (1 - z), drh * before * r * (1 - r)], axis=1)
-                    grads["N"] += rh.T @ dm
-                    grads["U"] += before.T @ dzr
-                    dx[t, :, : 2 * k], dx[t, :, 2 * k :] = dzr, dm
-                    dh = dh * (1 - z) + drh * r + dzr @ self.U.T + dh_out[t]
-                seen = np.argsort(codes.reshape(-1), kind="stable")
-                first = np.flatnonzero(np.r_[True, np.diff(codes.reshape(-1)[seen]) > 0])
-                grads["X"][codes.reshape(-1)[seen[first]]] = np.add.reduceat(dx.reshape(-1, 3 * k)[seen], first)
-                times += 1
-                own_rate = rate * flat.sum() / (window * side)  # a step as long as its tokens are many, so that a few long texts do not lead
-                for name, g in grads.items():
-                    g /= max(1, flat.sum())
-                    means[name] += 0.1 * (g - means[name])
-                    squares[name] += 0.01 * (g * g - squares[name])
-                    getattr(self, name).__isub__(own_rate * (means[name] / (1 - 0.9**times)) / (np.sqrt(squares[name] / (1 - 0.99**times)) + 1e-6))
-
-
-def count_words(texts: DataFrame, most: int = 300_000) -> DataFrame:
-    """(word, c) of all tokens of ``texts``, the end among them as the empty word; added up in tasks, then shuffled."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: Counter = Counter()
-        for batch in batches:
-            for text in batch.column("text").to_pylist():
-                words = words_of(text)
-                seen.update(words)
-                seen[END.encode()] += 1
-                if len(seen) > most:
-                    yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()).cast(pa.string()), pa.array(list(seen.values()), pa.int64())], ["word", "c"])
-                    seen.clear()
-        if seen:
-            yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()).cast(pa.string()), pa.array(list(seen.values()), pa.int64())], ["word", "c"])
-
-    return shipped(texts).select("text").mapInArrow(run, "word string, c long").groupBy("word").agg(F.sum("c").alias("c"))
+        times, k = 0, self.state
+        parts = [t[i : i + part] for t in texts for i in range(0, len(t), part)]
+        codes, whose, loads = _lanes(parts, side, np.random.default_rng(len(texts)))
+        h = np.zeros((k, len(loads)), dtype=np.float32)
+        for start in range(0, int(loads[0]) if len(loads) else 0, window):
+            n = int((loads > start).sum())
+            block, of, begins = _window(codes, whose, n, start, window)
+            steps, h, x = len(block), np.ascontiguousarray(h[:, :n]), self._added(block)
+            live, flat_codes = np.flatnonzero(of.reshape(-1) >= 0), block.reshape(-1)
+            states = np.empty((steps, k, n), dtype=self.X.dtype)
+            kept = []
+            for t in range(steps):
+                if begins[t].any():
+                    h[:, begins[t]] = 0
+                states[t] = h
+                h, *more = self.step(h, x[t])
+                kept.append(more)
+            grads = {name: np.zeros_like(getattr(self, name)) for name in self.NAMES}
+            slopes = np.zeros((steps * n, k), dtype=np.float32)
+            slopes[live] = self.logs(_rows(states)[live], flat_codes[live], grads)[1]
+            slopes = np.ascontiguousarray(slopes.reshape(steps, n, k).transpose(0, 2, 1))
+            dx = np.empty((steps, 3 * k, n), dtype=np.float32)
+            reset = np.empty((steps, k, n), dtype=np.float32)
+            dh = np.zeros((k, n), dtype=np.float32)
+            for t in range(steps - 1, -1, -1):
+                zr, m, reset[t] = kept[t]
+                before, gates, dm = states[t], dx[t, : 2 * k], dx[t, 2 * k :]
+                passed = dh * zr[:k]
+                np.multiply(m, m, out=dm)
+                np.subtract(1, dm, out=dm)
+                dm *= passed
+                drh = self.N @ dm
+                m -= before
+                np.multiply(passed, m, out=gates[:k])
+                drh *= zr[k:]
+                np.multiply(drh, before, out=gates[k:])
+                zr -= 1
+                gates[:k] *= zr[:k]
+                gates[k:] *= zr[k:]
+                np.negative(gates, out=gates)
+                dh -= passed
+                dh += drh
+                dh += self.U @ gates
+                dh += slopes[t]
+                if begins[t].any():
+                    dh[:, begins[t]] = 0
+            by_unit = lambda a: a.transpose(1, 0, 2).reshape(a.shape[1], -1)
+            grads["N"] += by_unit(reset) @ by_unit(dx[:, 2 * k :]).T
+            grads["U"] += by_unit(states) @ by_unit(dx[:, : 2 * k]).T
+            seen = np.argsort(flat_codes.astype(np.int16), kind="stable")
+            first = np.flatnonzero(np.r_[True, np.diff(flat_codes[seen]) > 0])
+            grads["X"][flat_codes[seen[first]]] = np.add.reduceat(_rows(dx)[seen], first)
+            times += 1
+            tokens = len(live)
+            own_rate = rate * tokens / (window * side)  # a step as long as its tokens are many, so that the last windows do not lead
+            for name, g in grads.items():
+                g /= max(1, tokens)
+                mean, square = means[name], squares[name]
+                mean += 0.1 * (g - mean)
+                g *= g
+                square += 0.01 * (g - square)
+                getattr(self, name).__isub__(own_rate / (1 - 0.9**times) * mean / (np.sqrt(square / (1 - 0.99**times)) + 1e-6))
+
+
+def _lanes(texts: list[np.ndarray], side: int, draw: np.random.Generator | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Texts dealt to at most ``side`` lanes, the longest first and each to the lane with the least; there they stand in the order of ``draw``.
+
+    Codes and numbers of texts, lanes x places, -1 behind the end; and how much each lane holds, the fullest first.
+    """
+    held = [(0, i) for i in range(min(side, len(texts)))]
+    dealt: list[list[int]] = [[] for _ in held]
+    for j in sorted(range(len(texts)), key=lambda j: -len(texts[j])):
+        load, lane = held[0]
+        dealt[lane].append(j)
+        heapreplace(held, (load + len(texts[j]), lane))
+    held.sort(reverse=True)
+    loads = np.array([load for load, _ in held], dtype=np.int64)
+    codes = np.zeros((len(held), int(loads[0]) if len(held) else 0), dtype=np.int32)
+    whose = np.full(codes.shape, -1, dtype=np.int32)
+    for row, (load, lane) in enumerate(held):
+        if load:
+            if draw is not None:
+                draw.shuffle(dealt[lane])
+            codes[row, :load] = np.concatenate([texts[j] for j in dealt[lane]])
+            whose[row, :load] = np.repeat(dealt[lane], [len(texts[j]) for j in dealt[lane]])
+    return codes, whose, loads
+
+
+def _rows(a: np.ndarray) -> np.ndarray:
+    """Places x units x lanes as a row of units for each place and lane."""
+    return a.transpose(0, 2, 1).reshape(-1, a.shape[1])
+
+
+def _window(codes: np.ndarray, whose: np.ndarray, n: int, start: int, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of the first ``n`` lanes, places x lanes: codes, whose they are, and whether a text begins there."""
+    of = whose[:n, max(0, start - 1) : start + window].T
+    begins = np.concatenate([np.ones((1, n), dtype=bool), of[1:] != of[:-1]])
+    if start:
+        of, begins = of[1:], begins[1:]
+    return np.ascontiguousarray(codes[:n, start : start + window].T), np.ascontiguousarray(of), begins
+
+
+def count_words(texts: DataFrame) -> DataFrame:
+    """(word, c) of all tokens of ``texts``, the end among them as the empty word."""
+    return count_terms(texts, lambda: lambda text: (words_of(text), [END.encode()])).withColumnRenamed("term", "word")
 
 
 def make_vocabulary(counts: DataFrame, known: int = 1 << 17, symbols: int = 1024, width: int = 32, endings: int = 32) -> Vocabulary:
-    """From (word, c): at most ``known`` words come to the driver, the most frequent ones, and sums.
-
-    How frequent they must be is read from a histogram of counts by steps of about one in a hundred, which has a
-    few thousand rows whatever the corpus; so no task sends more than its share of those words.
-    """
+    """From (word, c): at most ``known`` words come to the driver, the most frequent ones, and sums."""
     total = counts.agg(F.sum("c").alias("n"), F.count("*").alias("v")).first()
-    step = F.floor(64 * F.log2("c")).cast("int")
-    least, words = None, 0
-    for r in sorted(counts.groupBy(step.alias("step")).count().collect(), key=lambda r: -r["step"]):
-        words += r["count"]
-        if words > known:
-            break
-        least = r["step"]
-    kept = counts.where(F.lit(False) if least is None else step >= least)
-    frequent = sorted(((r["word"].encode(), r["c"]) for r in kept.collect()), key=lambda x: (-x[1], x[0]))
+    frequent = sorted(((r["word"].encode(), r["c"]) for r in most_frequent(counts, known).collect()), key=lambda x: (-x[1], x[0]))
     end = END.encode()
     one_by_one = dict([(w, c) for w, c in frequent if w != end][: symbols - 1])
     one_by_one[end] = dict(frequent).get(end, 0) or int((counts.where(F.col("word") == END).agg(F.sum("c")).first()[0]) or 0)
@@ -299,7 +374,7 @@ def _train_round(texts: DataFrame, model: GatedModel, vocabulary: Vocabulary, ra
         own, words = None, None
         tokens = 0
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, most_bytes=HELD):
                 if own is None:
                     begun, words = shared.value
                     own = GatedModel(words.symbol_counts, words.ending_mass, words.width, begun.state)
@@ -321,7 +396,7 @@ def _train_round(texts: DataFrame, model: GatedModel, vocabulary: Vocabulary, ra
         model.set_weights(flat)
 
 
-def fit(texts: DataFrame, rounds: int = 3, state: int = 16, rate: float = 0.01) -> tuple[DataFrame, Vocabulary, GatedModel]:
+def fit(texts: DataFrame, rounds: int = 3, state: int = 16, rate: float = 0.02) -> tuple[DataFrame, Vocabulary, GatedModel]:
     """Word counts of all ``texts``, the bounded tables, and the model.
 
     Counts cover every text, and so do the recurrent weights: they learn in ``rounds``, each from another of as many

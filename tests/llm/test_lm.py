@@ -79,24 +79,25 @@ def test_shares_of_the_next_symbol_add_up_to_one():
 def test_whole_texts_whatever_the_windows():
     model = small()
     draw = np.random.default_rng(3)
-    texts = [draw.integers(0, 8, n).astype(np.int32) for n in (1, 2, 150, 64, 65, 7, 129)]
+    texts = [draw.integers(0, 8, n).astype(np.int32) for n in (1, 2, 150, 64, 65, 7, 129, 1)]
 
     def alone(t):
         h, total = np.zeros((1, 4), dtype=np.float32), 0.0
         for c in t:
             total += model.logs(h, np.array([c]))[0][0]
-            h = model.step(h, np.array([c]))[0]
+            h = model.step(h.T, model.X[[c]].T)[0].T
         return total
 
     want = [alone(t) for t in texts]
     assert np.allclose(model.score(texts), want, rtol=1e-5) and np.allclose(model.score(texts, window=5, side=2), want, rtol=1e-5)
+    assert np.allclose(model.score(texts, window=1, side=3), want, rtol=1e-5) and model.score([]).shape == (0,)
 
 
 @pytest.mark.parametrize("name", GatedModel.NAMES)
 def test_slopes(name):
     """Training on one window moves each weight against the slope that small steps of the loss show."""
     draw = np.random.default_rng(4)
-    texts = [draw.integers(0, 8, n).astype(np.int32) for n in (12, 9, 5)]
+    texts = [draw.integers(0, 8, n).astype(np.int32) for n in (12, 9, 5)]  # two of them in one lane
     model = small()
     for n in model.NAMES:
         setattr(model, n, getattr(model, n).astype(np.float64))
@@ -109,12 +110,26 @@ def test_slopes(name):
             both.append(-model.score(texts).sum())
             getattr(model, name)[i] = before[i]
         slope[i] = (both[0] - both[1]) / 2e-4
-    model.train(texts, rate=1e-3, window=20, side=8)
+    model.train(texts, rate=1e-3, window=20, side=2)
     moved = getattr(model, name) - before
     big = np.abs(slope) > 0.02
     assert big.any() and (np.sign(moved[big]) == -np.sign(slope[big])).mean() > 0.99
 
 
+def test_a_very_long_text_and_tables_that_are_handed_on(spark):
+    import pickle
+
+    from lexisift.llm.gated_lm import Vocabulary
+
+    got = check(spark, [(3, "one Two three " * 60_000), (4, "one two"), (5, "x" * 300_000)], rounds=1)
+    assert got[3].n_tokens == 180_001 and got[3].score > got[3].base_score
+    voc = Vocabulary({b"a": 3, b"": 2, b"b": 1}, {b"a": 0, b"": 1}, np.array([3.0, 2.0]), 2, 4, np.ones(4), 6, 3)
+    again = pickle.loads(pickle.dumps(voc))
+    for v in (voc, again):
+        codes, places = v.look_up([b"a", b"b", b"c", "é".encode()])
+        assert codes[0] == 0 and codes[-1] == 1 and (codes[1:4] >= 2).all() and places.tolist() == [0, 2, -1, -1]
+
+
 def test_every_training_text_is_learned_from_once(spark, monkeypatch):
     from lexisift.llm import gated_lm
 
@@ -127,4 +142,4 @@ def test_every_training_text_is_learned_from_once(spark, monkeypatch):
 
 def test_learning_helps_held_out_texts(spark):
     rows = QUERIES["op2_lm_score"](spark, "/root/testdata/sf0.01").where("held_out").collect()
-    assert sum(r.score for r in rows) > 0.98 * sum(r.base_score for r in rows)
+    assert sum(r.score for r in rows) > 0.96 * sum(r.base_score for r in rows)
