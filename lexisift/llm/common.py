@@ -1,8 +1,7 @@
-"""What the operators of this subpackage share: durable intermediates, batch helpers, connected components."""
+"""What the operators of this subpackage share: batch helpers, counts of terms, joins on hot keys, connected components."""
 
 from __future__ import annotations
 
-import tempfile
 from collections import Counter
 from collections.abc import Callable, Iterable, Iterator
 
@@ -12,32 +11,13 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
 
 from ..shipping import shipped
+from ..tables import once as durable, remove, shared_folder  # noqa: F401
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The session's checkpoint folder; where none is configured, one in the warehouse, which executors share.
-
-    A temporary folder serves only where driver and executors are one process.
-    """
-    context = spark.sparkContext
-    if not context._jsc.sc().getCheckpointDir().isDefined():
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if not folder:
-            folder = tempfile.mkdtemp(prefix="lexisift-") if context.master.startswith("local") else f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_checkpoints"
-        context.setCheckpointDir(folder)
-    return context._jsc.sc().getCheckpointDir().get()
-
-
-def durable(df: DataFrame) -> DataFrame:
-    """The rows of ``df`` in the cluster's checkpoint folder, so that a lost executor costs no recomputation."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def texts_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Only the id and the text, under fixed names; a null text is the empty text."""
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
@@ -132,6 +112,19 @@ def remainder(id_col: str | Column, by: int) -> Column:
     return F.crc32(column.cast("string").cast("binary")) % by
 
 
+def with_values(rows: DataFrame, values: DataFrame, key: str, most: int = 1000) -> DataFrame:
+    """``rows`` joined with ``values``, which has one row for each key and in ``rows`` how many of the former have it.
+
+    Keys with more than one in ``most`` of all rows, which are fewer than ``most``, are broadcast, so that no task gets
+    all rows of one; the rest is shuffled.
+    """
+    total = values.agg(F.sum("rows")).first()[0] or 0
+    hot = values.where(F.col("rows") * most > total)
+    often = rows.join(F.broadcast(hot.drop("rows")), key)
+    seldom = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(values.where(F.col("rows") * most <= total).drop("rows"), key)
+    return often.unionByName(seldom)
+
+
 def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     """(node, component): the smallest node that links reach, for every node of an undirected edge list.
 

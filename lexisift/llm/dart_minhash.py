@@ -10,7 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .common import components, durable, map_texts, texts_of
+from .common import components, durable, map_texts, texts_of, with_values
 
 _ONE, _TWO = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 #: The lowest rank cell is [0, 2**-LOWEST); each further one doubles.
@@ -132,7 +132,11 @@ class Shingles:
 
 
 def sketch_documents(docs: DataFrame, bands: int, rows: int, size: int, weighted: bool) -> DataFrame:
-    """(doc_id, digest, n, bands): digest of the words, number of distinct shingles, a key for each band."""
+    """(doc_id, digest, bands): digest of the words, and a key for each band of the signature; no band where there is no word.
+
+    A shingle weighs as often as it stands in the text if ``weighted``, else 1. A null id stays null; repeated rows
+    are sketched each; an empty table gives an empty one.
+    """
 
     def make():
         shingles = Shingles(size)
@@ -153,68 +157,64 @@ def sketch_documents(docs: DataFrame, bands: int, rows: int, size: int, weighted
             offsets = np.zeros(len(sets) + 1, dtype=np.int32)
             offsets[1:] = np.cumsum(np.where(sizes > 0, bands, 0))
             lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys[sizes > 0].reshape(-1).view(np.int64)))
-            return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(digests, pa.binary()), pa.array(sizes), lists], ["doc_id", "digest", "n", "bands"])
+            return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(digests, pa.binary()), lists], ["doc_id", "digest", "bands"])
 
         return work
 
-    return map_texts(docs, make, "doc_id long, digest binary, n long, bands array<long>")
+    return map_texts(docs, make, "doc_id long, digest binary, bands array<long>")
 
 
-def parity(owner: np.ndarray, elements: np.ndarray, counts: np.ndarray | None, n: int) -> np.ndarray:
-    """``n`` x MARKS words of bits: whether the elements that hash to a bit, each as often as it counts, are odd in number.
+def parity(owner: np.ndarray, elements: np.ndarray, n: int) -> np.ndarray:
+    """``n`` x MARKS words of bits: whether the elements that hash to a bit are odd in number.
 
     Two sets differ in at least as many elements as bits, so the bits show that two are unlike but never hide that
     they are alike.
     """
     out = np.zeros((n, MARKS), dtype=np.uint64)
-    if counts is not None:
-        odd = counts % 2 == 1
-        owner, elements = owner[odd], elements[odd]
     bit = mix(elements, 12) % np.uint64(64 * MARKS)
     np.bitwise_xor.at(out.reshape(-1), owner * MARKS + (bit >> np.uint64(6)).astype(np.int64), np.uint64(1) << (bit & np.uint64(63)))
     return out
 
 
-def shingle_sets(docs: DataFrame, size: int, weighted: bool = False) -> DataFrame:
-    """(doc_id, shingles, counts, total, marks): the distinct shingles of each text, ascending, and how often each stands there.
+def unfolded(elements: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """A multiset as a set that has one element for each time: the weighted similarity of two is that of these sets."""
+    number = np.arange(int(counts.sum())) - np.repeat(np.cumsum(counts) - counts, counts)
+    return np.unique(np.repeat(elements, counts) + mix(number.astype(np.uint64), 3) * (number > 0).astype(np.uint64))
+
+
+def shingle_sets(docs: DataFrame, size: int, weighted: bool) -> DataFrame:
+    """(doc_id, shingles, marks): the shingles of each text, ascending, each as often as it stands there if ``weighted``.
 
-    ``total`` is how many they are, all of them if ``weighted``, and ``marks`` their parity.
+    See ``unfolded``; ``marks`` is their parity. A text without a word has none. A null id stays null; repeated rows
+    have a set each; an empty table gives an empty one.
     """
 
     def make():
         shingles = Shingles(size)
 
+        def own(text: str) -> np.ndarray:
+            distinct, counts = np.unique(shingles.of(shingles.words(text)), return_counts=True)
+            return unfolded(distinct, counts) if weighted and len(distinct) and counts.max() > 1 else distinct
+
         def work(ids: list, texts: list[str]) -> pa.RecordBatch:
-            sets = [np.unique(shingles.of(shingles.words(t)), return_counts=True) for t in texts]
-            sizes = [len(s) for s, _ in sets]
-            offsets = pa.array(np.cumsum([0, *sizes]).astype(np.int32))
-            flat, counts = np.concatenate([s for s, _ in sets]), np.concatenate([c for _, c in sets])
-            marks = parity(np.repeat(np.arange(len(sets)), sizes), flat, counts if weighted else None, len(sets))
-            totals = [int(c.sum()) for _, c in sets] if weighted else sizes
-            columns = [pa.array(ids, pa.int64()), pa.ListArray.from_arrays(offsets, pa.array(flat.view(np.int64))), pa.ListArray.from_arrays(offsets, pa.array(counts)), pa.array(totals, pa.int64()), pa.array([m.tobytes() for m in marks], pa.binary())]
-            return pa.RecordBatch.from_arrays(columns, ["doc_id", "shingles", "counts", "total", "marks"])
+            sets = list(map(own, texts))
+            sizes = [len(s) for s in sets]
+            offsets, flat = pa.array(np.cumsum([0, *sizes]).astype(np.int32)), np.concatenate(sets)
+            marks = parity(np.repeat(np.arange(len(sets)), sizes), flat, len(sets))
+            columns = [pa.array(ids, pa.int64()), pa.ListArray.from_arrays(offsets, pa.array(flat.view(np.int64))), pa.array([m.tobytes() for m in marks], pa.binary())]
+            return pa.RecordBatch.from_arrays(columns, ["doc_id", "shingles", "marks"])
 
         return work
 
-    return map_texts(docs, make, "doc_id long, shingles array<long>, counts array<long>, total long, marks binary")
+    return map_texts(docs, make, "doc_id long, shingles array<long>, marks binary")
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, threshold: float, weighted: bool) -> DataFrame:
+def _verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     """Those pairs (x, y) whose ``sets`` are at least ``threshold`` alike."""
-    own = ["shingles"] + ["counts"] * weighted
-    x = sets.select(F.col("doc_id").alias("x"), *(F.col(c).alias(f"x_{c}") for c in own))
-    y = sets.select(F.col("doc_id").alias("y"), *(F.col(c).alias(f"y_{c}") for c in own))
-    both = pairs.join(x, "x").join(y, "y")
-    if weighted:
-        zero = F.lit(0).cast("long")
-        total = lambda c: F.aggregate(c, zero, lambda a, b: a + b)
-        pair_up = lambda s: F.map_from_arrays(f"{s}_shingles", f"{s}_counts")
-        common = total(F.map_values(F.map_zip_with(pair_up("x"), pair_up("y"), lambda k, a, b: F.least(F.coalesce(a, zero), F.coalesce(b, zero)))))
-        union = total(F.col("x_counts")) + total(F.col("y_counts")) - common
-    else:
-        common = F.size(F.array_intersect("x_shingles", "y_shingles"))
-        union = F.size("x_shingles") + F.size("y_shingles") - common
-    return both.where(common >= F.lit(threshold) * union).select("x", "y").distinct()
+    x, y = (sets.select(F.col("doc_id").alias(c), F.col("shingles").alias(f"{c}_set")) for c in ("x", "y"))
+    common = F.size(F.array_intersect("x_set", "y_set"))
+    alike = common >= F.lit(threshold) * (F.size("x_set") + F.size("y_set") - common)
+    return pairs.join(x, "x").join(y, "y").where(alike).select("x", "y").distinct()
 
 
 def _pairs(members: DataFrame, centre_only: bool = False) -> DataFrame:
@@ -225,15 +225,16 @@ def _pairs(members: DataFrame, centre_only: bool = False) -> DataFrame:
     """
     drawn, own = F.xxhash64("doc", "key"), F.struct("doc", "class")
     heads = members.groupBy("key").agg(
-        F.max_by(own, "centre").alias("a"), F.min_by(own, "doc").alias("b"), F.max_by(own, "doc").alias("c"), F.min_by(own, drawn).alias("d")
-    ).where("b.doc <> c.doc")
+        F.max_by(own, "centre").alias("a"), F.min_by(own, "doc").alias("b"), F.max_by(own, "doc").alias("c"), F.min_by(own, drawn).alias("d"), F.count("*").alias("rows")
+    )
     with_ = ["a"] if centre_only else ["a", "b", "c", "d"]
-    each = members.join(heads, "key").select("doc", "class", F.explode(F.array_distinct(F.array(*with_))).alias("head")).where("class <> head.class")
+    met = with_values(members, durable(heads), "key").where("b.doc <> c.doc")
+    each = met.select("doc", "class", F.explode(F.array_distinct(F.array(*with_))).alias("head")).where("class <> head.class")
     return each.select(F.least("doc", "head.doc").alias("x"), F.greatest("doc", "head.doc").alias("y")).distinct()
 
 
 class _Marked:
-    """Rows (doc, class, total, marks) of a group."""
+    """Rows (doc, class, total, marks) of a group; ``total`` is the size of a row's set."""
 
     def __init__(self, group: pa.Table, threshold: float):
         self.ids, self.totals = group.column("doc").to_numpy(), group.column("total").to_numpy()
@@ -279,7 +280,7 @@ def _possible_links(threshold: float) -> Callable[[pa.Table], pa.RecordBatch | N
     return work
 
 
-def _exact_links(threshold: float, weighted: bool) -> Callable[[pa.Table], pa.RecordBatch | None]:
+def _exact_links(threshold: float) -> Callable[[pa.Table], pa.RecordBatch | None]:
     """Of a group: links by exact similarity, enough of them to join all classes that any pair of it joins."""
     from .lattice import _sides
 
@@ -289,7 +290,6 @@ def _exact_links(threshold: float, weighted: bool) -> Callable[[pa.Table], pa.Re
         lists = group.column("shingles").combine_chunks()
         sizes = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
         element = np.unique(lists.flatten().to_numpy(), return_inverse=True)[1]
-        counts = group.column("counts").combine_chunks().flatten().to_numpy() if weighted else np.ones(len(element), dtype=np.int64)
         starts = np.cumsum(sizes) - sizes
         held = np.zeros(int(element.max()) + 1, dtype=np.int64)
         x, y = [], []
@@ -300,10 +300,10 @@ def _exact_links(threshold: float, weighted: bool) -> Callable[[pa.Table], pa.Re
             if not len(others):
                 continue
             own = slice(starts[i], starts[i] + sizes[i])
-            held[element[own]] = counts[own]
+            held[element[own]] = 1
             first = np.cumsum(sizes[others]) - sizes[others]
             at = np.arange(int(sizes[others].sum())) + np.repeat(starts[others] - first, sizes[others])
-            common = np.add.reduceat(np.minimum(held[element[at]], counts[at]), first)
+            common = np.add.reduceat(held[element[at]], first)
             held[element[own]] = 0
             hit = others[common >= threshold * (rows.totals[i] + rows.totals[others] - common)]
             found, one = np.unique(rows.label[hit], return_index=True)
@@ -315,7 +315,7 @@ def _exact_links(threshold: float, weighted: bool) -> Callable[[pa.Table], pa.Re
     return work
 
 
-def _between_classes(members: DataFrame, sets: DataFrame, threshold: float, weighted: bool) -> DataFrame:
+def _between_classes(members: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     """(x, y) that join all classes of which two members (key, doc, class) share a bucket and are ``threshold`` alike.
 
     Every member is compared with those of all other classes in its bucket, in parts, first by parity marks, which
@@ -324,45 +324,48 @@ def _between_classes(members: DataFrame, sets: DataFrame, threshold: float, weig
     from .lattice import _grouped, _in_parts
 
     several = members.groupBy("key").agg(F.min("class").alias("p"), F.max("class").alias("q")).where("p <> q").select("key")
-    own = sets.where("total > 0").withColumnRenamed("doc_id", "doc")
+    own = sets.select(F.col("doc_id").alias("doc"), F.size("shingles").cast("long").alias("total"), "marks", "shingles").where("total > 0")
     rows = durable(members.join(several, "key"))  # marks and sets come to rows that are dealt already, so that they move once
     dealt = _in_parts(rows, "key", "doc").join(own.select("doc", "total", "marks"), "doc")
     possible = durable(_grouped(dealt, "key", _possible_links(threshold), "x long, y long").where("x <> y").distinct())
     if possible.isEmpty():
         return possible
     groups = durable(components(possible, "x", "y").select(F.col("node").alias("doc"), F.col("component").alias("group")))
-    sizes = own.groupBy("doc").agg(F.sum(F.size("shingles")).alias("elements"))
+    sizes = own.groupBy("doc").agg(F.sum("total").alias("elements"))
     near = groups.join(rows.select("doc", "class").distinct(), "doc").join(sizes, "doc")
-    dealt = _in_parts(near, "group", "doc", "elements", ELEMENTS).drop("elements").join(own.select("doc", "total", "marks", "shingles", *(["counts"] * weighted)), "doc")
-    return durable(_grouped(dealt, "group", _exact_links(threshold, weighted), "x long, y long"))
+    dealt = _in_parts(near, "group", "doc", "elements", ELEMENTS).drop("elements").join(own, "doc")
+    return durable(_grouped(dealt, "group", _exact_links(threshold), "x long, y long"))
 
 
-def near_duplicates(docs: DataFrame, threshold: float = 0.8, size: int = 5, bands: int = 30, rows: int = 5, weighted: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, threshold: float = 0.8, size: int = 5, bands: int = 30, rows: int = 5, weighted: bool = True, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, component_id, kept), a row for each row of ``docs``.
 
-    Texts link at a Jaccard similarity of ``threshold`` or more of their sets of ``size``-word shingles (of their
-    multisets if ``weighted``), lower-cased and parted by white space; ``component_id`` is the least id that links
-    reach, ``kept`` tells the row that stays of each class. Texts with the same words are one from the start. Of
-    the rest, those that share a band are compared with the leading member of its bucket, exactly, from their
-    shingles; then two of each class found in a bucket with four leading ones, until a round finds no link; then
-    each with those of all other classes in its bucket, so that no two that share a band and link stay parted.
-
-    Texts without a word, null ones among them, have the same words, so they are one class. Rows with a null id
-    link with nothing and stay, with a null component. Rows that share an id are one document with several
-    texts, of which the first by text stays; other columns are ignored; an empty table gives an empty one.
+    Texts link at a weighted Jaccard similarity of ``threshold`` or more of their ``size``-word shingles, lower-cased and
+    parted by white space, each weighing as often as it stands in its text (or 1 each, if not ``weighted``);
+    ``component_id`` is the least id that links reach, ``kept`` tells the row that stays of each class. Texts with the
+    same words are one from the start. Of the rest, those that share a band are compared with the leading member of
+    its bucket, exactly, from their shingles; then two of each class found in a bucket with four leading ones, until
+    a round finds no link; then each with those of all other classes in its bucket, so that no two that share a band
+    and link stay parted.
+
+    Texts without a word, null ones among them, have the same words, so they are one class. A text of any length is
+    read whole. Rows with a null id link with nothing and stay, with a null component. Rows that share an id are one
+    document with several texts, of which the first by text stays; other columns are ignored; an empty table gives
+    an empty one.
     """
     texts = texts_of(docs, id_col, text_col)
     sketched = durable(sketch_documents(texts, bands, rows, size, weighted))
-    same = sketched.where("doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("rep"))
-    alone = durable(sketched.select("doc_id", "digest", "bands").join(same, "digest").where("doc_id = rep").select("doc_id", "bands"))
+    told = sketched.where("doc_id is not null")
+    same = durable(told.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count("*").alias("rows")))
+    alone = durable(sketched.join(same.select(F.col("rep").alias("doc_id"), "digest"), ["doc_id", "digest"], "left_semi").select("doc_id", "bands"))
     keyed = alone.select(F.col("doc_id").alias("doc"), F.explode("bands").alias("key"))
-    met = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("doc").alias("a"), F.max("doc").alias("b")).where("a <> b").select("key", "n")
-    live = durable(keyed.join(met, "key"))
+    met = keyed.groupBy("key").agg(F.count("*").alias("rows"), F.min("doc").alias("a"), F.max("doc").alias("b")).where("a <> b").select("key", "rows")
+    live = durable(with_values(keyed, durable(met.withColumn("n", F.col("rows"))), "key"))
     centre = live.groupBy("doc").agg(F.sum("n").alias("centre"))
     members = durable(live.join(centre, "doc").select("key", "doc", "centre"))
     sets = durable(shingle_sets(texts.join(centre.select(F.col("doc").alias("doc_id")), "doc_id", "left_semi"), size, weighted))
     tried = durable(_pairs(members.withColumn("class", F.col("doc")), centre_only=True))
-    links = durable(_verified(tried, sets, threshold, weighted))
+    links = durable(_verified(tried, sets, threshold))
     turn = 0
     while True:
         turn += 1
@@ -373,27 +376,26 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, size: int = 5, band
         several_ = two.join(two.groupBy("key").agg(F.min("class").alias("p"), F.max("class").alias("q")).where("p <> q").select("key"), "key")
         spoken = several_.select("key", "class", "centre", F.explode("docs").alias("doc"))
         pairs = durable(_pairs(spoken).join(tried, ["x", "y"], "left_anti"))
-        found = durable(_verified(pairs, sets, threshold, weighted))
+        found = durable(_verified(pairs, sets, threshold))
         if found.isEmpty():
             break
         tried, links = durable(tried.union(pairs)), durable(links.union(found))
-    rest = _between_classes(held.select("key", "doc", F.coalesce("component", "doc").alias("class")), sets, threshold, weighted)
+    rest = _between_classes(held.select("key", "doc", F.coalesce("component", "doc").alias("class")), sets, threshold)
     if not rest.isEmpty():
         links = durable(links.union(rest))
         classes = durable(components(links, "x", "y"))
     # rows with the same words, rows with the same id, and links all join classes
-    copies = sketched.where("doc_id is not null").select("digest", "doc_id").distinct().join(same, "digest").where("doc_id <> rep").select(F.col("doc_id").alias("x"), F.col("rep").alias("y"))
-    several = sketched.where("doc_id is not null").groupBy("doc_id").agg(F.min("digest").alias("p"), F.max("digest").alias("q")).where("p <> q")
-    if several.isEmpty():  # then a copy has one text, and its class is that of the text
-        roots = copies.select(F.col("x").alias("node"), F.col("y").alias("rep")).join(classes.withColumnRenamed("node", "rep"), "rep", "left").select("node", F.coalesce("component", "rep").alias("component"))
-        member = classes.union(roots)
-    else:
-        member = components(links.union(copies), "x", "y")
-    rows_ = sketched.select("doc_id", "digest")
-    out = rows_.join(member, rows_["doc_id"] == member["node"], "left").select("doc_id", "digest", F.coalesce("component", "doc_id").alias("component_id"))
-    if several.isEmpty():
-        repeated = out.where("doc_id = component_id").groupBy("doc_id").count().where("count > 1")
-        if repeated.isEmpty():
-            return out.select("doc_id", "component_id", (F.col("doc_id").isNull() | (F.col("doc_id") == F.col("component_id"))).alias("kept"))
-    number = F.row_number().over(Window.partitionBy("doc_id").orderBy("digest"))
-    return out.select("doc_id", "component_id", (F.col("doc_id").isNull() | ((F.col("doc_id") == F.col("component_id")) & (number == 1))).alias("kept"))
+    several = told.groupBy("doc_id").agg(F.min("digest").alias("p"), F.max("digest").alias("q"), F.count("*").alias("rows")).where("rows > 1")
+    repeated = durable(several.select("doc_id", (F.col("p") != F.col("q")).alias("differ")))
+    if not repeated.where("differ").isEmpty():
+        copies = with_values(told.select("digest", "doc_id"), same, "digest").where("doc_id <> rep").select(F.col("doc_id").alias("x"), F.col("rep").alias("y")).distinct()
+        member = durable(components(links.union(copies), "x", "y"))
+        out = told.join(member, told["doc_id"] == member["node"], "left").select("doc_id", "digest", F.coalesce("component", "doc_id").alias("component_id"))
+    else:  # a copy has one text, and its class is that of the text
+        of_text = same.join(classes, same["rep"] == classes["node"], "left").select("digest", "rows", F.coalesce("component", "rep").alias("component_id"))
+        out = with_values(told.select("doc_id", "digest"), durable(of_text), "digest").select("doc_id", "digest", "component_id")
+    kept = F.col("doc_id") == F.col("component_id")
+    if not repeated.isEmpty():
+        kept = kept & (F.row_number().over(Window.partitionBy("doc_id").orderBy("digest")) == 1)
+    nameless = sketched.where("doc_id is null").select("doc_id", F.lit(None).cast("long").alias("component_id"), F.lit(True).alias("kept"))
+    return out.select("doc_id", "component_id", kept.alias("kept")).union(nameless)

@@ -188,7 +188,10 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 
 def license_report(scans: DataFrame) -> DataFrame:
-    """Counts and places of the base list, and all labels as text, from the rows of ``scan_licenses``."""
+    """Counts and places of the base list, and all labels as text, a row for each of ``scan_licenses``.
+
+    Without a place of the base list both words are null and the labels empty; a null id stays null.
+    """
     base = F.filter("hits", lambda h: h["base"])
     places = F.transform(base, lambda h: h["word"])
     return scans.select(

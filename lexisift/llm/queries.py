@@ -143,11 +143,13 @@ ORACLES["op5_near_duplicates"] = r"""
 with recursive texts as (
     select doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '\s+'), lambda x: x <> '') as w from documents
 ), shingles as (
-    select distinct doc_id, unnest(list_transform(range(1, greatest(len(w) - 4, 1) + 1), lambda i: array_to_string(w[i:i + 4], ' '))) as s from texts
+    select doc_id, s, count(*) as n from (
+        select doc_id, unnest(list_transform(range(1, greatest(len(w) - 4, 1) + 1), lambda i: array_to_string(w[i:i + 4], ' '))) as s from texts
+    ) group by all
 ), sizes as (
-    select doc_id, count(*) as n from shingles group by doc_id
+    select doc_id, sum(n) as n from shingles group by doc_id
 ), common as (
-    select a.doc_id as x, b.doc_id as y, count(*) as c from shingles a join shingles b on a.s = b.s and a.doc_id < b.doc_id group by all
+    select a.doc_id as x, b.doc_id as y, sum(least(a.n, b.n)) as c from shingles a join shingles b on a.s = b.s and a.doc_id < b.doc_id group by all
 ), links as (
     select x, y from common join sizes a on a.doc_id = x join sizes b on b.doc_id = y where c >= 0.8 * (a.n + b.n - c)
 ), both_ways as (

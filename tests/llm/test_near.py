@@ -1,4 +1,4 @@
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
@@ -7,10 +7,13 @@ from lexisift.llm.common import components
 from lexisift.llm.dart_minhash import near_duplicates, sketch
 
 
-def brute(texts, threshold=0.8):
+def brute(texts, threshold=0.8, weighted=True):
     """The least id of each class, by all pairs that share a shingle."""
     words = {i: (t or "").lower().split() for i, t in texts.items()}
-    sets = {i: {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} for i, w in words.items()}
+    sets = {i: Counter(tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))) for i, w in words.items()}
+    if not weighted:
+        sets = {i: dict.fromkeys(s, 1) for i, s in sets.items()}
+    sizes = {i: sum(s.values()) for i, s in sets.items()}
     root = {i: i for i in texts}
 
     def find(i):
@@ -23,21 +26,22 @@ def brute(texts, threshold=0.8):
         for x in s:
             where[x].append(i)
     common = defaultdict(int)
-    for own in where.values():
+    for x, own in where.items():
         for a in range(len(own)):
             for b in range(a):
-                common[own[b], own[a]] += 1
+                common[own[b], own[a]] += min(sets[own[b]][x], sets[own[a]][x])
     for (a, b), n in common.items():
-        if n >= threshold * (len(sets[a]) + len(sets[b]) - n):
+        if n >= threshold * (sizes[a] + sizes[b] - n):
             a, b = sorted((find(a), find(b)))
             root[b] = a
     return {i: find(i) for i in texts}
 
 
-def test_classes_equal_brute_force(spark):
+@pytest.mark.parametrize("weighted", [False, True])
+def test_classes_equal_brute_force(spark, weighted):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("doc_id < 700")
-    want = brute({r.doc_id: r.text for r in docs.collect()})
-    rows = near_duplicates(docs).collect()
+    want = brute({r.doc_id: r.text for r in docs.collect()}, weighted=weighted)
+    rows = near_duplicates(docs, weighted=weighted).collect()
     assert {r.doc_id: r.component_id for r in rows} == want and all(r.kept == (r.doc_id == r.component_id) for r in rows)
 
 
@@ -57,6 +61,16 @@ def test_rows_that_share_an_id(spark):
     assert sorted(r.doc_id for r in rows if r.kept) == [1, 4]
 
 
+def test_weights_tell_how_often_a_shingle_stands_in_a_text(spark):
+    """One text says the same eight times over: the sets of the two are alike, the multisets are not."""
+    once = " ".join(f"w{i}" for i in range(60))
+    rows = [(1, once), (2, f"{once} {once} {once} {once}"), (3, f"{once} {once} {once} {once} {once[:-4]}"), (4, " ".join(["z"] * 50_000)), (5, " ".join(["z"] * 45_000)), (6, " ".join(["z"] * 30_000))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in near_duplicates(docs).collect()} == brute(dict(rows)) == {1: 1, 2: 2, 3: 2, 4: 4, 5: 4, 6: 6}
+    sets = {r.doc_id: r.component_id for r in near_duplicates(docs, weighted=False).collect()}
+    assert sets == brute(dict(rows), weighted=False) and sets[6] == 4
+
+
 def words(name, n):
     return [f"{name}_{i}" for i in range(n)]
 
