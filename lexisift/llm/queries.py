@@ -161,3 +161,69 @@ with recursive texts as (
 )
 select doc_id, component_id, doc_id = component_id as kept from classes
 """
+
+
+#: The CRC-32 of a text of ASCII characters, bit by bit.
+CRC32 = """xor(4294967295, list_reduce(list_transform(string_split(cast({0} as varchar), ''), lambda x: cast(ascii(x) as ubigint)), lambda crc, b:
+    list_reduce([0, 1, 2, 3, 4, 5, 6, 7], lambda c, i: xor(c >> 1, (c & 1) * 3988292384), xor(crc, b)), cast(4294967295 as ubigint)))"""
+ASCII_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+@query
+def base_license_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What op3 tells of the base list of phrases."""
+    return op3_license_scan(spark, sf_dir).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels")
+
+
+ORACLES["base_license_places"] = rf"""
+with texts as (
+    select doc_id, regexp_extract_all({ASCII_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from documents
+), found as (
+    select doc_id, len(w) as n_words,
+        list_filter(range(0, len(w)), lambda i: w[i + 1:i + 2] = ['cc', 'by']) as cc,
+        list_filter(range(0, len(w)), lambda i: w[i + 1:i + 3] = ['general', 'public', 'license']) as gpl,
+        list_filter(range(0, len(w)), lambda i: w[i + 1:i + 3] = ['all', 'rights', 'reserved']) as res from texts
+)
+select doc_id, n_words, len(cc) + len(gpl) + len(res) as n_base, list_min(cc || gpl || res) as first_word, list_max(cc || gpl || res) as last_word,
+    array_to_string(list_filter([case when len(cc) > 0 then 'cc-by' end, case when len(gpl) > 0 then 'gpl' end, case when len(res) > 0 then 'reserved' end], lambda x: x is not null), ',') as base_labels
+from found
+"""
+
+
+@query
+def base_quality_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What op6 counts, and its base verdict."""
+    return op6_quality_rules(spark, sf_dir).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+
+
+ORACLES["base_quality_counts"] = r"""
+with texts as (
+    select doc_id, coalesce(text, '') as text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w,
+        list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) as lines from documents
+), windows as (
+    select doc_id, i, count(*) over (partition by doc_id, win) as n from (select doc_id, unnest(range(1, len(w) - 1)) as i, unnest(list_transform(range(1, len(w) - 1), lambda i: w[i:i + 2])) as win from texts where len(w) > 2)
+), repeated as (
+    select doc_id, count(distinct spot) as n from (select doc_id, unnest([i, i + 1, i + 2]) as spot from windows where n > 1) group by doc_id
+), counted as (
+    select t.doc_id, len(w) as n_words, length(array_to_string(w, '')) as word_chars, length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) as n_symbols,
+        len(lines) - len(list_distinct(lines)) as n_dup_lines, coalesce(r.n, 0) as n_repeat_words from texts t left join repeated r using (doc_id)
+)
+select *, n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed from counted
+"""
+
+
+@query
+def base_lm_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What op2 tells of texts by counts alone."""
+    return op2_lm_score(spark, sf_dir).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", F.round("base_score", 5).alias("base_score"))
+
+
+ORACLES["base_lm_counts"] = rf"""
+with texts as (
+    select doc_id, {CRC32.format("doc_id")} % 10 = 0 as held_out, list_append(regexp_extract_all({ASCII_LOWER}, '[^\x20\x09-\x0D]+'), '') as w from documents
+), tokens as (select doc_id, held_out, unnest(w) as word from texts
+), counts as (select word, count(*) as c from tokens where not held_out group by word
+), totals as (select coalesce(sum(c), 0) as n, count(*) as v from counts)
+select doc_id, held_out, count(*) as n_tokens, count(c) as n_known, cast(any_value(n) as bigint) as train_tokens, round(sum(log10((coalesce(c, 0) + 0.1) / (n + 0.1 * (v + 1)))), 5) as base_score
+from tokens left join counts using (word), totals group by doc_id, held_out
+"""
