@@ -14,8 +14,9 @@ from ..shipping import shipped
 from .byte_bpe import byte_level
 from .common import durable, map_texts
 
-#: Rows of one length are numbered in so many shares, so that a hot length is dealt over tasks.
-SHARES = 64
+#: Rows of one length are numbered in shares of about ROWS, so that a hot length is dealt over tasks; all lengths
+#: together have at most SHARES shares, the bound of what comes to the driver, and one for each length.
+ROWS, SHARES = 50_000, 1 << 16
 
 
 def cut_documents(docs: DataFrame, tokenizer: str, most: int = 2048, end_id: int = 1, with_ids: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -84,16 +85,24 @@ def shortest_pack_first(counts: dict[int, int], most: int) -> list[tuple[int, in
 def pack(pieces: DataFrame, most: int = 2048) -> DataFrame:
     """The pieces with ``sequence_id`` and ``offset``: sequences of at most ``most`` ids, filled from 0 without gaps.
 
-    Only the histogram of lengths, by share, comes to the driver: at most ``most`` times SHARES counts, however
-    many pieces there are. Rows are numbered within a length and share, and a row's number leads to its
-    placement. Repeated pieces are placed each; an empty table gives an empty one.
+    Only the histogram of lengths, by share, comes to the driver. Rows are numbered within a length and share, and a
+    row's number leads to its placement. Which of the pieces of one length goes where hangs on how they are stored.
+    Repeated pieces and those with a null id are placed like others; an empty table gives an empty one.
     """
-    keyed = durable(pieces.withColumn("share", F.pmod(F.xxhash64("doc_id", "start"), F.lit(SHARES)).cast("int")))
-    histogram = np.zeros((most + 1, SHARES), dtype=np.int64)
-    for row in keyed.groupBy("length", "share").count().collect():
-        histogram[row["length"], row["share"]] = row["count"]
-    before = histogram.cumsum(axis=1) - histogram
-    totals = histogram.sum(axis=1)
+    pieces = durable(pieces)
+    totals = np.zeros(most + 1, dtype=np.int64)
+    for row in pieces.groupBy("length").count().collect():
+        totals[row["length"]] = row["count"]
+    shares = -(-totals // max(ROWS, -(-int(totals.sum()) // SHARES)))
+    first = np.cumsum(shares) - shares
+    # by place in the written pieces, not by id, so that no id and no null puts its rows into one share
+    share = F.pmod(F.monotonically_increasing_id(), F.element_at(F.lit(np.maximum(shares, 1).tolist()), F.col("length").cast("int") + 1))
+    keyed = pieces.withColumn("share", (F.element_at(F.lit(first.tolist()), F.col("length").cast("int") + 1) + share).cast("int"))
+    held = np.zeros(int(shares.sum()), dtype=np.int64)
+    for row in keyed.groupBy("share").count().collect():
+        held[row["share"]] = row["count"]
+    before = np.cumsum(held) - held
+    before -= np.repeat(before[first[shares > 0]], shares[shares > 0])
     placed = np.array(shortest_pack_first({int(n): int(totals[n]) for n in np.nonzero(totals)[0]}, most), dtype=np.int64).reshape(-1, 5)
     order = np.lexsort((placed[:, 1], placed[:, 0]))
     placed = placed[order]
@@ -102,7 +111,7 @@ def pack(pieces: DataFrame, most: int = 2048) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             length, share, rank = (batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("length", "share", "rank"))
-            rank = rank - 1 + before[length, share]
+            rank = rank - 1 + before[share]
             at = np.searchsorted(starts, length << 44 | rank, side="right") - 1
             kept = [c for c in batch.schema.names if c not in ("share", "rank")]
             yield pa.RecordBatch.from_arrays(
@@ -110,7 +119,7 @@ def pack(pieces: DataFrame, most: int = 2048) -> DataFrame:
                 [*kept, "sequence_id", "offset"],
             )
 
-    numbered = keyed.withColumn("rank", F.row_number().over(Window.partitionBy("length", "share").orderBy("doc_id", "start")).cast("long"))
+    numbered = keyed.withColumn("rank", F.row_number().over(Window.partitionBy("share").orderBy("doc_id", "start")).cast("long"))
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in pieces.schema.fields) + ", sequence_id long, offset long"
     return shipped(numbered).mapInArrow(run, schema)
 
