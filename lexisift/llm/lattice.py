@@ -15,9 +15,11 @@ from .common import components, durable
 from .dart_minhash import mix
 
 #: Rows that are compared with each other at once; a group of more is parted and its parts are compared in pairs.
-PART = 2048
-#: Sign bits of random projections, and how many may differ. At cosine 0.95 the mean is 13 and the deviation 3.4.
-SIGNS, SIGNS_APART = 128, 32
+PART, DENSE_PART = 2048, 512
+#: Sign bits of random projections, in words of 64, and by how many deviations more than the mean of them may differ.
+SIGN_WORDS, DEVIATIONS = 4, 5.8
+#: Pairs that a group of a cell may name for each of its rows; of more, they are told by what they reach.
+NAMED = 8
 
 
 def _even_integers(x: np.ndarray) -> np.ndarray:
@@ -66,12 +68,18 @@ def cells(unit: np.ndarray, tables: int, probes: int, width: float, seed: int =
 
 
 def signs(unit: np.ndarray, seed: int = 12) -> np.ndarray:
-    """n x 2 of 64 sign bits of random projections."""
+    """n x SIGN_WORDS words of sign bits of random projections."""
     draw = np.random.default_rng([seed, unit.shape[1]])
-    bits = unit @ draw.normal(size=(unit.shape[1], SIGNS)) > 0
+    bits = unit @ draw.normal(size=(unit.shape[1], 64 * SIGN_WORDS)) > 0
     return np.packbits(bits, axis=1).view(np.uint64)
 
 
+def signs_apart(threshold: float) -> int:
+    """How many signs may differ of a pair at the threshold; a pair above it differs in more about once in a hundred million."""
+    share, n = np.arccos(np.clip(threshold, -1, 1)) / np.pi, 64 * SIGN_WORDS
+    return int(np.ceil(n * share + DEVIATIONS * np.sqrt(n * share * (1 - share))))
+
+
 def _unit(v: np.ndarray) -> np.ndarray:
     v = v / np.abs(v).max(axis=1, keepdims=True)
     return v / np.linalg.norm(v, axis=1, keepdims=True)
@@ -95,14 +103,14 @@ def _least_labels(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
             return label
 
 
-def _in_parts(rows: DataFrame, key: str, id_col: str, weight: str | None = None, most: int = PART) -> DataFrame:
+def _in_parts(rows: DataFrame, key: str, id_col: str, weight: str | None = None, most: int | None = None) -> DataFrame:
     """``rows`` in groups (key, g, h) of two parts of a key's rows at most, ``side`` telling which; alone in a key: left out.
 
-    A key's rows are dealt over parts of about ``most``, in rows or in the sum of ``weight``, by a hash of the id,
-    and every two parts, or a part with itself, are a group.
+    A key's rows are dealt over parts of about ``most`` (PART without it), in rows or in the sum of ``weight``, by a
+    hash of the id, and every two parts, or a part with itself, are a group.
     """
     sizes = rows.groupBy(key).agg(F.count("*").alias("rows"), F.sum(weight or F.lit(1)).alias("size")).where("rows > 1").drop("rows")
-    parts = F.ceil(F.col("size") / F.lit(most)).cast("int")
+    parts = F.ceil(F.col("size") / F.lit(most or PART)).cast("int")
     dealt = rows.join(sizes, key).withColumn("parts", parts).withColumn("q", F.pmod(F.xxhash64(id_col, F.lit(5)), F.col("parts")).cast("int"))
     both = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     return both.withColumn("g", F.least("q", "other")).withColumn("h", F.greatest("q", "other")).withColumn("side", F.when(F.col("q") == F.col("g"), 0).otherwise(1)).drop("size", "parts", "q", "other")
@@ -141,28 +149,42 @@ def _sides(group: pa.Table) -> tuple[np.ndarray, np.ndarray, bool]:
     return left, left if alone else np.flatnonzero(side == 1), alone
 
 
-def _sketch_links(group: pa.Table) -> pa.RecordBatch | None:
-    """Each row that is like another of its cell, with the least of those that it reaches in the group."""
-    ids, home = group.column("id").to_numpy(), group.column("home").to_numpy(zero_copy_only=False)
-    s = np.stack([group.column(c).to_numpy().view(np.uint64) for c in ("s1", "s2")], axis=1)
-    left, right, alone = _sides(group)
-    found = []
-    for i in range(0, len(left), 512):
-        own = left[i : i + 512]
-        apart = sum(np.bitwise_count(s[own, None, k] ^ s[None, right, k]).astype(np.int16) for k in (0, 1))
-        a, b = np.nonzero((apart <= SIGNS_APART) & (home[own][:, None] | home[right][None]))
-        a, b = own[a], right[b]
-        keep = a < b if alone else a != b
-        found.append((a[keep], b[keep]))
-    a, b = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.empty(0, int),) * 2
-    if not len(a):
-        return None
-    order = np.argsort(ids, kind="stable")
-    place = np.empty_like(order)
-    place[order] = np.arange(len(order))
-    label = ids[order][_least_labels(len(ids), place[a], place[b])][place]
-    linked = np.unique(np.concatenate([a, b]))
-    return pa.RecordBatch.from_arrays([pa.array(ids[linked]), pa.array(label[linked])], ["x", "y"])
+def _sketch_links(threshold: float) -> Callable[[pa.Table], pa.RecordBatch | None]:
+    """Pairs (x, y) of a cell whose signs are alike; where they are many, each row that has one with the least that it reaches."""
+    most = signs_apart(threshold)
+
+    def work(group: pa.Table) -> pa.RecordBatch | None:
+        ids, home = group.column("id").to_numpy(), group.column("home").to_numpy(zero_copy_only=False)
+        s = np.stack([group.column(f"s{k}").to_numpy().view(np.uint64) for k in range(SIGN_WORDS)], axis=1)
+        left, right, alone = _sides(group)
+        order = np.argsort(ids, kind="stable")
+        place = np.empty_like(order)
+        place[order] = np.arange(len(order))
+        x, y, reach, pairs = [], [], np.arange(len(ids)), 0
+        for i in range(0, len(left), 512):
+            own = left[i : i + 512]
+            apart = sum(np.bitwise_count(s[own, None, k] ^ s[None, right, k]).astype(np.int16) for k in range(SIGN_WORDS))
+            a, b = np.nonzero((apart <= most) & (home[own][:, None] | home[right][None]))
+            a, b = place[own[a]], place[right[b]]
+            keep = a < b if alone else a != b
+            a, b = a[keep], b[keep]
+            reach = _least_labels(len(ids), np.concatenate([a, np.arange(len(ids))]), np.concatenate([b, reach]))
+            pairs += len(a)
+            if pairs <= NAMED * len(ids):
+                x.append(a)
+                y.append(b)
+        if not pairs:
+            return None
+        named = pairs <= NAMED * len(ids)
+        if named:
+            a, b = np.concatenate(x), np.concatenate(y)
+        else:
+            a = np.flatnonzero(reach != np.arange(len(ids)))
+            b = reach[a]
+        a, b = ids[order][a], ids[order][b]
+        return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(np.full(len(a), named))], ["x", "y", "named"])
+
+    return work
 
 
 def _exact_links(threshold: float) -> Callable[[pa.Table], pa.RecordBatch | None]:
@@ -192,15 +214,37 @@ def _exact_links(threshold: float) -> Callable[[pa.Table], pa.RecordBatch | None
     return work
 
 
+def _verified(threshold: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Of rows (x, y, x_times, y_times, x_v, y_v) those whose vectors link."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept = ["x", "y", "x_times", "y_times"]
+        for batch in batches:
+            for i in range(0, batch.num_rows, 2048):
+                part = batch.slice(i, 2048)
+                xs, ys = _vectors(part.column("x_v")), _vectors(part.column("y_v"))
+                link = np.zeros(part.num_rows, dtype=bool)
+                lengths = np.array([len(x) for x in xs])
+                for n in np.unique(lengths).tolist():
+                    at = np.flatnonzero(lengths == n)
+                    a, b = (_unit(np.stack([v[k] for k in at])) for v in (xs, ys))
+                    link[at] = (a * b).sum(axis=1) >= threshold
+                yield pa.RecordBatch.from_arrays([part.column(c).filter(pa.array(link)) for c in kept], kept)
+
+    return run
+
+
 def similar_vectors(vectors: DataFrame, threshold: float = 0.95, tables: int = 10, probes: int = 4, width: float = 1.3, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """(vec_id, n_links, component_id, kept), a row for each row of ``vectors``; labels and other columns are ignored.
 
     Vectors link at a cosine of ``threshold`` or more, in double precision. Equal vectors are one with a count.
     Each of the rest is put in its cell of the lattice, and in those around it that are nearest, once for each
     table of random projections. Those that meet in a cell, at least one of them at home there, and whose signs
-    agree in most of SIGNS projections, make candidate classes; within these all cosines are taken exactly, in
-    blocks, and counted. With the default width and tables a pair at 0.95 is missed about once in a million;
-    a lower threshold wants more tables. No pair is ever a row.
+    of more random projections mostly agree, are candidates, whose cosine is taken exactly. A cell with few names
+    its pairs, at most NAMED for each of its rows. One with more tells which rows they connect; in the classes
+    that these make all cosines are taken in blocks and counted, and no pair is a row. Each link counts once: a
+    pair that is named counts only if it is not of one such class. With the default width and tables a pair at
+    0.95 is missed about once in a million; a lower threshold wants more tables.
 
     Null and zero vectors and those with null or non-finite components link with nothing, and so do rows with
     a null id, whose component is null and which stay. Rows that share an id count as vectors each. Vectors of
@@ -250,12 +294,23 @@ def _links(distinct: DataFrame, threshold: float, tables: int, probes: int, widt
                     home = np.zeros(flat.shape, dtype=bool)
                     home[:, :: 1 + probes] = True
                     again = lambda x: pa.array(np.repeat(x, flat.shape[1]))
-                    yield pa.RecordBatch.from_arrays([pa.array(flat.reshape(-1)), again(ids[at]), again(s[:, 0]), again(s[:, 1]), pa.array(home.reshape(-1))], ["key", "id", "s1", "s2", "home"])
-
-    rows = durable(shipped(distinct).select("id", "v").mapInArrow(hashed, "key long, id long, s1 long, s2 long, home boolean"))
-    like = durable(_grouped(_in_parts(rows, "key", "id"), "key", _sketch_links, "x long, y long").where("x <> y").distinct())
-    classes = durable(components(like, "x", "y"))
+                    words = [again(s[:, k]) for k in range(SIGN_WORDS)]
+                    yield pa.RecordBatch.from_arrays([pa.array(flat.reshape(-1)), again(ids[at]), *words, pa.array(home.reshape(-1))], ["key", "id", *sign_columns, "home"])
+
+    sign_columns = [f"s{k}" for k in range(SIGN_WORDS)]
+    schema = "key long, id long, " + ", ".join(f"{c} long" for c in sign_columns) + ", home boolean"
+    rows = durable(shipped(distinct).select("id", "v").mapInArrow(hashed, schema))
+    like = durable(_grouped(_in_parts(rows, "key", "id"), "key", _sketch_links(threshold), "x long, y long, named boolean").distinct())
+    classes = durable(components(like.where("not named"), "x", "y"))
     near = distinct.join(classes, distinct["id"] == classes["node"]).select(F.col("component").alias("class"), "id", "times", "v")
-    exact = durable(_grouped(_in_parts(near, "class", "id"), "class", _exact_links(threshold), "id long, n long, least long"))
+    dense = durable(_grouped(_in_parts(near, "class", "id", most=DENSE_PART), "class", _exact_links(threshold), "id long, n long, least long"))
+    of = lambda c: classes.select(F.col("node").alias(c), F.col("component").alias(f"{c}_class"))
+    apart = F.col("x_class").isNull() | F.col("y_class").isNull() | (F.col("x_class") != F.col("y_class"))
+    named = like.where("named").select("x", "y").join(of("x"), "x", "left").join(of("y"), "y", "left").where(apart).select("x", "y")
+    side = lambda c: distinct.select(F.col("id").alias(c), F.col("times").alias(f"{c}_times"), F.col("v").alias(f"{c}_v"))
+    pairs = named.join(side("x"), "x").join(side("y"), "y").where(F.size("x_v") == F.size("y_v"))
+    linked = durable(shipped(pairs).mapInArrow(_verified(threshold), "x long, y long, x_times long, y_times long"))
+    ends = F.explode(F.array(F.struct(F.col("x").alias("id"), F.col("y_times").alias("n"), F.col("x").alias("least")), F.struct(F.col("y").alias("id"), F.col("x_times").alias("n"), F.col("x").alias("least"))))
+    exact = durable(dense.unionByName(linked.select(ends.alias("e")).select("e.*")))
     counted = exact.groupBy("id").agg(F.sum("n").alias("n"))
     return counted, durable(components(exact, "id", "least"))

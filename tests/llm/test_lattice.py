@@ -1,5 +1,6 @@
 import duckdb
 import numpy as np
+import pytest
 
 from lexisift.llm import lattice
 from lexisift.llm.queries import ORACLES, QUERIES
@@ -41,8 +42,11 @@ def test_query_equals_sql(spark):
     assert sorted(got) == sorted(want)
 
 
-def test_pairs_at_the_threshold_and_groups_in_parts(spark, monkeypatch):
-    monkeypatch.setattr(lattice, "PART", 40)
+@pytest.mark.parametrize("named", [0, 3, 1 << 30])
+def test_pairs_at_the_threshold_and_groups_in_parts(spark, monkeypatch, named):
+    """Whether cells name all their pairs, none, or some do."""
+    for name, value in (("PART", 40), ("DENSE_PART", 30), ("NAMED", named)):
+        monkeypatch.setattr(lattice, name, value)
     draw = np.random.default_rng(3)
     base = draw.normal(size=(300, 24))
     off = draw.normal(size=(300, 24))
@@ -58,6 +62,20 @@ def test_pairs_at_the_threshold_and_groups_in_parts(spark, monkeypatch):
     assert [r.n_links for r in rows] == n.tolist() and [r.component_id for r in rows] == label.tolist()
 
 
+def test_recall_of_many_vectors(spark):
+    """12,000 vectors, of which 4,000 lie near others, some just at the threshold, and one dense group is 1,500."""
+    draw = np.random.default_rng(9)
+    base = draw.normal(size=(6_500, 32))
+    near = base[:4_000] + draw.normal(size=(4_000, 32)) * draw.uniform(0.2, 0.4, (4_000, 1))
+    group = base[:1] + draw.normal(size=(1_500, 32)) * 0.2
+    vectors = np.concatenate([base, near, group])
+    u = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
+    want = np.array([int((u @ v >= 0.95).sum()) - 1 for v in u])
+    frame = spark.createDataFrame([(i, v) for i, v in enumerate(vectors.tolist())], "vec_id long, embedding array<double>")
+    got = np.array([r.n_links for r in sorted(lattice.similar_vectors(frame).collect())])
+    assert (got <= want).all() and got.sum() >= 0.9999 * want.sum() and (want > 0).sum() > 3_000
+
+
 def test_odd_rows(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(1, [1.0, 0.0]), (2, None), (3, [0.0, -0.0]), (4, [nan, 1.0]), (5, [inf, 1.0]), (6, [None, 1.0]), (7, []), (8, [2.0, 0.0]), (9, [1.0, 0.0, 0.0]), (None, [1.0, 0.0]), (10, [1e-200, 0.0]), (11, [1e300, 1e299])]
