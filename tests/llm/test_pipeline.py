@@ -28,12 +28,15 @@ def test_each_stage_on_what_the_one_before_kept(spark):
 
 def test_odd_rows_pass_every_stage(spark):
     good = " ".join(f"word{i % 97}x{i}" for i in range(120))
-    rows = [(1, good, "row"), (1, good, "row"), (None, good + " y", "b"), (None, None, None), (2, None, "c"), (3, "", "d"), (4, "### $$$ " * 80, "e")]
+    long = " ".join(f"long{i % 5003}y{i}" for i in range(60_000))
+    rows = [(1, good, "row"), (1, good, "row"), (None, good + " y", "b"), (None, None, None), (2, None, "c"), (3, "", "d"), (4, "### $$$ " * 80, "e"), (5, long, "f"), (6, long + " end", "g"), (7, "x" * 200_000, "h")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, row string")
     for name, stage in cp.STAGES[:3]:
         docs = stage(spark, docs, SF)
         assert docs.columns == ["doc_id", "text", "row"], name
-    assert sorted((r.doc_id or 0, r.text) for r in docs.collect()) == [(0, good + " y"), (1, good)]
+    assert sorted((r.doc_id or 0, r.text) for r in docs.collect()) == [(0, good + " y"), (1, good), (5, long)]
+    packed = cp.packing(spark, docs, SF).where("doc_id = 5").collect()
+    assert sum(r.length for r in packed) == packed[0].doc_tokens > 60_000
     empty = docs.limit(0)
     for _, stage in cp.STAGES:
         empty = stage(spark, empty, SF)

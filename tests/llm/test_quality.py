@@ -93,3 +93,67 @@ def test_long_words_are_read_whole():
     marked = lambda text: set(Terms().of(text)[0].tolist())
     shape = Terms._hash("s!0")
     assert shape not in marked("a" * 128) and shape in marked("a" * 128 + "!!12")
+
+
+def test_verdicts_of_learned_rules_by_hand(spark):
+    """The first rule that holds on ratios of counts taken by hand, on all documents."""
+    docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
+    rules = qr.fit_rules(docs, labels)
+    got = {r.doc_id: r for r in QUERIES["op6_quality_rules"](spark, SF).collect()}
+    assert rules and set(got) == {r.doc_id for r in docs.collect()}
+
+    def ratios(text):
+        words = re.findall("[^\x20\x09-\x0d]+", text)
+        lines = [x for x in text.split("\n") if re.search("[^\x20\x09-\x0d]", x)]
+        n, chars, symbols, dup, repeat, _ = brute(text)
+        share = lambda a, b: a / b if b else 0.0
+        return {
+            "symbols_per_word": share(symbols, n), "repeated_words": share(repeat, n), "repeated_lines": share(dup, len(lines)), "upper_letters": share(len(re.findall("[A-Z]", text)), len(re.findall("[A-Za-z]", text))),
+            "exclaims_per_word": share(text.count("!"), n), "echoes_per_word": share(sum(a == b for a, b in zip(words, words[1:])), n), "chars_per_word": share(chars, n), "words_per_line": share(n, len(lines)),
+        }
+
+    for r in docs.collect():
+        own = ratios(r.text or "")
+        first = next((i for i, rule in enumerate(rules) if all((own[t.name] >= t.value) == t.above for t in rule.tests)), None)
+        assert got[r.doc_id].rule == first and got[r.doc_id].kept == (first is None and not brute(r.text)[5])
+
+
+def test_scores_equal_those_of_the_whole_matrix(spark):
+    """Terms by hand, a dense matrix, its singular vectors, and a vote over all cosines."""
+    few = "/root/testdata/sf0.001"
+    docs = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{few}/documents.parquet").collect()}
+    labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{few}/labels.parquet").collect() if zlib.crc32(str(r.doc_id).encode()) % 3 != 1 and r.doc_id in docs}
+    code = lambda term: zlib.crc32(term.encode()) % quality_knn.COLUMNS
+
+    def weights(text):
+        words, out = text.split(), np.zeros(quality_knn.COLUMNS)
+        shapes = Counter()
+        for i, w in enumerate(words):
+            for k in range(0, len(w), 64):
+                kinds = "".join("a" if c.islower() else "A" if c.isupper() else "0" if c.isdigit() else "l" if c.isalpha() else c for c in w[k : k + 64])
+                shapes[code("s" + re.sub(r"(?s)(.)\1+", r"\1", kinds))] += 1
+        pieces = sum(shapes.values())
+        alike = lambda a, b: (code("w" + a.lower()), quality_knn._shape(a[:64])) == (code("w" + b.lower()), quality_knn._shape(b[:64]))
+        shapes[code("again")] += sum(alike(a, b) for a, b in zip(words, words[1:])) + sum(alike(a, b) for a, b in zip(words, words[2:]))
+        for c, n in Counter(code("w" + w.lower()) for w in words).items():
+            out[c] += 1 + np.log(n)
+        for c, n in shapes.items():
+            out[c] += 40 * np.sqrt(n / pieces) if n else 0
+        return out
+
+    every = {i: weights(t) for i, t in docs.items()}
+    ids = sorted(labels)
+    matrix = np.stack([every[i] for i in ids]).astype(np.float32).astype(np.float64)
+    n, df = len(ids), (matrix > 0).sum(axis=0)
+    idf = np.where((df >= 3) & (df < n), np.log((1 + n) / (1 + df)) + 0.1, 0.0)
+    rows = matrix * idf / np.linalg.norm(matrix * idf, axis=1, keepdims=True)
+    _, values, right = np.linalg.svd(rows, full_matrices=False)
+    axes = right[: min(48, int((values > 1e-5).sum()))].T
+    place = lambda w: (w * idf) @ axes / (np.linalg.norm((w * idf) @ axes) or 1.0)
+    known, quality = np.stack([place(w) for w in matrix]), np.array([labels[i] for i in ids], dtype=float)
+    for r in QUERIES["op7_quality_classifier"](spark, few).collect():
+        cosine = known @ place(every[r.doc_id])
+        top = np.argsort(-cosine)[:25]
+        vote = np.maximum(cosine[top], 0) ** 2
+        want = (vote * quality[top]).sum() / vote.sum() if vote.sum() > 1e-9 else quality.mean()
+        assert abs(r.score - want) < 1e-6, r.doc_id
