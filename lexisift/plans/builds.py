@@ -7,17 +7,18 @@ from pyspark.sql import DataFrame, functions as F
 from ..functions.text import basename, if_any, is_blank, project_name, severity, severity_text, source_path, trim, truncate, whole_number
 from ..operators.ordered import carried, ranked, top_k
 from ..sources.captures import merged, text_lines
+from ..tables import once
 from .report import raw_tail, rows, titled, together
 
-# The grammars of the lines that carry a meaning.
-DIAGNOSTIC = r"^([^\r\n(]+)\((\d+),(\d+)\):\s*(error|warning)\s+([A-Za-z]*\d*)\s*:\s*([^\[]+?)(\[[^\]]*\])?\s*$"
-TOOL_DIAGNOSTIC = r"^(.+?)\s*:\s*(error|warning)\s+([A-Za-z]*\d+)\s*:\s*(.+)$"
-PROJECT = r"^\s+(.+?)\s+->\s+"
-ELAPSED = r"Time Elapsed\s+(\S+)"
-TEST_TOTALS = r"(?:Passed|Failed)!\s+-\s+Failed:\s*(\d+),\s*Passed:\s*(\d+),\s*Skipped:\s*(\d+),\s*Total:\s*(\d+)"
-FAILED_TEST = r"^\s+Failed\s+(.+?)(?:\s+\[\S+\])?\s*$"
-PACKAGE_WARNING = r"warning NU\d{4}"
-TOOL_ERROR = r"^.+?\s*:\s*error\s+[A-Za-z]*\d+\s*:"
+# The grammars of the lines that carry a meaning. Classes of characters are those of Unicode.
+DIAGNOSTIC = r"(?U)^([^\r\n(]+)\((\d+),(\d+)\):\s*(error|warning)\s+([A-Za-z]*\d*)\s*:\s*([^\[]+?)(\[[^\]]*\])?\s*$"
+TOOL_DIAGNOSTIC = r"(?U)^(.+?)\s*:\s*(error|warning)\s+([A-Za-z]*\d+)\s*:\s*(.+)$"
+PROJECT = r"(?U)^\s+(.+?)\s+->\s+"
+ELAPSED = r"(?U)Time Elapsed\s+(\S+)"
+TEST_TOTALS = r"(?U)(?:Passed|Failed)!\s+-\s+Failed:\s*(\d+),\s*Passed:\s*(\d+),\s*Skipped:\s*(\d+),\s*Total:\s*(\d+)"
+FAILED_TEST = r"(?U)^\s+Failed\s+(.+?)(?:\s+\[\S+\])?\s*$"
+PACKAGE_WARNING = r"(?U)warning NU\d{4}"
+TOOL_ERROR = r"(?U)^.+?\s*:\s*error\s+[A-Za-z]*\d+\s*:"
 VULNERABILITY_CODES = ["NU1901", "NU1902", "NU1903", "NU1904"]
 
 
@@ -50,9 +51,10 @@ def diagnostic_groups(found: DataFrame, files: int = 3) -> DataFrame:
     used = found.where(F.col("kind").isNotNull() & ~F.col("vulnerable")).withColumn("key", key).withColumn("name", basename("file"))
     by = ["source_id", "kind", "key"]
     groups = used.groupBy(*by).agg(F.count("*").alias("n"), F.min("line_no").alias("first"), F.min_by("code", "line_no").alias("code"), F.min_by("message", "line_no").alias("message"))
-    names = ranked(used.where("name <> ''").groupBy(*by, "name").agg(F.min("line_no").alias("seen")), by, ["seen", "name"])
-    listed = names.groupBy(*by).agg(F.count("*").alias("n_files"), F.array_sort(F.collect_list(F.when(F.col("rank") <= files, F.struct("rank", "name")))).alias("few"))
-    joined = groups.join(listed, by, "left")
+    names = used.where("name <> ''").groupBy(*by, "name").agg(F.min("line_no").alias("seen"))
+    n_files = names.groupBy(*by).agg(F.count("*").alias("n_files"))
+    few = top_k(names, by, ["seen", "name"], files).groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("rank", "name"))).alias("few"))
+    joined = groups.join(n_files, by, "left").join(few, by, "left")
     return joined.withColumn("files", F.transform("few", lambda x: x["name"])).withColumn("n_files", F.coalesce("n_files", F.lit(0))).drop("few")
 
 
@@ -79,17 +81,18 @@ def vulnerabilities(found: DataFrame) -> DataFrame:
 def build_report(captures: DataFrame, detail: str = "default") -> DataFrame:
     base = merged(captures)
     lines = text_lines(base)
-    found = diagnostics(lines)
+    found = once(diagnostics(lines).where("class is not null").drop("line"))
     real = F.col("kind").isNotNull() & ~F.col("vulnerable")
-    totals = found.groupBy("source_id").agg(
+    sums = found.groupBy("source_id").agg(
         F.countDistinct("built").alias("p"), F.count_if(real & (F.col("kind") == "error")).alias("e"), F.count_if(real & (F.col("kind") == "warning")).alias("w"),
         F.count_if("vulnerable").alias("nu"), F.max_by("elapsed", F.when(F.col("elapsed").isNotNull(), F.col("line_no"))).alias("t"),
-    ).join(base.select("source_id", "exit_code"), "source_id")
+    )
+    totals = once(base.select("source_id", "exit_code").join(sums, "source_id", "left").fillna(0, ["p", "e", "w", "nu"]))
     failed = F.col("exit_code") != 0
     some = failed | (F.col("e") + F.col("w") + F.col("nu") > 0)
     counts = F.when(some, F.concat(F.lit(" e="), F.col("e").cast("string"), F.lit(" w="), F.col("w").cast("string"), if_any(F.col("nu"), "nu"))).otherwise("")
     head = F.concat(F.when(failed, "FAIL").otherwise("ok"), F.lit(" build p="), F.col("p").cast("string"), counts, F.coalesce(F.concat(F.lit(" t="), "t"), F.lit("")))
-    groups = ranked(diagnostic_groups(found), ["source_id", "kind"], ["first"])
+    groups = once(ranked(diagnostic_groups(found), ["source_id", "kind"], ["first"]))
     errors, warnings = groups.where("kind = 'error' and rank <= 20"), groups.where("kind = 'warning' and rank <= 15")
     weak = ranked(vulnerabilities(found), ["source_id"], [F.col("kind") != "error", "first"])
     text = F.concat(F.lit("  "), "package", F.lit(" "), "version", F.lit(": "), F.col("total").cast("string"), F.lit(" ("), severity_text(F.col("low"), F.col("moderate"), F.col("high"), F.col("critical")), F.lit(")"))
@@ -124,14 +127,16 @@ def test_lines(lines: DataFrame) -> DataFrame:
 def test_report(captures: DataFrame, detail: str = "default") -> DataFrame:
     base = merged(captures)
     lines = text_lines(base)
-    found = test_lines(lines)
+    seen = F.col("class").isNotNull() | F.col("line").rlike(ELAPSED)
+    found = once(test_lines(lines).where(seen))
     is_totals = F.col("class") == "totals"
     total = lambda i: F.coalesce(F.sum(F.when(is_totals, whole_number(F.regexp_extract("line", TEST_TOTALS, i)))), F.lit(0))
     elapsed = F.when(F.col("class").isNull() & F.col("line").rlike(ELAPSED), F.regexp_extract("line", ELAPSED, 1))
     sums = found.withColumn("elapsed", elapsed).groupBy("source_id").agg(
         total(2).alias("passed"), total(1).alias("failed"), total(3).alias("skipped"), total(4).alias("total"), F.count_if(is_totals).alias("p"),
         F.count_if(F.col("class") == "failed").alias("named"), F.max_by("elapsed", F.when(F.col("elapsed").isNotNull(), F.col("line_no"))).alias("t"),
-    ).join(base.select("source_id", "exit_code"), "source_id")
+    )
+    sums = once(base.select("source_id", "exit_code").join(sums, "source_id", "left").fillna(0, ["passed", "failed", "skipped", "total", "p", "named"]))
     broke = F.col("exit_code") != 0
     bad = broke | (F.col("failed") > 0) | (F.col("named") > 0)
     nothing = (F.col("total") == 0) & (F.col("named") == 0)
@@ -158,7 +163,7 @@ def restore_lines(lines: DataFrame) -> DataFrame:
     line, plain = F.col("line"), F.regexp_replace("line", r"(?U)^\s+", "")
     noise = plain.startswith("Determining projects") | plain.startswith("Nothing to do") | line.contains("Microsoft (R) Build Engine") | line.contains("Copyright (C) Microsoft")
     kind = (
-        F.when(is_blank("line"), "blank").when(noise, "noise").when(plain.startswith("All projects are up-to-date"), "current").when(line.rlike(r"Restored\s+"), "restored")
+        F.when(is_blank("line"), "blank").when(noise, "noise").when(plain.startswith("All projects are up-to-date"), "current").when(line.rlike(r"(?U)Restored\s+"), "restored")
         .when(line.rlike(ELAPSED), "elapsed").when(line.contains("severity vulnerability") | line.rlike(PACKAGE_WARNING), "warning").when(line.contains(": error ") | line.rlike(TOOL_ERROR), "error")
     )
     return lines.withColumn("class", kind)
@@ -172,12 +177,13 @@ def without_project(line):
 def restore_report(captures: DataFrame, detail: str = "default") -> DataFrame:
     base = merged(captures)
     lines = text_lines(base)
-    found = restore_lines(lines)
+    found = once(restore_lines(lines).where("class is not null and class not in ('blank', 'noise')"))
     elapsed = F.when(F.col("class") == "elapsed", F.regexp_extract("line", ELAPSED, 1))
     of = lambda kind: F.count_if(F.coalesce(F.col("class") == kind, F.lit(False)))
     sums = found.withColumn("t", elapsed).groupBy("source_id").agg(
         of("restored").alias("p"), of("current").alias("up"), of("error").alias("e"), of("warning").alias("nu"), F.max_by("t", F.when(F.col("t").isNotNull(), F.col("line_no"))).alias("t")
-    ).join(base.select("source_id", "exit_code"), "source_id")
+    )
+    sums = once(base.select("source_id", "exit_code").join(sums, "source_id", "left").fillna(0, ["p", "up", "e", "nu"]))
     ok = F.col("exit_code") == 0
     restored = F.concat(F.lit("p="), F.col("p").cast("string"))
     calm = ok & (F.col("e") == 0) & (F.col("nu") == 0)

@@ -26,11 +26,11 @@ SMALL_LINES, SMALL_CHARS, MOST_SYMBOLS = 40, 3000, 8
 
 
 def symbol_name(line: Column | str) -> Column:
-    """What a line declares, or null."""
+    """What a line declares, or null; classes of characters are those of Unicode."""
     bare = trim(line)
     out = F.lit(None).cast("string")
     for pattern, group in reversed(SYMBOLS):
-        out = F.when(bare.rlike(pattern), trim(F.regexp_extract(bare, pattern, group))).otherwise(out)
+        out = F.when(bare.rlike(f"(?U){pattern}"), trim(F.regexp_extract(bare, f"(?U){pattern}", group))).otherwise(out)
     return out
 
 

@@ -7,13 +7,14 @@ from pyspark.sql import DataFrame, functions as F
 from ..functions.text import basename, branch_name, if_any, is_blank, trim, truncate
 from ..operators.ordered import budgeted, carried, head_and_tail, in_order, ranked, records, so_far, top_k
 from ..sources.captures import merged, text_lines
+from ..tables import once
 from .report import blank_raw, by_detail, joined_top, rows, titled, together, unchanged
 
 # The grammars of status codes, differences and commits.
-STATUS_CODE = r"^(?:\?\?|!!|[ MARCUD][ MARCUD])\s"
+STATUS_CODE = r"(?U)^(?:\?\?|!!|[ MARCUD][ MARCUD])\s"
 DIFF_NAME = r"diff --git a/(.+?) b/"
-HUNK = r"^@@ -(\d+)(?:,(\d+))? \+(\d+)(?:,(\d+))? @@"
-COMMIT = r"^commit\s+([0-9a-f]{7,40})"
+HUNK = r"(?U)^@@ -(\d+)(?:,(\d+))? \+(\d+)(?:,(\d+))? @@"
+COMMIT = r"(?U)^commit\s+([0-9a-f]{7,40})"
 DIFF_META = ["index ", "---", "+++", "old mode", "new mode", "new file", "deleted file", "similarity", "rename ", "copy "]
 SECTIONS = [("Changes to be committed:", "staged"), ("Changes not staged", "modified"), ("Untracked files:", "untracked")]
 MOST_COMMITS = 50
@@ -41,7 +42,7 @@ def status_report(captures: DataFrame, detail: str = "default") -> DataFrame:
     base = merged(captures)
     ok = base.where("exit_code = 0")
     lines = text_lines(ok)
-    entries = status_entries(lines)
+    entries = once(status_entries(lines))
     of = lambda s: F.count_if(F.col("section") == s)
     counts = entries.groupBy("source_id").agg(of("staged").alias("st"), of("modified").alias("mod"), of("untracked").alias("untr"))
     line = F.col("line")
@@ -97,8 +98,8 @@ def diff_report(captures: DataFrame, detail: str = "default") -> DataFrame:
     most_hunks, per_hunk, most_lines = by_detail(detail, 6, 14), by_detail(detail, 4, 8), by_detail(detail, 18, 42)
     base = merged(captures)
     ok = base.where("exit_code = 0")
-    found = diff_lines(text_lines(ok))
-    files = ranked(diff_files(found), ["source_id"], [F.desc(F.col("additions") + F.col("deletions")), "name", "file_no"])
+    found = once(diff_lines(text_lines(ok)).where("class is not null and class <> 'meta'"))
+    files = once(ranked(diff_files(found), ["source_id"], [F.desc(F.col("additions") + F.col("deletions")), "name", "file_no"]))
     zero = lambda c: F.coalesce(F.col(c), F.lit(0)).alias(c)
     sums = files.groupBy("source_id").agg(F.count("*").alias("f"), F.sum("additions").alias("a"), F.sum("deletions").alias("d"), F.count_if("is_binary").alias("bin"), F.sum("hunks").alias("hunks"), F.count_if(F.col("hunks") > 0).alias("with_hunks"))
     each = ok.select("source_id", blank_raw().alias("blank")).join(sums, "source_id", "left").select("source_id", "blank", *map(zero, ("f", "a", "d", "bin", "hunks", "with_hunks")))
@@ -113,7 +114,7 @@ def diff_report(captures: DataFrame, detail: str = "default") -> DataFrame:
     unit = F.dense_rank().over(in_order(["source_id"], ["place", "hunk_no"]))
     lines_ = budgeted(opened.unionByName(changed).withColumn("unit", unit), ["source_id"], ["place", "hunk_no", "line_no"], "unit", most_hunks, most_lines)
     text = F.when(F.col("row_in_unit").isNull(), hunk_text(F.col("name"), F.col("line"))).otherwise(truncate("line", 120))
-    shown = ranked(lines_, ["source_id"], ["place", "hunk_no", "line_no"])
+    shown = once(ranked(lines_, ["source_id"], ["place", "hunk_no", "line_no"]))
     hunks_shown = shown.where("row_in_unit is null").groupBy("source_id").agg(F.count("*").alias("hunks_shown"))
     rest = each.join(hunks_shown, "source_id", "left").select("source_id", (F.col("f") - F.least("with_hunks", F.lit(shown_files))).alias("files"), (F.col("hunks") - F.coalesce("hunks_shown", F.lit(0))).alias("hunks"))
     some = lambda c: F.when(F.col(c) > 0, F.concat(F.col(c).cast("string"), F.lit(f" {c}")))
@@ -144,7 +145,7 @@ def log_report(captures: DataFrame, detail: str = "default") -> DataFrame:
     base = merged(captures)
     parsed = base.where((F.col("exit_code") == 0) & F.col("raw").startswith("commit "))
     lines = text_lines(parsed)
-    found = ranked(commits(lines), ["source_id"], ["line_no"])
+    found = once(ranked(commits(lines), ["source_id"], ["line_no"]))
     count = found.groupBy("source_id").agg(F.count("*").alias("n"))
     text = F.concat("hash", F.lit(" "), truncate(F.coalesce("message", F.lit("(no message)")), 100))
     more = count.where(F.col("n") > MOST_COMMITS)

@@ -8,10 +8,11 @@ from ..functions.text import compact, if_any, is_blank, kind_of, kind_rank, top_
 from ..operators.ordered import ranked
 from ..operators.paths import common_depth, without_directories
 from ..sources.captures import merged, text_lines
+from ..tables import once
 from .report import blank_raw, by_detail, joined_top, rows, titled, together, unchanged
 
 # Fixed value: the grammar of a hit with its line number.
-HIT = r"^(.+?):(\d+):(.*)$"
+HIT = r"(?U)^(.+?):(\d+):(.*)$"
 NUMBERED_HIT = r"^([^:]*):([^:]*):(.*)$"
 
 
@@ -63,18 +64,18 @@ def stripped(hits: DataFrame, name: str = "file") -> DataFrame:
 def grep_report(captures: DataFrame, detail: str = "default", tool: str = "grep") -> DataFrame:
     most = by_detail(detail, 3, 6)
     base = merged(captures)
-    parsed = parsed_hits(text_lines(base))
+    parsed = once(parsed_hits(text_lines(base)))
     some = parsed.groupBy("source_id").agg(F.count_if("binary").alias("bin"), F.count_if(~F.col("binary")).alias("m"))
     empty = base.where(blank_raw() & (F.col("exit_code") <= 1))
     odd = base.join(some, "source_id", "left_anti").where(~(blank_raw() & (F.col("exit_code") <= 1)))
     hits = stripped(parsed.where(~F.col("binary")))
-    files = ranked(hits.groupBy("source_id", "path").agg(F.count("*").alias("n")), ["source_id"], [F.desc("n"), "path"])
+    files = once(ranked(hits.groupBy("source_id", "path").agg(F.count("*").alias("n")), ["source_id"], [F.desc("n"), "path"]))
     f = files.groupBy("source_id").agg(F.count("*").alias("f"))
     sums = some.join(f, "source_id", "left").withColumn("f", F.coalesce("f", F.lit(0)))
     head = F.concat(F.lit(f"{tool} m="), F.col("m").cast("string"), F.lit(" f="), F.col("f").cast("string"), if_any(F.col("bin"), "bin"))
     item = F.concat("path", F.lit("("), F.col("n").cast("string"), F.lit(")"))
     said = hits.where(~is_blank("content")).withColumn("text", trim("content"))
-    grouped = said.groupBy("source_id", "text").agg(F.count("*").alias("n"), F.min("line_no").alias("first"), F.min_by(F.struct("path", "hit_line"), "line_no").alias("at"))
+    grouped = once(said.groupBy("source_id", "text").agg(F.count("*").alias("n"), F.min("line_no").alias("first"), F.min_by(F.struct("path", "hit_line"), "line_no").alias("at")))
     samples = ranked(grouped, ["source_id"], [F.desc("n"), "first"]).where(F.col("rank") <= most)
     at = F.concat("at.path", F.when(F.col("at.hit_line") > 0, F.concat(F.lit(":"), F.col("at.hit_line").cast("string"))).otherwise(""))
     paths = files.join(grouped.select("source_id").distinct(), "source_id", "left_anti").where(F.col("rank") <= most)
@@ -101,7 +102,7 @@ def find_report(captures: DataFrame, detail: str = "default") -> DataFrame:
     line = F.col("line")
     lines = text_lines(base.where(~blank_raw())).where(~is_blank("line")).withColumn("error", line.startswith("find:") | line.contains("Permission denied"))
     sums = lines.groupBy("source_id").agg(F.count_if(~F.col("error")).alias("n"), F.count_if("error").alias("err"))
-    paths = stripped(lines.where(~F.col("error")).select("source_id", "line_no", F.col("line").alias("file")))
+    paths = once(stripped(lines.where(~F.col("error")).select("source_id", "line_no", F.col("line").alias("file"))))
     grouped = ranked(paths.groupBy("source_id", top_group("path").alias("group")).agg(F.count("*").alias("n")), ["source_id"], [F.desc("n"), "group"])
     listed = ranked(paths, ["source_id"], ["line_no"]).where(F.col("rank") <= most)
     return together(
@@ -131,16 +132,32 @@ def focus_files(hits: DataFrame, scope: str = "default") -> DataFrame:
 
 
 def focus_report(captures: DataFrame, detail: str = "default", scope: str = "default", files_only: bool = False) -> DataFrame:
-    """Hits by file: code first, with samples. ``scope``: default, all, docs or code."""
-    if scope not in ("default", "all", "docs", "code"):
-        raise ValueError("scope is default, all, docs or code")
+    """Captured hits by file: code first, with samples. ``scope``: default, all, docs or code."""
     base = merged(captures)
     if detail == "raw":
         return unchanged(base)
+    return focus_rows(base, numbered_hits(captures.where("coalesce(exit_code, 0) <= 1")), detail, scope, files_only)
+
+
+def search_report(lines: DataFrame, query: str, source: str, detail: str = "default", scope: str = "default", files_only: bool = False) -> tuple[DataFrame, int]:
+    """The same of a search in lines (source_id, line_no, line) of files, and 0, or 1 where nothing is found."""
+    found = search_lines(lines, query).select(F.lit(source).alias("source_id"), F.xxhash64("file").alias("line_no"), "file", "hit_line", "content")
+    exit_code = 1 if found.isEmpty() else 0
+    if detail == "raw":  # a source for each file, so that no task orders all hits
+        own = found.withColumn("source_id", F.col("file"))
+        return rows(own, "raw", 0, F.concat("file", F.lit(":"), F.col("hit_line").cast("string"), F.lit(":"), "content"), F.col("hit_line")), exit_code
+    base = lines.sparkSession.createDataFrame([(source, exit_code, "")], "source_id string, exit_code int, raw string")
+    return focus_rows(base, found, detail, scope, files_only), exit_code
+
+
+def focus_rows(base: DataFrame, hits: DataFrame, detail: str, scope: str, files_only: bool) -> DataFrame:
+    """The report of ``base`` (source_id, exit_code, raw) and its hits (source_id, line_no, file, hit_line, content)."""
+    if scope not in ("default", "all", "docs", "code"):
+        raise ValueError("scope is default, all, docs or code")
     most, docs_most, samples_most = by_detail(detail, 5, 8), by_detail(detail, 2, 4), by_detail(detail, 3, 6)
     broken = base.where("exit_code > 1")
-    hits = numbered_hits(captures.where("coalesce(exit_code, 0) <= 1"))
-    files = focus_files(hits, scope)
+    hits = once(hits)
+    files = once(focus_files(hits, scope))
     of = lambda k: F.count_if(F.col("kind") == k).alias(k)
     sums = files.groupBy("source_id").agg(F.count("*").alias("f"), F.sum("n").alias("m"), of("code"), of("docs"), of("logs"), of("other"))
     name = "focus" + ("" if scope == "default" else f" {scope}")

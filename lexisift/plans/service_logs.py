@@ -8,12 +8,13 @@ from ..functions.text import basename, http_level, if_any, is_blank, last_compon
 from ..operators.ordered import deduplicated, last_n, ranked, records
 from ..operators.pairing import stacked_pairs
 from ..sources.captures import text_lines
+from ..tables import once
 from .report import rows, titled, together
 
 # The grammars of headers, requests and answers.
-HEADER = r"^(dbug|info|warn|fail|crit|error)\s*:\s*([^\[]+?)(?:\[\d+\])?\s*$"
-REQUEST = r"Start processing HTTP request (GET|POST|PUT|DELETE|PATCH) (\S+)"
-ANSWER = r"Received HTTP response headers after ([\d.]+)ms\s*-\s*(\d+)"
+HEADER = r"(?U)^(dbug|info|warn|fail|crit|error)\s*:\s*([^\[]+?)(?:\[\d+\])?\s*$"
+REQUEST = r"(?U)Start processing HTTP request (GET|POST|PUT|DELETE|PATCH) (\S+)"
+ANSWER = r"(?U)Received HTTP response headers after ([\d.]+)ms\s*-\s*(\d+)"
 # Messages and sources that say nothing of a running service.
 STARTUP_STARTS = [
     "Configured endpoint", "Starting bus", "Bus started", "Topic:", "Subscription ", "Endpoint Ready:", "Now listening on:", "Application started", "Content root path:",
@@ -93,31 +94,38 @@ def noise_filtered(entries: DataFrame, strict_errors: bool = False) -> DataFrame
     routed = entries.withColumn("full", full).withColumn("route", route())
     if strict_errors:
         routed = routed.withColumn("route", F.when(F.col("level").isin(ERRORS) & F.col("route").isin("startup", "quiet", "http"), F.when(F.col("level") == "error", "kept").otherwise("trimmed")).otherwise(F.col("route")))
+    routed = once(routed.where("route in ('kept', 'trimmed', 'http')"))
     own = ["source_id", "line_no", "level", "source", "message", "continuation"]
     kept = routed.where("route in ('kept', 'trimmed')").withColumn("continuation", F.when(F.col("route") == "trimmed", trimmed("continuation")).otherwise(F.col("continuation")))
     return kept.select(*own).unionByName(http_entries(routed))
 
 
+def _lines(logs: DataFrame) -> DataFrame:
+    return logs if "line" in logs.columns else text_lines(logs)
+
+
 def log_summary(logs: DataFrame, errors_only: bool = False, last: int = 0, strict_errors: bool = False) -> DataFrame:
-    """(source_id, line_no, level, source, message, continuation, repeat_count) of (source_id, raw): what a log has to say, once each.
+    """(source_id, line_no, level, source, message, continuation, repeat_count): what a log has to say, once each.
+
+    ``logs``: (source_id, raw), or their lines (source_id, line_no, line).
 
     Repeats are counted by level, source and the first hundred characters; ``last`` cuts after that.
     """
-    entries = log_entries(text_lines(logs))
+    entries = log_entries(_lines(logs))
     used = entries.where(F.col("level").isin(ERRORS)) if errors_only else noise_filtered(entries, strict_errors)
     once = deduplicated(used, ["source_id"], [F.col("level"), F.col("source"), F.substring("message", 1, 100)], "line_no", "level", "source", "message", "continuation")
     return last_n(once, ["source_id"], "line_no", last)
 
 
 def service_log_report(logs: DataFrame, detail: str = "default", errors_only: bool = False, last: int = 0, strict_errors: bool = False, show_all: bool = False) -> DataFrame:
-    """The report on logs (source_id, raw); ``show_all``: just the lines that are not blank."""
+    """The report on logs (source_id, raw), or on lines of them; ``show_all``: just the lines that are not blank."""
     if show_all or detail == "raw":
-        lines = last_n(text_lines(logs).where(~is_blank("line")), ["source_id"], "line_no", last)
+        lines = last_n(_lines(logs).where(~is_blank("line")), ["source_id"], "line_no", last)
         return rows(lines, "lines", 0, F.col("line"), F.col("line_no"))
-    entries = log_summary(logs, errors_only, last, strict_errors)
+    entries = once(log_summary(logs, errors_only, last, strict_errors))
     of = lambda *levels: F.count_if(F.col("level").isin(*levels))
     counts = entries.groupBy("source_id").agg(F.count("*").alias("n"), of(*ERRORS).alias("e"), of("warn").alias("w"), of("info").alias("i"))
-    sums = logs.select("source_id").join(counts, "source_id", "left")
+    sums = logs.select("source_id").distinct().join(counts, "source_id", "left")
     file = basename("source_id")
     head = F.when(F.col("n").isNull(), F.concat(F.lit("ok log n=0 file="), file)).otherwise(F.concat(F.lit("log n="), F.col("n").cast("string"), F.lit(" file="), file, if_any(F.col("e"), "e"), if_any(F.col("w"), "w"), if_any(F.col("i"), "i")))
     ordered = ranked(entries, ["source_id"], ["line_no"])

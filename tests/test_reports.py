@@ -269,6 +269,15 @@ def test_levels(spark):
     assert service(spark, marked)[0][2:] == ["[INF] C: kept"]
 
 
+def test_white_space_and_words_of_any_script(spark):
+    """No-break spaces part words, and letters of any script are letters."""
+    nb = "\u00a0"
+    assert told(spark, builds.build_report, f"/w/A.cs(1,2):{nb}error{nb}CS1{nb}:{nb}broke\n{nb}Core{nb}->{nb}x\nTime Elapsed{nb}1s") == ["ok build p=1 e=1 w=0 t=1s", "---", "Errors:", "  A.cs error CS1: broke"]
+    assert service(spark, f"warn{nb}:{nb}A.B[1]{nb}\n      slow\n")[0][2:] == ["[WRN] B: slow"]
+    assert told(spark, revisions.log_report, f"commit {nb}0123456789abcdef\n\n    m\n") == ["0123456 m"]
+    assert spark.createDataFrame([("public Größe Run(x)",)], "line string").select(files.symbol_name("line").alias("n")).first().n == "Run"
+
+
 def test_registry(spark):
     assert verb_of(["git", "-C", "x", "-p", "STATUS"]) == "status" and verb_of(["dotnet", "-v", "build"]) == "build" and verb_of(["git", "-c"]) is None
     assert parse_options(["--more", "git", "--raw"]) == ("more", ["git", "--raw"]) and parse_options(["--raw", "--more"])[0] == "raw"
