@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from ..functions.text import GENERATED_ENDINGS, HIDDEN_FROM_CODE, IGNORED_DIRECTORIES, basename, is_code
+from ..functions.text import GENERATED_ENDINGS, HIDDEN_FROM_CODE, IGNORED_DIRECTORIES, basename, is_code, trim
 from .captures import text_lines
 
 
@@ -34,6 +34,20 @@ def read_logs(spark: SparkSession, path: str, glob: str | None = None) -> DataFr
     return read_bytes(spark, path, glob).select(F.col("path").alias("source_id"), decoded("content").alias("raw"))
 
 
+def read_log_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(source_id, line_no, line) of UTF-8 logs of any size: files are split, and no task holds one.
+
+    A line's number is how many lines the splits before its own have, and its place in that; so lines are counted
+    where they lie and only a row for each split is ordered.
+    """
+    read = spark.read.option("recursiveFileLookup", "true").option("lineSep", "\n").text(path)
+    rows_ = read.select(F.col("_metadata.file_path").alias("source_id"), F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("at"), F.regexp_replace("value", r"\r+$", "").alias("line"))
+    sizes = rows_.groupBy("source_id", "split").agg(F.count("*").alias("n"), F.min("at").alias("first"))
+    so_far = Window.partitionBy("source_id").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select("source_id", "split", (F.coalesce(F.sum("n").over(so_far), F.lit(0)) + 1 - F.col("first")).alias("shift"))
+    return rows_.join(starts, ["source_id", "split"]).select("source_id", (F.col("at") + F.col("shift")).alias("line_no"), "line")
+
+
 def read_lines(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
     """(source_id, line_no, line) of all text files below ``path``; binary ones are left out before lines are."""
     texts = read_bytes(spark, path, glob).where(~looks_binary("content"))
@@ -66,11 +80,27 @@ def searchable(path: Column | str) -> Column:
 def inventory(spark: SparkSession, path: str) -> DataFrame:
     """(path) relative to ``path`` of all files below it; directories without files are not seen."""
     found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path")
-    root = path.rstrip("/").split("://")[-1]
-    return found.select(F.substring_index(F.col("path"), root + "/", -1).alias("path"))
+    root = qualified(spark, path)
+    return found.select(F.substring("path", len(root.rstrip("/")) + 2, 1 << 30).alias("path"))
+
+
+def qualified(spark: SparkSession, path: str) -> str:
+    """The path as Spark names it in what it reads: with its scheme, absolute, without a slash at its end."""
+    given = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return given.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(given).toString()
+
+
+def path_kind(spark: SparkSession, path: str) -> str | None:
+    """``file`` or ``directory``, or nothing where there is none."""
+    given = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = given.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not system.exists(given):
+        return None
+    return "directory" if system.getFileStatus(given).isDirectory() else "file"
 
 
 def changed_files(status_lines: DataFrame, files: DataFrame) -> DataFrame:
-    """Of a porcelain status, the paths that ``files`` has, whatever their case once; renames drop out."""
-    named = status_lines.where("length(line) >= 4").select(F.trim(F.substring("line", 4, 1 << 20)).alias("path"))
-    return named.join(files.select("path"), "path", "left_semi").dropDuplicates(["path"]).withColumn("low", F.lower("path")).groupBy("low").agg(F.min("path").alias("path")).select("path")
+    """Of a porcelain status (line_no, line), the paths that ``files`` has, whatever their case once, as first spelt; renames drop out."""
+    named = status_lines.where("length(line) >= 4").select("line_no", trim(F.substring("line", 4, 1 << 20)).alias("path"))
+    there = named.join(files.select("path").distinct(), "path", "left_semi")
+    return there.groupBy(F.lower("path").alias("low")).agg(F.min_by("path", "line_no").alias("path")).select("path")
