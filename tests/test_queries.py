@@ -3,6 +3,7 @@
 import duckdb
 import pytest
 
+from lexisift import report_queries  # noqa: F401
 from lexisift.queries import ORACLES, QUERIES
 
 SF = "/root/testdata/sf0.01"
