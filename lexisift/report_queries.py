@@ -7,10 +7,13 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from .functions import text as T
 from .plans import builds, files, revisions, searches, service_logs
+from .plans.report import rendered
 from .queries import ENTRIES, KIND, LINES, PATHS, SCORE, document_paths, event_entries, query, table
 from .registry import resolve
 from .sources.captures import text_lines
+from .sources.files import changed_files, decoded, included, looks_binary, searchable
 from .tables import once
 
 #: Ids in a capture.
@@ -531,3 +534,113 @@ def grep_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     line = F.when(d % 4 == 0, F.concat("path", F.lit(":"), (d % 9 + 1).cast("string"), said)).when(d % 4 == 1, F.concat("path", said)).when(d % 4 == 2, F.col("path")).otherwise(F.concat(F.lit("Binary file "), "path", F.lit(" matches")))
     raw = grouped_raw(document_paths(spark, sf_dir), span("lang", "doc_id"), line, "doc_id")
     return resolve(["grep"], "more")(raw).select("source_id", "part", "rank", "detail")
+
+
+@query("""select 'doc' || doc_id as source_id, case when doc_id % 2 = 0 then chr(65279) else '' end || coalesce(text, '') as raw from documents""")
+def encoded_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts as bytes in two encodings, read back; the mark of the one stays."""
+    text = F.coalesce("text", F.lit(""))
+    wide = F.concat(F.unhex(F.lit("FFFE")), F.encode(text, "UTF-16LE"))
+    content = F.when(F.col("doc_id") % 2 == 0, wide).otherwise(F.encode(text, "UTF-8"))
+    read = table(spark, sf_dir, "documents").select(F.concat(F.lit("doc"), F.col("doc_id").cast("string")).alias("source_id"), content.alias("content"))
+    return read.select("source_id", decoded("content").alias("raw"))
+
+
+@query("""select event_id, event_id % 1000 < 512 as is_binary from events""")
+def binary_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Contents with a zero byte at some place."""
+    content = F.concat(F.encode(F.repeat(F.lit("x"), (F.col("event_id") % 1000).cast("int")), "UTF-8"), F.unhex(F.lit("00")))
+    return table(spark, sf_dir, "events").select("event_id", looks_binary(content).alias("is_binary"))
+
+
+@query(f"""with {PATHS}, below as (
+    select doc_id, case doc_id % 6 when 0 then 'Bin/' when 1 then 'docs/' when 2 then 'node_modules/' when 3 then 'src/' when 4 then 'Assets/' else '' end || path as path from doc_paths
+), dirs as (select *, list_transform(string_split(path, '/')[:-2], lambda x: lower(x)) as d from below)
+select doc_id, not regexp_matches(lower(path), '(\\.g|\\.generated|\\.designer|\\.assemblyinfo)\\.cs$') and not list_has_any(d, ['.git', 'bin', 'obj', 'node_modules', '.idea', '.vs', 'dist', 'coverage']) as searched,
+    not list_has_any(d, ['.git', 'bin', 'obj', 'node_modules', '.idea', '.vs', 'dist', 'coverage']) as listed,
+    not list_has_any(d, ['.git', 'bin', 'obj', 'node_modules', '.idea', '.vs', 'dist', 'coverage', 'docs', '_local', 'assets', 'public', 'locales', 'img', 'images', 'fonts']) and {KIND.format(p="'x/' || path")} = 'code' as is_code from dirs""")
+def listing_scopes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which paths a search looks into, which a listing has, and which one of code has."""
+    first = F.element_at(F.array(*map(F.lit, ("Bin/", "docs/", "node_modules/", "src/", "Assets/", ""))), (F.col("doc_id") % 6 + 1).cast("int"))
+    paths = document_paths(spark, sf_dir).select("doc_id", F.concat(first, "path").alias("path"))
+    return paths.select("doc_id", searchable("path").alias("searched"), included("path").alias("listed"), included("path", code=True).alias("is_code"))
+
+
+@query(f"""with {LINES} select printf('doc%09d', doc_id) as file, line_no as hit_line, line as content from doc_lines where contains(lower(line), 'the') order by file, hit_line limit 500""")
+def search_capped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first five hundred hits of a search."""
+    docs = table(spark, sf_dir, "documents").select(F.format_string("doc%09d", "doc_id").alias("source_id"), F.coalesce("text", F.lit("")).alias("raw"))
+    return searches.search_lines(text_lines(docs), "the", most=500)
+
+
+@query(f"""with {PATHS}, named as (
+    select doc_id, case doc_id % 5 when 0 then 'R  old -> ' || path when 1 then ' M ' || upper(path) when 2 then 'MM ' || path || ' ' else '?? ' || path end as line from doc_paths where doc_id % 2 = 0
+), found as (select doc_id, trim(substr(line, 4)) as path from named where trim(substr(line, 4)) in (select path from doc_paths))
+select arg_min(path, doc_id) as path from found group by lower(path)""")
+def changed_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of a status, the paths that are there."""
+    paths = document_paths(spark, sf_dir)
+    form = F.col("doc_id") % 5
+    line = F.when(form == 0, F.concat(F.lit("R  old -> "), "path")).when(form == 1, F.concat(F.lit(" M "), F.upper("path"))).when(form == 2, F.concat(F.lit("MM "), "path", F.lit(" "))).otherwise(F.concat(F.lit("?? "), "path"))
+    return changed_files(paths.where("doc_id % 2 = 0").select(F.col("doc_id").alias("line_no"), line.alias("line")), paths)
+
+
+@query(f"""with n as (select s_nationkey || '-' || s_suppkey // {SPAN} as source_id, s_nationkey % 3 as exit_code, s_suppkey as k, count(*) over (partition by s_nationkey || '-' || s_suppkey // {SPAN}) as total, row_number() over (partition by s_nationkey || '-' || s_suppkey // {SPAN} order by s_suppkey) as r from supplier
+), told as (select source_id, exit_code, r, 's' || k as line from n where total <= 5 or r <= 3 or r > total - 2 union all select distinct source_id, exit_code, 3.5, '... (' || (total - 5) || ' lines omitted)' from n where total > 5)
+select source_id, string_agg(line, chr(10) order by r) as text, cast(any_value(exit_code) as integer) as exit_code from told group by source_id""")
+def rendered_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reports as text, each with the exit code that its capture came with."""
+    raw = grouped_raw(table(spark, sf_dir, "supplier"), span(F.col("s_nationkey").cast("string"), "s_suppkey"), F.concat(F.lit("s"), F.col("s_suppkey").cast("string")), "s_suppkey", exit_code=F.split("capture_id", "-")[0].cast("int") % 3)
+    return rendered(resolve(["git", "fetch"])(raw), raw)
+
+
+@query(f"""with {LINES}, sized as (select *, count(*) over (partition by doc_id) as total from doc_lines)
+select 'doc' || doc_id as source_id, 0 as part, 0 as rank, 'view doc' || doc_id || ' 3-' || least(total, 7) || '/' || total as detail from sized where line_no = 1
+union all select 'doc' || doc_id, 1, line_no, printf('%4d| ', line_no) || case when length(line) > 180 then left(line, 180) || '...' else line end from sized where line_no between 3 and 7""")
+def view_range(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines three to seven of every document, as a target with a range asks for."""
+    _, start, end = files.parse_target("doc:3-7", False)
+    docs = table(spark, sf_dir, "documents").select(F.concat(F.lit("doc"), F.col("doc_id").cast("string")).alias("source_id"), F.coalesce("text", F.lit("")).alias("raw"))
+    return files.file_card(text_lines(docs), start=start, end=end).select("source_id", "part", "rank", "detail")
+
+
+@query("""select page_id, case page_id % 4 when 0 then 'src/b' || page_id || '.cs' when 1 then 'SRC\\d\\e.cs' when 2 then 'f' || page_id || '.cs' else 'src/z.cs' end as file,
+    case page_id % 3 when 0 then 'Api' || page_id when 1 then 'App' else '' end as project, case when page_id % 7 = 0 then 0 else page_id * (page_id % 7) end as number from pages""")
+def path_scalars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Paths from their source directory on, projects in brackets, and numbers that may be none."""
+    k, text = F.col("page_id"), F.col("page_id").cast("string")
+    path = F.when(k % 4 == 0, F.concat(F.lit("/w/src/a/src/b"), text, F.lit(".cs"))).when(k % 4 == 1, F.lit("C:\\w\\SRC\\d\\e.cs")).when(k % 4 == 2, F.concat(F.lit("/w/lib/f"), text, F.lit(".cs"))).otherwise(F.lit("lib\\x/src/z.cs"))
+    project = F.when(k % 3 == 0, F.concat(F.lit("[/w/Api"), text, F.lit(".csproj]"))).when(k % 3 == 1, F.lit(" [C:\\w\\App.x.csproj] ")).otherwise("")
+    number = F.when(k % 7 == 0, F.lit("x1")).otherwise((k * (k % 7)).cast("string"))
+    name = T.project_name(project)
+    return table(spark, sf_dir, "pages").select("page_id", T.source_path(path).alias("file"), F.when(k % 3 == 1, F.regexp_replace(name, r"\.x$", "")).otherwise(name).alias("project"), T.whole_number(number).cast("long").alias("number"))
+
+
+@query("""with spans as (select 'l' || o_orderkey // 5000 as source_id, o_orderkey, row_number() over (partition by o_orderkey // 5000 order by o_orderkey) as r, count(*) over (partition by o_orderkey // 5000) as n from orders)
+select source_id, string_agg('abc' || o_orderkey || ' order', chr(10) order by o_orderkey) || case when max(n) > 50 then chr(10) || '... +' || (max(n) - 50) || ' more lines' else '' end as detail from spans where r <= 50 group by source_id""")
+def short_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Logs of commits that are a line each already, cut at fifty."""
+    line = F.concat(F.lit("abc"), F.col("o_orderkey").cast("string"), F.lit(" order"))
+    raw = grouped_raw(table(spark, sf_dir, "orders"), F.concat(F.lit("l"), F.floor(F.col("o_orderkey") / 5000).cast("string")), line, "o_orderkey")
+    return resolve(["git", "log"])(raw).select("source_id", "detail")
+
+
+@query(f"""with d as (select c_nationkey || '-' || c_custkey // {SPAN} as source_id, c_custkey as k, c_custkey % 5 as kind, c_nationkey % 2 as failed from customer
+), sums as (select source_id, max(failed) as failed, count(*) filter (kind = 0) as p, count(*) filter (kind = 1) as e, max(k) filter (kind = 2) as t from d group by source_id
+), errors as (select source_id, k, row_number() over (partition by source_id order by k) as rank from d where kind = 1
+), tail as (
+    select source_id, k, row_number() over (partition by source_id order by k) as rank, line from (
+        select d.source_id, k, case kind when 0 then '  Restored /w/p' || k || '.csproj (in 1 ms).' when 2 then 'Time Elapsed 00:00:' || k else 'note ' || k end as line
+        from d join sums using (source_id) where sums.failed = 1 and e = 0 qualify row_number() over (partition by d.source_id order by k desc) <= 12))
+select source_id, 0 as part, 0 as rank, case when failed = 1 then 'FAIL' else 'ok' end || ' restore p=' || p || case when e > 0 then ' e=' || e else '' end || case when t is not null then ' t=00:00:' || t else '' end as detail from sums
+union all select distinct source_id, 1, -1, 'Errors:' from errors
+union all select source_id, 1, rank, '  /w/p' || k || '.csproj : error NU1101: no package ' || k from errors where rank <= 10
+union all select distinct source_id, 2, -1, '--- raw tail ---' from tail
+union all select source_id, 2, rank, '  ' || line from tail""")
+def restore_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The report on package restores that failed, with the last time told."""
+    k, text = F.col("c_custkey"), F.col("c_custkey").cast("string")
+    error = F.concat(F.lit("/w/p"), text, F.lit(".csproj : error NU1101: no package "), text)
+    line = F.when(k % 5 == 0, F.concat(F.lit("  Restored /w/p"), text, F.lit(".csproj (in 1 ms)."))).when(k % 5 == 1, error).when(k % 5 == 2, F.concat(F.lit("Time Elapsed 00:00:"), text)).otherwise(F.concat(F.lit("note "), text))
+    raw = grouped_raw(table(spark, sf_dir, "customer"), span(F.col("c_nationkey").cast("string"), "c_custkey"), line, "c_custkey", exit_code=F.split("capture_id", "-")[0].cast("int") % 2)
+    return resolve(["dotnet", "restore"])(raw).select("source_id", "part", "rank", "detail")
