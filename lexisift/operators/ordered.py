@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F
 
 from ..functions.text import is_blank
 
 
+#: Lines of one text that reports number or fill in one task.
+RUN = 1 << 17
+
+
 def in_order(by: list[str], order: list[str | Column]) -> WindowSpec:
     return Window.partitionBy(*by).orderBy(*order) if by else Window.orderBy(*order)
 
@@ -15,14 +21,38 @@ def so_far(by: list[str], order: list[str]) -> WindowSpec:
     return in_order(by, order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
 
 
-def records(lines: DataFrame, is_header: Column, by: list[str], order: str, name: str = "record") -> DataFrame:
-    """Lines with the number of the record that the last header began; lines before the first header go."""
-    return lines.withColumn(name, F.sum(F.when(is_header, 1).otherwise(0)).over(so_far(by, [order]))).where(F.col(name) > 0)
+def _in_runs(lines: DataFrame, by: list[str], order: str, run: int, value: Column, total: Callable[[DataFrame], Column]) -> DataFrame:
+    """Lines with ``_value``, the number ``_run`` of the run of ``run`` places that each is in, and ``_before``: ``total`` of the values in the runs before.
 
+    Only a row for each run is ordered within a group, so a group of any length is dealt over tasks.
+    """
+    keyed = lines.withColumn("_value", value).withColumn("_run", F.floor(F.col(order) / run))
+    sums = keyed.groupBy(*by, "_run").agg(F.max_by("_value", F.when(F.col("_value").isNotNull(), F.col(order))).alias("last"), F.count("_value").alias("n"))
+    earlier = in_order(by, ["_run"]).rowsBetween(Window.unboundedPreceding, -1)
+    return keyed.join(sums.select(*by, "_run", total(sums).over(earlier).alias("_before")), [*by, "_run"])
 
-def carried(lines: DataFrame, value: Column, by: list[str], order: str, name: str) -> DataFrame:
-    """Lines with the last ``value`` that was not null."""
-    return lines.withColumn(name, F.last(value, ignorenulls=True).over(so_far(by, [order])))
+
+def records(lines: DataFrame, is_header: Column, by: list[str], order: str, name: str = "record", run: int | None = None) -> DataFrame:
+    """Lines with the number of the record that the last header began; lines before the first header go.
+
+    ``run``: so many places of a numeric order go to a task at most.
+    """
+    if run is None:
+        numbered = lines.withColumn(name, F.sum(F.when(is_header, 1).otherwise(0)).over(so_far(by, [order])))
+    else:
+        dealt = _in_runs(lines, by, order, run, F.when(is_header, 1), lambda sums: F.sum(sums["n"]))
+        own = F.count("_value").over(so_far([*by, "_run"], [order]))
+        numbered = dealt.withColumn(name, own + F.coalesce("_before", F.lit(0))).drop("_value", "_run", "_before")
+    return numbered.where(F.col(name) > 0)
+
+
+def carried(lines: DataFrame, value: Column, by: list[str], order: str, name: str, run: int | None = None) -> DataFrame:
+    """Lines with the last ``value`` that was not null; ``run`` as in ``records``."""
+    if run is None:
+        return lines.withColumn(name, F.last(value, ignorenulls=True).over(so_far(by, [order])))
+    dealt = _in_runs(lines, by, order, run, value, lambda sums: F.last(sums["last"], ignorenulls=True))
+    own = F.last("_value", ignorenulls=True).over(so_far([*by, "_run"], [order]))
+    return dealt.withColumn(name, F.coalesce(own, "_before")).drop("_value", "_run", "_before")
 
 
 def first_seen_groups(rows: DataFrame, by: list[str], key: str, order: str, *firsts: str) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.text import basename, if_any, is_blank, project_name, severity, severity_text, source_path, trim, truncate, whole_number
-from ..operators.ordered import carried, ranked, top_k
+from ..operators.ordered import RUN, carried, ranked, top_k
 from ..sources.captures import merged, text_lines
 from ..tables import once
 from .report import raw_tail, rows, titled, together
@@ -116,7 +116,7 @@ def test_lines(lines: DataFrame) -> DataFrame:
     line = F.col("line")
     opened = F.when(line.rlike(TEST_TOTALS), "totals").when(line.rlike(FAILED_TEST), "failed")
     mark = F.when(F.col("class").isNotNull(), F.col("class")).when(is_blank("line"), "blank")
-    marked = carried(lines.withColumn("class", opened), F.when(mark.isNotNull(), F.struct(mark.alias("kind"), F.col("line_no").alias("at"))), ["source_id"], "line_no", "last")
+    marked = carried(lines.withColumn("class", opened), F.when(mark.isNotNull(), F.struct(mark.alias("kind"), F.col("line_no").alias("at"))), ["source_id"], "line_no", "last", RUN)
     is_detail = F.col("class").isNull() & (F.col("last.kind") == "failed") & line.startswith("    ") & ~is_blank("line")
     return marked.select(
         "source_id", "line_no", "line", F.when(is_detail, "detail").otherwise(F.col("class")).alias("class"),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.text import basename, branch_name, if_any, is_blank, trim, truncate
-from ..operators.ordered import budgeted, carried, head_and_tail, in_order, ranked, records, so_far, top_k
+from ..operators.ordered import RUN, budgeted, carried, head_and_tail, in_order, ranked, records, so_far, top_k
 from ..sources.captures import merged, text_lines
 from ..tables import once
 from .report import blank_raw, by_detail, joined_top, rows, titled, together, unchanged
@@ -33,7 +33,7 @@ def status_entries(lines: DataFrame) -> DataFrame:
     title = F.lit(None).cast("string")
     for start, name in reversed(SECTIONS):
         title = F.when(line.startswith(start), name).otherwise(title)
-    filled = carried(told.where(~F.col("short")), title, ["source_id"], "line_no", "section")
+    filled = carried(told.where(~F.col("short")), title, ["source_id"], "line_no", "section", RUN)
     long = filled.where(line.startswith("\t") & F.col("section").isNotNull()).select("source_id", "line_no", "section", trim("line").alias("path"))
     return brief.unionByName(long)
 
@@ -73,7 +73,7 @@ def diff_lines(lines: DataFrame) -> DataFrame:
         F.when(line.startswith("diff --git "), "file").when(line.startswith("Binary files "), "binary").when(line.startswith("@@"), "hunk")
         .when(line.startswith("new file"), "new").when(line.startswith("deleted file"), "deleted").when(meta, "meta").when(line.startswith("+"), "add").when(line.startswith("-"), "remove")
     )
-    filed = records(lines.withColumn("class", kind), F.col("class") == "file", ["source_id"], "line_no", "file_no")
+    filed = records(lines.withColumn("class", kind), F.col("class") == "file", ["source_id"], "line_no", "file_no", RUN)
     return filed.withColumn("hunk_no", F.sum(F.when(F.col("class") == "hunk", 1).otherwise(0)).over(so_far(["source_id", "file_no"], ["line_no"])))
 
 
@@ -130,7 +130,7 @@ def diff_report(captures: DataFrame, detail: str = "default") -> DataFrame:
 def commits(lines: DataFrame) -> DataFrame:
     """(source_id, line_no, hash, author, date, message): message is the first line that has text, null for none."""
     line = F.col("line")
-    own = records(lines, line.rlike(COMMIT), ["source_id"], "line_no")
+    own = records(lines, line.rlike(COMMIT), ["source_id"], "line_no", run=RUN)
     author = F.when(line.startswith("Author:"), trim(F.regexp_replace(F.substring("line", 8, 1 << 20), r"(?<=.)<.*$", "")))
     date = F.when(line.startswith("Date:"), trim(F.substring("line", 6, 1 << 20)))
     said = line.startswith("    ") & ~line.startswith("    Co-Authored-By:") & ~is_blank("line")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.text import basename, http_level, if_any, is_blank, last_component, level_tag, shorten_url, trim, truncate
-from ..operators.ordered import deduplicated, last_n, ranked, records
+from ..operators.ordered import RUN, deduplicated, last_n, ranked, records
 from ..operators.pairing import stacked_pairs
 from ..sources.captures import text_lines
 from ..tables import once
@@ -41,7 +41,7 @@ def log_entries(lines: DataFrame) -> DataFrame:
 
     The first continuation is the message. Blank lines are dropped, and lines before the first header.
     """
-    own = records(lines.where(~is_blank("line")), F.col("line").rlike(HEADER), ["source_id"], "line_no")
+    own = records(lines.where(~is_blank("line")), F.col("line").rlike(HEADER), ["source_id"], "line_no", run=RUN)
     grouped = own.groupBy("source_id", "record").agg(F.array_sort(F.collect_list(F.struct("line_no", "line"))).alias("all"))
     head = F.col("all")[0]
     rest = F.transform(F.slice("all", 2, F.greatest(F.size("all") - 1, F.lit(0))), lambda x: x["line"])

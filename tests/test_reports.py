@@ -2,6 +2,9 @@
 
 import pytest
 
+from pyspark.sql import functions as F
+
+from lexisift.operators import ordered
 from lexisift.plans import builds, files, revisions, searches, service_logs
 from lexisift.plans.report import render, rendered
 from lexisift.registry import parse_options, passthrough, register, resolve, verb_of
@@ -269,6 +272,19 @@ def test_levels(spark):
     assert service(spark, marked)[0][2:] == ["[INF] C: kept"]
 
 
+@pytest.mark.parametrize("run", [1, 3, 7, 1000])
+def test_runs_of_a_long_text_join_without_a_seam(spark, run):
+    """Records and carried values are the same however a text is cut into runs."""
+    rows = [(s, i, "h" if i % 5 == s else "x" if i % 11 else None) for s in (0, 1, 9) for i in range(1, 60)]
+    lines = spark.createDataFrame(rows, "source_id int, line_no int, line string")
+    header = F.col("line") == "h"
+    plain, cut = (sorted(map(tuple, ordered.records(lines, header, ["source_id"], "line_no", run=r).collect()), key=str) for r in (None, run))
+    assert [c for c in plain if c[0] == 9] == [] and plain == cut
+    value = F.when(header, F.struct("line_no", "line"))
+    plain, cut = (sorted(map(tuple, ordered.carried(lines, value, ["source_id"], "line_no", "v", r).collect()), key=str) for r in (None, run))
+    assert plain == cut
+
+
 def test_white_space_and_words_of_any_script(spark):
     """No-break spaces part words, and letters of any script are letters."""
     nb = "\u00a0"
