@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from ..shipping import shipped
-from .common import components, durable
+from .common import components, durable, with_values
 from .dart_minhash import mix
 
 #: Rows that are compared with each other at once; a group of more is parted and its parts are compared in pairs.
@@ -67,6 +67,29 @@ def cells(unit: np.ndarray, tables: int, probes: int, width: float, seed: int =
     return out
 
 
+def cell_width(n: int) -> float:
+    """How wide cells are for ``n`` vectors: a cell's share of all falls with the root of their number."""
+    return float(np.clip(2.0 * (max(n, 1) / 50_000) ** (-1 / 16), 0.4, 2.5))
+
+
+@lru_cache(64)
+def tables_for(threshold: float, probes: int, width: float, miss: float = 1e-6, draws: int = 20_000) -> int:
+    """How many tables leave a pair at the threshold without a cell in common no more often than ``miss``.
+
+    Projections of two unit vectors depend on their cosine alone, so pairs are drawn for it and decoded.
+    """
+    draw = np.random.default_rng(13)
+    g, offset = draw.normal(size=(2, draws, 8)), draw.random((draws, 8))
+    x = np.stack([g[0], threshold * g[0] + np.sqrt(max(0.0, 1 - threshold**2)) * g[1]]) / width + offset
+    own = np.stack([decode(x[0]), decode(x[1])])
+    away = (own[1] - own[0])[:, None]
+    met = (away[:, 0] == 0).all(axis=1)
+    for side in (0, 1):
+        around = np.argpartition(-((x[side] - own[side]) @ shortest().T), probes, axis=1)[:, :probes]
+        met |= (shortest()[around] == (away if side == 0 else -away)).all(axis=2).any(axis=1)
+    return int(np.ceil(np.log(miss) / np.log1p(-min(met.mean(), 1 - 1e-9)))) if met.any() else 64
+
+
 def signs(unit: np.ndarray, seed: int = 12) -> np.ndarray:
     """n x SIGN_WORDS words of sign bits of random projections."""
     draw = np.random.default_rng([seed, unit.shape[1]])
@@ -109,9 +132,9 @@ def _in_parts(rows: DataFrame, key: str, id_col: str, weight: str | None = None,
     A key's rows are dealt over parts of about ``most`` (PART without it), in rows or in the sum of ``weight``, by a
     hash of the id, and every two parts, or a part with itself, are a group.
     """
-    sizes = rows.groupBy(key).agg(F.count("*").alias("rows"), F.sum(weight or F.lit(1)).alias("size")).where("rows > 1").drop("rows")
+    sizes = durable(rows.groupBy(key).agg(F.count("*").alias("rows"), F.sum(weight or F.lit(1)).alias("size")).where("rows > 1"))
     parts = F.ceil(F.col("size") / F.lit(most or PART)).cast("int")
-    dealt = rows.join(sizes, key).withColumn("parts", parts).withColumn("q", F.pmod(F.xxhash64(id_col, F.lit(5)), F.col("parts")).cast("int"))
+    dealt = with_values(rows, sizes, key).withColumn("parts", parts).withColumn("q", F.pmod(F.xxhash64(id_col, F.lit(5)), F.col("parts")).cast("int"))
     both = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     return both.withColumn("g", F.least("q", "other")).withColumn("h", F.greatest("q", "other")).withColumn("side", F.when(F.col("q") == F.col("g"), 0).otherwise(1)).drop("size", "parts", "q", "other")
 
@@ -234,7 +257,7 @@ def _verified(threshold: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator
     return run
 
 
-def similar_vectors(vectors: DataFrame, threshold: float = 0.95, tables: int = 10, probes: int = 4, width: float = 1.3, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+def similar_vectors(vectors: DataFrame, threshold: float = 0.95, probes: int = 4, miss: float = 1e-6, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """(vec_id, n_links, component_id, kept), a row for each row of ``vectors``; labels and other columns are ignored.
 
     Vectors link at a cosine of ``threshold`` or more, in double precision. Equal vectors are one with a count.
@@ -243,8 +266,9 @@ def similar_vectors(vectors: DataFrame, threshold: float = 0.95, tables: int = 1
     of more random projections mostly agree, are candidates, whose cosine is taken exactly. A cell with few names
     its pairs, at most NAMED for each of its rows. One with more tells which rows they connect; in the classes
     that these make all cosines are taken in blocks and counted, and no pair is a row. Each link counts once: a
-    pair that is named counts only if it is not of one such class. With the default width and tables a pair at
-    0.95 is missed about once in a million; a lower threshold wants more tables.
+    pair that is named counts only if it is not of one such class. The width of cells follows from how many vectors
+    there are, and the number of tables from width and threshold, so that at every size a pair at the threshold is
+    missed no more often than ``miss``.
 
     Null and zero vectors and those with null or non-finite components link with nothing, and so do rows with
     a null id, whose component is null and which stay. Rows that share an id count as vectors each. Vectors of
@@ -256,8 +280,8 @@ def similar_vectors(vectors: DataFrame, threshold: float = 0.95, tables: int = 1
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.when(usable, F.transform(v, lambda x: x + F.lit(0.0))).alias("v"))
     distinct = durable(rows.where("v is not null").groupBy("v").agg(F.min("vec_id").alias("id"), F.count("*").alias("times")))
     if not distinct.groupBy("id").count().where("count > 1").isEmpty():
-        return _with_shared_ids(rows, distinct, threshold, tables, probes, width)
-    counted, member = _links(distinct, threshold, tables, probes, width)
+        return _with_shared_ids(rows, distinct, threshold, probes, miss)
+    counted, member = _links(distinct, threshold, probes, miss)
     found = distinct.join(counted, "id", "left").join(member, distinct["id"] == member["node"], "left")
     each = found.select("v", (F.coalesce("n", F.lit(0)) + F.col("times") - 1).alias("n_links"), F.coalesce("component", "id").alias("component_id"))
     return _told(rows, each)
@@ -268,17 +292,19 @@ def _told(rows: DataFrame, each: DataFrame) -> DataFrame:
     return told.withColumn("kept", F.col("vec_id").isNull() | (F.col("vec_id") == F.col("component_id")))
 
 
-def _with_shared_ids(rows: DataFrame, distinct: DataFrame, threshold: float, tables: int, probes: int, width: float) -> DataFrame:
+def _with_shared_ids(rows: DataFrame, distinct: DataFrame, threshold: float, probes: int, miss: float) -> DataFrame:
     """The same where a vector's least id is another's too: nodes get numbers, then components get least ids."""
     numbered = durable(distinct.withColumn("own", F.col("id")).withColumn("id", F.monotonically_increasing_id()))
-    counted, member = _links(numbered, threshold, tables, probes, width)
+    counted, member = _links(numbered, threshold, probes, miss)
     found = durable(numbered.join(counted, "id", "left").join(member, numbered["id"] == member["node"], "left").select("v", "own", "id", (F.coalesce("n", F.lit(0)) + F.col("times") - 1).alias("n_links"), F.coalesce("component", "id").alias("class")))
     least = found.groupBy("class").agg(F.min("own").alias("component_id"))
     return _told(rows, found.join(least, "class").select("v", "n_links", "component_id"))
 
 
-def _links(distinct: DataFrame, threshold: float, tables: int, probes: int, width: float) -> tuple[DataFrame, DataFrame]:
+def _links(distinct: DataFrame, threshold: float, probes: int, miss: float) -> tuple[DataFrame, DataFrame]:
     """(id, n) and (node, component) of vectors that link, from (id, v, times)."""
+    width = cell_width(distinct.count())
+    tables = tables_for(threshold, probes, width, miss)
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

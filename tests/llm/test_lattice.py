@@ -33,6 +33,21 @@ def test_nearest_points():
     assert (((x - own) ** 2).sum(axis=1)[:, None] <= ((x[:, None] - around) ** 2).sum(axis=2) + 1e-9).all()
 
 
+@pytest.mark.parametrize(("threshold", "n"), [(0.95, 100), (0.95, 50_000), (0.95, 10**9), (0.8, 10**6)])
+def test_tables_are_enough(threshold, n):
+    """Pairs at the threshold meet in one table as often as the number of tables takes for granted."""
+    width = lattice.cell_width(n)
+    tables = lattice.tables_for(threshold, 4, width)
+    draw = np.random.default_rng(5)
+    a, o = draw.normal(size=(2, 3000, 48))
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    o -= (o * a).sum(axis=1, keepdims=True) * a
+    b = threshold * a + np.sqrt(1 - threshold**2) * o / np.linalg.norm(o, axis=1, keepdims=True)
+    x, y = (lattice.cells(v, 3, 4, width) for v in (a, b))
+    met = ((x[:, :, :1] == y).any(axis=2) | (y[:, :, :1] == x).any(axis=2)).mean()
+    assert (1 - met) ** tables < 1e-5 and 1 <= tables <= 200
+
+
 def test_query_equals_sql(spark):
     c = duckdb.connect()
     c.execute(f"create view embeddings as select * from '{SF}/embeddings.parquet'")
