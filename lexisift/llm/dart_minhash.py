@@ -233,6 +233,12 @@ def _pairs(members: DataFrame, centre_only: bool = False) -> DataFrame:
     return each.select(F.least("doc", "head.doc").alias("x"), F.greatest("doc", "head.doc").alias("y")).distinct()
 
 
+def _of_several(members: DataFrame) -> DataFrame:
+    """Those rows whose ``key`` has rows of more than one ``class``."""
+    several = members.groupBy("key").agg(F.min("class").alias("p"), F.max("class").alias("q"), F.count("*").alias("rows")).where("p <> q")
+    return with_values(members, durable(several.select("key", "rows")), "key")
+
+
 class _Marked:
     """Rows (doc, class, total, marks) of a group; ``total`` is the size of a row's set."""
 
@@ -323,9 +329,8 @@ def _between_classes(members: DataFrame, sets: DataFrame, threshold: float) -> D
     """
     from .lattice import _grouped, _in_parts
 
-    several = members.groupBy("key").agg(F.min("class").alias("p"), F.max("class").alias("q")).where("p <> q").select("key")
     own = sets.select(F.col("doc_id").alias("doc"), F.size("shingles").cast("long").alias("total"), "marks", "shingles").where("total > 0")
-    rows = durable(members.join(several, "key"))  # marks and sets come to rows that are dealt already, so that they move once
+    rows = durable(_of_several(members))  # marks and sets come to rows that are dealt already, so that they move once
     dealt = _in_parts(rows, "key", "doc").join(own.select("doc", "total", "marks"), "doc")
     possible = durable(_grouped(dealt, "key", _possible_links(threshold), "x long, y long").where("x <> y").distinct())
     if possible.isEmpty():
@@ -373,8 +378,7 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, size: int = 5, band
         held = members.join(classes, members["doc"] == classes["node"], "left")
         drawn = F.xxhash64("doc", "key", F.lit(turn))
         two = held.groupBy("key", F.coalesce("component", "doc").alias("class")).agg(F.array_distinct(F.array(F.max_by("doc", "centre"), F.min_by("doc", drawn))).alias("docs"), F.max("centre").alias("centre"))
-        several_ = two.join(two.groupBy("key").agg(F.min("class").alias("p"), F.max("class").alias("q")).where("p <> q").select("key"), "key")
-        spoken = several_.select("key", "class", "centre", F.explode("docs").alias("doc"))
+        spoken = _of_several(durable(two)).select("key", "class", "centre", F.explode("docs").alias("doc"))
         pairs = durable(_pairs(spoken).join(tried, ["x", "y"], "left_anti"))
         found = durable(_verified(pairs, sets, threshold))
         if found.isEmpty():
