@@ -71,7 +71,7 @@ class PieceCodec:
         self.merged = np.array([pairs[k][1] for k in self.keys.tolist()], dtype=np.int64)
         self.one_by_one = np.zeros(max(rank_of.values()) + 1, dtype=bool)
         self.one_by_one[[rank_of[x] for x in unsafe]] = True
-        self.most, self.table = most, {}
+        self.most, self.table, self.before = most, {}, {}
 
     def _pairs(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Where in the table of pairs each pair is, or -1."""
@@ -80,8 +80,8 @@ class PieceCodec:
         at[at == len(self.keys)] = 0
         return np.where(self.keys[at] == keys, at, -1)
 
-    def merge(self, words: list[str]) -> list[np.ndarray]:
-        """The symbols of each word after all merges."""
+    def merge(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The symbols of all words after all merges, one word after the other, and how many each has."""
         points = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.int64)
         distinct, back = np.unique(points, return_inverse=True)
         symbols = np.array([self.single.get(chr(p), CHARACTER + p) for p in distinct.tolist()], dtype=np.int64)[back]
@@ -117,33 +117,39 @@ class PieceCodec:
                 joined = joined[word[joined] == word[joined + 1]]
                 pair[at] = -1
                 pair[joined] = self._pairs(symbols[joined], symbols[joined + 1])
-        if not done:
-            return []
-        of, flat = np.concatenate([w for w, _ in done]), np.concatenate([s for _, s in done])
-        order = np.argsort(of, kind="stable")
-        return np.split(flat[order], np.cumsum(np.bincount(of, minlength=len(words)))[:-1])
-
-    def _ids(self, symbols: np.ndarray) -> bytes:
-        if (symbols < CHARACTER).all():
-            return symbols.astype("<i4").tobytes()
-        out: list[int] = []
-        for s in symbols.tolist():
-            out += [s] if s < CHARACTER else self.byte_id[list(chr(s - CHARACTER).encode())].tolist()
-        return np.array(out, dtype="<i4").tobytes()
+        none = np.empty(0, dtype=np.int64)
+        of, flat = np.concatenate([none, *(w for w, _ in done)]), np.concatenate([none, *(s for _, s in done)])
+        return flat[np.argsort(of, kind="stable")], np.bincount(of, minlength=len(words))
+
+    def _ids(self, words: list[str]) -> list[bytes]:
+        """The ids of each word; a character that is no piece has those of its bytes."""
+        symbols, sizes = self.merge(words)
+        if len(odd := np.flatnonzero(symbols >= CHARACTER)):
+            spelt = [self.byte_id[list(chr(s - CHARACTER).encode())] for s in symbols[odd].tolist()]
+            times = np.ones(len(symbols), dtype=np.int64)
+            times[odd] = [len(x) for x in spelt]
+            sizes = np.add.reduceat(times, np.cumsum(sizes) - sizes)
+            symbols = np.repeat(symbols, times)
+            symbols[symbols >= CHARACTER] = np.concatenate(spelt)
+        data, ends = symbols.astype("<i4").tobytes(), (4 * np.cumsum(sizes)).tolist()
+        return [data[i:j] for i, j in zip([0, *ends], ends)]
 
     def encode(self, texts: list[str], end: bool = False) -> list[np.ndarray]:
-        if len(self.table) > self.most:
-            self.table.clear()
-        table, words = self.table, [self.words.findall(SPACE + t.replace(" ", SPACE)) if t else [] for t in texts]
+        if len(self.table) > self.most // 2:  # words of the table before last go, those met again come along
+            self.table, self.before = {}, self.table
+        table, before = self.table, self.before
+        words = [self.words.findall(SPACE + t.replace(" ", SPACE)) if t else [] for t in texts]
         new: set[str] = set()
         for own in words:
             new.update(own)
-        if missing := sorted(new.difference(table), key=len):
+        new.difference_update(table)
+        table.update((w, before[w]) for w in new if w in before)
+        if missing := sorted(new.difference(before), key=len):
             start = 0
             while start < len(missing):  # words of like length together, about a million symbols at a time
                 stop = start + max(1, (1 << 20) // len(missing[min(start + 4096, len(missing)) - 1]))
                 part = missing[start:stop]
-                table.update(zip(part, map(self._ids, self.merge(part)), strict=True))
+                table.update(zip(part, self._ids(part), strict=True))
                 start = stop
         last = np.array([self.end], dtype="<i4").tobytes() if end else b""
         return [np.frombuffer(b"".join(map(table.__getitem__, own)) + last, dtype="<i4") for own in words]
