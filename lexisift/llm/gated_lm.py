@@ -5,7 +5,7 @@ from __future__ import annotations
 import zlib
 from collections import Counter
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass
+from dataclasses import InitVar, dataclass
 from heapq import heapreplace
 
 import numpy as np
@@ -15,8 +15,8 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..shipping import shipped
 from .common import count_terms, durable, most_frequent, remainder, slices, texts_of
+from .word_table import LOWER, Words, WordTable
 
-_LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 END = ""  # no word is empty
 LOG10E = float(np.log10(np.e))
 #: Text that a task holds at once: documents of many lengths go through the model side by side.
@@ -25,7 +25,7 @@ HELD = 12 << 20
 
 def words_of(text: str) -> list[bytes]:
     """Lower-cased runs of anything but the six ASCII blanks; the end is not among them."""
-    return text.encode().translate(_LOWER).split()
+    return text.encode().translate(LOWER).split()
 
 
 @dataclass
@@ -36,7 +36,7 @@ class Vocabulary:
     are in classes by their last two characters; within those a word's share is that of its count.
     """
 
-    counts: dict[bytes, int]
+    known: InitVar[dict[bytes, int]]  # counts of frequent words, the end among them
     symbols: dict[bytes, int]  # in order of frequency
     symbol_counts: np.ndarray
     width: int  # symbols in a class
@@ -45,54 +45,48 @@ class Vocabulary:
     train_tokens: int
     distinct: int
 
-    def __post_init__(self):
-        self.places = {w: i for i, w in enumerate(self.counts)}
-        self.table = _Codes(self.endings, len(self.symbols))
-        for w, i in self.symbols.items():
-            self.table[w] = i | -1 << 20
-        for w, place in self.places.items():
-            self.table[w] = self.table[w] & 0xFFFFF | place << 20
+    def __post_init__(self, known: dict[bytes, int]):
+        end = END.encode()
+        self.counts = np.fromiter(known.values(), dtype=np.float64, count=len(known))
+        self.at_end, self.end_code = list(known).index(end), self.symbols[end]
+        place = {w: i for i, w in enumerate(known)}
+        words = [w for w in place.keys() | self.symbols.keys() if w != end]
+        code = lambda w: self.symbols.get(w, len(self.symbols) + self.ending(w))
+        self.table = WordTable(words, np.array([code(w) | place.get(w, -1) + 1 << 20 for w in words], dtype=np.int64))
+        two = lambda b: zlib.crc32(bytes([b >> 8, b & 255])) % self.endings
+        self.two = np.array([two(b) for b in range(1 << 15)], dtype=np.int64)  # of two ASCII characters
+        self.one = np.array([zlib.crc32(bytes([b])) % self.endings for b in range(128)], dtype=np.int64)
 
     def ending(self, word: bytes) -> int:
-        return _ending(word, self.endings)
+        """The class of a word by its last two characters."""
+        return zlib.crc32(word[-2:] if word.isascii() else word.decode()[-2:].encode()) % self.endings
+
+    def _endings(self, words: Words, at: np.ndarray) -> np.ndarray:
+        """The same of some of the words of many texts."""
+        stops = words.stops[at]
+        last, before = words.bytes[stops - 1].astype(np.int64), words.bytes[stops - 2].astype(np.int64)
+        single = stops - words.starts[at] == 1
+        out = np.where(single, self.one[last & 127], self.two[(before & 127) << 8 | last & 127])
+        odd = np.flatnonzero((last > 127) | (before > 127) & ~single)
+        out[odd] = [self.ending(w) for w in words.spelt(at[odd])]
+        return out
 
-    def look_up(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Codes of words and then the end, and places of the words among the known counts or -1.
+    def read(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, Words]:
+        """Codes of the words of each text and then its end, one text after the other; their places among the known
+        counts, or -1; where in both each text begins; and the words themselves.
 
         A code is a word's own symbol, or past the symbols the class of its ending.
         """
-        both = np.fromiter(map(self.table.__getitem__, words), dtype=np.int64, count=len(words))
-        codes = np.empty(len(words) + 1, dtype=np.int32)
-        codes[:-1] = both & 0xFFFFF
-        codes[-1] = self.symbols[END.encode()]
-        return codes, both >> 20
-
-    def codes(self, words: list[bytes]) -> np.ndarray:
-        return self.look_up(words)[0]
-
-
-def _ending(word: bytes, endings: int) -> int:
-    """The class of a word by its last two characters."""
-    return zlib.crc32(word[-2:] if word.isascii() else word.decode()[-2:].encode()) % endings
-
-
-class _Codes(dict):
-    """Word to code and place, in one number; a word that has neither is worked out each time, so the table stays small."""
-
-    def __init__(self, endings: int, symbols: int):
-        self.endings, self.symbols = endings, symbols
-
-    def __missing__(self, word: bytes) -> int:
-        return self.symbols + _ending(word, self.endings) | -1 << 20
-
-    def __reduce__(self):
-        return _codes, (self.endings, self.symbols, dict(self))
-
-
-def _codes(endings: int, symbols: int, known: dict) -> _Codes:
-    out = _Codes(endings, symbols)
-    out.update(known)
-    return out
+        words = Words(texts)
+        both = self.table.find(words.hashes)
+        other = np.flatnonzero(both < 0)
+        both[other] = len(self.symbols) + self._endings(words, other)
+        n, text = len(both), np.arange(len(texts))
+        ends = np.cumsum(words.counts) + text
+        own = np.arange(n) + np.repeat(text, words.counts)
+        codes, places = np.full(n + len(texts), self.end_code, dtype=np.int32), np.full(n + len(texts), self.at_end)
+        codes[own], places[own] = both & 0xFFFFF, (both >> 20) - 1
+        return codes, places, ends - words.counts, words
 
 
 def _sigmoid(x: np.ndarray) -> None:
@@ -129,8 +123,9 @@ def _chosen(h: np.ndarray, weights: np.ndarray, biases: np.ndarray, of: np.ndarr
 class GatedModel:
     """A gated recurrent unit under a softmax over classes and one over the symbols of a class.
 
-    ``X``: what each symbol adds to the gates; ``U``, ``N``: what the state adds to gates and candidate; ``C``,
-    ``c``: class scores; ``W``, ``w``: scores of the symbols of each class. It starts as the unigram of ``counts``.
+    ``X``: what each code adds to the gates; ``U``, ``N``: what the state adds to gates and candidate; ``C``, ``c``:
+    class scores; ``W``, ``w``: scores of the codes of each class. Symbols fill classes of ``width`` in order, then
+    endings fill others. It starts as the unigram of ``counts`` and of the masses of ``endings``.
     """
 
     NAMES = ("X", "U", "N", "C", "c", "W", "w")
@@ -138,17 +133,18 @@ class GatedModel:
     def __init__(self, counts: np.ndarray, endings: np.ndarray, width: int, state: int = 16, seed: int = 5):
         draw = np.random.default_rng(seed)
         n, self.width, self.state = len(counts), width, state
-        self.symbols, self.classes = n, -(-n // width)
+        self.symbols, self.gap = n, -n % width  # places left empty in the last class of symbols
+        self.classes = -(-n // width) - (-len(endings) // width)
         small = lambda *shape: (draw.normal(size=shape) * 0.3 / np.sqrt(state)).astype(np.float32)
         self.X, self.U, self.N = small(n + len(endings), 3 * state) * 4, small(state, 2 * state), small(state, state)
         self.X[:, :state] -= 1  # gates start half shut, so that the state lasts
         padded = np.zeros(self.classes * width)
-        padded[:n] = counts + 0.1
-        mass = np.concatenate([padded.reshape(-1, width).sum(axis=1), endings])
-        self.C, self.c = small(state, len(mass)) * 0.1, np.log(mass / mass.sum()).astype(np.float32)
+        padded[:n], padded[n + self.gap : n + self.gap + len(endings)] = counts + 0.1, endings
+        padded = padded.reshape(-1, width)
+        self.C, self.c = small(state, self.classes) * 0.1, np.log(padded.sum(axis=1) / padded.sum()).astype(np.float32)
         self.W = small(self.classes, state, width) * 0.1
         with np.errstate(divide="ignore"):
-            self.w = np.maximum(np.log(padded.reshape(-1, width)), -1e4).astype(np.float32)
+            self.w = np.maximum(np.log(padded), -1e4).astype(np.float32)
 
     def weights(self) -> np.ndarray:
         return np.concatenate([getattr(self, n).reshape(-1) for n in self.NAMES])
@@ -185,13 +181,10 @@ class GatedModel:
         return bool(np.abs(weights).sum(axis=-2).max() + np.abs(biases.max(axis=-1)).max() < 80)
 
     def logs(self, h: np.ndarray, codes: np.ndarray, grads: dict[str, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray | None]:
-        """Natural log-probabilities of ``codes`` after states ``h``; adds to ``grads`` and returns the loss's slope in ``h``.
-
-        A code past the symbols has that of its class alone.
-        """
-        of = np.where(codes < self.symbols, codes // self.width, codes - self.symbols + self.classes)
+        """Natural log-probabilities of ``codes`` after states ``h``; adds to ``grads`` and returns the loss's slope in ``h``."""
+        of, inner = np.divmod(codes + self.gap * (codes >= self.symbols), self.width)
         order = np.argsort(of.astype(np.int16), kind="stable")  # by class, so that each class is one slice
-        h, of, inner = h[order], of[order], (codes % self.width)[order]
+        h, of, inner = h[order], of[order], inner[order]
         ends = np.searchsorted(of, np.arange(self.classes + 1))
         bounded = [self._bounded(self.C, self.c[None]), self._bounded(self.W, self.w)]
         logs, dh = _chosen(h, self.C, self.c, of, bounded[0], grads and (grads["C"], grads["c"]))
@@ -344,7 +337,7 @@ def count_words(texts: DataFrame) -> DataFrame:
     return count_terms(texts, lambda: lambda text: (words_of(text), [END.encode()])).withColumnRenamed("term", "word")
 
 
-def make_vocabulary(counts: DataFrame, known: int = 1 << 17, symbols: int = 1024, width: int = 32, endings: int = 32) -> Vocabulary:
+def make_vocabulary(counts: DataFrame, known: int = 1 << 18, symbols: int = 1024, width: int = 32, endings: int = 32) -> Vocabulary:
     """From (word, c): at most ``known`` words come to the driver, the most frequent ones, and sums."""
     total = counts.agg(F.sum("c").alias("n"), F.count("*").alias("v")).first()
     frequent = sorted(((r["word"].encode(), r["c"]) for r in most_frequent(counts, known).collect()), key=lambda x: (-x[1], x[0]))
@@ -379,7 +372,8 @@ def _train_round(texts: DataFrame, model: GatedModel, vocabulary: Vocabulary, ra
                     begun, words = shared.value
                     own = GatedModel(words.symbol_counts, words.ending_mass, words.width, begun.state)
                     own.set_weights(begun.weights())
-                texts = [words.codes(words_of(t)) for t in part.column("text").to_pylist()]
+                codes, _, begins, _ = words.read(part.column("text").to_pylist())
+                texts = np.split(codes, begins[1:])
                 own.train(texts, rate)
                 tokens += sum(map(len, texts))
         if own is not None:
@@ -413,32 +407,29 @@ def fit(texts: DataFrame, rounds: int = 3, state: int = 16, rate: float = 0.02)
 
 def _score_rows(vocabulary: Vocabulary, model: GatedModel) -> Callable[[list, list[str], int], pa.RecordBatch]:
     """A row for each document with all that is known of it, and one for each of its words whose count is not in the tables."""
-    counts = np.fromiter(vocabulary.counts.values(), dtype=np.float64, count=len(vocabulary.counts))
-    logs_of = np.append(np.log10(counts + 0.1), 0.0)  # the last is for a word of another count
-    known_of = np.append(counts > 0, False)
-    at_end = vocabulary.places[END.encode()]
+    logs_of = np.append(np.log10(vocabulary.counts + 0.1), 0.0)  # the last is for a word of another count
+    known_of = np.append(vocabulary.counts > 0, False)
     n_symbols = len(vocabulary.symbols)
     share = np.concatenate([np.zeros(n_symbols), np.log10(vocabulary.ending_mass)])
     kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
     names = ["row", "doc_id", "word", "times", "n_tokens", "n_known", "base_part", "model_part"]
 
     def work(ids: list, texts: list[str], first_row: int) -> pa.RecordBatch:
-        codes: list[np.ndarray] = []
-        docs, rest, of, times = [], [], [], []
-        for k, text in enumerate(texts):
-            words = words_of(text)
-            own, places = vocabulary.look_up(words)
-            codes.append(own)
-            logs = logs_of[places]
-            others = own[:-1] >= n_symbols
-            docs.append((len(own), int(known_of[places].sum() + known_of[at_end]), logs.sum() + logs_of[at_end], logs[others].sum() - share[own].sum()))
-            if len(at := np.flatnonzero(places < 0)):
-                found = Counter(map(words.__getitem__, at.tolist()))
+        codes, places, begins, words = vocabulary.read(texts)
+        by_text = lambda x: np.add.reduceat(x, begins)
+        n, known, logs = words.counts + 1, by_text(known_of[places].astype(np.int64)), logs_of[places]
+        base, model_part = by_text(logs), by_text(np.where(codes >= n_symbols, logs, 0.0) - share[codes])
+        model_part = model_part + model.score(np.split(codes, begins[1:])) * LOG10E
+        at = np.flatnonzero(places < 0)
+        whose = np.searchsorted(begins, at, side="right") - 1
+        spelt, cuts = words.spelt(at - whose), np.searchsorted(whose, np.arange(len(texts) + 1)).tolist()
+        rest, of, times = [], [], []
+        for k, (i, j) in enumerate(zip(cuts, cuts[1:])):
+            if i < j:
+                found = Counter(spelt[i:j])
                 rest += found
                 times += found.values()
                 of += [k] * len(found)
-        n, known, base, model_part = (np.array(x) for x in zip(*docs, strict=True))
-        model_part = model_part + model.score(codes) * LOG10E
         rows = first_row + np.arange(len(texts))
         every = np.array(of, dtype=np.int64)
         doc_ids = pa.array(ids, pa.int64())

@@ -126,8 +126,27 @@ def test_a_very_long_text_and_tables_that_are_handed_on(spark):
     voc = Vocabulary({b"a": 3, b"": 2, b"b": 1}, {b"a": 0, b"": 1}, np.array([3.0, 2.0]), 2, 4, np.ones(4), 6, 3)
     again = pickle.loads(pickle.dumps(voc))
     for v in (voc, again):
-        codes, places = v.look_up([b"a", b"b", b"c", "é".encode()])
-        assert codes[0] == 0 and codes[-1] == 1 and (codes[1:4] >= 2).all() and places.tolist() == [0, 2, -1, -1]
+        codes, places, begins, words = v.read(["A b c é", "", " a\tyz "])
+        assert begins.tolist() == [0, 5, 6] and words.counts.tolist() == [4, 0, 2]
+        assert codes[[0, 4, 5, 6, 8]].tolist() == [0, 1, 1, 0, 1] and places.tolist() == [0, 2, -1, -1, 1, 1, 0, -1, 1]
+        assert codes[[1, 2, 3, 7]].tolist() == [2 + v.ending(w) for w in (b"b", b"c", "é".encode(), b"yz")]
+
+
+def test_words_of_many_texts_at_once():
+    from lexisift.llm.word_table import CHUNK, Words, WordTable
+
+    draw = np.random.default_rng(8)
+    long = "ab" * CHUNK
+    texts = ["", "É a\x85b\x1cC \t\n\x0b\x0c\r d", long, f"x {long}c y", *("".join(chr(c) for c in draw.choice([9, 32, 65, 66, 97, 0xE9, 0x4E2D, 0x1F600], n)) for n in draw.integers(0, 60, 3000))]
+    words = Words(texts)
+    want = [w for t in texts for w in [x.encode() for x in tokens(t)[:-1]]]
+    assert words.spelt(np.arange(len(want))) == want and words.counts.tolist() == [len(tokens(t)) - 1 for t in texts]
+    distinct = sorted(set(want))
+    assert len(np.unique(words.hashes)) == len(distinct)
+    table = WordTable(distinct[::2], np.arange(len(distinct[::2])))
+    place = {w: i for i, w in enumerate(distinct[::2])}
+    assert table.find(words.hashes).tolist() == [place.get(w, -1) for w in want]
+    assert WordTable([], np.empty(0, dtype=np.int64)).find(words.hashes).max() == -1
 
 
 def test_every_training_text_is_learned_from_once(spark, monkeypatch):
