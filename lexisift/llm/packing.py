@@ -16,7 +16,7 @@ from .common import durable, map_texts
 
 #: Rows of one length are numbered in shares of about ROWS, so that a hot length is dealt over tasks; all lengths
 #: together have at most SHARES shares, the bound of what comes to the driver, and one for each length.
-ROWS, SHARES = 50_000, 1 << 16
+ROWS, SHARES = 500, 1 << 16
 
 
 def cut_documents(docs: DataFrame, tokenizer: str, most: int = 2048, end_id: int = 1, with_ids: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
