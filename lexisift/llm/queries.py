@@ -227,3 +227,29 @@ with texts as (
 select doc_id, held_out, count(*) as n_tokens, count(c) as n_known, cast(any_value(n) as bigint) as train_tokens, round(sum(log10((coalesce(c, 0) + 0.1) / (n + 0.1 * (v + 1)))), 5) as base_score
 from tokens left join counts using (word), totals group by doc_id, held_out
 """
+
+
+@query
+def op11_rolling_median(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .rolling_median import rolling_medians
+
+    clicks = table(spark, sf_dir, "clicks").select("click_id", "ts", "kind", "value")
+    return rolling_medians(clicks, 900_000_000).select(F.col("id").alias("click_id"), F.col("series").alias("kind"), "n", "median2", "mad4", "far")
+
+
+ORACLES["op11_rolling_median"] = """
+with once as (
+    select click_id, min(struct_pack(us := epoch_us(ts), kind := kind, cents := cast(floor(100 * value + 0.5) as bigint))) as e
+    from clicks where ts is not null group by click_id
+), events as (
+    select click_id, e.us as us, e.kind as kind, e.cents as cents from once
+), windows as (
+    select *, list_sort(list_filter(list(cents) over (partition by kind order by us range between 899999999 preceding and current row), lambda x: x is not null)) as l from events
+), medians as (
+    select *, len(l) as n, l[(len(l) + 1) // 2] + l[len(l) // 2 + 1] as median2 from windows
+), distances as (
+    select *, list_sort(list_transform(l, lambda x: abs(2 * x - median2))) as d from medians
+)
+select click_id, kind, n, median2, d[(n + 1) // 2] + d[n // 2 + 1] as mad4, 2 * abs(2 * cents - median2) > 2 * (d[(n + 1) // 2] + d[n // 2 + 1]) as far
+from distances
+"""
