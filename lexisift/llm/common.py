@@ -112,16 +112,17 @@ def remainder(id_col: str | Column, by: int) -> Column:
     return F.crc32(column.cast("string").cast("binary")) % by
 
 
-def with_values(rows: DataFrame, values: DataFrame, key: str, most: int = 1000) -> DataFrame:
+def with_values(rows: DataFrame, values: DataFrame, key: str | list[str], most: int = 1000) -> DataFrame:
     """``rows`` joined with ``values``, which has one row for each key and in ``rows`` how many of the former have it.
 
     Keys with more than one in ``most`` of all rows, which are fewer than ``most``, are broadcast, so that no task gets
     all rows of one; the rest is shuffled.
     """
+    keys = [key] if isinstance(key, str) else key
     total = values.agg(F.sum("rows")).first()[0] or 0
     hot = values.where(F.col("rows") * most > total)
-    often = rows.join(F.broadcast(hot.drop("rows")), key)
-    seldom = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(values.where(F.col("rows") * most <= total).drop("rows"), key)
+    often = rows.join(F.broadcast(hot.drop("rows")), keys)
+    seldom = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(values.where(F.col("rows") * most <= total).drop("rows"), keys)
     return often.unionByName(seldom)
 
 

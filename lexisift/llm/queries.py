@@ -253,3 +253,40 @@ with once as (
 select click_id, kind, n, median2, d[(n + 1) // 2] + d[n // 2 + 1] as mad4, 2 * abs(2 * cents - median2) > 2 * (d[(n + 1) // 2] + d[n // 2 + 1]) as far
 from distances
 """
+
+
+@query
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .prefix_trie import prefix_trie
+
+    return prefix_trie(table(spark, sf_dir, "conversations"))
+
+
+ORACLES["op12_prefix_trie"] = rf"""
+with given as (
+    select conv_id, coalesce(role, '') as role, coalesce(text, '') as text, row_number() over (partition by conv_id order by turn nulls first, role, text) as i
+    from conversations where conv_id is not null
+), convs as (
+    select distinct conv_id, conv_id - conv_id % 20 as p, {CRC32.format("conv_id")} % 4 as h from given
+), rebuilt as (
+    select c.conv_id, 0 as part, i, role, text from convs c join given g on g.conv_id = c.p and g.i <= c.h
+    union all select c.conv_id, 1, i, role, text from convs c join given g on g.conv_id = c.conv_id and g.i > c.h
+), lists as (
+    select c.conv_id, coalesce(list(struct_pack(role := role, text := text) order by part, i) filter (part is not null), []) as l from convs c left join rebuilt r on r.conv_id = c.conv_id group by c.conv_id
+), prefixes as (
+    select conv_id, l, len(l) as n, unnest(range(0, len(l) + 1)) as d from lists
+), nodes as (
+    select d, l[1:d] as node, min(conv_id) as conv_id, count(*) as n_convs, sha256(coalesce(string_agg(cast(conv_id as varchar), ',' order by conv_id) filter (d = n), '')) as ends_sha256
+    from prefixes group by d, l[1:d]
+), counted as (
+    select *, len(regexp_extract_all(node[d].text, '[^\x20\x09-\x0D]+')) as w from nodes
+), families as (
+    select n.d, n.node, (select count(*) from counted c where c.d = n.d + 1 and c.node[1:n.d] = n.node) as n_children from counted n
+), told as (
+    select c.*, f.n_children from counted c join families f on f.d = c.d and f.node = c.node
+)
+select t.conv_id, t.d as depth, p.conv_id as parent_conv_id, t.n_convs, t.n_children,
+    (select count(*) from told u where u.n_children = 0 and u.d >= t.d and u.node[1:t.d] = t.node) as n_leaves,
+    (select cast(sum((u.n_convs - 1) * coalesce(u.w, 0)) as bigint) from told u where u.d >= t.d and u.node[1:t.d] = t.node) as saved_tokens, t.ends_sha256
+from told t left join told p on p.d = t.d - 1 and p.node = t.node[1:t.d - 1]
+"""
