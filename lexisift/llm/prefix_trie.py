@@ -193,7 +193,7 @@ def prefix_rows(conversations: DataFrame, primes: tuple[int, int] = PRIMES) -> D
 
     told = sorted(((r["at"], pickle.loads(r["seen"])) for r in shipped(ordered).mapInArrow(look, "at int, seen binary").collect()), key=lambda x: x[0])
     carries, carry = {}, Seen()
-    for (at, seen), after in zip(told, [*(x.first for _, x in told[1:]), None], strict=True):
+    for (at, seen), after in zip(told, [*(x.first for _, x in told[1:]), None], strict=False):
         carries[at] = (carry, after != seen.last)
         carry = carry.then(seen, primes)
     shared = conversations.sparkSession.sparkContext.broadcast(carries)

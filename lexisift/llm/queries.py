@@ -290,3 +290,10 @@ select t.conv_id, t.d as depth, p.conv_id as parent_conv_id, t.n_convs, t.n_chil
     (select cast(sum((u.n_convs - 1) * coalesce(u.w, 0)) as bigint) from told u where u.d >= t.d and u.node[1:t.d] = t.node) as saved_tokens, t.ends_sha256
 from told t left join told p on p.d = t.d - 1 and p.node = t.node[1:t.d - 1]
 """
+
+
+@query
+def op13_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .sharding import shard_documents
+
+    return shard_documents(table(spark, sf_dir, "documents"), 8)
