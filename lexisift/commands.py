@@ -6,15 +6,16 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .functions.text import basename
-from .plans.files import file_card, files_report, list_report, parse_target, tree_report
+from .functions.text import HIDDEN_FROM_CODE, IGNORED_DIRECTORIES, basename
+from .plans.files import file_card, files_report, list_report, parse_target, tree_depth, tree_report
 from .plans.report import rows
 from .plans.revisions import changes_report
 from .plans.searches import search_report
 from .plans.service_logs import service_log_report
 from .registry import parse_options, resolve
+from .sources import store
 from .sources.captures import merged, text_lines
-from .sources.files import changed_files, inventory, path_kind, qualified, read_lines, read_logs, searchable
+from .sources.files import changed_files, entries, file_lines, found_lines, log_lines, path_kind
 
 #: A report's rows, and the exit code that goes with them; none where each capture has its own.
 Answer = tuple[DataFrame, int | None]
@@ -56,9 +57,13 @@ def plain_word(words: Sequence[str], valued: Sequence[str] = ()) -> str:
     return "."
 
 
-def relative(spark: SparkSession, path: str) -> DataFrame:
-    """(source_id, path) of the files below a folder."""
-    return inventory(spark, path).select(F.lit(path).alias("source_id"), "path")
+def relative(spark: SparkSession, path: str, skip: Sequence[str] = (), most: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """(source_id, path) of what is below a folder, directories with a slash at their end, and (source_id) of the folder.
+
+    The source is the folder's absolute path, whose last name a tree shows.
+    """
+    root = spark.createDataFrame([(store.local(path) or path,)], "source_id string")
+    return entries(spark, path, skip, most).select(F.lit(store.local(path) or path).alias("source_id"), "path"), root
 
 
 def ls(spark: SparkSession, words: Sequence[str], detail: str, captured: DataFrame | None) -> Answer:
@@ -68,7 +73,7 @@ def ls(spark: SparkSession, words: Sequence[str], detail: str, captured: DataFra
         return said(spark, f"ls: {path}: no such file or directory", path), 1
     if kind == "file":
         return said(spark, path.rstrip("/").split("/")[-1], path), 0
-    return list_report(relative(spark, path)), 0
+    return list_report(relative(spark, path, most=0)[0]), 0
 
 
 def view(spark: SparkSession, words: Sequence[str], detail: str, captured: DataFrame | None) -> Answer:
@@ -77,7 +82,7 @@ def view(spark: SparkSession, words: Sequence[str], detail: str, captured: DataF
     path, start, end = parse_target(target, path_kind(spark, target) == "file")
     if path_kind(spark, path) != "file":
         return said(spark, f"view: {path}: file not found", path), 0
-    lines = read_lines(spark, path)
+    lines = file_lines(spark, path)
     if lines.isEmpty():
         from .sources.files import looks_binary, read_bytes
 
@@ -91,8 +96,10 @@ def tree(spark: SparkSession, words: Sequence[str], detail: str, captured: DataF
     path = plain_word(words)
     if path_kind(spark, path) != "directory":
         return said(spark, f"tree: {path}: no such directory", path), 0
-    root = F.lit(qualified(spark, path)).alias("source_id")
-    return tree_report(relative(spark, path).select(root, "path"), detail, "--code" in words, "--all" in words, number_of(words, "--depth")), 0
+    code, show_all, depth = "--code" in words, "--all" in words, number_of(words, "--depth")
+    skip = ([] if show_all or detail == "raw" else IGNORED_DIRECTORIES) + (HIDDEN_FROM_CODE if code else [])
+    below, root = relative(spark, path, skip, tree_depth(detail, depth))
+    return tree_report(below, detail, code, show_all, depth, root), 0
 
 
 def files(spark: SparkSession, words: Sequence[str], detail: str, captured: DataFrame | None) -> Answer:
@@ -100,16 +107,19 @@ def files(spark: SparkSession, words: Sequence[str], detail: str, captured: Data
     path = plain_word(words, ("--depth", "--top", "--ext"))
     if path_kind(spark, path) != "directory":
         return said(spark, f"files: {path}: no such directory", path), 0
-    changed, found = "--changed" in words, relative(spark, path)
+    changed, code = "--changed" in words, "--code" in words
+    skip = ([] if changed or detail == "raw" else IGNORED_DIRECTORIES) + (HIDDEN_FROM_CODE if code and not changed else [])
+    found, root = relative(spark, path, skip)
+    source = root.first()[0]
     if changed:
         ok = found.where(F.lit(False)) if captured is None else None
         if captured is not None:
             lines = text_lines(merged(captured).where("exit_code = 0"))
-            ok = changed_files(lines, found).select(F.lit(path).alias("source_id"), "path")
+            ok = changed_files(lines, found).select(F.lit(source).alias("source_id"), "path")
         if ok.isEmpty():
             return said(spark, "files " + ("code " if "--code" in words else "") + "n=0" + (f" ext={ext.lstrip('.')}" if (ext := (value_of(words, "--ext") or "").strip()) else "") + " changed=1", path), 0
         found = ok
-    return files_report(found, detail, "--code" in words, value_of(words, "--ext"), number_of(words, "--top"), changed), 0
+    return files_report(found, detail, code, value_of(words, "--ext"), number_of(words, "--top"), changed, root), 0
 
 
 def focus(spark: SparkSession, words: Sequence[str], detail: str, captured: DataFrame | None) -> Answer:
@@ -120,10 +130,7 @@ def focus(spark: SparkSession, words: Sequence[str], detail: str, captured: Data
     if path_kind(spark, path) != "directory":
         return said(spark, f"focus: {path}: no such directory", path), 1
     scope = "all" if "--all" in flags else "docs" if "--docs" in flags else "code" if flags & {"--code", "--code-only"} else "default"
-    below = F.substring("source_id", len(qualified(spark, path).rstrip("/")) + 2, 1 << 30)
-    lines = read_lines(spark, path).withColumn("below", below).where(searchable("below"))
-    named = lines.select(F.concat(F.lit(path.rstrip("/") + "/"), "below").alias("source_id"), "line_no", "line")
-    return search_report(named, query, path, detail, scope, "--files-only" in flags)
+    return search_report(found_lines(spark, path, query), path, detail, scope, "--files-only" in flags)
 
 
 def log(spark: SparkSession, words: Sequence[str], detail: str, captured: DataFrame | None) -> Answer:
@@ -131,7 +138,8 @@ def log(spark: SparkSession, words: Sequence[str], detail: str, captured: DataFr
     if path_kind(spark, path) != "file":
         return said(spark, f"File not found: {path}", path), 0
     last = whole(value_of(flags, "--last") or "") or 0
-    return service_log_report(read_logs(spark, path), "raw" if detail == "raw" else "default", "--errors" in flags, last, show_all="--all" in flags), 0
+    root = spark.createDataFrame([(path,)], "source_id string")
+    return service_log_report(log_lines(spark, path), "raw" if detail == "raw" else "default", "--errors" in flags, last, show_all="--all" in flags, roots=root), 0
 
 
 def changes(spark: SparkSession, words: Sequence[str], detail: str, captured: DataFrame | None) -> Answer:

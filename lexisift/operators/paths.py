@@ -50,14 +50,17 @@ def ancestors(path: Column | str) -> Column:
 def tree_rollup(files: DataFrame, by: list[str], path: str = "path", max_depth: int | None = None, empty: bool = True) -> DataFrame:
     """(by, directory, depth, n_dirs, n_files) below each directory, the root among them.
 
-    One row is made for each ancestor of a file. With ``max_depth``, directories below it are not entered, so
-    neither they nor their files count; ``empty`` tells whether directories stay in which no file counts.
+    A path that ends in a slash is a directory. Files are counted by their own directory, and these counts are spread
+    over the directories above. With ``max_depth``, directories below it are not entered, so neither they nor their
+    files count; ``empty`` tells whether directories stay in which no file counts.
     """
-    above = ancestors(path)
-    most = F.size("above") if max_depth is None else F.least(F.size("above"), F.lit(max_depth + 1))
-    rows = files.select(*by, above.alias("above")).withColumn("counts", F.size("above") <= most)
-    each = rows.select(*by, "counts", F.explode(F.slice("above", 1, most)).alias("directory"))
-    n_files = each.groupBy(*by, "directory").agg(F.count_if("counts").alias("n_files"))
+    names = _directories(F.col(path))
+    is_file = F.substring_index(slashes(F.col(path)), "/", -1) != ""
+    own = files.select(*by, names.alias("names"), is_file.alias("is_file")).groupBy(*by, "names").agg(F.count_if("is_file").alias("n"))
+    most = F.size("names") if max_depth is None else F.least(F.size("names"), F.lit(max_depth))
+    counted = F.when(F.size("names") <= most, F.col("n")).otherwise(0)
+    upward = F.transform(F.sequence(F.lit(0), most), lambda k: F.array_join(F.slice("names", 1, k), "/"))
+    n_files = own.select(*by, counted.alias("n"), F.explode(upward).alias("directory")).groupBy(*by, "directory").agg(F.sum("n").cast("long").alias("n_files"))
     if not empty:
         n_files = n_files.where((F.col("n_files") > 0) | (F.col("directory") == ""))
     pairs = n_files.where("directory <> ''").select(*by, F.explode(ancestors("directory")).alias("directory"))

@@ -86,18 +86,21 @@ def file_card(lines: DataFrame, detail: str = "default", start: int | None = Non
     return together(*out)
 
 
-def files_report(files: DataFrame, detail: str = "default", code: bool = False, ext: str | None = None, top: int | None = None, changed: bool = False) -> DataFrame:
+def files_report(files: DataFrame, detail: str = "default", code: bool = False, ext: str | None = None, top: int | None = None, changed: bool = False, roots: DataFrame | None = None) -> DataFrame:
     """The inventory of files (source_id, path), paths relative: by first directory, and the likeliest entry points.
 
-    ``changed``: the paths are those that a status named, so directories do not matter.
+    ``changed``: the paths are those that a status named, so directories do not matter. Paths that end in a slash are
+    directories and do not count. ``roots``: (source_id) of all sources, also of those without a path.
     """
+    sources = (files if roots is None else roots).select("source_id").distinct()
+    files = files.where(~F.endswith("path", F.lit("/")))
     most = max(1, top) if top is not None else by_detail(detail, 8, 20, 50)
     groups = 6 if detail == "more" else 3
     used = files.where(included("path", ignored=detail == "raw" or changed, code=code))
     ext = None if ext is None or not ext.strip() else ext if ext.startswith(".") else f".{ext}"
     if ext:
         used = used.where(F.lower(extension("path")) == ext.lower())
-    counts = files.select("source_id").distinct().join(used.groupBy("source_id").agg(F.count("*").alias("n")), "source_id", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    counts = sources.join(used.groupBy("source_id").agg(F.count("*").alias("n")), "source_id", "left").withColumn("n", F.coalesce("n", F.lit(0)))
     head = F.concat(F.lit("files code n=" if code else "files n="), F.col("n").cast("string"), F.lit((f" ext={ext.lstrip('.')}" if ext else "") + (" changed=1" if changed else "")))
     grouped = ranked(used.groupBy("source_id", top_group("path", "root").alias("group")).agg(F.count("*").alias("n")), ["source_id"], [F.desc("n"), "group"])
     listed = top_k(used, ["source_id"], [file_score("path", code), "path"], most)
@@ -110,12 +113,19 @@ def files_report(files: DataFrame, detail: str = "default", code: bool = False,
     )
 
 
-def tree_report(files: DataFrame, detail: str = "default", code: bool = False, show_all: bool = False, depth: int | None = None) -> DataFrame:
-    """The directories of files (source_id, path) down to a depth, each with what is below it."""
-    most = max(1, depth) if depth is not None else by_detail(detail, 2, 3, 5)
+def tree_depth(detail: str = "default", depth: int | None = None) -> int:
+    return max(1, depth) if depth is not None else by_detail(detail, 2, 3, 5)
+
+
+def tree_report(files: DataFrame, detail: str = "default", code: bool = False, show_all: bool = False, depth: int | None = None, roots: DataFrame | None = None) -> DataFrame:
+    """The directories of files (source_id, path) down to a depth, each with what is below it.
+
+    A path that ends in a slash is a directory, which may be empty. ``roots``: (source_id) of all sources.
+    """
+    most = tree_depth(detail, depth)
     used = files.where(included("path", ignored=detail == "raw" or show_all, code=code))
     nodes = tree_rollup(used, ["source_id"], "path", most, empty=not code)
-    sums = files.select("source_id").distinct().join(nodes.where("directory = ''"), "source_id", "left")
+    sums = (files if roots is None else roots).select("source_id").distinct().join(nodes.where("directory = ''"), "source_id", "left")
     head = F.concat(F.lit("tree code d=" if code else "tree d="), F.coalesce("n_dirs", F.lit(0)).cast("string"), F.lit(" f="), F.coalesce("n_files", F.lit(0)).cast("string"), F.lit(f" depth={most}"))
     below = nodes.where("directory <> ''").withColumn("order", F.split(F.lower("directory"), "/", -1))
     ordered = ranked(below, ["source_id"], ["order", "directory"])
@@ -130,7 +140,10 @@ def tree_report(files: DataFrame, detail: str = "default", code: bool = False, s
 
 
 def list_report(files: DataFrame) -> DataFrame:
-    """What is directly below each source's root, directories with a slash, as a dictionary would order it."""
+    """What is directly below each source's root, directories with a slash, as a dictionary would order it.
+
+    From the paths of files and, with a slash at their end, of directories.
+    """
     deep = F.contains("path", F.lit("/"))
     name = F.when(deep, F.concat(F.substring_index("path", "/", 1), F.lit("/"))).otherwise(F.col("path"))
     each = files.select("source_id", name.alias("name")).distinct()

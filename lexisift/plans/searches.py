@@ -139,14 +139,14 @@ def focus_report(captures: DataFrame, detail: str = "default", scope: str = "def
     return focus_rows(base, numbered_hits(captures.where("coalesce(exit_code, 0) <= 1")), detail, scope, files_only)
 
 
-def search_report(lines: DataFrame, query: str, source: str, detail: str = "default", scope: str = "default", files_only: bool = False) -> tuple[DataFrame, int]:
-    """The same of a search in lines (source_id, line_no, line) of files, and 0, or 1 where nothing is found."""
-    found = search_lines(lines, query).select(F.lit(source).alias("source_id"), F.xxhash64("file").alias("line_no"), "file", "hit_line", "content")
+def search_report(hits: DataFrame, source: str, detail: str = "default", scope: str = "default", files_only: bool = False) -> tuple[DataFrame, int]:
+    """The same of what a search found in files (file, hit_line, content), and 0, or 1 where that is nothing."""
+    found = hits.select(F.lit(source).alias("source_id"), F.xxhash64("file").alias("line_no"), "file", "hit_line", "content")
     exit_code = 1 if found.isEmpty() else 0
     if detail == "raw":  # a source for each file, so that no task orders all hits
         own = found.withColumn("source_id", F.col("file"))
         return rows(own, "raw", 0, F.concat("file", F.lit(":"), F.col("hit_line").cast("string"), F.lit(":"), "content"), F.col("hit_line")), exit_code
-    base = lines.sparkSession.createDataFrame([(source, exit_code, "")], "source_id string, exit_code int, raw string")
+    base = hits.sparkSession.createDataFrame([(source, exit_code, "")], "source_id string, exit_code int, raw string")
     return focus_rows(base, found, detail, scope, files_only), exit_code
 
 

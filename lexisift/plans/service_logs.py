@@ -117,15 +117,18 @@ def log_summary(logs: DataFrame, errors_only: bool = False, last: int = 0, stric
     return last_n(once, ["source_id"], "line_no", last)
 
 
-def service_log_report(logs: DataFrame, detail: str = "default", errors_only: bool = False, last: int = 0, strict_errors: bool = False, show_all: bool = False) -> DataFrame:
-    """The report on logs (source_id, raw), or on lines of them; ``show_all``: just the lines that are not blank."""
+def service_log_report(logs: DataFrame, detail: str = "default", errors_only: bool = False, last: int = 0, strict_errors: bool = False, show_all: bool = False, roots: DataFrame | None = None) -> DataFrame:
+    """The report on logs (source_id, raw), or on lines of them; ``show_all``: just the lines that are not blank.
+
+    ``roots``: (source_id) of all logs, also of those without a line.
+    """
     if show_all or detail == "raw":
         lines = last_n(_lines(logs).where(~is_blank("line")), ["source_id"], "line_no", last)
         return rows(lines, "lines", 0, F.col("line"), F.col("line_no"))
     entries = once(log_summary(logs, errors_only, last, strict_errors))
     of = lambda *levels: F.count_if(F.col("level").isin(*levels))
     counts = entries.groupBy("source_id").agg(F.count("*").alias("n"), of(*ERRORS).alias("e"), of("warn").alias("w"), of("info").alias("i"))
-    sums = logs.select("source_id").distinct().join(counts, "source_id", "left")
+    sums = (logs if roots is None else roots).select("source_id").distinct().join(counts, "source_id", "left")
     file = basename("source_id")
     head = F.when(F.col("n").isNull(), F.concat(F.lit("ok log n=0 file="), file)).otherwise(F.concat(F.lit("log n="), F.col("n").cast("string"), F.lit(" file="), file, if_any(F.col("e"), "e"), if_any(F.col("w"), "w"), if_any(F.col("i"), "i")))
     ordered = ranked(entries, ["source_id"], ["line_no"])

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
+from . import store
 from ..functions.text import GENERATED_ENDINGS, HIDDEN_FROM_CODE, IGNORED_DIRECTORIES, basename, is_code, trim
 from .captures import text_lines
 
@@ -54,6 +57,43 @@ def read_lines(spark: SparkSession, path: str, glob: str | None = None) -> DataF
     return text_lines(texts.select(F.col("path").alias("source_id"), F.decode("content", "UTF-8").alias("raw")), final=False)
 
 
+def log_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(source_id, line_no, line) of one log in any encoding and of any size, by byte ranges."""
+    if not store.reachable(path):
+        return text_lines(read_logs(spark, path))
+    return store.range_lines(_alone(spark, path), path, logs=True).select(F.lit(path).alias("source_id"), "line_no", "line")
+
+
+def file_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(source_id, line_no, line) of one file, if it is text, by byte ranges."""
+    if not store.reachable(path):
+        return read_lines(spark, path)
+    return store.range_lines(_alone(spark, path), path).select(F.lit(path).alias("source_id"), "line_no", "line")
+
+
+def _alone(spark: SparkSession, path: str) -> DataFrame:
+    """(path, length) of a file that is its own root."""
+    system, plain = store.opened(path)
+    return spark.createDataFrame([("", system.get_file_info(plain).size)], "path string, length long")
+
+
+def found_lines(spark: SparkSession, path: str, query: str) -> DataFrame:
+    """(file, hit_line, content) of the lines with ``query`` in all files below a folder that a search looks into.
+
+    Folders and files that it does not look into are not opened, and of binary ones only the start is read.
+    """
+    if store.reachable(path):
+        files = store.listing(spark, path, IGNORED_DIRECTORIES).where(F.col("kind") == "file").where(searchable("path") & (F.col("length") > 0))
+        hits = store.range_hits(files.select("path", "length"), path, query).select(F.col("path").alias("below"), F.col("line_no").alias("hit_line"), F.col("line").alias("content"))
+    else:
+        from ..plans.searches import search_lines
+
+        below = F.substring("source_id", len(qualified(spark, path).rstrip("/")) + 2, 1 << 30)
+        lines = read_lines(spark, path).withColumn("source_id", below).where(searchable("source_id"))
+        hits = search_lines(lines, query).withColumnRenamed("file", "below")
+    return hits.select(F.concat(F.lit(path.rstrip("/") + "/"), "below").alias("file"), "hit_line", "content")
+
+
 def directories(path: Column | str) -> Column:
     """The names of the directories of a relative path."""
     parts = F.split(F.col(path) if isinstance(path, str) else path, "/", -1)
@@ -77,8 +117,25 @@ def searchable(path: Column | str) -> Column:
     return out
 
 
+def entries(spark: SparkSession, path: str, skip: Iterable[str] = (), most: int | None = None) -> DataFrame:
+    """(path, length) relative to ``path`` of all below it, a directory's path with a slash at its end.
+
+    ``skip`` and ``most`` as in ``store.listing``. Of a store that only Spark reads there are its files of some length.
+    """
+    if store.reachable(path):
+        below = store.listing(spark, path, skip, most)
+        return below.select(F.when(F.col("kind") == "directory", F.concat("path", F.lit("/"))).otherwise(F.col("path")).alias("path"), "length")
+    barred = list(skip)
+    files = inventory(spark, path)
+    if barred:
+        files = files.where(~F.exists(F.transform(directories("path"), F.lower), lambda n: n.isin(barred)))
+    return files.withColumn("length", F.lit(1).cast("long"))
+
+
 def inventory(spark: SparkSession, path: str) -> DataFrame:
-    """(path) relative to ``path`` of all files below it; directories without files are not seen."""
+    """(path) relative to ``path`` of all files below it."""
+    if store.reachable(path):
+        return store.listing(spark, path).where("kind = 'file'").select("path")
     found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path")
     root = qualified(spark, path)
     return found.select(F.substring("path", len(root.rstrip("/")) + 2, 1 << 30).alias("path"))
@@ -92,6 +149,8 @@ def qualified(spark: SparkSession, path: str) -> str:
 
 def path_kind(spark: SparkSession, path: str) -> str | None:
     """``file`` or ``directory``, or nothing where there is none."""
+    if store.reachable(path):
+        return store.kind_at(path)
     given = spark._jvm.org.apache.hadoop.fs.Path(path)
     system = given.getFileSystem(spark._jsc.hadoopConfiguration())
     if not system.exists(given):
