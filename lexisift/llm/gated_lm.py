@@ -78,7 +78,7 @@ class Vocabulary:
         A code is a word's own symbol, or past the symbols the class of its ending.
         """
         words = Words(texts)
-        both = self.table.find(words.hashes)
+        both = self.table.find(words)
         other = np.flatnonzero(both < 0)
         both[other] = len(self.symbols) + self._endings(words, other)
         n, text = len(both), np.arange(len(texts))

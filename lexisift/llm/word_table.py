@@ -33,7 +33,7 @@ class Words:
 
     def __init__(self, texts: list[str]):
         parts = [t.encode() for t in texts]
-        self.data = b"\n".join(parts).translate(LOWER)
+        self.data = b"\n".join(parts).translate(LOWER) + b"\n" * 8  # so that eight bytes can be read from any place
         self.bytes = np.frombuffer(self.data, dtype=np.uint8)
         solid = np.zeros(len(self.bytes) + 2, dtype=np.int8)
         solid[1:-1] = ~BLANKS[self.bytes]
@@ -78,33 +78,57 @@ class Words:
         return [self.data[i:j] for i, j in zip(self.starts[at].tolist(), self.stops[at].tolist(), strict=True)]
 
 
+    def eights(self) -> np.ndarray:
+        """The eight bytes from each place of ``data`` on, as one number."""
+        return np.ndarray((len(self.data) - 7,), dtype="<u8", buffer=self.data, strides=(1,))
+
+
 class WordTable:
-    """A value for each of some distinct words; two words of one hash, some in 2**64, would be taken for one."""
+    """A value for each of some distinct words. Hashes tell where to look; a word is found if its bytes are the same."""
 
     def __init__(self, words: list[bytes], values: np.ndarray):
-        hashes = Words([w.decode() for w in words]).hashes
+        self.words, self.values = Words([b" ".join(words).decode()]), values
+        hashes = self.words.hashes
         bits = max(4, (2 * len(words)).bit_length())
         self.shift, self.mask = np.uint64(64 - bits), (1 << bits) - 1
-        self.keys, self.values = np.zeros(1 << bits, dtype=np.uint64), np.zeros(1 << bits, dtype=np.int64)
+        self.keys, self.numbers = np.zeros(1 << bits, dtype=np.uint64), np.zeros(1 << bits, dtype=np.int64)
         todo, at = np.arange(len(words)), (hashes >> self.shift).astype(np.int64)
         while len(todo):
             free = np.flatnonzero(self.keys[at[todo]] == 0)
             slots, one = np.unique(at[todo[free]], return_index=True)
             placed = todo[free[one]]
-            self.keys[slots], self.values[slots] = hashes[placed], values[placed]
+            self.keys[slots], self.numbers[slots] = hashes[placed], placed
             todo = np.setdiff1d(todo, placed, assume_unique=True)
             at[todo] = (at[todo] + 1) & self.mask
 
-    def find(self, hashes: np.ndarray) -> np.ndarray:
-        """The values of words by their hashes, -1 for those that the table does not have."""
+    def _same(self, words: Words, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Whether words ``a`` have the bytes of the table's words ``b``: eight at a time, of fewer and fewer words."""
+        own, ours = words.eights(), self.words.eights()
+        x, y = words.starts[a], self.words.starts[b]
+        left = words.stops[a] - x
+        same = left == self.words.stops[b] - y
+        todo = np.flatnonzero(same)
+        x, y, left = x[todo], y[todo], left[todo]
+        while len(todo):
+            unused = (8 * (8 - np.minimum(left, 8))).astype(np.uint64)
+            differ = (own[x] ^ ours[y]) << unused != 0
+            same[todo[differ]] = False
+            go = np.flatnonzero(~differ & (left > 8))
+            todo, x, y, left = todo[go], x[go] + 8, y[go] + 8, left[go] - 8
+        return same
+
+    def find(self, words: Words) -> np.ndarray:
+        """The value of each word, -1 for those that the table does not have."""
+        hashes = words.hashes
         at = (hashes >> self.shift).astype(np.int64)
-        key = self.keys[at]
-        out = np.where(key == hashes, self.values[at], -1)
-        todo = np.flatnonzero((key != hashes) & (key != 0))
+        out, todo = np.full(len(hashes), -1, dtype=np.int64), np.arange(len(hashes))
         while len(todo):
+            key = self.keys[at[todo]]
+            may, gone = np.flatnonzero(key == hashes[todo]), key == 0
+            number = self.numbers[at[todo[may]]]
+            same = self._same(words, todo[may], number)
+            out[todo[may[same]]] = self.values[number[same]]
+            gone[may[same]] = True
+            todo = todo[~gone]
             at[todo] = (at[todo] + 1) & self.mask
-            key, wanted = self.keys[at[todo]], hashes[todo]
-            hit = key == wanted
-            out[todo[hit]] = self.values[at[todo[hit]]]
-            todo = todo[~hit & (key != 0)]
         return out

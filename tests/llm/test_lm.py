@@ -145,8 +145,38 @@ def test_words_of_many_texts_at_once():
     assert len(np.unique(words.hashes)) == len(distinct)
     table = WordTable(distinct[::2], np.arange(len(distinct[::2])))
     place = {w: i for i, w in enumerate(distinct[::2])}
-    assert table.find(words.hashes).tolist() == [place.get(w, -1) for w in want]
-    assert WordTable([], np.empty(0, dtype=np.int64)).find(words.hashes).max() == -1
+    assert table.find(words).tolist() == [place.get(w, -1) for w in want]
+    assert WordTable([], np.empty(0, dtype=np.int64)).find(words).max() == -1
+
+
+def thue_morse(n: int) -> tuple[str, str]:
+    """Two words of 2**n letters whose hashes by any polynomial modulo 2**64 are the same from n = 10 on."""
+    bits = [bin(i).count("1") & 1 for i in range(1 << n)]
+    return "".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)
+
+
+@pytest.mark.parametrize("n", [3, 10, 11, 12])
+def test_words_of_one_hash_are_told_apart(n):
+    from lexisift.llm.word_table import Words, WordTable
+
+    a, b = thue_morse(n)
+    words = Words([f"{a} {b} x {a}{b}"])
+    assert (words.hashes[0] == words.hashes[1]) == (n > 9)
+    assert WordTable([a.encode()], np.array([5])).find(words).tolist() == [5, -1, -1, -1]
+    assert WordTable([a.encode(), b"x", b.encode()], np.array([5, 6, 7])).find(words).tolist() == [5, 7, 6, -1]
+
+
+@pytest.mark.parametrize("other", [94, 41])  # the one held out, the other learned from
+def test_scores_of_words_of_one_hash(spark, other):
+    a, b = thue_morse(10)
+    docs = [(i, f"{a} w{i % 3}") for i in range(40)] + [(other, f"{b} {b} w1 {a}")]
+    counts = Counter(w for i, t in docs if zlib.crc32(str(i).encode()) % 10 for w in tokens(t))
+    total, distinct = sum(counts.values()), len(counts)
+    rows = {r.doc_id: r for r in score_documents(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    for i, t in docs:
+        assert rows[i].n_known == sum(counts[w] > 0 for w in tokens(t))
+        assert rows[i].base_score == pytest.approx(sum(math.log10((counts[w] + 0.1) / (total + 0.1 * (distinct + 1))) for w in tokens(t)))
+    assert (rows[other].n_known == 3) == (other == 94)
 
 
 def test_every_training_text_is_learned_from_once(spark, monkeypatch):
