@@ -2,23 +2,39 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
+from urllib.parse import urlparse
 
 from pyspark.sql import DataFrame, SparkSession
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The session's checkpoint folder; where none is configured, one in the warehouse, which executors share.
+#: Masters under which driver and executors are one process.
+ONE_PROCESS = re.compile(r"local(\[[^\]]*\])?")
+
+
+def chosen_folder(master: str, configured: str | None, warehouse: str | None) -> str:
+    """Where rows worked out once go: the configured folder; else a temporary one if there is one process; else the warehouse.
 
-    A temporary folder serves only where driver and executors are one process.
+    A warehouse of the machine's own file system is none that other machines see, so without a configured folder it
+    is refused on a cluster, one of several processes on one machine among them.
     """
+    if configured:
+        return configured
+    if ONE_PROCESS.fullmatch(master):
+        return tempfile.mkdtemp(prefix="lexisift-")
+    if not warehouse or urlparse(warehouse).scheme in ("", "file"):
+        raise ValueError("on a cluster, set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return f"{warehouse.rstrip('/')}/_checkpoints"
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The session's checkpoint folder, set as ``chosen_folder`` says where there is none yet."""
     context = spark.sparkContext
-    if not context._jsc.sc().getCheckpointDir().isDefined():
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if not folder:
-            folder = tempfile.mkdtemp(prefix="lexisift-") if context.master.startswith("local") else f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_checkpoints"
-        context.setCheckpointDir(folder)
-    return context._jsc.sc().getCheckpointDir().get()
+    if not (have := context.getCheckpointDir()):
+        context.setCheckpointDir(chosen_folder(context.master, spark.conf.get("spark.checkpoint.dir", None), spark.conf.get("spark.sql.warehouse.dir", None)))
+        have = context.getCheckpointDir()
+    return have
 
 
 def once(frame: DataFrame) -> DataFrame:
