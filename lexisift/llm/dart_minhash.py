@@ -324,14 +324,14 @@ def _exact_links(threshold: float) -> Callable[[pa.Table], pa.RecordBatch | None
 def _between_classes(members: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     """(x, y) that join all classes of which two members (key, doc, class) share a bucket and are ``threshold`` alike.
 
-    Every member is compared with those of all other classes in its bucket, in parts, first by parity marks, which
+    Every member is compared with those of all other classes in its bucket, in parts of one class where it is large, first by parity marks, which
     lose no pair; those that may link make groups, within which each pair of two classes is compared exactly.
     """
-    from .lattice import _grouped, _in_parts
+    from .lattice import _grouped, _in_parts, _in_parts_of_classes
 
     own = sets.select(F.col("doc_id").alias("doc"), F.size("shingles").cast("long").alias("total"), "marks", "shingles").where("total > 0")
     rows = durable(_of_several(members))  # marks and sets come to rows that are dealt already, so that they move once
-    dealt = _in_parts(rows, "key", "doc").join(own.select("doc", "total", "marks"), "doc")
+    dealt = _in_parts_of_classes(rows, "key", "doc").join(own.select("doc", "total", "marks"), "doc")
     possible = durable(_grouped(dealt, "key", _possible_links(threshold), "x long, y long").where("x <> y").distinct())
     if possible.isEmpty():
         return possible

@@ -8,7 +8,7 @@ from itertools import combinations, product
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from ..shipping import shipped
 from .common import components, durable, with_values
@@ -135,8 +135,36 @@ def _in_parts(rows: DataFrame, key: str, id_col: str, weight: str | None = None,
     sizes = durable(rows.groupBy(key).agg(F.count("*").alias("rows"), F.sum(weight or F.lit(1)).alias("size")).where("rows > 1"))
     parts = F.ceil(F.col("size") / F.lit(most or PART)).cast("int")
     dealt = with_values(rows, sizes, key).withColumn("parts", parts).withColumn("q", F.pmod(F.xxhash64(id_col, F.lit(5)), F.col("parts")).cast("int"))
-    both = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    return both.withColumn("g", F.least("q", "other")).withColumn("h", F.greatest("q", "other")).withColumn("side", F.when(F.col("q") == F.col("g"), 0).otherwise(1)).drop("size", "parts", "q", "other")
+    return _paired(dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))).drop("size", "parts")
+
+
+def _paired(dealt: DataFrame) -> DataFrame:
+    """Rows of part ``q`` in the group that it makes with part ``other``."""
+    both = dealt.withColumn("g", F.least("q", "other")).withColumn("h", F.greatest("q", "other"))
+    return both.withColumn("side", F.when(F.col("q") == F.col("g"), 0).otherwise(1)).drop("q", "other")
+
+
+def _in_parts_of_classes(rows: DataFrame, key: str, id_col: str, most: int | None = None) -> DataFrame:
+    """The same of rows with a ``class``, where only rows of two classes need to meet.
+
+    A class with ``most`` rows of a key or more has parts of its own, which make no group with each other; all smaller
+    ones of a key share parts. So where one class fills a key its rows are copied once for each part of the others.
+    """
+    most = most or PART
+    counts = durable(rows.groupBy(key, "class").agg(F.count("*").alias("rows")))
+    own = F.when(F.col("rows") >= most, F.ceil(F.col("rows") / F.lit(most))).otherwise(0).cast("int")
+    large = counts.withColumn("own", own).where("own > 0")
+    before = F.sum("own").over(Window.partitionBy(key).orderBy("class").rowsBetween(Window.unboundedPreceding, -1))
+    begins = large.select(key, "class", "own", F.coalesce(before, F.lit(0)).cast("int").alias("begin"))
+    small = F.ceil(F.sum(F.when(F.col("rows") < most, F.col("rows")).otherwise(0)) / F.lit(most)).cast("int")
+    keys = counts.groupBy(key).agg(small.alias("small"), F.sum(own).cast("int").alias("large"), F.count("*").alias("classes")).where("classes > 1").drop("classes")
+    facts = durable(counts.join(keys, key).join(begins, [key, "class"], "left"))
+    drawn = lambda n: F.pmod(F.xxhash64(id_col, F.lit(5)), n).cast("int")
+    first = F.col("small") + F.col("begin")
+    dealt = with_values(rows, facts, [key, "class"]).withColumn("q", F.when(F.col("own").isNull(), drawn(F.col("small"))).otherwise(first + drawn(F.col("own"))))
+    others = F.sequence(F.lit(0), F.col("small") + F.col("large") - 1)
+    apart = F.filter(others, lambda k: F.col("own").isNull() | (k < first) | (k >= first + F.col("own")))
+    return _paired(dealt.withColumn("other", F.explode(apart))).drop("small", "large", "own", "begin")
 
 
 def _grouped(rows: DataFrame, key: str, work: Callable[[pa.Table], pa.RecordBatch | None], schema: str) -> DataFrame:
@@ -315,18 +343,27 @@ def _links(distinct: DataFrame, threshold: float, probes: int, miss: float) -> t
                 for n in np.unique(lengths).tolist():
                     at = np.flatnonzero(lengths == n)
                     unit = _unit(np.stack([lists[k] for k in at]))
-                    keys, s = cells(unit, tables, probes, width), signs(unit).view(np.int64)
-                    flat = keys.reshape(len(at), -1)
+                    flat = cells(unit, tables, probes, width).reshape(len(at), -1)
                     home = np.zeros(flat.shape, dtype=bool)
                     home[:, :: 1 + probes] = True
-                    again = lambda x: pa.array(np.repeat(x, flat.shape[1]))
-                    words = [again(s[:, k]) for k in range(SIGN_WORDS)]
-                    yield pa.RecordBatch.from_arrays([pa.array(flat.reshape(-1)), again(ids[at]), *words, pa.array(home.reshape(-1))], ["key", "id", *sign_columns, "home"])
+                    yield pa.RecordBatch.from_arrays([pa.array(flat.reshape(-1)), pa.array(np.repeat(ids[at], flat.shape[1])), pa.array(home.reshape(-1))], ["key", "id", "home"])
+
+    def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(0, batch.num_rows, 2048):
+                part = batch.slice(i, 2048)
+                ids, lists = part.column("id").to_numpy(), _vectors(part.column("v"))
+                lengths = np.array([len(x) for x in lists])
+                for n in np.unique(lengths).tolist():
+                    at = np.flatnonzero(lengths == n)
+                    s = signs(_unit(np.stack([lists[k] for k in at]))).view(np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[at]), *(pa.array(s[:, k]) for k in range(SIGN_WORDS))], ["id", *sign_columns])
 
+    # signs are written once a vector and come to the rows of cells that have several
     sign_columns = [f"s{k}" for k in range(SIGN_WORDS)]
-    schema = "key long, id long, " + ", ".join(f"{c} long" for c in sign_columns) + ", home boolean"
-    rows = durable(shipped(distinct).select("id", "v").mapInArrow(hashed, schema))
-    like = durable(_grouped(_in_parts(rows, "key", "id"), "key", _sketch_links(threshold), "x long, y long, named boolean").distinct())
+    rows = durable(shipped(distinct).select("id", "v").mapInArrow(hashed, "key long, id long, home boolean"))
+    marks = durable(shipped(distinct).select("id", "v").mapInArrow(signed, "id long, " + ", ".join(f"{c} long" for c in sign_columns)))
+    like = durable(_grouped(_in_parts(rows, "key", "id").join(marks, "id"), "key", _sketch_links(threshold), "x long, y long, named boolean").distinct())
     classes = durable(components(like.where("not named"), "x", "y"))
     near = distinct.join(classes, distinct["id"] == classes["node"]).select(F.col("component").alias("class"), "id", "times", "v")
     dense = durable(_grouped(_in_parts(near, "class", "id", most=DENSE_PART), "class", _exact_links(threshold), "id long, n long, least long"))

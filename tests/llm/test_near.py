@@ -2,6 +2,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from lexisift.llm.common import components
 from lexisift.llm.dart_minhash import near_duplicates, sketch
@@ -125,3 +126,40 @@ def test_components(spark):
         a, b = sorted((find(a), find(b)))
         root[b] = a
     assert got == {n: find(n) for e in edges if e[0] != e[1] for n in e}
+
+
+def test_rows_of_two_classes_meet_once_and_large_classes_make_few_copies(spark):
+    from lexisift.llm.lattice import _in_parts_of_classes
+
+    draw = np.random.default_rng(6)
+    rows = [(k, 1000 * k + i, int(c)) for k in range(4) for i, c in enumerate(draw.choice([0, 1, 2, 3, 40, 41, 42], 200, p=[0.5, 0.2, 0.1, 0.05, 0.05, 0.05, 0.05]))]
+    rows += [(9, 9000 + i, 5) for i in range(50)]  # of one class alone
+    dealt = _in_parts_of_classes(spark.createDataFrame(rows, "key long, doc long, class long"), "key", "doc", 30).collect()
+    groups: dict[tuple, list] = {}
+    for r in dealt:
+        groups.setdefault((r["key"], r["g"], r["h"]), []).append(r)
+    met = Counter()
+    for (_, g, h), members in groups.items():
+        left, right = [m for m in members if m["side"] == 0], [m for m in members if m["side"] == 1] or [m for m in members if m["side"] == 0]
+        assert (g == h) == all(m["side"] == 0 for m in members) or g != h
+        pairs = {(min(a["doc"], b["doc"]), max(a["doc"], b["doc"])) for a in left for b in right if a["class"] != b["class"]}
+        met.update(pairs)
+    want = {(min(a[1], b[1]), max(a[1], b[1])) for a in rows for b in rows if a[0] == b[0] and a[2] != b[2]}
+    assert met == Counter(want)
+
+
+def test_a_bucket_of_one_class_with_one_outsider_stays_linear(spark):
+    from lexisift.llm.lattice import _in_parts_of_classes
+
+    rows = spark.range(100_001).select(F.lit(7).cast("long").alias("key"), F.col("id").alias("doc"), F.when(F.col("id") == 3, 3).otherwise(0).cast("long").alias("class"))
+    assert _in_parts_of_classes(rows, "key", "doc").count() == 100_000 + 50  # the outsider beside each part of the others, and alone
+
+
+def test_large_classes_that_share_a_bucket(spark, monkeypatch):
+    """Two templates a little under the threshold alike, with copies of each between them; parts of few rows."""
+    monkeypatch.setattr("lexisift.llm.lattice.PART", 16)
+    base = words("t", 300)
+    page = lambda kind, i: base[: 300 - kind] + words(f"k{kind}", kind) + words(f"o{kind}_{i}", 12)
+    rows = [(i, " ".join(page(20, i))) for i in range(60)] + [(100 + i, " ".join(page(34, i))) for i in range(40)] + [(300, " ".join(page(27, 0)))]
+    got = {r.doc_id: r.component_id for r in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute(dict(rows))
