@@ -395,6 +395,11 @@ union all select distinct source_id, 1 + place, -1, section || ':' from ranked
 union all select source_id, 1 + place, rank, '  ' || path from ranked""")
 def long_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The report on long statuses of orders, with all files by section."""
+    return resolve(["git", "status"], "more")(long_statuses(spark, sf_dir)).select("source_id", "part", "rank", "detail")
+
+
+def long_statuses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Captures of long statuses, a file for each order."""
     place = F.when(F.col("o_custkey") % 5 == 0, 3).when(F.col("o_orderstatus") == "O", 2).otherwise(1)
     orders = table(spark, sf_dir, "orders").withColumn("name", span("o_orderpriority", "o_orderkey")).withColumn("place", place)
     line = F.concat(F.when(F.col("place") == 3, "\t").otherwise("\tmodified:   "), F.lit("f"), F.col("o_orderkey").cast("string"))
@@ -403,8 +408,7 @@ def long_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     heads = orders.select("name", "place", first.alias("o_orderkey"), F.concat(title, F.lit('\n  (use "git add")')).alias("line")).distinct()
     branch = orders.select("name", F.lit(0).alias("place"), first.alias("o_orderkey"), F.concat(F.lit("On branch "), "name", F.lit("\n")).alias("line")).distinct()
     lines = orders.select("name", "place", "o_orderkey", line.alias("line")).unionByName(heads).unionByName(branch)
-    raw = grouped_raw(lines, F.col("name"), F.col("line"), "place", "o_orderkey")
-    return resolve(["git", "status"], "more")(raw).select("source_id", "part", "rank", "detail")
+    return grouped_raw(lines, F.col("name"), F.col("line"), "place", "o_orderkey")
 
 
 #: Logs made of events: requests and answers, faults with frames, and what services say when they start.
@@ -605,15 +609,14 @@ def view_range(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""select page_id, case page_id % 4 when 0 then 'src/b' || page_id || '.cs' when 1 then 'SRC\\d\\e.cs' when 2 then 'f' || page_id || '.cs' else 'src/z.cs' end as file,
-    case page_id % 3 when 0 then 'Api' || page_id when 1 then 'App' else '' end as project, case when page_id % 7 = 0 then 0 else page_id * (page_id % 7) end as number from pages""")
+    case page_id % 3 when 0 then 'Api' || page_id when 1 then 'App.x' else '' end as project, case when page_id % 7 = 0 then 0 else page_id * (page_id % 7) end as number from pages""")
 def path_scalars(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Paths from their source directory on, projects in brackets, and numbers that may be none."""
     k, text = F.col("page_id"), F.col("page_id").cast("string")
     path = F.when(k % 4 == 0, F.concat(F.lit("/w/src/a/src/b"), text, F.lit(".cs"))).when(k % 4 == 1, F.lit("C:\\w\\SRC\\d\\e.cs")).when(k % 4 == 2, F.concat(F.lit("/w/lib/f"), text, F.lit(".cs"))).otherwise(F.lit("lib\\x/src/z.cs"))
     project = F.when(k % 3 == 0, F.concat(F.lit("[/w/Api"), text, F.lit(".csproj]"))).when(k % 3 == 1, F.lit(" [C:\\w\\App.x.csproj] ")).otherwise("")
     number = F.when(k % 7 == 0, F.lit("x1")).otherwise((k * (k % 7)).cast("string"))
-    name = T.project_name(project)
-    return table(spark, sf_dir, "pages").select("page_id", T.source_path(path).alias("file"), F.when(k % 3 == 1, F.regexp_replace(name, r"\.x$", "")).otherwise(name).alias("project"), T.whole_number(number).cast("long").alias("number"))
+    return table(spark, sf_dir, "pages").select("page_id", T.source_path(path).alias("file"), T.project_name(project).alias("project"), T.whole_number(number).cast("long").alias("number"))
 
 
 @query("""with spans as (select 'l' || o_orderkey // 5000 as source_id, o_orderkey, row_number() over (partition by o_orderkey // 5000 order by o_orderkey) as r, count(*) over (partition by o_orderkey // 5000) as n from orders)

@@ -64,6 +64,12 @@ def log_lines(spark: SparkSession, path: str) -> DataFrame:
     return store.range_lines(_alone(spark, path), path, logs=True).select(F.lit(path).alias("source_id"), "line_no", "line")
 
 
+def folder_log_lines(spark: SparkSession, path: str, size: int = store.RANGE) -> DataFrame:
+    """(source_id, line_no, line) of all logs below a folder, by their paths in it, in ranges of ``size`` bytes."""
+    files = store.listing(spark, path).where("kind = 'file' and length > 0").select("path", "length")
+    return store.range_lines(files, path, True, size).withColumnRenamed("path", "source_id")
+
+
 def file_lines(spark: SparkSession, path: str) -> DataFrame:
     """(source_id, line_no, line) of one file, if it is text, by byte ranges."""
     if not store.reachable(path):

@@ -241,3 +241,25 @@ def range_hits(files: DataFrame, root: str, query: str, size: int = RANGE) -> Da
     told = once(_read(parts, root, search, "path string, start long, at long, line string, n long", [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int64()]))
     counts = _before(told.where("n is not null").select("path", "start", "n"))
     return told.where("at is not null").join(counts.select("path", "start", "before"), ["path", "start"]).select("path", (F.col("before") + F.col("at")).alias("line_no"), "line")
+
+
+def write_files(files: DataFrame, root: str) -> str:
+    """Writes files (path, content) below a folder, paths relative to it; a path that ends in a slash is a folder. Returns ``root``.
+
+    What a lost task wrote is written again, the same.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, plain = opened(root)
+        n = 0
+        for batch in batches:
+            for path, content in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist(), strict=True):
+                system.create_dir(f"{plain}/{path}".rpartition("/")[0], recursive=True)
+                if not path.endswith("/"):
+                    with system.open_output_stream(f"{plain}/{path}") as f:
+                        f.write(content or b"")
+                n += 1
+        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], ["n"])
+
+    shipped(files.select("path", F.col("content").cast("binary").alias("content"))).mapInArrow(run, "n long").agg(F.sum("n")).collect()
+    return root

@@ -3,11 +3,11 @@
 import duckdb
 import pytest
 
-from lexisift import report_queries  # noqa: F401
+from lexisift import command_queries, report_queries  # noqa: F401
 from lexisift.queries import ORACLES, QUERIES
 
 SF = "/root/testdata/sf0.01"
-TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
+TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations vendors".split()
 
 
 @pytest.fixture(scope="module")
