@@ -37,13 +37,37 @@ def records(lines: DataFrame, is_header: Column, by: list[str], order: str, name
 
     ``run``: so many places of a numeric order go to a task at most.
     """
+    return counted(lines, is_header, by, order, name, run).where(F.col(name) > 0)
+
+
+def counted(lines: DataFrame, test: Column, by: list[str], order: str, name: str, run: int | None = None) -> DataFrame:
+    """Lines with how many so far pass the test, their own among them; ``run`` as in ``records``."""
     if run is None:
-        numbered = lines.withColumn(name, F.sum(F.when(is_header, 1).otherwise(0)).over(so_far(by, [order])))
-    else:
-        dealt = _in_runs(lines, by, order, run, F.when(is_header, 1), lambda sums: F.sum(sums["n"]))
-        own = F.count("_value").over(so_far([*by, "_run"], [order]))
-        numbered = dealt.withColumn(name, own + F.coalesce("_before", F.lit(0))).drop("_value", "_run", "_before")
-    return numbered.where(F.col(name) > 0)
+        return lines.withColumn(name, F.count_if(F.coalesce(test, F.lit(False))).over(so_far(by, [order])))
+    dealt = _in_runs(lines, by, order, run, F.when(test, 1), lambda sums: F.sum(sums["n"]))
+    own = F.count("_value").over(so_far([*by, "_run"], [order]))
+    return dealt.withColumn(name, own + F.coalesce("_before", F.lit(0))).drop("_value", "_run", "_before")
+
+
+def two_levels(lines: DataFrame, outer: Column, inner: Column, by: list[str], order: str, names: tuple[str, str], run: int) -> DataFrame:
+    """Lines with the number of the outer header so far and, from 0 anew after each, of the inner one; lines before the first outer header go.
+
+    Lines are dealt once, by runs of ``run`` places of a numeric order, and counted there; of each run a row says how
+    many headers it has and how many inner ones stand before its last outer one.
+    """
+    w = so_far([*by, "_run"], [order])
+    keyed = lines.withColumn("_outer", F.coalesce(outer, F.lit(False))).withColumn("_inner", F.coalesce(inner, F.lit(False))).withColumn("_run", F.floor(F.col(order) / run))
+    within = keyed.withColumn("_f", F.count_if("_outer").over(w)).withColumn("_h", F.count_if("_inner").over(w))
+    within = within.withColumn("_s", F.last(F.when(F.col("_outer"), F.col("_h")), ignorenulls=True).over(w))
+    sums = within.groupBy(*by, "_run").agg(F.max("_f").alias("f"), F.max("_h").alias("h"), F.max("_s").alias("s"))
+    earlier = in_order(by, ["_run"]).rowsBetween(Window.unboundedPreceding, -1)
+    before = lambda c: F.coalesce(F.sum(c).over(earlier), F.lit(0))
+    starts = sums.select(*by, "_run", "s", before("f").alias("_f0"), before("h").alias("_h0"))
+    starts = starts.select(*by, "_run", "_f0", "_h0", F.last(F.col("s") + F.col("_h0"), ignorenulls=True).over(earlier).alias("_s0"))
+    told = within.join(starts, [*by, "_run"])
+    number = F.col("_h") + F.col("_h0") - F.coalesce(F.col("_s") + F.col("_h0"), F.col("_s0"))
+    out = told.withColumn(names[0], F.col("_f") + F.col("_f0")).withColumn(names[1], number).where(F.col(names[0]) > 0)
+    return out.drop("_outer", "_inner", "_run", "_f", "_h", "_s", "_f0", "_h0", "_s0")
 
 
 def carried(lines: DataFrame, value: Column, by: list[str], order: str, name: str, run: int | None = None) -> DataFrame:
@@ -94,13 +118,14 @@ def head_and_tail(lines: DataFrame, most: int = 5, head: int = 3, tail: int = 2)
 
     The mark is the row whose ``omitted`` is above 0.
     """
-    w = in_order(["source_id"], ["line_no"])
-    every = Window.partitionBy("source_id")
-    numbered = lines.withColumn("rank", F.row_number().over(w)).withColumn("total", F.count("*").over(every))
-    kept = numbered.where((F.col("total") <= most) | (F.col("rank") <= head) | (F.col("rank") > F.col("total") - tail))
-    plain = kept.select("source_id", F.when((F.col("total") > most) & (F.col("rank") > head), F.col("rank") - F.col("total") + head + tail + 1).otherwise(F.col("rank")).alias("rank"), "line", F.lit(0).cast("long").alias("omitted"))
-    mark = lines.groupBy("source_id").count().where(F.col("count") > most)
-    omitted = F.col("count") - (head + tail)
+    sizes = lines.groupBy("source_id").agg(F.count("*").alias("total"))
+    # both ends are cut where the lines lie, before they are shuffled
+    first = top_k(lines, ["source_id"], ["line_no"], most).join(sizes, "source_id").where((F.col("total") <= most) | (F.col("rank") <= head))
+    last = ranked(lines, ["source_id"], [F.desc("line_no")], "_back").where(F.col("_back") <= tail).join(sizes.where(F.col("total") > most), "source_id")
+    none = F.lit(0).cast("long").alias("omitted")
+    plain = first.select("source_id", "rank", "line", none).unionByName(last.select("source_id", (head + tail + 2 - F.col("_back")).alias("rank"), "line", none))
+    omitted = F.col("total") - (head + tail)
+    mark = sizes.where(F.col("total") > most)
     return plain.unionByName(mark.select("source_id", F.lit(head + 1).alias("rank"), F.concat(F.lit("... ("), omitted.cast("string"), F.lit(" lines omitted)")).alias("line"), omitted.alias("omitted")))
 
 

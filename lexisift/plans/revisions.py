@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.text import basename, branch_name, if_any, is_blank, trim, truncate
-from ..operators.ordered import RUN, budgeted, carried, head_and_tail, in_order, ranked, records, so_far, top_k
+from ..operators.ordered import RUN, budgeted, carried, head_and_tail, in_order, ranked, records, top_k, two_levels
 from ..sources.captures import merged, text_lines
 from ..tables import once
 from .report import blank_raw, by_detail, joined_top, rows, titled, together, unchanged
@@ -63,8 +63,11 @@ def status_report(captures: DataFrame, detail: str = "default") -> DataFrame:
     return together(*parts)
 
 
-def diff_lines(lines: DataFrame) -> DataFrame:
-    """Lines from the first file on with ``class``, and the numbers of their file and of the hunk in it, 0 before the first."""
+def diff_lines(lines: DataFrame, run: int = RUN) -> DataFrame:
+    """Lines from the first file on with ``class``, and the numbers of their file and of the hunk in it, 0 before the first.
+
+    ``run``: so many lines of a text go to a task at most, of one file or of several.
+    """
     line = F.col("line")
     meta = F.lit(False)
     for start in DIFF_META:
@@ -73,8 +76,7 @@ def diff_lines(lines: DataFrame) -> DataFrame:
         F.when(line.startswith("diff --git "), "file").when(line.startswith("Binary files "), "binary").when(line.startswith("@@"), "hunk")
         .when(line.startswith("new file"), "new").when(line.startswith("deleted file"), "deleted").when(meta, "meta").when(line.startswith("+"), "add").when(line.startswith("-"), "remove")
     )
-    filed = records(lines.withColumn("class", kind), F.col("class") == "file", ["source_id"], "line_no", "file_no", RUN)
-    return filed.withColumn("hunk_no", F.sum(F.when(F.col("class") == "hunk", 1).otherwise(0)).over(so_far(["source_id", "file_no"], ["line_no"])))
+    return two_levels(lines.withColumn("class", kind), F.col("class") == "file", F.col("class") == "hunk", ["source_id"], "line_no", ("file_no", "hunk_no"), run)
 
 
 def diff_files(found: DataFrame) -> DataFrame:

@@ -113,8 +113,8 @@ def log_summary(logs: DataFrame, errors_only: bool = False, last: int = 0, stric
     """
     entries = log_entries(_lines(logs))
     used = entries.where(F.col("level").isin(ERRORS)) if errors_only else noise_filtered(entries, strict_errors)
-    once = deduplicated(used, ["source_id"], [F.col("level"), F.col("source"), F.substring("message", 1, 100)], "line_no", "level", "source", "message", "continuation")
-    return last_n(once, ["source_id"], "line_no", last)
+    single = deduplicated(used, ["source_id"], [F.col("level"), F.col("source"), F.substring("message", 1, 100)], "line_no", "level", "source", "message", "continuation")
+    return last_n(single, ["source_id"], "line_no", last)
 
 
 def service_log_report(logs: DataFrame, detail: str = "default", errors_only: bool = False, last: int = 0, strict_errors: bool = False, show_all: bool = False, roots: DataFrame | None = None) -> DataFrame:

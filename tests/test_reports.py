@@ -304,3 +304,41 @@ def test_registry(spark):
     assert sorted(map(tuple, rendered(failed.transform(resolve(["git", "push"])), failed).collect())) == [("c", "\nfatal\n", 128), ("d", "ok", 0)]
     register("curl", None, revisions.compact_report)
     assert resolve(["curl"]) is not passthrough
+
+
+@pytest.mark.parametrize("run", [1, 2, 3, 7, 1 << 17])
+def test_files_and_hunks_are_numbered_in_runs(spark, run):
+    """One file's hunks may lie in many runs, and a run may hold several files."""
+    import random
+
+    from lexisift.plans.revisions import diff_lines
+
+    draw = random.Random(3)
+    rows, want = [], []
+    for source in ("a", "b", "c"):
+        file_no = hunk_no = 0
+        for i in range(1, 60):
+            line = draw.choice(["+x", "-y", "@@ -1 +1 @@", "context", "diff --git a/f b/f"] if source != "c" else ["+x", "@@ -1 +1 @@"])
+            file_no, hunk_no = (file_no + 1, 0) if line.startswith("diff") else (file_no, hunk_no + line.startswith("@@"))
+            rows.append((source, i, line))
+            if file_no:
+                want.append((source, i, file_no, hunk_no))
+    lines = spark.createDataFrame(rows, "source_id string, line_no int, line string").repartition(5)
+    got = diff_lines(lines, run)
+    assert sorted((r.source_id, r.line_no, r.file_no, r.hunk_no) for r in got.collect()) == want
+
+
+@pytest.mark.parametrize(("most", "head", "tail"), [(5, 3, 2), (4, 1, 3), (2, 1, 1), (6, 2, 2)])
+def test_heads_and_tails(spark, most, head, tail):
+    from lexisift.operators.ordered import head_and_tail
+
+    sizes = range(0, 11)
+    rows = [(f"s{n}", i * 3, f"l{i}") for n in sizes for i in range(n)]
+    got = head_and_tail(spark.createDataFrame(rows, "source_id string, line_no int, line string"), most, head, tail)
+    want = []
+    for n in sizes:
+        own = [f"l{i}" for i in range(n)]
+        if n > most:
+            own = [*own[:head], f"... ({n - head - tail} lines omitted)", *own[n - tail :]]
+        want += [(f"s{n}", k + 1, x, n - head - tail if x.startswith("...") else 0) for k, x in enumerate(own)]
+    assert sorted(tuple(r) for r in got.collect()) == sorted(want)
