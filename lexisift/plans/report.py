@@ -69,6 +69,16 @@ def render(report: DataFrame) -> DataFrame:
     return each.select("source_id", F.array_join(F.transform("lines", lambda x: x["detail"]), "\n").alias("text"))
 
 
+def write_reports(report: DataFrame, path: str) -> None:
+    """Writes each source's report as text to ``path``/source_id=..., in parts that are the report one after the other, by name.
+
+    Rows lie in order over tasks, so a report of any length is written in parts and none is held whole.
+    """
+    order = ["source_id", "part", "rank", "detail"]
+    ordered = report.repartitionByRange(*order).sortWithinPartitions(*order)
+    ordered.select("source_id", F.col("detail").alias("value")).write.partitionBy("source_id").text(path)
+
+
 def rendered(report: DataFrame, captures: DataFrame) -> DataFrame:
     """(source_id, text, exit_code): each capture's report with the exit code that it came with."""
     codes = captures.select(F.col("capture_id").alias("source_id"), F.coalesce("exit_code", F.lit(0)).alias("exit_code"))

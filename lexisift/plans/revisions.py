@@ -101,16 +101,18 @@ def diff_report(captures: DataFrame, detail: str = "default") -> DataFrame:
     base = merged(captures)
     ok = base.where("exit_code = 0")
     found = once(diff_lines(text_lines(ok)).where("class is not null and class <> 'meta'"))
-    files = once(ranked(diff_files(found), ["source_id"], [F.desc(F.col("additions") + F.col("deletions")), "name", "file_no"]))
+    files = once(diff_files(found))
+    largest = [F.desc(F.col("additions") + F.col("deletions")), "name", "file_no"]
     zero = lambda c: F.coalesce(F.col(c), F.lit(0)).alias(c)
     sums = files.groupBy("source_id").agg(F.count("*").alias("f"), F.sum("additions").alias("a"), F.sum("deletions").alias("d"), F.count_if("is_binary").alias("bin"), F.sum("hunks").alias("hunks"), F.count_if(F.col("hunks") > 0).alias("with_hunks"))
     each = ok.select("source_id", blank_raw().alias("blank")).join(sums, "source_id", "left").select("source_id", "blank", *map(zero, ("f", "a", "d", "bin", "hunks", "with_hunks")))
     head = F.when(F.col("blank"), "ok diff f=0").otherwise(F.concat(F.lit("diff f="), F.col("f").cast("string"), F.lit(" +"), F.col("a").cast("string"), F.lit(" -"), F.col("d").cast("string"), if_any(F.col("bin"), "bin")))
     flags = F.concat_ws("|", F.when(F.col("is_new"), "*new"), F.when(F.col("is_deleted"), "del"), F.when(F.col("is_binary"), "bin"))
     item = F.concat(basename("name"), F.lit("(+"), F.col("additions").cast("string"), F.lit(" -"), F.col("deletions").cast("string"), F.lit(")"), F.when(flags != "", F.concat(F.lit("["), flags, F.lit("]"))).otherwise(""))
-    top = joined_top(files, item, top_files)
-    preview = ranked(files.where("hunks > 0").drop("rank"), ["source_id"], [F.desc(F.col("additions") + F.col("deletions")), "name", "file_no"], "place").where(F.col("place") <= shown_files).select("source_id", "file_no", "place", "name")
-    inside = found.where("hunk_no > 0").join(preview, ["source_id", "file_no"])
+    top = joined_top(top_k(files, ["source_id"], largest, top_files), item, top_files)
+    preview = top_k(files.where("hunks > 0"), ["source_id"], largest, shown_files, "place").select("source_id", "file_no", "place", "name")
+    # a hunk is no earlier a unit than its number in its file, so those past the budget of units go before any is ordered
+    inside = found.where((F.col("hunk_no") > 0) & (F.col("hunk_no") <= most_hunks)).join(preview, ["source_id", "file_no"])
     opened = inside.where("class = 'hunk'").withColumn("row_in_unit", F.lit(None).cast("int"))
     changed = top_k(inside.where("class in ('add', 'remove')"), ["source_id", "file_no", "hunk_no"], ["line_no"], per_hunk, "row_in_unit")
     unit = F.dense_rank().over(in_order(["source_id"], ["place", "hunk_no"]))

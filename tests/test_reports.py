@@ -342,3 +342,25 @@ def test_heads_and_tails(spark, most, head, tail):
             own = [*own[:head], f"... ({n - head - tail} lines omitted)", *own[n - tail :]]
         want += [(f"s{n}", k + 1, x, n - head - tail if x.startswith("...") else 0) for k, x in enumerate(own)]
     assert sorted(tuple(r) for r in got.collect()) == sorted(want)
+
+
+def test_written_reports_are_the_rendered_ones(spark, tmp_path):
+    from urllib.parse import unquote
+
+    from lexisift.plans.report import write_reports
+
+    lines = "".join(f"{'warn' if i % 3 else 'fail'}: A.B{i}[1]\n      said {i}\n      at x{i}\n" for i in range(900))
+    logs = spark.createDataFrame([("w/a.log", lines), ("b.log", lines[:200]), ("c.log", "")], "source_id string, raw string")
+    report = service_logs.service_log_report(logs)
+    held = spark.conf.get("spark.sql.adaptive.enabled")
+    try:
+        spark.conf.set("spark.sql.adaptive.enabled", "false")  # else so few rows are one part
+        write_reports(report, str(tmp_path / "out"))
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", held)
+    got, parts = {}, {}
+    for folder in (tmp_path / "out").glob("source_id=*"):
+        names = sorted(folder.glob("part-*"))
+        source = unquote(folder.name.partition("=")[2])
+        got[source], parts[source] = "".join(p.read_text() for p in names), len(names)
+    assert got == {r.source_id: r.text + "\n" for r in render(report).collect()} and parts["w/a.log"] > 1
