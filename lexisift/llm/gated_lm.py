@@ -11,7 +11,7 @@ from heapq import heapreplace
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..shipping import shipped
 from .common import count_terms, durable, most_frequent, remainder, slices, texts_of
@@ -394,7 +394,10 @@ def fit(texts: DataFrame, rounds: int = 3, state: int = 16, rate: float = 0.02)
     """Word counts of all ``texts``, the bounded tables, and the model.
 
     Counts cover every text, and so do the recurrent weights: they learn in ``rounds``, each from another of as many
-    parts of the texts by a hash of the id, so that every text is learned from once.
+    parts of the texts by a hash of the id, so that every text is learned from once. In a round each task trains a copy
+    and the copies are averaged by the tokens they saw, so the weights, and with them the scores, move with how the
+    table is partitioned; counts, and what rests on them, do not. Training begins anew after 1,024 codes of a text,
+    scoring carries the state through all of it.
     """
     counts = durable(count_words(texts))
     vocabulary = make_vocabulary(counts)
@@ -405,7 +408,7 @@ def fit(texts: DataFrame, rounds: int = 3, state: int = 16, rate: float = 0.02)
     return counts, vocabulary, model
 
 
-def _score_rows(vocabulary: Vocabulary, model: GatedModel) -> Callable[[list, list[str], int], pa.RecordBatch]:
+def _score_rows(vocabulary: Vocabulary, model: GatedModel | None) -> Callable[[list, list[str], int], pa.RecordBatch]:
     """A row for each document with all that is known of it, and one for each of its words whose count is not in the tables."""
     logs_of = np.append(np.log10(vocabulary.counts + 0.1), 0.0)  # the last is for a word of another count
     known_of = np.append(vocabulary.counts > 0, False)
@@ -419,7 +422,8 @@ def _score_rows(vocabulary: Vocabulary, model: GatedModel) -> Callable[[list, li
         by_text = lambda x: np.add.reduceat(x, begins)
         n, known, logs = words.counts + 1, by_text(known_of[places].astype(np.int64)), logs_of[places]
         base, model_part = by_text(logs), by_text(np.where(codes >= n_symbols, logs, 0.0) - share[codes])
-        model_part = model_part + model.score(np.split(codes, begins[1:])) * LOG10E
+        if model:
+            model_part = model_part + model.score(np.split(codes, begins[1:])) * LOG10E
         at = np.flatnonzero(places < 0)
         whose = np.searchsorted(begins, at, side="right") - 1
         spelt, cuts = words.spelt(at - whose), np.searchsorted(whose, np.arange(len(texts) + 1)).tolist()
@@ -454,9 +458,22 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Repeated rows are scored each; other columns are ignored; an empty table gives an empty one.
     """
     texts = texts_of(docs, id_col, text_col)
-    held = F.coalesce(remainder("doc_id", 10) == 0, F.lit(False))
-    counts, vocabulary, model = fit(texts.where(~held), **settings)
-    shared = docs.sparkSession.sparkContext.broadcast((vocabulary, model))
+    return _scored(texts, *fit(texts.where(~_held()), **settings))
+
+
+def count_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """What ``score_documents`` tells without a model: all of its columns but ``score``, of the same rows."""
+    texts = texts_of(docs, id_col, text_col)
+    counts = durable(count_words(texts.where(~_held())))
+    return _scored(texts, counts, make_vocabulary(counts), None).drop("score")
+
+
+def _held() -> Column:
+    return F.coalesce(remainder("doc_id", 10) == 0, F.lit(False))
+
+
+def _scored(texts: DataFrame, counts: DataFrame, vocabulary: Vocabulary, model: GatedModel | None) -> DataFrame:
+    shared = texts.sparkSession.sparkContext.broadcast((vocabulary, model))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = None
@@ -480,7 +497,7 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     each = float(np.log10(vocabulary.train_tokens + 0.1 * (vocabulary.distinct + 1)))
     return sums.select(
         "doc_id",
-        held.alias("held_out"),
+        _held().alias("held_out"),
         "n_tokens",
         "n_known",
         F.lit(vocabulary.train_tokens).cast("long").alias("train_tokens"),

@@ -87,7 +87,9 @@ def tables_for(threshold: float, probes: int, width: float, miss: float = 1e-6,
     for side in (0, 1):
         around = np.argpartition(-((x[side] - own[side]) @ shortest().T), probes, axis=1)[:, :probes]
         met |= (shortest()[around] == (away if side == 0 else -away)).all(axis=2).any(axis=1)
-    return int(np.ceil(np.log(miss) / np.log1p(-min(met.mean(), 1 - 1e-9)))) if met.any() else 64
+    if not met.any():
+        raise ValueError(f"at a cosine of {threshold} and cells of width {width:.3g} none of {draws} drawn pairs meets: no number of tables is known to be enough")
+    return int(np.ceil(np.log(miss) / np.log1p(-min(met.mean(), 1 - 1e-9))))
 
 
 def signs(unit: np.ndarray, seed: int = 12) -> np.ndarray:

@@ -24,6 +24,8 @@ def cut_documents(docs: DataFrame, tokenizer: str, most: int = 2048, end_id: int
 
     A document's ids are its text's and then ``end_id``; a null or empty text has the end id alone. Pieces are
     full but for a document's last. ``ids``: unsigned 32-bit little-endian, as the checksum takes them.
+    A text of any length is cut into as many pieces as it needs. Repeated rows are cut each, and rows with a null id
+    too, whose pieces have a null id; other columns, whatever their names, are ignored; an empty table gives none.
     """
 
     def make():
@@ -125,5 +127,5 @@ def pack(pieces: DataFrame, most: int = 2048) -> DataFrame:
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, most: int = 2048, end_id: int = 1) -> DataFrame:
-    """All documents cut and packed; see ``cut_documents`` and ``pack``."""
+    """All documents cut and packed; see ``cut_documents`` and ``pack``, also for odd rows."""
     return pack(cut_documents(docs, tokenizer, most, end_id), most)

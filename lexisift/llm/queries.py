@@ -193,7 +193,10 @@ from found
 @query
 def base_quality_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What op6 counts, and its base verdict."""
-    return op6_quality_rules(spark, sf_dir).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+    from .quality_rules import apply_rules, text_statistics
+
+    counted = apply_rules(text_statistics(table(spark, sf_dir, "documents")), [])
+    return counted.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
 
 
 ORACLES["base_quality_counts"] = r"""
@@ -215,7 +218,9 @@ select *, n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed fro
 @query
 def base_lm_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What op2 tells of texts by counts alone."""
-    return op2_lm_score(spark, sf_dir).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", F.round("base_score", 5).alias("base_score"))
+    from .gated_lm import count_documents
+
+    return count_documents(table(spark, sf_dir, "documents")).withColumn("base_score", F.round("base_score", 5))
 
 
 ORACLES["base_lm_counts"] = rf"""

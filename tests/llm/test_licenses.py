@@ -46,3 +46,11 @@ def test_labels_of_the_method(spark):
     got = {r.doc_id: r for r in ls.license_report(ls.scan_licenses(docs)).collect()}
     assert got[7].labels == "apache,gpl,mit" and got[8].labels == "" and got[11].labels == "mit" and got[0].score == 0.5
     assert ls.license_report(ls.scan_licenses(docs.limit(0))).collect() == []
+
+
+def test_a_very_long_text(spark):
+    """Notices at the start, the middle and the end of two million words."""
+    filler = "word " * 1_000_000
+    text = f"CC-BY {filler}General  Public License {filler}all rights\nreserved"
+    row = ls.license_report(ls.scan_licenses(spark.createDataFrame([(1, text)], "doc_id long, text string"))).first()
+    assert (row.n_words, row.n_base, row.first_word, row.last_word, row.base_labels) == (2_000_008, 3, 0, 2_000_005, "cc-by,gpl,reserved")

@@ -53,3 +53,13 @@ def test_nulls_and_nothing(spark):
     rows = encode_pieces(docs, PATH).collect()
     assert sorted((r.doc_id or 0, r.ids, r.decoded) for r in rows)[1:] == [(1, [2], ""), (1, [2], "")]
     assert encode_pieces(docs.limit(0), PATH).collect() == []
+
+
+def test_a_very_long_text(spark):
+    """One word of a million characters, and a million words, as the library has them."""
+    texts = ["ab1é" * 250_000, "some words again " * 300_000]
+    rows = encode_pieces(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), PATH).orderBy("doc_id").collect()
+    lib = library()
+    for row, text in zip(rows, texts, strict=True):
+        ids = lib.encode(text, add_eos=True)
+        assert row.ids == ids and row.decoded == lib.decode(ids)

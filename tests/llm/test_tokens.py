@@ -112,3 +112,20 @@ def test_packing_nothing_and_repeats(spark):
 def test_patterns_by_hand():
     placed = shortest_pack_first({6: 2, 3: 3, 1: 1}, 10)
     assert placed == [(6, 0, 2, 0, 0), (3, 0, 2, 0, 6), (3, 2, 1, 2, 0), (1, 0, 1, 2, 3)]
+
+
+def test_odd_rows_are_packed_each(spark):
+    """A very long text, repeated rows, null ids and texts, and columns of names that packing uses itself."""
+    long = "a long text of words " * 20_000
+    rows = [(1, long, 7, 1), (1, long, 7, 1), (None, "x y", 0, 2), (None, None, 0, 3), (4, "", 0, 4)]
+    given = spark.createDataFrame(rows, "doc_id long, text string, length int, share int")
+    got = pack_documents(given, PATH).collect()
+    pieces = sorted((r.doc_id is None, r.doc_id or 0, r.doc_tokens, r.start, r.length) for r in got)
+    n = pieces[0][2]
+    cut = [(s, min(2048, n - s)) for s in range(0, n, 2048)]
+    assert pieces[: 2 * len(cut)] == sorted((False, 1, n, s, k) for s, k in cut * 2)
+    assert [p[2:] for p in pieces[2 * len(cut) :]] == [(1, 0, 1), (1, 0, 1), (3, 0, 3)]
+    for sequence in {r.sequence_id for r in got}:
+        own = sorted((r.offset, r.length) for r in got if r.sequence_id == sequence)
+        assert [o for o, _ in own] == [sum(k for _, k in own[:i]) for i in range(len(own))] and sum(k for _, k in own) <= 2048
+    assert pack_documents(given.limit(0), PATH).count() == 0
