@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F
 
 from ..functions.text import is_blank
+from ..tables import once
 
 
 #: Lines of one text that reports number or fill in one task.
@@ -97,6 +98,20 @@ def ranked(rows: DataFrame, by: list[str], order: list[Column | str], name: str
     return rows.withColumn(name, F.row_number().over(in_order(by, order)))
 
 
+def ranked_in_ranges(rows: DataFrame, by: list[str], order: list[Column], name: str = "rank") -> DataFrame:
+    """``ranked`` of groups of any size: rows are dealt by ranges of the order and ranked in each, after the counts of those before.
+
+    No task orders a whole group; the rows are written once, so that all see the same ranges. Columns of ``order``
+    ascend, or are given as ``desc``.
+    """
+    dealt = once(rows.repartitionByRange(*by, *order).withColumn("_range", F.spark_partition_id()))
+    earlier = in_order(by, ["_range"]).rowsBetween(Window.unboundedPreceding, -1)
+    sizes = dealt.groupBy(*by, "_range").agg(F.count("*").alias("_n"))
+    starts = sizes.select(*by, "_range", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
+    own = ranked(dealt, [*by, "_range"], order, name).join(starts, [*by, "_range"])
+    return own.withColumn(name, (F.col(name) + F.col("_before")).cast("int")).drop("_range", "_before")
+
+
 def top_k(rows: DataFrame, by: list[str], order: list[Column | str], k: int, name: str = "rank") -> DataFrame:
     """The first ``k`` of each group with their rank; Spark cuts before it shuffles."""
     return ranked(rows, by, order, name).where(F.col(name) <= k)

@@ -7,7 +7,7 @@ import re
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.text import basename, extension, file_score, is_blank, numbered, top_group, trim
-from ..operators.ordered import ranked, top_k, with_range_end
+from ..operators.ordered import ranked, ranked_in_ranges, top_k, with_range_end
 from ..operators.paths import tree_rollup
 from ..sources.files import included
 from .report import by_detail, joined_top, rows, titled, together
@@ -128,14 +128,15 @@ def tree_report(files: DataFrame, detail: str = "default", code: bool = False, s
     sums = (files if roots is None else roots).select("source_id").distinct().join(nodes.where("directory = ''"), "source_id", "left")
     head = F.concat(F.lit("tree code d=" if code else "tree d="), F.coalesce("n_dirs", F.lit(0)).cast("string"), F.lit(" f="), F.coalesce("n_files", F.lit(0)).cast("string"), F.lit(f" depth={most}"))
     below = nodes.where("directory <> ''").withColumn("order", F.split(F.lower("directory"), "/", -1))
-    ordered = ranked(below, ["source_id"], ["order", "directory"])
+    ordered = ranked_in_ranges(below, ["source_id"], [F.col("order"), F.col("directory")])
     text = F.concat(F.repeat(F.lit("  "), F.col("depth")), F.substring_index("directory", "/", -1), F.lit("/ d="), F.col("n_dirs").cast("string"), F.lit(" f="), F.col("n_files").cast("string"))
-    own = ranked(used.where(~F.contains("path", F.lit("/"))), ["source_id"], [F.lower("path"), "path"])
+    shown = by_detail(detail, 5, 8, 12)
+    own = top_k(used.where(~F.contains("path", F.lit("/"))), ["source_id"], [F.lower("path"), "path"], shown)
     return together(
         rows(sums, "head", 0, head, n=F.coalesce("n_files", F.lit(0))),
         rows(sums, "root", 1, F.concat(F.regexp_replace(basename(F.regexp_replace("source_id", "/+$", "")), "/+$", ""), F.lit("/"))),
         rows(ordered, "nodes", 2, text, F.col("rank"), F.col("directory"), F.col("n_files")),
-        rows(joined_top(own, F.col("path"), by_detail(detail, 5, 8, 12)), "files", 3, F.concat(F.lit("files="), "top")),
+        rows(joined_top(own, F.col("path"), shown), "files", 3, F.concat(F.lit("files="), "top")),
     )
 
 
@@ -147,5 +148,5 @@ def list_report(files: DataFrame) -> DataFrame:
     deep = F.contains("path", F.lit("/"))
     name = F.when(deep, F.concat(F.substring_index("path", "/", 1), F.lit("/"))).otherwise(F.col("path"))
     each = files.select("source_id", name.alias("name")).distinct()
-    ordered = ranked(each, ["source_id"], [F.expr("name collate unicode"), "name"])
+    ordered = ranked_in_ranges(each, ["source_id"], [F.expr("name collate unicode"), F.col("name")])
     return rows(ordered, "names", 0, F.col("name"), F.col("rank"), F.col("name"))

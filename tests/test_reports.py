@@ -364,3 +364,25 @@ def test_written_reports_are_the_rendered_ones(spark, tmp_path):
         source = unquote(folder.name.partition("=")[2])
         got[source], parts[source] = "".join(p.read_text() for p in names), len(names)
     assert got == {r.source_id: r.text + "\n" for r in render(report).collect()} and parts["w/a.log"] > 1
+
+
+@pytest.mark.parametrize("partitions", [1, 3, 17])
+def test_ranks_in_ranges_are_ranks(spark, partitions):
+    import random
+
+    from lexisift.operators.ordered import ranked, ranked_in_ranges
+
+    draw = random.Random(partitions)
+    rows = spark.createDataFrame([(draw.choice("aab"), draw.choice([None, *range(9)]), i) for i in range(200)], "source_id string, x int, y int")
+    for order in ([F.col("x"), F.col("y")], [F.desc("x"), F.col("y")]):
+        want = {tuple(r) for r in ranked(rows, ["source_id"], order).collect()}
+        held = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.enabled")}
+        try:
+            spark.conf.set("spark.sql.shuffle.partitions", partitions)
+            spark.conf.set("spark.sql.adaptive.enabled", "false")
+            got = ranked_in_ranges(rows, ["source_id"], order).select("source_id", "x", "y", "rank")
+            assert {tuple(r) for r in got.collect()} == want
+        finally:
+            for k, v in held.items():
+                spark.conf.set(k, v)
+    assert ranked_in_ranges(rows.limit(0), ["source_id"], [F.col("y")]).count() == 0
