@@ -98,8 +98,10 @@ def pack(pieces: DataFrame, most: int = 2048) -> DataFrame:
     shares = -(-totals // max(ROWS, -(-int(totals.sum()) // SHARES)))
     first = np.cumsum(shares) - shares
     # by place in the written pieces, not by id, so that no id and no null puts its rows into one share
-    share = F.pmod(F.monotonically_increasing_id(), F.element_at(F.lit(np.maximum(shares, 1).tolist()), F.col("length").cast("int") + 1))
-    keyed = pieces.withColumn("share", (F.element_at(F.lit(first.tolist()), F.col("length").cast("int") + 1) + share).cast("int"))
+    used = np.flatnonzero(totals)
+    of_length = pieces.sparkSession.createDataFrame(list(zip(used.tolist(), shares[used].tolist(), first[used].tolist(), strict=True)), "length long, _shares long, _first long")
+    dealt = pieces.withColumn("_at", F.monotonically_increasing_id()).join(F.broadcast(of_length), "length")  # a row for each length at most
+    keyed = dealt.select(*pieces.columns, (F.col("_first") + F.pmod("_at", "_shares")).cast("int").alias("share"))
     held = np.zeros(int(shares.sum()), dtype=np.int64)
     for row in keyed.groupBy("share").count().collect():
         held[row["share"]] = row["count"]
