@@ -52,11 +52,12 @@ class Terms:
         if not words:
             return np.empty(0, dtype=np.int64), np.empty(0)
         for w in set(words).difference(table):
-            table[w] = self._hash("w" + w.lower()) | self._hash("s" + _shape(w[:PIECE])) << 32
+            table[w] = self._hash("w" + w.lower()) | self._hash("s" + _shape(w[:PIECE])) << 16 | (len(w) > PIECE) << 32
         codes = np.fromiter(map(table.__getitem__, words), dtype=np.int64, count=len(words))
-        counts, shapes = np.bincount(codes & 0xFFFFFFFF, minlength=COLUMNS), np.bincount(codes >> 32, minlength=COLUMNS)
+        counts, shapes = np.bincount(codes & 0xFFFF, minlength=COLUMNS), np.bincount(codes >> 16 & 0xFFFF, minlength=COLUMNS)
         shapes[self.again] += int((codes[1:] == codes[:-1]).sum()) + int((codes[2:] == codes[:-2]).sum())
-        more = [self._hash("s" + _shape(w[i : i + PIECE])) for w in words if len(w) > PIECE for i in range(PIECE, len(w), PIECE)]
+        long = [words[k] for k in np.flatnonzero(codes >> 32)]
+        more = [self._hash("s" + _shape(w[i : i + PIECE])) for w in long for i in range(PIECE, len(w), PIECE)]
         if more:
             shapes += np.bincount(more, minlength=COLUMNS)
         weights = np.log(np.maximum(counts, 1)) + (counts > 0) + FORM * np.sqrt(shapes / (len(words) + len(more)))
