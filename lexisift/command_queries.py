@@ -14,7 +14,7 @@ from .queries import ORACLES, SCORE, query, table
 from .report_queries import SPAN, event_logs, long_statuses
 from .sources.files import folder_log_lines
 from .sources.store import write_files
-from .tables import shared_folder
+from .tables import once, shared_folder
 
 
 def written(files: DataFrame) -> str:
@@ -82,7 +82,8 @@ def command_listings(spark: SparkSession, sf_dir: str) -> DataFrame:
     content = F.when((k % 3 != 0) & (k % 8 != 2), F.col("name"))
     shop = table(spark, sf_dir, "vendors").where("vendor_id is not null").select(path.alias("path"), content.alias("content"))
     folder = written(shop.groupBy("path").agg(F.max("content").alias("content")))
-    rows = lambda name, words: answer(spark, [folder if w == "{}" else w for w in words])[0].select(F.lit(name).alias("command"), "part", "rank", "detail")
+    # each answer is a table of its own, as it would be where one follows the other, so that no plan holds all of them
+    rows = lambda name, words: once(answer(spark, [folder if w == "{}" else w for w in words])[0].select(F.lit(name).alias("command"), "part", "rank", "detail"))
     return together(*(rows(name, words) for name, (words, _) in LISTED.items()))
 
 
