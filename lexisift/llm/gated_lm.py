@@ -28,6 +28,10 @@ def words_of(text: str) -> list[bytes]:
     return text.encode().translate(LOWER).split()
 
 
+#: Tokens that a copy of the model learns from in a round.
+EACH = 1 << 20
+
+
 @dataclass
 class Vocabulary:
     """Bounded tables about words: counts of frequent ones, and which of them the model knows one by one.
@@ -356,11 +360,14 @@ def make_vocabulary(counts: DataFrame, known: int = 1 << 18, symbols: int = 1024
     return made
 
 
-def _train_round(texts: DataFrame, model: GatedModel, vocabulary: Vocabulary, rate: float) -> None:
-    """Each task trains a copy on its own texts; the copies' mean, weighted by tokens, is the model from then on.
+def _train_round(texts: DataFrame, model: GatedModel, vocabulary: Vocabulary, rate: float, copies: int) -> None:
+    """``copies`` tasks train a copy each; the copies' mean, weighted by tokens, is the model from then on.
 
-    The weights are summed by place before they come to the driver, which sees one set of them.
+    Texts are dealt to copies and put in order by a hash, so what a copy learns does not depend on how the table is
+    partitioned. The weights are summed by place before they come to the driver, which sees one set of them.
     """
+    drawn = F.xxhash64("doc_id", "text").alias("drawn")
+    dealt = texts.select("text", drawn).repartition(copies, "drawn").sortWithinPartitions("drawn").select("text")
     shared = texts.sparkSession.sparkContext.broadcast((model, vocabulary))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -382,7 +389,7 @@ def _train_round(texts: DataFrame, model: GatedModel, vocabulary: Vocabulary, ra
                 piece = flat[i : i + 1000]
                 yield pa.RecordBatch.from_arrays([pa.array(np.arange(i, i + len(piece))), pa.array(piece), pa.array(np.full(len(piece), tokens))], ["place", "total", "tokens"])
 
-    rows = shipped(texts).select("text").mapInArrow(run, "place long, total double, tokens long").groupBy("place").agg(F.sum("total").alias("total"), F.sum("tokens").alias("tokens")).collect()
+    rows = shipped(dealt).mapInArrow(run, "place long, total double, tokens long").groupBy("place").agg(F.sum("total").alias("total"), F.sum("tokens").alias("tokens")).collect()
     if rows:
         flat = model.weights()
         for r in rows:
@@ -394,17 +401,18 @@ def fit(texts: DataFrame, rounds: int = 3, state: int = 16, rate: float = 0.02)
     """Word counts of all ``texts``, the bounded tables, and the model.
 
     Counts cover every text, and so do the recurrent weights: they learn in ``rounds``, each from another of as many
-    parts of the texts by a hash of the id, so that every text is learned from once. In a round each task trains a copy
-    and the copies are averaged by the tokens they saw, so the weights, and with them the scores, move with how the
-    table is partitioned; counts, and what rests on them, do not. Training begins anew after 1,024 codes of a text,
-    scoring carries the state through all of it.
+    parts of the texts by a hash of the id, so that every text is learned from once. In a round a copy of the model
+    learns from about EACH tokens, and the copies are averaged by what they saw; there are as many as the tokens ask
+    for, however the table is partitioned. Training begins anew after 1,024 codes of a text, scoring carries the state
+    through all of it.
     """
     counts = durable(count_words(texts))
     vocabulary = make_vocabulary(counts)
     model = GatedModel(vocabulary.symbol_counts, vocabulary.ending_mass, vocabulary.width, state)
     part = F.pmod(F.xxhash64("doc_id", F.lit("round")), F.lit(rounds))
+    copies = max(1, -(-vocabulary.train_tokens // (rounds * EACH)))
     for i in range(rounds):
-        _train_round(texts.where(part == i), model, vocabulary, rate / (1 + i))
+        _train_round(texts.where(part == i), model, vocabulary, rate / (1 + i), copies)
     return counts, vocabulary, model
 
 

@@ -189,6 +189,16 @@ def test_every_training_text_is_learned_from_once(spark, monkeypatch):
     assert sorted(seen) == list(range(200))
 
 
+def test_scores_do_not_move_with_partitions(spark, monkeypatch):
+    from lexisift.llm import gated_lm
+
+    monkeypatch.setattr(gated_lm, "EACH", 400)  # several copies a round
+    rows = [(i, f"w{i % 7} w{i % 5} and so w{i % 3} " * (i % 9)) for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    a, b = ({r.doc_id: r.score for r in score_documents(docs.repartition(n, "doc_id")).collect()} for n in (1, 13))
+    assert len(a) == 300 and all(a[i] == pytest.approx(b[i], rel=1e-6) for i in a)
+
+
 def test_learning_helps_held_out_texts(spark):
     rows = QUERIES["op2_lm_score"](spark, "/root/testdata/sf0.01").where("held_out").collect()
     assert sum(r.score for r in rows) > 0.96 * sum(r.base_score for r in rows)
