@@ -9,9 +9,11 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from .commands import answer
 from .operators.pairing import stacked_pairs
 from .plans import service_logs
+from .plans.files import file_card
 from .plans.report import together
 from .queries import ORACLES, SCORE, query, table
-from .report_queries import SPAN, event_logs, long_statuses
+from .report_queries import SPAN, event_logs, grouped_raw, long_statuses, span
+from .sources.captures import text_lines
 from .sources.files import folder_log_lines
 from .sources.store import write_files
 from .tables import once, shared_folder
@@ -148,3 +150,23 @@ def reopened_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
         none.alias("duration"), F.when(~opens, "200").alias("status"),
     )
     return stacked_pairs(events).select("source_id", "line_no", "url")
+
+
+@query(f"""with e as (
+    select 'page-' || event_id // {SPAN} as source_id, row_number() over (partition by event_id // {SPAN} order by event_id) as line_no, count(*) over (partition by event_id // {SPAN}) as total,
+        case event_id % 7 when 0 then 'Part ' || event_id || ' of it' when 1 then 'd' || event_id when 2 then 'f' || event_id when 4 then 'a' || event_id when 5 then 'K' || event_id end as name from events
+), found as (select *, row_number() over (partition by source_id order by line_no) as rank, coalesce(lead(line_no) over (partition by source_id order by line_no), total + 1) - 1 as range_end from e where name is not null)
+select distinct source_id, 0 as part, 0 as rank, 'view ' || source_id || ' lines=' || total as detail from e
+union all select source_id, 2, 0, 'symbols: ' || string_agg(name || '(' || line_no || ')', ', ' order by rank) from found where rank <= 8 group by source_id
+union all select distinct source_id, 3, -1, 'hot:' from found
+union all select source_id, 3, rank, '  ' || line_no || '-' || range_end || ' ' || name from found where rank <= 8""")
+def symbol_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Symbols of files whose lines are headings, definitions, functions, functions as values, and classes that are not the first word."""
+    at, n = F.col("event_id"), F.col("event_id").cast("string")
+    shapes = [
+        F.concat(F.lit("### Part "), n, F.lit(" of it ")), F.concat(F.lit("    async def d"), n, F.lit("(self):")), F.concat(F.lit("export async function f"), n, F.lit(" (x) {")), F.concat(F.lit("#no heading "), n),
+        F.concat(F.lit("export const a"), n, F.lit(" = async (x) => x")), F.concat(F.lit("abstract record K"), n, F.lit("<T>;")), F.concat(F.lit("return a"), n),
+    ]
+    line = F.element_at(F.array(*shapes), (at % 7 + 1).cast("int"))
+    raw = grouped_raw(table(spark, sf_dir, "events"), span(F.lit("page"), "event_id"), line, "event_id").select(F.col("capture_id").alias("source_id"), F.col("stdout").alias("raw"))
+    return file_card(text_lines(raw, final=False), "more", symbols_only=True).select("source_id", "part", "rank", "detail")
