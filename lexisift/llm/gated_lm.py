@@ -361,33 +361,41 @@ def make_vocabulary(counts: DataFrame, known: int = 1 << 18, symbols: int = 1024
 
 
 def _train_round(texts: DataFrame, model: GatedModel, vocabulary: Vocabulary, rate: float, copies: int) -> None:
-    """``copies`` tasks train a copy each; the copies' mean, weighted by tokens, is the model from then on.
+    """``copies`` copies learn from a share of the texts each; their mean, weighted by tokens, is the model from then on.
 
     Texts are dealt to copies and put in order by a hash, so what a copy learns does not depend on how the table is
-    partitioned. The weights are summed by place before they come to the driver, which sees one set of them.
+    partitioned; a task may train several, one after the other. The weights are summed by place before they come to
+    the driver, which sees one set of them.
     """
     drawn = F.xxhash64("doc_id", "text").alias("drawn")
-    dealt = texts.select("text", drawn).repartition(copies, "drawn").sortWithinPartitions("drawn").select("text")
+    keyed = texts.select("text", drawn).withColumn("copy", F.pmod("drawn", F.lit(copies)))
+    dealt = keyed.repartition(copies, "copy").sortWithinPartitions("copy", "drawn").select("text", "copy")
     shared = texts.sparkSession.sparkContext.broadcast((model, vocabulary))
 
+    def told(own: GatedModel, tokens: int) -> Iterator[pa.RecordBatch]:
+        flat = own.weights().astype(np.float64) * tokens
+        for i in range(0, len(flat), 1000):
+            piece = flat[i : i + 1000]
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(i, i + len(piece))), pa.array(piece), pa.array(np.full(len(piece), tokens))], ["place", "total", "tokens"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, words = None, None
-        tokens = 0
+        own, tokens, now = None, 0, None
         for batch in batches:
-            for part in slices(batch, most_bytes=HELD):
-                if own is None:
-                    begun, words = shared.value
-                    own = GatedModel(words.symbol_counts, words.ending_mass, words.width, begun.state)
-                    own.set_weights(begun.weights())
-                codes, _, begins, _ = words.read(part.column("text").to_pylist())
-                texts = np.split(codes, begins[1:])
-                own.train(texts, rate)
-                tokens += sum(map(len, texts))
+            copy = batch.column("copy").to_numpy()
+            cuts = [0, *(np.flatnonzero(copy[1:] != copy[:-1]) + 1).tolist(), len(copy)]
+            for i, j in zip(cuts, cuts[1:]):
+                for part in slices(batch.slice(i, j - i), most_bytes=HELD):
+                    if own is None or copy[i] != now:
+                        if own is not None:
+                            yield from told(own, tokens)
+                        begun, words = shared.value
+                        own, tokens, now = GatedModel(words.symbol_counts, words.ending_mass, words.width, begun.state), 0, copy[i]
+                        own.set_weights(begun.weights())
+                    codes, _, begins, _ = words.read(part.column("text").to_pylist())
+                    own.train(np.split(codes, begins[1:]), rate)
+                    tokens += len(codes)
         if own is not None:
-            flat = own.weights().astype(np.float64) * tokens
-            for i in range(0, len(flat), 1000):
-                piece = flat[i : i + 1000]
-                yield pa.RecordBatch.from_arrays([pa.array(np.arange(i, i + len(piece))), pa.array(piece), pa.array(np.full(len(piece), tokens))], ["place", "total", "tokens"])
+            yield from told(own, tokens)
 
     rows = shipped(dealt).mapInArrow(run, "place long, total double, tokens long").groupBy("place").agg(F.sum("total").alias("total"), F.sum("tokens").alias("tokens")).collect()
     if rows:
