@@ -14,7 +14,9 @@ from .report import blank_raw, by_detail, joined_top, rows, titled, together, un
 STATUS_CODE = r"(?U)^(?:\?\?|!!|[ MARCUD][ MARCUD])\s"
 DIFF_NAME = r"diff --git a/(.+?) b/"
 HUNK = r"(?U)^@@ -(\d+)(?:,(\d+))? \+(\d+)(?:,(\d+))? @@"
-COMMIT = r"(?U)^commit\s+([0-9a-f]{7,40})"
+COMMIT = r"(?U)^commit[^\S\n]+([0-9a-f]{7,40})"
+COMMIT_STARTS = r"(?U)\n(?=commit[^\S\n]+[0-9a-f]{7,40})"
+MESSAGE = r"(?U)\n    (?!Co-Authored-By:)([^\S\n]*\S[^\n]*)"
 DIFF_META = ["index ", "---", "+++", "old mode", "new mode", "new file", "deleted file", "similarity", "rename ", "copy "]
 SECTIONS = [("Changes to be committed:", "staged"), ("Changes not staged", "modified"), ("Untracked files:", "untracked")]
 MOST_COMMITS = 50
@@ -145,15 +147,22 @@ def commits(lines: DataFrame) -> DataFrame:
     ).drop("record")
 
 
+def commit(text):
+    """The hash and the message, as in ``commits``, of the text of one commit."""
+    said = F.regexp_extract(text, MESSAGE, 1)
+    return F.struct(F.substring(F.regexp_extract(text, COMMIT, 1), 1, 7).alias("hash"), F.when(said != "", trim(said)).alias("message"))
+
+
 def log_report(captures: DataFrame, detail: str = "default") -> DataFrame:
     base = merged(captures)
     parsed = base.where((F.col("exit_code") == 0) & F.col("raw").startswith("commit "))
-    lines = text_lines(parsed)
-    found = once(ranked(commits(lines), ["source_id"], ["line_no"]))
-    count = found.groupBy("source_id").agg(F.count("*").alias("n"))
+    # each text is parted into commits where it lies, and those that are not shown never leave it
+    parts = F.filter(F.split("raw", COMMIT_STARTS, -1), lambda x: x.rlike(COMMIT))
+    told = once(parsed.withColumn("parts", parts).select("source_id", F.size("parts").alias("n"), F.transform(F.slice("parts", 1, MOST_COMMITS), commit).alias("first")))
+    found = told.select("source_id", F.posexplode("first").alias("at", "commit")).select("source_id", (F.col("at") + 1).alias("rank"), "commit.*")
     text = F.concat("hash", F.lit(" "), truncate(F.coalesce("message", F.lit("(no message)")), 100))
-    more = count.where(F.col("n") > MOST_COMMITS)
-    plain = base.where(~((F.col("exit_code") == 0) & F.col("raw").startswith("commit "))).unionByName(parsed.join(count, "source_id", "left_anti"))
+    more = told.where(F.col("n") > MOST_COMMITS)
+    plain = base.where(~((F.col("exit_code") == 0) & F.col("raw").startswith("commit "))).unionByName(parsed.join(told.where("n = 0"), "source_id", "left_semi"))
     short = plain.where((F.col("exit_code") != 0) | blank_raw() | (F.size(F.split("raw", "\n", -1)) <= MOST_COMMITS))
     long = plain.join(short.select("source_id"), "source_id", "left_anti")
     parts = F.split("raw", "\n", -1)
@@ -161,7 +170,7 @@ def log_report(captures: DataFrame, detail: str = "default") -> DataFrame:
     return together(
         unchanged(short),
         rows(long, "raw", 0, cut),
-        rows(found.where(F.col("rank") <= MOST_COMMITS), "commits", 1, text, F.col("rank"), F.col("hash")),
+        rows(found, "commits", 1, text, F.col("rank"), F.col("hash")),
         rows(more, "more", 2, F.concat(F.lit("... +"), (F.col("n") - MOST_COMMITS).cast("string"), F.lit(" more commits")), n=F.col("n") - MOST_COMMITS),
     )
 

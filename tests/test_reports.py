@@ -386,3 +386,20 @@ def test_ranks_in_ranges_are_ranks(spark, partitions):
             for k, v in held.items():
                 spark.conf.set(k, v)
     assert ranked_in_ranges(rows.limit(0), ["source_id"], [F.col("y")]).count() == 0
+
+
+def _plans(monkeypatch):
+    """The plans of all that reports on version control work out once."""
+    seen, once = [], revisions.once
+    monkeypatch.setattr(revisions, "once", lambda frame: (seen.append(frame._jdf.queryExecution().executedPlan().toString()), once(frame))[1])
+    return seen
+
+
+def test_commits_are_parted_where_their_text_lies(spark, monkeypatch):
+    plans = _plans(monkeypatch)
+    odd = "commit \n0123456 is no head\ncommit 0123456 x\r\nAuthor: A\n    Co-Authored-By: B\n    \n    first \r\n    second\ncommit  abcdef0123456789\n     \ncommit 01\n"
+    texts = [odd, "commit none\n    m", "".join(f"commit {i:040x}\n\n    m{i}\n" for i in range(60))]
+    one, two, three = told(spark, revisions.log_report, *texts)
+    assert one == ["0123456 first", "abcdef0 (no message)"] and two == ["commit none", "    m"]
+    assert len(three) == 51 and three[49:] == ["0000000 m49", "... +10 more commits"]
+    assert plans and not any("Exchange" in p or "Sort" in p for p in plans)
