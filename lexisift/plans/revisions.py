@@ -90,6 +90,24 @@ def diff_files(found: DataFrame) -> DataFrame:
     )
 
 
+def diff_texts(texts: DataFrame, most_hunks: int, per_hunk: int) -> DataFrame:
+    """``diff_files`` of whole texts (source_id, raw), and the start of each file: ``units`` of up to ``most_hunks`` hunks, a head and the first ``per_hunk`` lines changed.
+
+    A text is parted where it lies, so nothing is shuffled or ordered; with parts of files go their numbers.
+    """
+    bare = lambda line: F.regexp_replace(line, r"\r+$", "")
+    parts = texts.select("source_id", F.col("raw").startswith("diff --git ").cast("int").alias("first"), F.posexplode(F.split("raw", r"\n(?=diff --git )", -1)).alias("at", "text"))
+    files = parts.select("source_id", (F.col("at") + F.col("first")).cast("long").alias("file_no"), "text", bare(F.substring_index("text", "\n", 1)).alias("line")).where("file_no > 0")
+    of = lambda pattern: F.regexp_count("text", F.lit(pattern)).cast("long")
+    has = lambda start: F.contains("text", F.lit(f"\n{start}"))
+    changed = F.lit(r"\n((?:\+(?!\+\+)|-(?!--))[^\n]*)")
+    unit = lambda hunk: F.struct(bare(F.substring_index(hunk, "\n", 1)).alias("head"), F.transform(F.slice(F.regexp_extract_all(hunk, changed, F.lit(1)), 1, per_hunk), bare).alias("changed"))
+    return files.select(
+        "source_id", "file_no", F.when(F.col("line").rlike(DIFF_NAME), F.regexp_extract("line", DIFF_NAME, 1)).otherwise(F.col("line")).alias("name"), of(r"\n\+(?!\+\+)").alias("additions"), of(r"\n-(?!--)").alias("deletions"),
+        has("Binary files ").alias("is_binary"), has("new file").alias("is_new"), has("deleted file").alias("is_deleted"), of(r"\n@@").alias("hunks"), F.transform(F.slice(F.split("text", r"\n(?=@@)", -1), 2, most_hunks), unit).alias("units"),
+    )
+
+
 def hunk_text(name, line):
     """A hunk's head: the file's name and the range of new lines."""
     start, count = F.regexp_extract(line, HUNK, 3).try_cast("int"), F.coalesce(F.regexp_extract(line, HUNK, 4).try_cast("int"), F.lit(1))
@@ -102,8 +120,7 @@ def diff_report(captures: DataFrame, detail: str = "default") -> DataFrame:
     most_hunks, per_hunk, most_lines = by_detail(detail, 6, 14), by_detail(detail, 4, 8), by_detail(detail, 18, 42)
     base = merged(captures)
     ok = base.where("exit_code = 0")
-    found = once(diff_lines(text_lines(ok)).where("class is not null and class <> 'meta'"))
-    files = once(diff_files(found))
+    files = once(diff_texts(ok, most_hunks, per_hunk))
     largest = [F.desc(F.col("additions") + F.col("deletions")), "name", "file_no"]
     zero = lambda c: F.coalesce(F.col(c), F.lit(0)).alias(c)
     sums = files.groupBy("source_id").agg(F.count("*").alias("f"), F.sum("additions").alias("a"), F.sum("deletions").alias("d"), F.count_if("is_binary").alias("bin"), F.sum("hunks").alias("hunks"), F.count_if(F.col("hunks") > 0).alias("with_hunks"))
@@ -112,13 +129,13 @@ def diff_report(captures: DataFrame, detail: str = "default") -> DataFrame:
     flags = F.concat_ws("|", F.when(F.col("is_new"), "*new"), F.when(F.col("is_deleted"), "del"), F.when(F.col("is_binary"), "bin"))
     item = F.concat(basename("name"), F.lit("(+"), F.col("additions").cast("string"), F.lit(" -"), F.col("deletions").cast("string"), F.lit(")"), F.when(flags != "", F.concat(F.lit("["), flags, F.lit("]"))).otherwise(""))
     top = joined_top(top_k(files, ["source_id"], largest, top_files), item, top_files)
-    preview = top_k(files.where("hunks > 0"), ["source_id"], largest, shown_files, "place").select("source_id", "file_no", "place", "name")
-    # a hunk is no earlier a unit than its number in its file, so those past the budget of units go before any is ordered
-    inside = found.where((F.col("hunk_no") > 0) & (F.col("hunk_no") <= most_hunks)).join(preview, ["source_id", "file_no"])
-    opened = inside.where("class = 'hunk'").withColumn("row_in_unit", F.lit(None).cast("int"))
-    changed = top_k(inside.where("class in ('add', 'remove')"), ["source_id", "file_no", "hunk_no"], ["line_no"], per_hunk, "row_in_unit")
+    preview = top_k(files.where("hunks > 0"), ["source_id"], largest, shown_files, "place")
+    # a hunk is no earlier a unit than its number in its file, so those past the budget of units never leave their text
+    inside = preview.select("source_id", "place", "name", F.posexplode("units").alias("hunk_no", "in_hunk"))
+    shown_lines = inside.select("source_id", "place", "name", "hunk_no", F.posexplode(F.concat(F.array("in_hunk.head"), "in_hunk.changed")).alias("line_no", "line"))
     unit = F.dense_rank().over(in_order(["source_id"], ["place", "hunk_no"]))
-    lines_ = budgeted(opened.unionByName(changed).withColumn("unit", unit), ["source_id"], ["place", "hunk_no", "line_no"], "unit", most_hunks, most_lines)
+    numbered = shown_lines.withColumn("row_in_unit", F.when(F.col("line_no") > 0, F.col("line_no"))).withColumn("unit", unit)
+    lines_ = budgeted(numbered, ["source_id"], ["place", "hunk_no", "line_no"], "unit", most_hunks, most_lines)
     text = F.when(F.col("row_in_unit").isNull(), hunk_text(F.col("name"), F.col("line"))).otherwise(truncate("line", 120))
     shown = once(ranked(lines_, ["source_id"], ["place", "hunk_no", "line_no"]))
     hunks_shown = shown.where("row_in_unit is null").groupBy("source_id").agg(F.count("*").alias("hunks_shown"))

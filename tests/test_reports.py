@@ -403,3 +403,17 @@ def test_commits_are_parted_where_their_text_lies(spark, monkeypatch):
     assert one == ["0123456 first", "abcdef0 (no message)"] and two == ["commit none", "    m"]
     assert len(three) == 51 and three[49:] == ["0000000 m49", "... +10 more commits"]
     assert plans and not any("Exchange" in p or "Sort" in p for p in plans)
+
+
+def test_files_of_a_difference_are_parted_where_their_text_lies(spark, monkeypatch):
+    plans = _plans(monkeypatch)
+    odd = "lead\n@@ no\n+no\ndiff --git a/x/A.cs b/x/A.cs\r\nnew file mode 1\n--- /dev/null\n+++ b/x/A.cs\n@@ -0,0 +1,2 @@\r\n+a\r\n++b\n+++ c\n-- d\n--- e\n x\n@@ bare\n-f\ndiff --git odd\nBinary files a and b differ\ndiff --git a/C b/C\ndeleted file mode 1\n+out"
+    frame = captures(spark, [("c", [], 0, odd, None), ("d", [], 0, "no difference", None), ("e", [], 0, "diff --git a/D b/D", None)])
+    texts = merged(frame)
+    found = revisions.diff_lines(text_lines(texts))
+    names = ["source_id", "file_no", "name", "additions", "deletions", "is_binary", "is_new", "is_deleted", "hunks"]
+    rows = lambda files: sorted(map(tuple, files.select(*names).collect()))
+    assert rows(revisions.diff_texts(texts, 6, 4)) == rows(revisions.diff_files(found)) and len(rows(revisions.diff_texts(texts, 6, 4))) == 4
+    preview = [r.detail for r in revisions.diff_report(frame).where("source_id = 'c' and section = 'preview'").orderBy("rank").collect()]
+    assert preview == ["@@ A.cs 1-2", "+a", "++b", "-- d", "@@ A.cs", "-f"]
+    assert "Exchange" not in plans[0] and "Sort" not in plans[0]
