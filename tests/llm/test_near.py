@@ -163,3 +163,16 @@ def test_large_classes_that_share_a_bucket(spark, monkeypatch):
     rows = [(i, " ".join(page(20, i))) for i in range(60)] + [(100 + i, " ".join(page(34, i))) for i in range(40)] + [(300, " ".join(page(27, 0)))]
     got = {r.doc_id: r.component_id for r in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == brute(dict(rows))
+
+
+def test_stars_are_told_without_a_round_and_few_links_take_few_tasks(spark, monkeypatch):
+    from lexisift.llm import common
+
+    rounds, durable = [], common.durable
+    monkeypatch.setattr(common, "durable", lambda frame: (rounds.append(frame), durable(frame))[1])
+    stars = spark.createDataFrame([(5000, i) for i in range(5001, 5040)] + [(1, 2), (3, 1)], "x long, y long").repartition(40)
+    assert {r.node: r.component for r in components(stars, "x", "y").collect()} == {i: 5000 for i in range(5000, 5040)} | {1: 1, 2: 1, 3: 1}
+    assert len(rounds) == 1
+    chain = spark.createDataFrame([(1, 2), (2, 3), (9, 9)], "x long, y long")
+    assert {r.node: r.component for r in components(chain, "x", "y").collect()} == {1: 1, 2: 1, 3: 1}
+    assert components(chain.where("x > 9"), "x", "y").count() == 0
