@@ -41,3 +41,17 @@ def test_odd_rows_pass_every_stage(spark):
     for _, stage in cp.STAGES:
         empty = stage(spark, empty, SF)
     assert empty.collect() == []
+
+
+def test_a_text_goes_to_a_task_once(spark, monkeypatch):
+    from lexisift.llm import common
+    from lexisift.llm.quality_rules import text_statistics
+
+    given, shipped = [], common.shipped
+    monkeypatch.setattr(common, "shipped", lambda frame: (given.append(frame.columns), shipped(frame))[1])
+    rows = [(1, "One two", "a"), (None, None, "b"), (3, "x", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, Text string, `a.b` string")
+    got = text_statistics(docs, keep=True).select("doc_id", "n_words", "row.*").collect()
+    assert sorted(map(tuple, got), key=str) == sorted(((i, len((t or "").split()), i, t, x) for i, t, x in rows), key=str) and given == [["row"]]
+    other = text_statistics(docs.withColumn("doc_id", docs.doc_id.cast("int")), keep=True).select("doc_id", "n_words", "row.*").collect()
+    assert sorted(map(tuple, got), key=str) == sorted(map(tuple, other), key=str) and given[1] == ["doc_id", "text", "row"]
