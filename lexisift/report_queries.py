@@ -268,21 +268,27 @@ DIFF = """items as (
 
 def order_diffs(spark: SparkSession, sf_dir: str, exit_code: Column | int = 0) -> DataFrame:
     """Captures of differences, one for each run of orders."""
-    o, text = F.col("l_orderkey"), lambda c: c.cast("string")
-    binary, second = o % 10 == 7, F.col("l_linenumber") > 3
-    items = table(spark, sf_dir, "lineitem").withColumn("g", F.floor(o / 400)).withColumn("h", F.when(second, 2).otherwise(1))
-    path = F.concat(F.lit("/src/o"), text(o), F.lit(".cs"))
-    kind = F.when(o % 10 == 3, "\nnew file mode 100644").when(o % 10 == 5, "\ndeleted file mode 100644").otherwise("")
-    names = F.when(binary, F.concat(F.lit("\nBinary files a"), path, F.lit(" and b"), path, F.lit(" differ"))).otherwise(F.concat(F.lit("\n--- a"), path, F.lit("\n+++ b"), path))
-    file_line = F.concat(F.lit("diff --git a"), path, F.lit(" b"), path, kind, F.lit("\nindex 1..2"), names)
-    hunk_line = F.when(F.col("h") == 1, F.concat(F.lit("@@ -1,2 +"), text(o % 50 + 1), F.lit(",3 @@ class X"))).otherwise(F.concat(F.lit("@@ -9 +"), text(o % 50 + 20), F.lit(" @@")))
-    sign = F.when(F.col("l_returnflag") == "A", "+").when(F.col("l_returnflag") == "R", "-").otherwise(" ")
-    own = ["l_linenumber", "l_partkey", "l_quantity", "l_extendedprice", "l_returnflag"]
-    none = [F.lit(None).cast(items.schema[c].dataType).alias(c) for c in own]
-    heads = items.select("g", "l_orderkey").distinct().select("g", "l_orderkey", F.lit(0).alias("h"), *none, file_line.alias("line"))
-    opened = items.where(~binary).select("g", "l_orderkey", "h").distinct().select("g", "l_orderkey", "h", *none, hunk_line.alias("line"))
-    lines = items.where(~binary).select("g", "l_orderkey", "h", *own, F.concat(sign, F.lit(" part "), text(F.col("l_partkey"))).alias("line"))
-    return grouped_raw(heads.unionByName(opened).unionByName(lines), F.concat(F.lit("d"), text(F.col("g"))), F.col("line"), "l_orderkey", "h", *own, exit_code=exit_code)
+    text = lambda c: c.cast("string")
+    second = F.col("l_linenumber") > 3
+    items = table(spark, sf_dir, "lineitem").withColumn("h", F.when(second, 2).otherwise(1))
+    own = ["l_orderkey", "h", "l_linenumber", "l_partkey", "l_quantity", "l_extendedprice", "l_returnflag"]
+    each = items.groupBy(F.concat(F.lit("d"), text(F.floor(F.col("l_orderkey") / 400))).alias("capture_id")).agg(F.array_sort(F.collect_list(F.struct(*own))).alias("rows"))
+
+    def line(x: Column, i: Column) -> Column:
+        """What an item adds: the heads of its file and its hunk where the item before is of another, and its own line."""
+        o, before = x["l_orderkey"], F.get("rows", i - 1)
+        binary, path = o % 10 == 7, F.concat(F.lit("/src/o"), text(o), F.lit(".cs"))
+        kind = F.when(o % 10 == 3, "\nnew file mode 100644").when(o % 10 == 5, "\ndeleted file mode 100644").otherwise("")
+        names = F.when(binary, F.concat(F.lit("\nBinary files a"), path, F.lit(" and b"), path, F.lit(" differ"))).otherwise(F.concat(F.lit("\n--- a"), path, F.lit("\n+++ b"), path))
+        file_line = F.concat(F.lit("diff --git a"), path, F.lit(" b"), path, kind, F.lit("\nindex 1..2"), names)
+        hunk_line = F.when(x["h"] == 1, F.concat(F.lit("@@ -1,2 +"), text(o % 50 + 1), F.lit(",3 @@ class X"))).otherwise(F.concat(F.lit("@@ -9 +"), text(o % 50 + 20), F.lit(" @@")))
+        sign = F.when(x["l_returnflag"] == "A", "+").when(x["l_returnflag"] == "R", "-").otherwise(" ")
+        opens_file = ~before["l_orderkey"].eqNullSafe(o)
+        opens_hunk = ~binary & (opens_file | (before["h"] != x["h"]))
+        return F.when(~binary | opens_file, F.concat_ws("\n", F.when(opens_file, file_line), F.when(opens_hunk, hunk_line), F.when(~binary, F.concat(sign, F.lit(" part "), text(x["l_partkey"])))))
+
+    code = exit_code if isinstance(exit_code, Column) else F.lit(exit_code)
+    return once(each.select("capture_id", F.array(F.lit("x")).alias("command"), code.cast("int").alias("exit_code"), F.array_join(F.transform("rows", line), "\n").alias("stdout"), F.lit("").alias("stderr")))
 
 
 @query(f"with {DIFF} select 'd' || g as source_id, part, rank, detail from diff_rows")
