@@ -19,6 +19,8 @@ COLUMNS = 1 << 15
 FORM = 40.0
 #: Characters of a word that have a shape of their own; a longer word has several.
 PIECE = 64
+#: Rows of a matrix that are multiplied at once on the driver.
+SLAB = 256
 _RUN = re.compile(r"(.)\1+", re.S)
 
 
@@ -97,6 +99,35 @@ class Neighbours:
         return np.clip(out, 0.0, 1.0)
 
 
+def leading(matrix: np.ndarray, k: int, guard: int = 16, depth: int = 6, rounds: int = 60, close: float = 1e-12) -> tuple[np.ndarray, np.ndarray]:
+    """The ``k`` greatest eigenvalues of a symmetric matrix, greatest first, and their vectors as columns.
+
+    Block Krylov steps from the best vectors so far, until none misses by more than ``close`` of the greatest value,
+    so that nothing of the matrix's size is held beside it, where taking it apart whole holds four more. A small
+    matrix is taken apart whole, and so is one of which the steps have not come as close after ``rounds``.
+    """
+    n, width = len(matrix), k + guard
+    draw = np.random.default_rng(7)
+    begin = np.linalg.qr(draw.normal(size=(n, width)))[0] if n > 2 * width * depth else None
+    for _ in range(rounds if begin is not None else 0):
+        basis, image = begin, matrix @ begin
+        for _ in range(depth - 1):
+            more = image[:, -width:]
+            for _ in range(3):
+                more = np.linalg.qr(more - basis @ (basis.T @ more))[0]
+            basis, image = np.hstack([basis, more]), np.hstack([image, matrix @ more])
+        values, own = np.linalg.eigh(basis.T @ image)
+        values, own = values[: -k - 1 : -1], own[:, : -width - 1 : -1]
+        begin = basis @ own
+        vectors = begin[:, :k]
+        missed = np.linalg.norm(image @ own[:, :k] - vectors * values, axis=0).max()
+        if missed <= close * abs(values[0]) and np.abs(vectors.T @ vectors - np.eye(k)).max() < 1e-9:
+            return values, vectors
+        begin = np.linalg.qr(begin)[0]
+    values, vectors = np.linalg.eigh(matrix)
+    return values[: -k - 1 : -1], vectors[:, : -k - 1 : -1]
+
+
 def fit_neighbours(docs: DataFrame, labels: DataFrame, learn: Column | None = None, most: int = 2000, dimensions: int = 48, nearest: int = 25) -> Neighbours:
     """Latent-semantic vectors of at most ``most`` labelled documents, chosen by a hash of the id.
 
@@ -122,33 +153,40 @@ def fit_neighbours(docs: DataFrame, labels: DataFrame, learn: Column | None = No
     n = len(rows)
     if not n:
         return Neighbours(np.zeros((COLUMNS, 1)), np.zeros((0, 1)), np.zeros(0), 0.5, nearest)
-    terms = [(np.frombuffer(r["at"], "<u2").astype(np.int64), np.frombuffer(r["weight"], "<f4").astype(np.float64)) for r in rows]
+    quality = np.array([r["quality"] for r in rows], dtype=np.float64)
+    terms = [(np.frombuffer(r["at"], "<u2"), np.frombuffer(r["weight"], "<f4")) for r in rows]
+    del rows
     df = sum((np.bincount(at, minlength=COLUMNS) for at, _ in terms), np.zeros(COLUMNS, dtype=np.int64))
     useful = (df >= min(3, n)) & (df < n) | (df == n) & (n < 3)
     idf = np.where(useful, np.log((1 + n) / (1 + df)) + 0.1, 0.0)
     norm = np.array([max(float(np.linalg.norm(w * idf[at])), 1e-9) for at, w in terms])
+    edges = range(0, COLUMNS + 1, 1024)
+    ends = [np.searchsorted(at, edges).tolist() for at, _ in terms]
 
-    def part(low: int, high: int) -> np.ndarray:
+    def part(k: int) -> np.ndarray:
         """Some columns of the weighted matrix of unit rows, of which never more is held."""
-        out = np.zeros((n, high - low))
+        out = np.zeros((n, edges[k + 1] - edges[k]))
         for i, (at, w) in enumerate(terms):
-            a, b = np.searchsorted(at, (low, high))
-            out[i, at[a:b] - low] = w[a:b] * idf[at[a:b]] / norm[i]
+            own = slice(ends[i][k], ends[i][k + 1])
+            out[i, at[own] - edges[k]] = w[own] * idf[at[own]] / norm[i]
         return out
 
-    blocks = [(low, min(low + 2048, COLUMNS)) for low in range(0, COLUMNS, 2048)]
     gram = np.zeros((n, n))
-    for low, high in blocks:
-        columns = part(low, high)
-        gram += columns @ columns.T
-    values, left = np.linalg.eigh(gram)
-    order = np.argsort(values)[::-1][: min(dimensions, n)]
-    order = order[values[order] > 1e-9]
-    directions = np.zeros((COLUMNS, max(1, len(order))))
-    if len(order):
-        for low, high in blocks:
-            directions[low:high] = (part(low, high).T @ left[:, order]) / np.sqrt(values[order]) * idf[low:high, None]
-    out = Neighbours(directions, np.zeros((0, directions.shape[1])), np.array([r["quality"] for r in rows], dtype=np.float64), 0.5, nearest)
+    for k in range(len(edges) - 1):
+        columns = part(k)
+        for i in range(0, n, SLAB):
+            gram[i : i + SLAB, : i + SLAB] += columns[i : i + SLAB] @ columns[: i + SLAB].T
+    columns = None
+    for i in range(SLAB, n, SLAB):
+        gram[:i, i : i + SLAB] = gram[i : i + SLAB, :i].T
+    values, left = leading(gram, min(dimensions, n))
+    del gram
+    values, left = values[values > 1e-9], left[:, values > 1e-9]
+    directions = np.zeros((COLUMNS, max(1, len(values))))
+    if len(values):
+        for k in range(len(edges) - 1):
+            directions[edges[k] : edges[k + 1]] = (part(k).T @ left) / np.sqrt(values) * idf[edges[k] : edges[k + 1], None]
+    out = Neighbours(directions, np.zeros((0, directions.shape[1])), quality, 0.5, nearest)
     out.prior = float(out.labels.mean())
     out.vectors = out.place(terms)
     return out

@@ -1,6 +1,7 @@
 import re
 import zlib
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 
@@ -157,3 +158,32 @@ def test_scores_equal_those_of_the_whole_matrix(spark):
         vote = np.maximum(cosine[top], 0) ** 2
         want = (vote * quality[top]).sum() / vote.sum() if vote.sum() > 1e-9 else quality.mean()
         assert abs(r.score - want) < 1e-6, r.doc_id
+
+
+def test_leading_vectors_are_those_of_the_whole_matrix(monkeypatch):
+    draw = np.random.default_rng(3)
+    for rows in (draw.normal(size=(900, 1200)) * np.linspace(1, 0.05, 1200), np.repeat(draw.random((300, 500)), 3, axis=0), draw.normal(size=(900, 20)) @ draw.normal(size=(20, 60)), draw.normal(size=(30, 40))):
+        matrix = rows @ rows.T
+        k = min(48, len(matrix))
+        want, vectors = np.linalg.eigh(matrix)
+        want, vectors = want[: -k - 1 : -1], vectors[:, : -k - 1 : -1]
+        for rounds in (60, 0):  # by steps, and whole
+            got, own = quality_knn.leading(matrix, k, rounds=rounds)
+            assert np.abs(got - want).max() < 1e-9 * want[0] and np.abs(own.T @ own - np.eye(k)).max() < 1e-9
+            real = want > 1e-9 * want[0]
+            assert np.abs(own[:, real] @ own[:, real].T - vectors[:, real] @ vectors[:, real].T).max() < 1e-7
+
+
+def test_the_driver_holds_one_matrix_while_it_fits(spark):
+    """Of 2,000 labelled documents: their matrix of 32 MB and no four more beside it."""
+    words = [f"w{i}" for i in range(4000)]
+    draw = np.random.default_rng(5)
+    rows = [(i, " ".join(words[j] for j in np.minimum(draw.zipf(1.3, 120), 4000) - 1)) for i in range(2000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(8).cache()
+    labels = spark.createDataFrame([(i, i % 2) for i, _ in rows], "doc_id long, quality int")
+    mb = lambda what: int(re.search(rf"{what}:\s+(\d+)", Path("/proc/self/status").read_text())[1]) / 1024
+    docs.count()
+    before = mb("VmRSS")
+    Path("/proc/self/clear_refs").write_text("5")
+    model = quality_knn.fit_neighbours(docs, labels)
+    assert model.vectors.shape == (2000, 48) and mb("VmHWM") - before < 130
