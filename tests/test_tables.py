@@ -1,6 +1,10 @@
+import os
+import time
+
 import pytest
+from pyspark.sql import functions as F
 
-from lexisift.tables import chosen_folder, shared_folder
+from lexisift.tables import SHUFFLES_GO, chosen_folder, once, shared_folder
 
 
 @pytest.mark.parametrize("master", ["local", "local[8]", "local[*]", "local[4,2]"])
@@ -20,3 +24,18 @@ def test_a_cluster_may_not(master):
 
 def test_the_folder_stays(spark):
     assert shared_folder(spark) == shared_folder(spark)
+
+
+def test_what_was_shuffled_for_rows_worked_out_once_goes_at_once(spark):
+    top = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()
+    shuffles = lambda: {x.split("_")[1] for d in top for _, _, names in os.walk(d) for x in names if x.startswith("shuffle_")}
+    before, setting = shuffles(), spark.conf.get(SHUFFLES_GO, None)
+    frame = spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count()
+    rows = once(frame)
+    until = time.time() + 20
+    while shuffles() - before and time.time() < until:
+        time.sleep(0.1)
+    assert not shuffles() - before and spark.conf.get(SHUFFLES_GO, None) == setting
+    assert rows.collect() and sorted(rows.collect()) == sorted(rows.join(frame, ["k", "count"]).collect()) == sorted(frame.collect())
+    frame.collect()  # another's own frame keeps what it shuffled, and may be read again
+    assert shuffles() - before
