@@ -19,8 +19,11 @@ from .word_table import LOWER, Words, WordTable
 
 END = ""  # no word is empty
 LOG10E = float(np.log10(np.e))
-#: Text that a task holds at once: documents of many lengths go through the model side by side.
+#: Text that a copy of the model learns from at once: documents of many lengths go through it side by side.
 HELD = 12 << 20
+#: Tokens that are scored at once: the longest documents are alone at the end, so the more there are beside them the
+#: fewer steps are nearly empty.
+SCORED = 1 << 22
 
 
 def words_of(text: str) -> list[bytes]:
@@ -94,34 +97,30 @@ class Vocabulary:
 
 
 def _sigmoid(x: np.ndarray) -> None:
-    """In place, by the tangent, which does not overflow."""
-    x *= 0.5
-    np.tanh(x, out=x)
-    x *= 0.5
-    x += 0.5
+    """In place; where the exponential overflows the result is 0, as it should be."""
+    np.negative(x, out=x)
+    np.exp(x, out=x)
+    x += 1
+    np.reciprocal(x, out=x)
 
 
-def _chosen(h: np.ndarray, weights: np.ndarray, biases: np.ndarray, of: np.ndarray, bounded: bool, grads: tuple[np.ndarray, np.ndarray] | None) -> tuple[np.ndarray, np.ndarray | None]:
-    """Log-probabilities of choices ``of`` under a softmax; adds to ``grads`` and returns the loss's slope in ``h``.
+def _chosen(scores: np.ndarray, of: np.ndarray, bounded: bool, slopes: bool) -> np.ndarray:
+    """Log-probabilities of choices ``of`` under a softmax of each row; with ``slopes``, the loss's slope in ``scores`` takes their place.
 
     ``bounded``: no score can be so large or all so small that its exponential is lost.
     """
-    e = h @ weights
-    e += biases
     if not bounded:
-        e -= e.max(axis=1, keepdims=True)
-    at = np.arange(0, e.size, e.shape[1]) + of
-    out = e.reshape(-1)[at]
-    np.exp(e, out=e)
-    total = e @ np.ones(e.shape[1], dtype=e.dtype)
+        scores -= scores.max(axis=1, keepdims=True)
+    at = np.arange(0, scores.size, scores.shape[1]) + of
+    flat = scores.reshape(-1)
+    out = flat.take(at)
+    np.exp(scores, out=scores)
+    total = scores @ np.ones(scores.shape[1], dtype=scores.dtype)
     out -= np.log(total)
-    if grads is None:
-        return out, None
-    e *= (1 / total)[:, None]
-    e.reshape(-1)[at] -= 1
-    grads[0].__iadd__(h.T @ e)
-    grads[1].__iadd__(np.ones(len(e), dtype=e.dtype) @ e)
-    return out, e @ weights.T
+    if slopes:
+        scores *= (1 / total)[:, None]
+        flat[at] -= 1
+    return out
 
 
 class GatedModel:
@@ -139,6 +138,9 @@ class GatedModel:
         n, self.width, self.state = len(counts), width, state
         self.symbols, self.gap = n, -n % width  # places left empty in the last class of symbols
         self.classes = -(-n // width) - (-len(endings) // width)
+        spread = np.arange(n + len(endings))
+        spread[n:] += self.gap
+        self.class_of, self.place_of = (spread // width).astype(np.int16), spread % width
         small = lambda *shape: (draw.normal(size=shape) * 0.3 / np.sqrt(state)).astype(np.float32)
         self.X, self.U, self.N = small(n + len(endings), 3 * state) * 4, small(state, 2 * state), small(state, state)
         self.X[:, :state] -= 1  # gates start half shut, so that the state lasts
@@ -177,7 +179,7 @@ class GatedModel:
 
     def _added(self, block: np.ndarray) -> np.ndarray:
         """What the symbols of a window add to gates and candidates: places x units x lanes."""
-        return np.ascontiguousarray(self.X[block].transpose(0, 2, 1))
+        return np.ascontiguousarray(self.X.take(block, axis=0).transpose(0, 2, 1))
 
     @staticmethod
     def _bounded(weights: np.ndarray, biases: np.ndarray) -> bool:
@@ -186,19 +188,31 @@ class GatedModel:
 
     def logs(self, h: np.ndarray, codes: np.ndarray, grads: dict[str, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray | None]:
         """Natural log-probabilities of ``codes`` after states ``h``; adds to ``grads`` and returns the loss's slope in ``h``."""
-        of, inner = np.divmod(codes + self.gap * (codes >= self.symbols), self.width)
-        order = np.argsort(of.astype(np.int16), kind="stable")  # by class, so that each class is one slice
-        h, of, inner = h[order], of[order], inner[order]
-        ends = np.searchsorted(of, np.arange(self.classes + 1))
+        of = self.class_of.take(codes)
+        order = np.argsort(of, kind="stable")  # by class, so that each class is one slice
+        of, inner = of.take(order), self.place_of.take(codes.take(order))
+        ends = np.searchsorted(of, np.arange(self.classes + 1)).tolist()
         bounded = [self._bounded(self.C, self.c[None]), self._bounded(self.W, self.w)]
-        logs, dh = _chosen(h, self.C, self.c, of, bounded[0], grads and (grads["C"], grads["c"]))
-        for k in range(self.classes):
-            i, j = ends[k : k + 2]
-            if i < j:
-                more, slope = _chosen(h[i:j], self.W[k], self.w[k], inner[i:j], bounded[1], grads and (grads["W"][k], grads["w"][k]))
-                logs[i:j] += more
-                if grads is not None:
-                    dh[i:j] += slope
+        weights, inner_weights = np.concatenate([self.C, self.c[None]]), np.concatenate([self.W, self.w[:, None]], axis=1)
+        h = np.concatenate([h.take(order, axis=0), np.ones((len(order), 1), dtype=weights.dtype)], axis=1)  # biases go with the ones
+        scores, slopes = h @ weights, grads is not None
+        logs, dh = _chosen(scores, of, bounded[0], slopes), None
+        if slopes:
+            told, dh = h.T @ scores, scores @ self.C.T
+            grads["C"] += told[:-1]
+            grads["c"] += told[-1]
+        parts = [(k, slice(i, j)) for k, (i, j) in enumerate(zip(ends, ends[1:])) if i < j]
+        scores = np.empty((len(order), self.width), dtype=weights.dtype)
+        for k, part in parts:
+            np.matmul(h[part], inner_weights[k], out=scores[part])
+        logs += _chosen(scores, inner, bounded[1], slopes)
+        if slopes:
+            told = np.zeros_like(inner_weights)
+            for k, part in parts:
+                np.matmul(h[part].T, scores[part], out=told[k])
+                dh[part] += scores[part] @ self.W[k].T
+            grads["W"] += told[:, :-1]
+            grads["w"] += told[:, -1]
         out = np.empty_like(logs)
         out[order] = logs
         if grads is not None:
@@ -207,26 +221,34 @@ class GatedModel:
             dh = back
         return out, dh
 
+    @np.errstate(over="ignore")
     def score(self, texts: list[np.ndarray], window: int = 64, side: int = 256) -> np.ndarray:
         """Natural log-likelihoods of sequences of codes, each whole: the state goes on from window to window."""
         out = np.zeros(len(texts))
         codes, whose, loads = _lanes(texts, side)
         h = np.zeros((self.state, len(loads)), dtype=np.float32)
-        for start in range(0, int(loads[0]) if len(loads) else 0, window):
+        held: list[tuple[np.ndarray, ...]] = []  # states, codes and texts of windows whose logs are still to be found
+        rows, longest = 0, int(loads[0]) if len(loads) else 0
+        for start in range(0, longest, window):
             n = int((loads > start).sum())
             block, of, begins = _window(codes, whose, n, start, window)
-            h, x = np.ascontiguousarray(h[:, :n]), self._added(block)
+            h, x, anew = np.ascontiguousarray(h[:, :n]), self._added(block), begins.any(axis=1).tolist()
             states = np.empty((len(block), self.state, n), dtype=np.float32)
             for t in range(len(block)):
-                if begins[t].any():
+                if anew[t]:
                     h[:, begins[t]] = 0
                 states[t] = h
                 h = self.step(h, x[t])[0]
-            live = np.flatnonzero(of.reshape(-1) >= 0)
-            logs, _ = self.logs(_rows(states)[live], block.reshape(-1)[live])
-            out += np.bincount(of.reshape(-1)[live], logs, minlength=len(texts))
+            of, live = of.reshape(-1), np.flatnonzero(of.reshape(-1) >= 0)
+            held.append((_some(_rows(states), live), _some(block.reshape(-1), live), _some(of, live)))
+            rows += len(live)
+            if rows >= window * side or start + window >= longest:  # where few lanes are left, of many windows at once
+                states, block, of = (np.concatenate(x) for x in zip(*held))
+                out += np.bincount(of, self.logs(states, block)[0], minlength=len(texts))
+                held, rows = [], 0
         return out
 
+    @np.errstate(over="ignore")
     def train(self, texts: list[np.ndarray], rate: float = 0.02, window: int = 32, side: int = 256, part: int = 1024) -> None:
         """One pass of truncated backpropagation: slopes go back to the start of a window, the state goes on through it.
 
@@ -242,18 +264,21 @@ class GatedModel:
             n = int((loads > start).sum())
             block, of, begins = _window(codes, whose, n, start, window)
             steps, h, x = len(block), np.ascontiguousarray(h[:, :n]), self._added(block)
-            live, flat_codes = np.flatnonzero(of.reshape(-1) >= 0), block.reshape(-1)
+            live, flat_codes, anew = np.flatnonzero(of.reshape(-1) >= 0), block.reshape(-1), begins.any(axis=1).tolist()
             states = np.empty((steps, k, n), dtype=self.X.dtype)
             kept = []
             for t in range(steps):
-                if begins[t].any():
+                if anew[t]:
                     h[:, begins[t]] = 0
                 states[t] = h
                 h, *more = self.step(h, x[t])
                 kept.append(more)
             grads = {name: np.zeros_like(getattr(self, name)) for name in self.NAMES}
-            slopes = np.zeros((steps * n, k), dtype=np.float32)
-            slopes[live] = self.logs(_rows(states)[live], flat_codes[live], grads)[1]
+            slopes = self.logs(_some(_rows(states), live), _some(flat_codes, live), grads)[1]
+            if len(live) < steps * n:
+                every = np.zeros((steps * n, k), dtype=np.float32)
+                every[live] = slopes
+                slopes = every
             slopes = np.ascontiguousarray(slopes.reshape(steps, n, k).transpose(0, 2, 1))
             dx = np.empty((steps, 3 * k, n), dtype=np.float32)
             reset = np.empty((steps, k, n), dtype=np.float32)
@@ -270,22 +295,20 @@ class GatedModel:
                 np.multiply(passed, m, out=gates[:k])
                 drh *= zr[k:]
                 np.multiply(drh, before, out=gates[k:])
-                zr -= 1
-                gates[:k] *= zr[:k]
-                gates[k:] *= zr[k:]
-                np.negative(gates, out=gates)
+                np.subtract(1, zr, out=zr)
+                gates *= zr
                 dh -= passed
                 dh += drh
                 dh += self.U @ gates
                 dh += slopes[t]
-                if begins[t].any():
+                if anew[t]:
                     dh[:, begins[t]] = 0
             by_unit = lambda a: a.transpose(1, 0, 2).reshape(a.shape[1], -1)
-            grads["N"] += by_unit(reset) @ by_unit(dx[:, 2 * k :]).T
-            grads["U"] += by_unit(states) @ by_unit(dx[:, : 2 * k]).T
-            seen = np.argsort(flat_codes.astype(np.int16), kind="stable")
-            first = np.flatnonzero(np.r_[True, np.diff(flat_codes[seen]) > 0])
-            grads["X"][flat_codes[seen[first]]] = np.add.reduceat(_rows(dx)[seen], first)
+            by_x, of_code = by_unit(dx), flat_codes.astype(np.intp)
+            grads["N"] += by_unit(reset) @ by_x[2 * k :].T
+            grads["U"] += by_unit(states) @ by_x[: 2 * k].T
+            for unit in range(3 * k):
+                grads["X"][:, unit] = np.bincount(of_code, by_x[unit], minlength=len(self.X))
             times += 1
             tokens = len(live)
             own_rate = rate * tokens / (window * side)  # a step as long as its tokens are many, so that the last windows do not lead
@@ -322,6 +345,11 @@ def _lanes(texts: list[np.ndarray], side: int, draw: np.random.Generator | None
     return codes, whose, loads
 
 
+def _some(rows: np.ndarray, which: np.ndarray) -> np.ndarray:
+    """Some rows in order, without a copy where it is all of them."""
+    return rows if len(which) == len(rows) else rows.take(which, axis=0)
+
+
 def _rows(a: np.ndarray) -> np.ndarray:
     """Places x units x lanes as a row of units for each place and lane."""
     return a.transpose(0, 2, 1).reshape(-1, a.shape[1])
@@ -391,9 +419,12 @@ def _train_round(texts: DataFrame, model: GatedModel, vocabulary: Vocabulary, ra
                         begun, words = shared.value
                         own, tokens, now = GatedModel(words.symbol_counts, words.ending_mass, words.width, begun.state), 0, copy[i]
                         own.set_weights(begun.weights())
-                    codes, _, begins, _ = words.read(part.column("text").to_pylist())
-                    own.train(np.split(codes, begins[1:]), rate)
-                    tokens += len(codes)
+                    learned: list[np.ndarray] = []
+                    for piece in slices(part):
+                        codes, _, begins, _ = words.read(piece.column("text").to_pylist())
+                        learned += np.split(codes, begins[1:])
+                        tokens += len(codes)
+                    own.train(learned, rate)
         if own is not None:
             yield from told(own, tokens)
 
@@ -424,22 +455,23 @@ def fit(texts: DataFrame, rounds: int = 3, state: int = 16, rate: float = 0.02)
     return counts, vocabulary, model
 
 
-def _score_rows(vocabulary: Vocabulary, model: GatedModel | None) -> Callable[[list, list[str], int], pa.RecordBatch]:
-    """A row for each document with all that is known of it, and one for each of its words whose count is not in the tables."""
+#: Rows that are summed by document.
+KINDS = {"row": pa.int64(), "doc_id": pa.int64(), "word": pa.string(), "times": pa.int64(), "n_tokens": pa.int64(), "n_known": pa.int64(), "base_part": pa.float64(), "model_part": pa.float64()}
+
+
+def _score_rows(vocabulary: Vocabulary) -> Callable[[list, list[str], int], tuple[pa.RecordBatch, list[np.ndarray]]]:
+    """A row for each document with all that is known of it without the model, and one for each of its words whose count
+    is not in the tables; and the codes of each document."""
     logs_of = np.append(np.log10(vocabulary.counts + 0.1), 0.0)  # the last is for a word of another count
     known_of = np.append(vocabulary.counts > 0, False)
     n_symbols = len(vocabulary.symbols)
     share = np.concatenate([np.zeros(n_symbols), np.log10(vocabulary.ending_mass)])
-    kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
-    names = ["row", "doc_id", "word", "times", "n_tokens", "n_known", "base_part", "model_part"]
 
-    def work(ids: list, texts: list[str], first_row: int) -> pa.RecordBatch:
+    def work(ids: list, texts: list[str], first_row: int) -> tuple[pa.RecordBatch, list[np.ndarray]]:
         codes, places, begins, words = vocabulary.read(texts)
         by_text = lambda x: np.add.reduceat(x, begins)
         n, known, logs = words.counts + 1, by_text(known_of[places].astype(np.int64)), logs_of[places]
         base, model_part = by_text(logs), by_text(np.where(codes >= n_symbols, logs, 0.0) - share[codes])
-        if model:
-            model_part = model_part + model.score(np.split(codes, begins[1:])) * LOG10E
         at = np.flatnonzero(places < 0)
         whose = np.searchsorted(begins, at, side="right") - 1
         spelt, cuts = words.spelt(at - whose), np.searchsorted(whose, np.arange(len(texts) + 1)).tolist()
@@ -459,11 +491,43 @@ def _score_rows(vocabulary: Vocabulary, model: GatedModel | None) -> Callable[[l
             (rows, rows[every]), (doc_ids, doc_ids.take(pa.array(every))), ([f" {r}" for r in rows.tolist()], pa.array(rest, pa.binary()).cast(pa.string())),
             (np.zeros(len(rows), dtype=np.int64), np.array(times, dtype=np.int64)), (n, none), (known, none), (base, zero), (model_part, zero),
         ]
-        return pa.RecordBatch.from_arrays([join(a, b, kind) for (a, b), kind in zip(columns, kinds, strict=True)], names)
+        return pa.RecordBatch.from_arrays([join(a, b, kind) for (a, b), kind in zip(columns, KINDS.values(), strict=True)], list(KINDS)), np.split(codes, begins[1:])
 
     return work
 
 
+def _model_rows(model: GatedModel, rows: list[int], ids: list, codes: list[np.ndarray]) -> pa.RecordBatch:
+    """A row for each document with what the model adds to its score."""
+    none, zero = np.zeros(len(rows), dtype=np.int64), np.zeros(len(rows))
+    columns = [rows, ids, [f" {r}" for r in rows], none, none, none, zero, model.score(codes) * LOG10E]
+    return pa.RecordBatch.from_arrays([pa.array(a, kind) for a, kind in zip(columns, KINDS.values(), strict=True)], list(KINDS))
+
+
+def _score_batches(batches: Iterator[pa.RecordBatch], tables: Callable[[], tuple[Vocabulary, GatedModel | None]], row: int) -> Iterator[pa.RecordBatch]:
+    """The rows of a task's documents, numbered from ``row`` on; texts are read slice by slice, the model scores many slices at once."""
+    work, model = None, None
+    rows, ids, codes, tokens = [], [], [], 0  # of documents that the model has still to score
+    for batch in batches:
+        for part in slices(batch):
+            if work is None:
+                vocabulary, model = tables()
+                work = _score_rows(vocabulary)
+            own = part.column("doc_id").to_pylist()
+            out, more = work(own, part.column("text").to_pylist(), row)
+            yield out
+            if model:
+                rows += range(row, row + len(own))
+                ids += own
+                codes += more
+                tokens += sum(map(len, more))
+                if tokens >= SCORED:
+                    yield _model_rows(model, rows, ids, codes)
+                    rows, ids, codes, tokens = [], [], [], 0
+            row += len(own)
+    if rows:
+        yield _model_rows(model, rows, ids, codes)
+
+
 def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **settings) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score), a row for each row of ``docs``.
 
@@ -492,13 +556,7 @@ def _scored(texts: DataFrame, counts: DataFrame, vocabulary: Vocabulary, model:
     shared = texts.sparkSession.sparkContext.broadcast((vocabulary, model))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        work = None
-        row = TaskContext.get().partitionId() << 40
-        for batch in batches:
-            for part in slices(batch, most_bytes=HELD):
-                work = work or _score_rows(*shared.value)
-                yield work(part.column("doc_id").to_pylist(), part.column("text").to_pylist(), row)
-                row += part.num_rows
+        return _score_batches(batches, lambda: shared.value, TaskContext.get().partitionId() << 40)
 
     schema = "row long, doc_id long, word string, times long, n_tokens long, n_known long, base_part double, model_part double"
     rows = shipped(texts).mapInArrow(run, schema).join(counts, "word", "left")

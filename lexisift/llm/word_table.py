@@ -8,7 +8,7 @@ import numpy as np
 
 #: A-Z become a-z; the six ASCII blanks part words.
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
-BLANKS = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+SOLID = bytes(c not in (9, 10, 11, 12, 13, 32) for c in range(256))
 #: Bytes that are hashed at once.
 CHUNK = 1 << 18
 _FACTOR, _MIX = 0x9E3779B97F4A7C15, np.uint64(0xD6E8FEB86659FD93)
@@ -35,10 +35,9 @@ class Words:
         parts = [t.encode() for t in texts]
         self.data = b"\n".join(parts).translate(LOWER) + b"\n" * 8  # so that eight bytes can be read from any place
         self.bytes = np.frombuffer(self.data, dtype=np.uint8)
-        solid = np.zeros(len(self.bytes) + 2, dtype=np.int8)
-        solid[1:-1] = ~BLANKS[self.bytes]
-        edge = np.diff(solid)
-        self.starts, self.stops = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+        solid = np.frombuffer(b"\0" + self.data.translate(SOLID), dtype=bool)  # its end is blank
+        edges = np.flatnonzero(solid[1:] != solid[:-1])
+        self.starts, self.stops = edges[::2].copy(), edges[1::2].copy()
         bounds = np.cumsum([0, *(len(p) + 1 for p in parts)])
         self.counts = np.diff(np.searchsorted(self.starts, bounds))
         self.hashes = self._hashes()
@@ -82,6 +81,11 @@ class Words:
         """The eight bytes from each place of ``data`` on, as one number."""
         return np.ndarray((len(self.data) - 7,), dtype="<u8", buffer=self.data, strides=(1,))
 
+    def fronts(self) -> np.ndarray:
+        """The first eight bytes of each word as one number, 0 behind its end."""
+        unused = 8 * (8 - np.minimum(self.stops - self.starts, 8))
+        return self.eights()[self.starts] & (np.uint64(0xFFFFFFFFFFFFFFFF) >> unused.astype(np.uint64))
+
 
 class WordTable:
     """A value for each of some distinct words. Hashes tell where to look; a word is found if its bytes are the same."""
@@ -89,6 +93,7 @@ class WordTable:
     def __init__(self, words: list[bytes], values: np.ndarray):
         self.words, self.values = Words([b" ".join(words).decode()]), values
         hashes = self.words.hashes
+        self.fronts, self.sizes = self.words.fronts(), self.words.stops - self.words.starts
         bits = max(4, (2 * len(words)).bit_length())
         self.shift, self.mask = np.uint64(64 - bits), (1 << bits) - 1
         self.keys, self.numbers = np.zeros(1 << bits, dtype=np.uint64), np.zeros(1 << bits, dtype=np.int64)
@@ -102,13 +107,12 @@ class WordTable:
             at[todo] = (at[todo] + 1) & self.mask
 
     def _same(self, words: Words, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """Whether words ``a`` have the bytes of the table's words ``b``: eight at a time, of fewer and fewer words."""
+        """Whether words ``a`` of over eight bytes go on like the table's words ``b`` of the same length and first eight
+        bytes: eight at a time, of fewer and fewer words."""
         own, ours = words.eights(), self.words.eights()
-        x, y = words.starts[a], self.words.starts[b]
+        x, y = words.starts[a] + 8, self.words.starts[b] + 8
         left = words.stops[a] - x
-        same = left == self.words.stops[b] - y
-        todo = np.flatnonzero(same)
-        x, y, left = x[todo], y[todo], left[todo]
+        same, todo = np.ones(len(a), dtype=bool), np.arange(len(a))
         while len(todo):
             unused = (8 * (8 - np.minimum(left, 8))).astype(np.uint64)
             differ = (own[x] ^ ours[y]) << unused != 0
@@ -119,16 +123,20 @@ class WordTable:
 
     def find(self, words: Words) -> np.ndarray:
         """The value of each word, -1 for those that the table does not have."""
-        hashes = words.hashes
+        hashes, fronts, sizes = words.hashes, words.fronts(), words.stops - words.starts
         at = (hashes >> self.shift).astype(np.int64)
-        out, todo = np.full(len(hashes), -1, dtype=np.int64), np.arange(len(hashes))
-        while len(todo):
-            key = self.keys[at[todo]]
-            may, gone = np.flatnonzero(key == hashes[todo]), key == 0
-            number = self.numbers[at[todo[may]]]
-            same = self._same(words, todo[may], number)
-            out[todo[may[same]]] = self.values[number[same]]
+        out, todo = np.full(len(hashes), -1, dtype=np.int64), None
+        while todo is None or len(todo):
+            of = (lambda x: x) if todo is None else (lambda x: x[todo])  # noqa: B023
+            key = self.keys[of(at)]
+            may, gone = np.flatnonzero(key == of(hashes)), key == 0
+            word = may if todo is None else todo[may]
+            number = self.numbers[at[word]]
+            same = (self.fronts[number] == fronts[word]) & (self.sizes[number] == sizes[word])
+            long = np.flatnonzero(same & (sizes[word] > 8))
+            same[long] = self._same(words, word[long], number[long])
+            out[word[same]] = self.values[number[same]]
             gone[may[same]] = True
-            todo = todo[~gone]
+            todo = np.flatnonzero(~gone) if todo is None else todo[~gone]
             at[todo] = (at[todo] + 1) & self.mask
         return out

@@ -93,6 +93,44 @@ def test_whole_texts_whatever_the_windows():
     assert np.allclose(model.score(texts, window=1, side=3), want, rtol=1e-5) and model.score([]).shape == (0,)
 
 
+def test_windows_with_few_texts_left_are_looked_up_together(monkeypatch):
+    """One long text beside short ones: scores of symbols are made of as many places as a full window has, not of 64."""
+    model, draw = small(), np.random.default_rng(6)
+    texts = [draw.integers(0, 8, n).astype(np.int32) for n in (6400, 70, 1, 30)]
+    calls, plain = [], GatedModel.logs
+    monkeypatch.setattr(GatedModel, "logs", lambda self, h, *rest: calls.append(len(h)) or plain(self, h, *rest))
+    got = model.score(texts)
+    assert calls == [sum(map(len, texts))]
+    assert np.allclose(got, model.score(texts, window=7, side=2), rtol=1e-5) and len(calls) > 100
+
+
+def test_a_task_scores_its_slices_together(monkeypatch):
+    import pyarrow as pa
+
+    from lexisift.llm import gated_lm
+
+    counts = {b"a": 3, b"": 2, b"b": 1}
+    voc = gated_lm.Vocabulary(counts, {b"a": 0, b"": 1}, np.array([3.0, 2.0]), 2, 4, np.ones(4), 6, 3)
+    model = GatedModel(voc.symbol_counts, voc.ending_mass, 2, state=4)
+    texts = ["A b c", "", "a a " * 50, "b", "c b a", "a"]
+    batches = [pa.RecordBatch.from_pydict({"doc_id": list(range(i, i + 2)), "text": texts[i : i + 2]}) for i in (0, 2, 4)]
+    calls, plain = [], GatedModel.score
+    monkeypatch.setattr(GatedModel, "score", lambda self, of: calls.append(len(of)) or plain(self, of))
+
+    def sums():
+        out = {}
+        for r in pa.Table.from_batches(gated_lm._score_batches(iter(batches), lambda: (voc, model), 100)).to_pylist():
+            key = (r["row"], r["doc_id"], r["word"] if r["times"] else None)
+            out[key] = out.get(key, 0) + np.array([r[c] for c in ("times", "n_tokens", "n_known", "base_part", "model_part")])
+        return out
+
+    whole = sums()
+    assert calls == [6] and {k[:2] for k in whole} == {(100 + i, i) for i in range(6)} and (100, 0, "c") in whole
+    monkeypatch.setattr(gated_lm, "SCORED", 1)
+    parts = sums()
+    assert calls[1:] == [2, 2, 2] and whole.keys() == parts.keys() and all(np.allclose(whole[k], parts[k], rtol=1e-5) for k in whole)
+
+
 @pytest.mark.parametrize("name", GatedModel.NAMES)
 def test_slopes(name):
     """Training on one window moves each weight against the slope that small steps of the loss show."""
@@ -166,6 +204,14 @@ def test_words_of_one_hash_are_told_apart(n):
     assert WordTable([a.encode(), b"x", b.encode()], np.array([5, 6, 7])).find(words).tolist() == [5, 7, 6, -1]
 
 
+def test_words_of_one_front_are_told_apart():
+    from lexisift.llm.word_table import Words, WordTable
+
+    known = [b"a", b"a\0", b"12345678", b"123456789", b"1234567890abcdefg"]
+    words = Words(["a a\0 a\0\0 1234567 12345678 123456789 12345678\0 1234567890abcdefg 1234567890abcdefh 1234567890abcdef"])
+    assert WordTable(known, np.arange(5)).find(words).tolist() == [0, 1, -1, -1, 2, 3, -1, 4, -1, -1]
+
+
 @pytest.mark.parametrize("other", [94, 41])  # the one held out, the other learned from
 def test_scores_of_words_of_one_hash(spark, other):
     a, b = thue_morse(10)
